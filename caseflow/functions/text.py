@@ -31,14 +31,17 @@ def expand_terms(c, terms: list[tuple[str, str]] | None = None) -> Column:
     """Replace every dictionary term that is not glued to an ASCII letter/digit, one term
     after the other in dictionary order, case-sensitively.
 
-    Each step is a built-in ``regexp_replace`` with look-around edges, so the whole
-    chain stays inside the JVM. Later terms see the output of earlier ones.
+    One ``aggregate`` over the (literal, pattern, replacement) list folds the text
+    through a built-in ``regexp_replace`` per term, entirely inside the JVM; a plain
+    substring test skips the regex scan for terms absent from the text. Later terms
+    see the output of earlier ones.
     """
-    out = _c(c)
-    for term, repl in (terms or ABBREVIATIONS):
-        pat = f"(?<![{WORD_EDGE}]){re.escape(term)}(?![{WORD_EDGE}])"
-        out = F.regexp_replace(out, pat, _java_replacement(repl))
-    return out
+    rules = F.array(*[F.struct(F.lit(term).alias("lit"),
+                               F.lit(f"(?<![{WORD_EDGE}]){re.escape(term)}(?![{WORD_EDGE}])").alias("pat"),
+                               F.lit(_java_replacement(repl)).alias("rep"))
+                      for term, repl in (terms or ABBREVIATIONS)])
+    return F.aggregate(rules, _c(c), lambda acc, r: F.when(
+        F.instr(acc, r["lit"]) > 0, F.regexp_replace(acc, r["pat"], r["rep"])).otherwise(acc))
 
 
 def stop_words() -> Column:
