@@ -50,7 +50,7 @@ FIXTURE_DIAGNOSES = [
     "Choking episode",                        # 52 (or FB airway chain)
     "Abdominal pain",                         # 27 / 321
     "Viral infection",                        # nothing
-    "Known allergy, no injury",               # 70
+    "No injury, infection ruled out",         # 70
     "Stab wound to chest",                    # 77 / 310
     "Fracture of tibia and fibula",           # tibia+fibula rule
     "Monteggia fracture of forearm",          # 12 + monteggia override
