@@ -33,3 +33,37 @@ def bump_versions(changed: DataFrame, current: DataFrame, key: str = "encounter_
 def row_hash(cols: list[str]):
     """Stable 64-bit fingerprint of a row's compared columns (nulls are distinct from values)."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in cols])
+
+
+def changed_rows(stored_latest: DataFrame, uploaded: DataFrame, compare: list[str],
+                 key: str = "encounter_id") -> DataFrame:
+    """Uploaded rows whose compared columns differ from the stored latest version.
+
+    Both sides are fingerprinted with one 64-bit hash over the compared columns, so
+    the join carries (key, hash) from the stored side instead of every column; a
+    difference in any column (nulls included) changes the hash.
+    """
+    s = stored_latest.select(key, row_hash(compare).alias("_h"))
+    u = uploaded.withColumn("_h2", row_hash(compare))
+    return u.join(s, key, "inner").where(F.col("_h") != F.col("_h2")).drop("_h", "_h2")
+
+
+def new_rows(stored: DataFrame, uploaded: DataFrame, key: str = "encounter_id") -> DataFrame:
+    """Uploaded rows whose key has no stored version at all."""
+    return uploaded.join(stored.select(key).distinct(), key, "left_anti")
+
+
+def apply_updates(stored: DataFrame, uploaded: DataFrame, compare: list[str],
+                  key: str = "encounter_id", version: str = "version") -> DataFrame:
+    """Rows to append after a review: changed rows at version max+1, new keys at version 1."""
+    cur = latest_version(stored, key, version)
+    changed = bump_versions(changed_rows(cur, uploaded, compare, key), stored, key, version)
+    fresh = new_rows(stored, uploaded, key).drop(version).withColumn(version, F.lit(1))
+    cols = [key] + compare + [version]
+    return changed.select(*cols).unionByName(fresh.select(*cols))
+
+
+def changed_texts(stored_latest: DataFrame, uploaded: DataFrame, col: str, key: str = "encounter_id") -> DataFrame:
+    """Uploaded texts that differ (null-safe) from the stored latest text of the same key."""
+    s = stored_latest.select(key, F.col(col).alias("_old"))
+    return (uploaded.join(s, key, "left").where(~F.col(col).eqNullSafe(F.col("_old"))).drop("_old"))
