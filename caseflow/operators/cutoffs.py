@@ -17,10 +17,11 @@ def _ranked(df: DataFrame, score: str, tie: str) -> tuple[DataFrame, Window]:
     return df.withColumn("_pos", F.row_number().over(w) - 1), w
 
 
-def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95) -> DataFrame:
+def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95, inclusive: bool = True) -> DataFrame:
     """Keep the head of the descending ranking whose running share of the total stays
-    within ``mass`` (inclusive of the cut row). An empty head keeps the first row; an
-    all-zero total keeps everything."""
+    within ``mass``: up to and including the cut row (search), or strictly before it
+    (rerank, ``inclusive=False``). An empty head keeps the first row; an all-zero total
+    keeps everything."""
     r, w = _ranked(df, score, tie)
     whole = Window.partitionBy()
     r = (r.withColumn("_cum", F.sum(score).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -28,7 +29,10 @@ def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95) ->
     r = r.withColumn("_in", F.when(F.col("_tot") == 0, F.lit(0)).otherwise(
         (F.col("_cum") / F.col("_tot") <= mass).cast("int")))
     r = r.withColumn("_idx", F.sum("_in").over(whole) - 1)
-    keep = (F.col("_tot") == 0) | (F.col("_pos") <= F.greatest(F.col("_idx"), F.lit(0)))
+    if inclusive:
+        keep = (F.col("_tot") == 0) | (F.col("_pos") <= F.greatest(F.col("_idx"), F.lit(0)))
+    else:
+        keep = (F.col("_tot") == 0) | (F.col("_pos") < F.greatest(F.col("_idx"), F.lit(1)))
     return r.where(keep).drop("_pos", "_cum", "_tot", "_in", "_idx")
 
 
