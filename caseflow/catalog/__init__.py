@@ -24,7 +24,7 @@ def register(key: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from caseflow.catalog import report, filters, search, text, coding, store, sources, vectors  # noqa: F401
+    from caseflow.catalog import report, filters, search, text, coding, store, sources, vectors, streams  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
