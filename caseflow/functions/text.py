@@ -27,21 +27,72 @@ def _java_replacement(s: str) -> str:
     return s.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def _regex_fold(c: Column, terms: list[tuple[str, str]]) -> Column:
+    """Each term in turn through a built-in ``regexp_replace`` with look-around edges,
+    skipped by a plain substring test when the term is absent. Patterns are literals, so
+    each is compiled once per task."""
+    def step_for(term: str, pat: str, rep: str):
+        return lambda acc, _unused: F.when(F.instr(acc, term) > 0, F.regexp_replace(acc, pat, rep)).otherwise(acc)
+
+    out = c
+    for term, repl in terms:
+        pat = f"(?<![{WORD_EDGE}]){re.escape(term)}(?![{WORD_EDGE}])"
+        # a one-element fold binds the running text to a variable, so the guard and
+        # the replacement share it instead of copying the expression tree
+        out = F.aggregate(F.array(F.lit(0)), out, step_for(term, pat, _java_replacement(repl)))
+    return out
+
+
+def _single_run(term: str) -> bool:
+    return re.fullmatch(f"[{WORD_EDGE}]+", term) is not None
+
+
+def _run_lookup_is_exact(terms: list[tuple[str, str]]) -> bool:
+    """True when replacing whole letter/digit runs in one pass equals the ordered chain:
+    no expansion contains a later term as a whole run, no multi-run term can be touched
+    by a single-run term, and no expansion can create a multi-run term."""
+    keys = [k for k, _ in terms]
+    pos = {k: i for i, k in enumerate(keys)}
+    exp = dict(terms)
+    for i, (_, v) in enumerate(terms):
+        runs = set(re.findall(f"[{WORD_EDGE}]+", v))
+        if runs & set(keys[i + 1:]):
+            return False
+    for k in keys:
+        if _single_run(k):
+            continue
+        if any(k in v for _, v in terms):
+            return False
+        for r in set(re.findall(f"[{WORD_EDGE}]+", k)):
+            if r not in pos or pos[r] > pos[k]:
+                continue  # multi-run terms go first, so a later single-run term is fine
+            # an earlier single-run term that prefixes k must expand k the same way
+            suffix = k[len(r):]
+            if not (k.startswith(r) and exp[k] == exp[r] + suffix):
+                return False
+    return True
+
+
 def expand_terms(c, terms: list[tuple[str, str]] | None = None) -> Column:
     """Replace every dictionary term that is not glued to an ASCII letter/digit, one term
     after the other in dictionary order, case-sensitively.
 
-    One ``aggregate`` over the (literal, pattern, replacement) list folds the text
-    through a built-in ``regexp_replace`` per term, entirely inside the JVM; a plain
-    substring test skips the regex scan for terms absent from the text. Later terms
-    see the output of earlier ones.
+    Terms that are one run of letters/digits match exactly a whole run of the text, so
+    (when ``_run_lookup_is_exact`` holds for the dictionary) they are applied in one pass:
+    the text is cut into letter/digit runs and other runs, each run is looked up in a
+    map, and the pieces are joined back. Only the few terms containing other characters
+    go through regular expressions. Everything stays in built-in JVM expressions.
     """
-    rules = F.array(*[F.struct(F.lit(term).alias("lit"),
-                               F.lit(f"(?<![{WORD_EDGE}]){re.escape(term)}(?![{WORD_EDGE}])").alias("pat"),
-                               F.lit(_java_replacement(repl)).alias("rep"))
-                      for term, repl in (terms or ABBREVIATIONS)])
-    return F.aggregate(rules, _c(c), lambda acc, r: F.when(
-        F.instr(acc, r["lit"]) > 0, F.regexp_replace(acc, r["pat"], r["rep"])).otherwise(acc))
+    terms = terms or ABBREVIATIONS
+    c = _c(c)
+    if not _run_lookup_is_exact(terms):
+        return _regex_fold(c, terms)
+    multi = [(k, v) for k, v in terms if not _single_run(k)]
+    single = [(k, v) for k, v in terms if _single_run(k)]
+    out = _regex_fold(c, multi)
+    lookup = F.create_map(*[x for k, v in single for x in (F.lit(k), F.lit(v))])
+    pieces = F.regexp_extract_all(out, F.lit(f"[{WORD_EDGE}]+|[^{WORD_EDGE}]+"), 0)
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(lookup, p), p)), "")
 
 
 def stop_words() -> Column:
