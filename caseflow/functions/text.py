@@ -73,26 +73,41 @@ def _run_lookup_is_exact(terms: list[tuple[str, str]]) -> bool:
     return True
 
 
+def _alternation(terms: list[str]) -> str:
+    """Terms as one alternation grouped by first character (longest first inside a
+    group), behind a one-character look-ahead, with word edges."""
+    groups: dict[str, list[str]] = {}
+    for t in sorted(set(terms), key=lambda x: (-len(x), x)):
+        groups.setdefault(t[0], []).append(t)
+    first = "".join(re.escape(ch) for ch in sorted(groups))
+    alt = "|".join(f"{re.escape(ch)}(?:{'|'.join(re.escape(x[1:]) for x in grp)})" for ch, grp in sorted(groups.items()))
+    return f"(?=[{first}])(?<![{WORD_EDGE}])(?:{alt})(?![{WORD_EDGE}])"
+
+
 def expand_terms(c, terms: list[tuple[str, str]] | None = None) -> Column:
     """Replace every dictionary term that is not glued to an ASCII letter/digit, one term
     after the other in dictionary order, case-sensitively.
 
-    Terms that are one run of letters/digits match exactly a whole run of the text, so
-    (when ``_run_lookup_is_exact`` holds for the dictionary) they are applied in one pass:
-    the text is cut into letter/digit runs and other runs, each run is looked up in a
-    map, and the pieces are joined back. Only the few terms containing other characters
-    go through regular expressions. Everything stays in built-in JVM expressions.
+    One regex pass first lists the terms present at word edges; the ordered chain of
+    built-in ``regexp_replace`` steps then runs only for those. Skipping is exact when
+    no expansion can create a term (``_run_lookup_is_exact``); otherwise every step runs.
     """
     terms = terms or ABBREVIATIONS
     c = _c(c)
     if not _run_lookup_is_exact(terms):
         return _regex_fold(c, terms)
-    multi = [(k, v) for k, v in terms if not _single_run(k)]
-    single = [(k, v) for k, v in terms if _single_run(k)]
-    out = _regex_fold(c, multi)
-    lookup = F.create_map(*[x for k, v in single for x in (F.lit(k), F.lit(v))])
-    pieces = F.regexp_extract_all(out, F.lit(f"[{WORD_EDGE}]+|[^{WORD_EDGE}]+"), 0)
-    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(lookup, p), p)), "")
+    rules = F.array(*[F.struct(F.lit(k).alias("k"),
+                               F.lit(f"(?<![{WORD_EDGE}]){re.escape(k)}(?![{WORD_EDGE}])").alias("pat"),
+                               F.lit(_java_replacement(v)).alias("rep")) for k, v in terms])
+    # the present-term list is computed once and carried in the accumulator
+    init = F.struct(c.alias("text"),
+                    F.regexp_extract_all(c, F.lit(_alternation([k for k, _ in terms])), 0).alias("present"))
+
+    def merge(acc, r):
+        return F.struct(F.when(F.array_contains(acc["present"], r["k"]),
+                               F.regexp_replace(acc["text"], r["pat"], r["rep"])).otherwise(acc["text"]).alias("text"),
+                        acc["present"].alias("present"))
+    return F.aggregate(rules, init, merge, lambda acc: acc["text"])
 
 
 def stop_words() -> Column:

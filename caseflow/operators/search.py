@@ -18,10 +18,16 @@ KEY = "encounter_id"
 
 
 def _norm_terms(words) -> list[str]:
-    out = []
-    for w in words or []:
-        out.extend(t for t in __import__("re").findall(r"[a-z0-9]+", str(w).lower()))
-    return sorted(set(out))
+    """Query words → lower-case terms, stop words dropped (as for the texts)."""
+    import re
+    from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
+    stop = set(ENGLISH_STOP_WORDS)
+    out = {t for w in words or [] for t in re.findall(r"[a-z0-9]+", str(w).lower()) if t not in stop}
+    return sorted(out)
+
+
+def _raw_tokens(text_col: str):
+    return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0)
 
 
 def with_terms(df: DataFrame, text_col: str, out: str = "terms") -> DataFrame:
@@ -36,27 +42,28 @@ def keyword_match(df: DataFrame, text_col: str, positive=None, negative=None) ->
     pos, neg = _norm_terms(positive), _norm_terms(negative)
     if not pos and not neg:
         return df.limit(0)
-    terms = tx.search_terms(F.col(text_col))
+    # Query terms hold no stop words, so overlap with the raw tokens equals overlap
+    # with the stop-word-free term set; the tokens are extracted once per row.
+    staged = df.withColumn("_tok", _raw_tokens(text_col))
     cond = F.lit(True)
     if pos:
-        cond = cond & F.arrays_overlap(terms, F.array(*[F.lit(t) for t in pos]))
+        cond = cond & F.arrays_overlap("_tok", F.array(*[F.lit(t) for t in pos]))
     if neg:
-        cond = cond & ~F.arrays_overlap(terms, F.array(*[F.lit(t) for t in neg]))
-    return df.where(F.coalesce(cond, F.lit(False)))
+        cond = cond & ~F.arrays_overlap("_tok", F.array(*[F.lit(t) for t in neg]))
+    return staged.where(F.coalesce(cond, F.lit(False)))
 
 
 def keyword_keys(df: DataFrame, text_col: str, positive=None, negative=None) -> DataFrame:
-    return keyword_match(df, text_col, positive, negative).select(KEY).distinct()
+    return keyword_match(df.select(KEY, text_col), text_col, positive, negative).select(KEY).distinct()
 
 
 def keyword_rank(df: DataFrame, text_col: str, positive=None, negative=None) -> DataFrame:
     """Matches with a relevance in [0, 1): r / (r + 1), r = summed frequency of the
     positive terms in the text."""
     pos = _norm_terms(positive)
-    m = keyword_match(df, text_col, positive, negative)
-    toks = tx.token_list(F.col(text_col))
+    m = keyword_match(df.select(KEY, text_col), text_col, positive, negative)
     posarr = F.array(*[F.lit(t) for t in pos]) if pos else F.array().cast("array<string>")
-    r = F.size(F.filter(toks, lambda t: F.array_contains(posarr, t))).cast("double")
+    r = F.size(F.filter("_tok", lambda t: F.array_contains(posarr, t))).cast("double")
     return m.select(KEY, (r / (r + 1)).alias("rank"))
 
 
