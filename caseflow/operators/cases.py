@@ -80,10 +80,13 @@ def case_defaults(df: DataFrame) -> DataFrame:
 def build_cases(flagged: DataFrame, parsed: DataFrame, encounters: DataFrame, remarks: DataFrame) -> DataFrame:
     """Case rows for flagged encounters: coded nature/body part, disposition code and the
     fixed override rules, applied in their order; version 1; integer columns coerced."""
-    base = (flagged.where(F.col("is_case")).select(KEY)
+    keys = flagged.where(F.col("is_case")).select(KEY)
+    # Deferred work: answers and remarks are restricted to flagged visits first; the
+    # semi join is pushed below their aggregations, so nothing is parsed for non-cases.
+    base = (keys
             .join(encounters.select(KEY, "chief_complaint", "diagnosis", "disposition"), KEY, "inner")
-            .join(parsed, KEY, "left")
-            .join(remarks, KEY, "left"))
+            .join(parsed.join(keys, KEY, "left_semi"), KEY, "left")
+            .join(remarks.join(keys, KEY, "left_semi"), KEY, "left"))
     base = case_defaults(base).withColumn("intent", F.col("intent").cast("string"))
     dx = F.lower(F.coalesce(F.col("diagnosis"), F.lit("none")))
     base = base.withColumn("_bp", cd.body_part(dx))
