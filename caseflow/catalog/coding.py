@@ -153,9 +153,9 @@ SELECT e.encounter_id, x.no AS nature, x.nbp AS body_part FROM encounters e
 LEFT JOIN expected x ON x.diagnosis = e.diagnosis""", expected=values_sql(), **ENC))
 def code_nature(spark, d):
     e = tb.stored_encounters(spark, d).withColumn("_dx", F.lower(F.col("diagnosis")))
-    e = e.withColumn("_bp", cd.body_part(F.col("_dx")))
-    nb = cd.nature_and_body(F.col("_dx"), F.col("_bp"))
-    return e.select("encounter_id", nb["no"].alias("nature"), nb["bp"].alias("body_part"))
+    e = cd.pin(e, _bp=cd.body_part(F.col("_dx")))
+    e = cd.pin(e, _nb=cd.nature_and_body(F.col("_dx"), F.col("_bp")))
+    return e.select("encounter_id", F.col("_nb.no").alias("nature"), F.col("_nb.bp").alias("body_part"))
 
 
 REMARKS_SQL = f"""SELECT l.encounter_id,
@@ -181,7 +181,8 @@ LEFT JOIN remarks r ON r.encounter_id = e.encounter_id""",
     expected=values_sql(), lines=fx.NOTE_LINES_SQL, remarks=REMARKS_SQL, **ENC))
 def code_disposition(spark, d):
     e = tb.stored_encounters(spark, d).withColumn("_dx", F.lower(F.col("diagnosis")))
-    e = e.withColumn("_bp", cd.body_part(F.col("_dx"))).withColumn("_nb", cd.nature_and_body(F.col("_dx"), F.col("_bp")))
+    e = cd.pin(e, _bp=cd.body_part(F.col("_dx")))
+    e = cd.pin(e, _nb=cd.nature_and_body(F.col("_dx"), F.col("_bp")))
     rem = nt.visit_remarks(fx.note_lines_src(spark, d), fx.visits_src(spark, d))
     e = e.join(rem, "encounter_id", "left")
     return e.select("encounter_id", cd.disposition_code(F.coalesce(F.col("remark"), F.lit("")), F.col("disposition"),

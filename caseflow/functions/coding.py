@@ -189,9 +189,14 @@ def nature_and_body(dx_lower: Column, bp: Column) -> Column:
     rules = [(c, st(code, None if b == LOOKUP else b, b == LOOKUP)) for code, c, b in nature_rules(d)]
     rules.append((d.any("injury", "trauma"), st(pre["no"], None, True)))
     main = _chain(rules, pre)
-    final = F.when(d.all("tibia", "fibula"), st(main["no"], None, True)).otherwise(main)
-    return F.struct(final["no"].alias("no"),
-                    F.when(final["look"], bp).otherwise(final["fixed"]).cast("int").alias("bp"))
+    tibia_fibula = d.all("tibia", "fibula")
+
+    def finish(m):
+        look = F.coalesce(m["look"] | tibia_fibula, F.lit(False))
+        return F.struct(m["no"].alias("no"), F.when(look, bp).otherwise(m["fixed"]).cast("int").alias("bp"))
+    # ``main`` is bound once (as the fold's start value) and read through a variable,
+    # so the rule chain is not copied into each field of the result
+    return F.aggregate(F.array(F.lit(0)), main, lambda acc, _x: acc, finish)
 
 
 def disposition_code(remark: Column, disposition: Column, no1: Column, bp1: Column) -> Column:
@@ -203,3 +208,16 @@ def disposition_code(remark: Column, disposition: Column, no1: Column, bp1: Colu
             .when(disposition == "Deceased", F.lit(9))
             .when(remark.contains("consult") | F.lower(remark).contains("consult follow up"), F.lit(6))
             .otherwise(F.lit(None).cast("int")))
+
+
+def pin(df, **exprs):
+    """Add computed columns evaluated exactly once per row.
+
+    The columns come out of a one-row ``inline`` (a Generate node), which later
+    projections cannot be merged through; without it, every later reference to a
+    large rule expression would be expanded into another copy of that expression.
+    """
+    row = F.struct(*[e.alias(f"__pin_{k}") for k, e in exprs.items()])
+    out = df.select("*", F.inline(F.array(row)))
+    out = out.drop(*[k for k in exprs if k in df.columns])
+    return out.withColumnsRenamed({f"__pin_{k}": k for k in exprs})

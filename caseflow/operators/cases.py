@@ -89,13 +89,13 @@ def build_cases(flagged: DataFrame, parsed: DataFrame, encounters: DataFrame, re
             .join(remarks.join(keys, KEY, "left_semi"), KEY, "left"))
     base = case_defaults(base).withColumn("intent", F.col("intent").cast("string"))
     dx = F.lower(F.coalesce(F.col("diagnosis"), F.lit("none")))
-    base = base.withColumn("_bp", cd.body_part(dx))
-    base = base.withColumn("_nb", cd.nature_and_body(dx, F.col("_bp")))
+    base = cd.pin(base, _bp=cd.body_part(dx))
+    base = cd.pin(base, _nb=cd.nature_and_body(dx, F.col("_bp")))
     device = F.col("chief_complaint") == "Medical Device Problem"
-    c = (base.withColumn("no1", F.when(device, F.lit(99)).otherwise(F.col("_nb.no")))
-             .withColumn("bp1", F.when(device, F.lit(999)).otherwise(F.col("_nb.bp"))))
-    c = c.withColumn("disp", cd.disposition_code(F.coalesce(F.col("remark"), F.lit("")), F.col("disposition"),
-                                                 F.col("no1"), F.col("bp1")))
+    c = cd.pin(base, no1=F.when(device, F.lit(99)).otherwise(F.col("_nb.no")),
+               bp1=F.when(device, F.lit(999)).otherwise(F.col("_nb.bp")))
+    c = cd.pin(c, disp=cd.disposition_code(F.coalesce(F.col("remark"), F.lit("")), F.col("disposition"),
+                                           F.col("no1"), F.col("bp1")))
     io = F.trim(F.col("i_o"))
     c = c.withColumn("i_o", F.when(io == "1", "I").when(io == "2", "O").otherwise(F.lit(None).cast("string")))
     ap = F.trim(F.col("am_pm"))
