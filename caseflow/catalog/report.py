@@ -19,9 +19,10 @@ def stored(spark, d) -> dict:
 REPORT_VIEWS = dict(encounters=tb.ENCOUNTERS_SQL, subjects=tb.SUBJECTS_STORED_SQL,
                     case_report=fx.CASE_VERSIONS_SQL, problems=fx.PROBLEMS_SQL, summaries=fx.SUMMARIES_SQL)
 
-REPORT_SQL_BODY = f"""
-, sel AS (SELECT * FROM encounters
-          WHERE arrival_date BETWEEN DATE '{REPORT_START}' AND DATE '{REPORT_END}')
+DATE_SEL = f"SELECT * FROM encounters WHERE arrival_date BETWEEN DATE '{REPORT_START}' AND DATE '{REPORT_END}'"
+
+REPORT_SQL_BODY = """
+, sel AS (__SEL__)
 , cur_case AS (SELECT * FROM case_report c
                WHERE version = (SELECT max(version) FROM case_report c2 WHERE c2.encounter_id = c.encounter_id))
 , plist AS (SELECT encounter_id, string_agg(problem, ',' ORDER BY problem) AS problem_list
@@ -42,10 +43,12 @@ LEFT JOIN cur_sum m ON m.encounter_id = e.encounter_id)
 """
 
 
-def _report_sql(select: str) -> str:
-    base = fx.with_views("SELECT 1", **REPORT_VIEWS)
+def _report_sql(select: str, sel: str = DATE_SEL, extra: str = "", **views) -> str:
+    """Oracle report over the selected encounters ``sel``; ``extra`` adds CTEs (after the
+    fixture views) that ``sel`` may use."""
+    base = fx.with_views("SELECT 1", **REPORT_VIEWS, **views)
     head = base[: base.rindex("SELECT 1")].rstrip()
-    return head + REPORT_SQL_BODY + select
+    return head + extra + REPORT_SQL_BODY.replace("__SEL__", sel) + select
 
 
 @register("report_by_date", _report_sql("SELECT * FROM report"))

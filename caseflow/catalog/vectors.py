@@ -139,7 +139,22 @@ def score_documents(spark, d):
     return score_corpus(fx.read(spark, d, "documents"), fx.read(spark, d, "labels"))
 
 
-@register("report_by_query")
+def _report_by_query_sql() -> str:
+    sem = f"""
+, scored AS (SELECT encounter_id, d AS distance, greatest(0.0, 1.0 - d) AS similarity FROM (
+    SELECT v.encounter_id, {q.cosine_distance('v.vec', 'p.qvec')} AS d FROM vectors v, probe p)
+  ORDER BY distance, encounter_id LIMIT 5000)""" + _cum_mass_sql("scored").replace(
+        "SELECT encounter_id, round(similarity, 6) AS similarity FROM ranked, idx",
+        ", sem AS (SELECT encounter_id FROM ranked, idx") + f""")
+, kw AS (SELECT DISTINCT encounter_id FROM summaries WHERE {KW_WHERE})
+, flt AS (SELECT encounter_id FROM encounters WHERE ctas <= 3)
+, qkeys AS (SELECT encounter_id FROM kw INTERSECT SELECT encounter_id FROM sem INTERSECT SELECT encounter_id FROM flt)"""
+    return _report_sql("SELECT * FROM report",
+                       sel="SELECT * FROM encounters WHERE encounter_id IN (SELECT encounter_id FROM qkeys)",
+                       extra=sem, vectors=fx.VECTORS_SQL, probe=fx.QUERY_VECTOR_SQL)
+
+
+@register("report_by_query", _report_by_query_sql())
 def report_by_query(spark, d):
     t = stored(spark, d)
     kw = se.keyword_keys(t["summaries"], "summary_text", POS, NEG)
