@@ -17,15 +17,18 @@ def _ranked(df: DataFrame, score: str, tie: str) -> tuple[DataFrame, Window]:
     return df.withColumn("_pos", F.row_number().over(w) - 1), w
 
 
-def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95, inclusive: bool = True) -> DataFrame:
+def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95, inclusive: bool = True,
+                    bypass_below: int = 0) -> DataFrame:
     """Keep the head of the descending ranking whose running share of the total stays
     within ``mass``: up to and including the cut row (search), or strictly before it
     (rerank, ``inclusive=False``). An empty head keeps the first row; an all-zero total
-    keeps everything."""
+    keeps everything. With ``bypass_below``, a ranking shorter than that is kept whole
+    (decided in the same window pass, so the input is evaluated once)."""
     r, w = _ranked(df, score, tie)
     whole = Window.partitionBy()
     r = (r.withColumn("_cum", F.sum(score).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-          .withColumn("_tot", F.sum(score).over(whole)))
+          .withColumn("_tot", F.sum(score).over(whole))
+          .withColumn("_cnt", F.count(F.lit(1)).over(whole)))
     r = r.withColumn("_in", F.when(F.col("_tot") == 0, F.lit(0)).otherwise(
         (F.col("_cum") / F.col("_tot") <= mass).cast("int")))
     r = r.withColumn("_idx", F.sum("_in").over(whole) - 1)
@@ -33,10 +36,11 @@ def cumulative_mass(df: DataFrame, score: str, tie: str, mass: float = 0.95, inc
         keep = (F.col("_tot") == 0) | (F.col("_pos") <= F.greatest(F.col("_idx"), F.lit(0)))
     else:
         keep = (F.col("_tot") == 0) | (F.col("_pos") < F.greatest(F.col("_idx"), F.lit(1)))
-    return r.where(keep).drop("_pos", "_cum", "_tot", "_in", "_idx")
+    keep = keep | (F.col("_cnt") < bypass_below)
+    return r.where(keep).drop("_pos", "_cum", "_tot", "_in", "_idx", "_cnt")
 
 
-def knee(df: DataFrame, score: str, tie: str) -> DataFrame:
+def knee(df: DataFrame, score: str, tie: str, bypass_below: int = 0) -> DataFrame:
     """Keep the head up to the knee: min-max normalise the descending scores, subtract
     the chord from first to last point, cut at the (first) largest signed gap."""
     r, w = _ranked(df, score, tie)
@@ -50,8 +54,8 @@ def knee(df: DataFrame, score: str, tie: str) -> DataFrame:
     x = F.when(F.col("_n") > 1, F.col("_pos") / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     r = r.withColumn("_gap", F.col("_sn") - (F.col("_first") + (F.col("_last") - F.col("_first")) * x))
     r = r.withColumn("_idx", F.min_by("_pos", F.struct(-F.col("_gap"), F.col("_pos"))).over(whole))
-    return r.where(F.col("_pos") <= F.col("_idx")).drop("_pos", "_n", "_lo", "_hi", "_sn", "_first",
-                                                          "_last", "_gap", "_idx")
+    keep = (F.col("_pos") <= F.col("_idx")) | (F.col("_n") < bypass_below)
+    return r.where(keep).drop("_pos", "_n", "_lo", "_hi", "_sn", "_first", "_last", "_gap", "_idx")
 
 
 def choose(method: str = "cum_mass", **kwargs):

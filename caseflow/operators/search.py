@@ -111,13 +111,12 @@ def chunk_semantic_search(chunks: DataFrame, notes: DataFrame, qvec: list[float]
 def _cut_scored(scored: DataFrame, limit: int, cutoff: Callable | None,
                 bypass_below: int = CUTOFF_BYPASS_ROWS, key: str = KEY) -> DataFrame:
     """Top-k of a scored key set, then the cutoff unless fewer than ``bypass_below`` hits.
-    The hit count is a scalar subquery, so everything stays one lazy plan over <= k rows."""
+
+    The top-k runs once (a per-partition top-k and one bounded merge); the bypass test
+    is a count over the same window pass as the cutoff, so the scan is not repeated."""
     cutoff = cutoff or co.choose("cum_mass")
     top = scored.orderBy(F.col("distance").asc(), F.col(key).asc()).limit(limit)
-    n = top.agg(F.count(F.lit(1))).scalar()
-    kept = cutoff(top, score="similarity", tie=key).select(key).withColumn("_k", F.lit(1))
-    return (top.join(kept, key, "left").where((n < bypass_below) | F.col("_k").isNotNull())
-            .select(key, "distance", "similarity"))
+    return cutoff(top, score="similarity", tie=key, bypass_below=bypass_below).select(key, "distance", "similarity")
 
 
 # ------------------------------------------------------------------ combined
