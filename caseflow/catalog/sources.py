@@ -18,12 +18,15 @@ def write_document_dump(spark, d) -> str:
     rows are added for documents with no source. The header is its own file."""
     doc = fx.read(spark, d, "documents")
     path = scratch_path(spark, "note_dump")
-    spark.createDataFrame([(DUMP_HEADER,)], "value string").write.mode("overwrite").text(path)
+    # the header file sorts first in the listing (0-header before 1-data)
+    spark.createDataFrame([(DUMP_HEADER,)], "value string").coalesce(1).write.mode("overwrite") \
+        .text(f"{path}/0-header")
     text = F.regexp_replace("text", "[\r\n]", " ")
     full = F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", text)
     short = F.concat_ws("|", F.col("doc_id").cast("string"), "lang")
-    doc.select(F.when(F.col("lang") == "es", short).otherwise(full).alias("value")).write.mode("append").text(path)
-    return path
+    doc.select(F.when(F.col("lang") == "es", short).otherwise(full).alias("value")).write.mode("overwrite") \
+        .text(f"{path}/1-data")
+    return f"{path}/*"
 
 
 @register("src_note_dump", r"""
@@ -71,7 +74,7 @@ def src_headered_export(spark, d):
     b = fx.read(spark, d, "benchmark")
     path = scratch_path(spark, "export")
     spark.createDataFrame([("Weekly export",), ("item_id,n_chars",)], "value string") \
-        .coalesce(1).write.mode("overwrite").text(path)
+        .coalesce(1).write.mode("overwrite").text(f"{path}/0-header")
     b.select(F.concat_ws(",", F.col("item_id").cast("string"), F.length("text").cast("string")).alias("value")) \
-        .write.mode("append").text(path)
-    return nd.read_headered_export(spark, path, "item_id")
+        .write.mode("overwrite").text(f"{path}/1-data")
+    return nd.read_headered_export(spark, f"{path}/*", "item_id")

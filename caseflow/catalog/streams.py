@@ -14,7 +14,7 @@ from caseflow.streaming import drops as st
 
 @register("stream_file_drop")
 def stream_file_drop(spark, d):
-    drop_dir = write_document_dump(spark, d)
+    drop_dir = write_document_dump(spark, d).rstrip("*").rstrip("/")
     out = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
     return spark.read.parquet(out)
 

@@ -18,18 +18,33 @@ def _clean(line):
     return F.regexp_replace(F.regexp_replace(line, r"[^\x00-\x7F]", ""), r"^\s+|\s+$", "")
 
 
+def _first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` lines of the first file (file listing is metadata; only the
+    start of one file is read)."""
+    files = sorted(spark.read.text(path).inputFiles())
+    for f in files:  # skip empty files (a writer may leave some)
+        lines = [r["value"] for r in spark.read.text(f).limit(n).collect()]
+        if lines:
+            return lines
+    raise ValueError(f"no input lines under {path}")
+
+
 def read_note_dump(spark: SparkSession, path: str, key_column: str, delim: str = "|",
-                   mode: str = "permissive") -> tuple[DataFrame, DataFrame]:
+                   mode: str = "permissive", header: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). A row with more fields than the header joins the surplus with a
     blank into the last column; a row with fewer fields is rejected, or raises when
-    ``mode='strict'``. All columns are strings (typing is a separate step)."""
+    ``mode='strict'``. All columns are strings (typing is a separate step).
+
+    The header is given, or taken from the first line of the first file; header lines
+    repeated in other files are recognised by their key column and dropped."""
     lines = spark.read.text(path).select(_clean(F.col("value")).alias("line"))
     sep = re.escape(delim)
     fields = F.split(F.col("line"), sep, -1)
-    head = (lines.where(F.get(fields, 0) == key_column).select("line").distinct().limit(2).collect())
-    if len(head) != 1:
-        raise ValueError(f"expected one header line starting with {key_column!r}, found {len(head)}")
-    header = head[0]["line"].split(delim)
+    if header is None:
+        first = [ln.strip() for ln in _first_lines(spark, path, 1)]
+        if not first or first[0].split(delim)[0] != key_column:
+            raise ValueError(f"the first line is not a header starting with {key_column!r}")
+        header = first[0].split(delim)
     n = len(header)
     body = lines.where((F.get(fields, 0) != key_column) & (F.length("line") > 0)).withColumn("_f", fields)
     rejects = body.where(F.size("_f") < n).select("line")
@@ -47,10 +62,10 @@ def read_headered_export(spark: SparkSession, path: str, key_column: str, delim:
     than the header (titles) are skipped. Missing key column → error."""
     lines = spark.read.text(path).select(F.col("value").alias("line"))
     fields = F.split(F.col("line"), re.escape(delim), -1)
-    head = lines.where(F.array_contains(fields, key_column)).select("line").distinct().limit(2).collect()
-    if len(head) != 1:
+    head = [ln for ln in _first_lines(spark, path, 2) if key_column in ln.split(delim)]
+    if not head:
         raise ValueError(f"{key_column!r} column not found")
-    header = head[0]["line"].split(delim)
+    header = head[0].split(delim)
     n = len(header)
     body = lines.where(~F.array_contains(fields, key_column)).withColumn("_f", fields).where(F.size("_f") == n)
     return body.select(*[F.get(F.col("_f"), i).alias(header[i]) for i in range(n)])

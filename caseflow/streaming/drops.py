@@ -31,7 +31,8 @@ def run_file_drop(spark: SparkSession, drop_dir: str, header: list[str], key_col
     """Process every dump file in ``drop_dir`` into a parquet table; returns its path."""
     out_path = out_path or scratch_path(spark, "drop_table")
     ckpt = out_path + "_checkpoint"
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(drop_dir)
+    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", 1)
+             .option("recursiveFileLookup", "true").load(drop_dir))
     q = (parse_dump_stream(lines, header, key_column).writeStream.format("parquet")
          .option("checkpointLocation", ckpt).option("path", out_path)
          .trigger(availableNow=True).start())
