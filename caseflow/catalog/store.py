@@ -87,7 +87,7 @@ SELECT subject_id, encounter_id, arrival_ts FROM (
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
 def dedupe_first(spark, d):
     v = fx.visits_src(spark, d).select("subject_id", "encounter_id", "arrival_ts")
-    return en.first_per_key(v, "subject_id", [F.col("arrival_ts").asc(), F.col("encounter_id").asc()])
+    return en.first_per_key(v, "subject_id", [F.col("arrival_ts"), F.col("encounter_id")])
 
 
 @register("join_encounter_subject", fx.with_views("""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseflow import fixtures as fx
@@ -58,13 +57,13 @@ def log_append_parse(spark, d):
 
 
 @register("user_log_history", """
-SELECT user_id, event_id, ts, event_type,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM events""")
+SELECT user_id, event_id, ts, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC""")
 def user_log_history(spark, d):
-    """Every user's log, newest first, as a per-user recency rank."""
+    """Every user's log, newest first. A global sort: range partitioning splits even a
+    user with a third of all events across tasks (no per-user window)."""
     ev = fx.read(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return ev.select("user_id", "event_id", "ts", "event_type", F.row_number().over(w).alias("recency"))
+    return ev.select("user_id", "event_id", "ts", "event_type").orderBy(
+        "user_id", F.col("ts").desc(), F.col("event_id").desc())
 
 
 @register("managed_user_logs", """

@@ -13,15 +13,21 @@ KEY = "encounter_id"
 
 
 def first_per_key(df: DataFrame, key: str, order: list) -> DataFrame:
-    """Keep the first row per key under an explicit total order (never "first seen")."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Keep the first row per key under an explicit total order (never "first seen").
+
+    ``order`` lists ascending sort expressions. A ``min_by`` hash aggregate with
+    map-side partial aggregation: a key holding a third of all rows still sends one
+    row per task to the shuffle, unlike a window that sorts the whole key in one task.
+    """
+    others = [c for c in df.columns if c != key]
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(*order)).alias("_first")
+    return df.groupBy(key).agg(best).select(key, "_first.*")
 
 
 def build_subjects(visits: DataFrame, subjects: DataFrame) -> DataFrame:
     """Distinct subjects of the batch with their birth date and scrambled id, one row each."""
     s = visits.select("subject_id").distinct().join(subjects.select("subject_id", "dob"), "subject_id", "inner")
-    s = first_per_key(s, "subject_id", [F.col("dob").asc_nulls_last()])
+    s = first_per_key(s, "subject_id", [F.col("dob").isNull(), F.col("dob")])
     return s.select("subject_id", ff.scramble_id("subject_id").alias("scrambled_id"), "dob")
 
 
@@ -30,7 +36,7 @@ def build_encounters(visits: DataFrame, subjects: DataFrame, lines: DataFrame) -
     full narrative, the visit remark and the score."""
     have_text = lines.where(F.col("note_text").isNotNull()).select(KEY).distinct()
     v = visits.join(have_text, KEY, "left_semi")
-    v = first_per_key(v, KEY, [F.col("arrival_ts").asc(), F.col("subject_id").asc()])
+    v = first_per_key(v, KEY, [F.col("arrival_ts"), F.col("subject_id")])
     v = v.join(subjects.select("subject_id", "dob"), "subject_id", "left")
     nar = nt.full_narratives(lines)
     rem = nt.visit_remarks(lines, visits)
