@@ -180,14 +180,14 @@ def _cut_input(spark, d):
 @register("cutoff_cumulative_mass", fx.with_views("SELECT 1", cases=fx.CASE_VERSIONS_SQL)[:-len("SELECT 1")].rstrip()
           + f"\n, scored AS ({CUT_SRC})" + _cum_mass_sql("scored").replace("n < 300 OR ", ""))
 def cutoff_cumulative_mass(spark, d):
-    r = co.cumulative_mass(_cut_input(spark, d), "similarity", "encounter_id", 0.95)
+    r = co.cumulative_mass_global(_cut_input(spark, d), "similarity", "encounter_id", 0.95)
     return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("cutoff_knee", fx.with_views("SELECT 1", cases=fx.CASE_VERSIONS_SQL)[:-len("SELECT 1")].rstrip()
           + f"\n, scored AS ({CUT_SRC})" + _knee_sql("scored").replace("n < 300 OR ", ""))
 def cutoff_knee(spark, d):
-    r = co.knee(_cut_input(spark, d), "similarity", "encounter_id")
+    r = co.knee_global(_cut_input(spark, d), "similarity", "encounter_id")
     return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 

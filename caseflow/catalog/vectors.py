@@ -118,7 +118,8 @@ def _rerank(spark, d, candidates):
     texts = tb.stored_summaries(spark, d).join(candidates, "encounter_id", "left_semi")
     scored = em.overlap_relevance(texts, "summary_text", RERANK_QUERY).select(
         "encounter_id", F.col("relevance").alias("similarity"))
-    cut = co.cumulative_mass(scored, "similarity", "encounter_id", inclusive=False)
+    # candidate lists are not bounded by a top-k, so the distributed form is used
+    cut = co.cumulative_mass_global(scored, "similarity", "encounter_id", inclusive=False)
     return cut.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 

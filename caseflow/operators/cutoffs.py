@@ -65,3 +65,59 @@ def choose(method: str = "cum_mass", **kwargs):
     if method == "cum_mass":
         return partial(cumulative_mass, **kwargs)
     raise ValueError(f"unknown cutoff method {method!r}")
+
+
+# ---------------------------------------------------------------- unbounded inputs
+def global_rank(df: DataFrame, score: str, tie: str, with_running_sum: bool = False,
+                partitions: int | None = None) -> DataFrame:
+    """0-based position in the (score desc, tie asc) order, optionally with the running
+    sum of ``score``, for inputs of any size.
+
+    The rows are range-partitioned on the sort key (sampled bounds, so a hot score
+    value or key is split like any other range); each partition's count and sum are
+    aggregated, turned into offsets over the partitions (one row per partition,
+    bounded by the partition count, so it is broadcast), and added to the positions
+    and running sums computed inside each partition.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    aggs = [F.count(F.lit(1)).alias("_pc")] + ([F.sum(score).alias("_ps")] if with_running_sum else [])
+    prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = ranged.groupBy("_pid").agg(*aggs).select(
+        "_pid", F.coalesce(F.sum("_pc").over(prior), F.lit(0)).alias("_off_n"),
+        *([F.coalesce(F.sum("_ps").over(prior), F.lit(0.0)).alias("_off_s")] if with_running_sum else []))
+    local = Window.partitionBy("_pid").orderBy(*order)
+    out = ranged.withColumn("_lpos", F.row_number().over(local) - 1)
+    if with_running_sum:
+        out = out.withColumn("_lcum", F.sum(score).over(local.rowsBetween(Window.unboundedPreceding,
+                                                                          Window.currentRow)))
+    out = out.join(F.broadcast(offs), "_pid").withColumn("_pos", F.col("_off_n") + F.col("_lpos"))
+    if with_running_sum:
+        out = out.withColumn("_cum", F.col("_off_s") + F.col("_lcum"))
+    return out.drop("_pid", "_lpos", "_lcum", "_off_n", "_off_s")
+
+
+def cumulative_mass_global(df: DataFrame, score: str, tie: str, mass: float = 0.95,
+                           inclusive: bool = True) -> DataFrame:
+    """``cumulative_mass`` for unbounded inputs (no single-task window)."""
+    total = df.agg(F.sum(score)).scalar()
+    r = global_rank(df, score, tie, with_running_sum=True)
+    within = F.when(total == 0, F.lit(False)).otherwise(F.col("_cum") / total <= mass)
+    idx = r.agg(F.sum(within.cast("int")) - 1).scalar()
+    keep = F.col("_pos") <= F.greatest(idx, F.lit(0)) if inclusive else F.col("_pos") < F.greatest(idx, F.lit(1))
+    return r.where((total == 0) | keep).drop("_pos", "_cum")
+
+
+def knee_global(df: DataFrame, score: str, tie: str) -> DataFrame:
+    """``knee`` for unbounded inputs: global min/max/count and the arg-max of the gap are
+    aggregates; positions come from ``global_rank``."""
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    n, lo, hi = (stats.select(c).scalar() for c in ("n", "lo", "hi"))
+    r = global_rank(df, score, tie)
+    sn = (F.col(score) - lo) / (hi - lo + F.lit(1e-12))
+    first = (hi - lo) / (hi - lo + F.lit(1e-12))
+    x = F.when(n > 1, F.col("_pos") / (n - 1)).otherwise(F.lit(0.0))
+    gap = sn - (first + (F.lit(0.0) - first) * x)
+    idx = r.agg(F.min_by("_pos", F.struct(-gap, F.col("_pos")))).scalar()
+    return r.where(F.col("_pos") <= idx).drop("_pos")

@@ -44,3 +44,25 @@ def test_cumulative_mass(spark, scores):
 def test_knee(spark, scores):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "k long, s double")
     assert co.knee(df, "s", "k").count() == brute_knee(scores)
+
+
+@pytest.mark.parametrize("scores", CASES)
+def test_cumulative_mass_global(spark, scores):
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "k long, s double")
+    assert co.cumulative_mass_global(df, "s", "k").count() == brute_cum_mass(scores)
+
+
+@pytest.mark.parametrize("scores", CASES)
+def test_knee_global(spark, scores):
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(scores)], "k long, s double")
+    assert co.knee_global(df, "s", "k").count() == brute_knee(scores)
+
+
+def test_global_rank_positions(spark):
+    import random
+    rng = random.Random(7)
+    vals = [(i, float(rng.randint(0, 20))) for i in range(500)]
+    df = spark.createDataFrame(vals, "k long, s double")
+    got = {r["k"]: r["_pos"] for r in co.global_rank(df, "s", "k", partitions=7).collect()}
+    want = {k: p for p, (k, _) in enumerate(sorted(vals, key=lambda t: (-t[1], t[0])))}
+    assert got == want
