@@ -40,21 +40,34 @@ def run_file_drop(spark: SparkSession, drop_dir: str, header: list[str], key_col
     return out_path
 
 
-def run_new_keys(spark: SparkSession, drop_dir: str, schema: StructType, key: str, table_path: str) -> str:
-    """Append only keys not yet stored. Each micro-batch is de-duplicated and anti-joined
-    against the stored table as it stands (exact: no watermark, no state to expire), then
-    appended. A replayed batch finds its keys stored and appends nothing."""
-    ckpt = table_path + "_checkpoint"
+KEY_BUCKET_WIDTH = 1_000_000
+
+
+def run_new_keys(spark: SparkSession, drop_dir: str, schema: StructType, key: str, table_path: str,
+                 bucket_width: int = KEY_BUCKET_WIDTH, checkpoint: str | None = None) -> str:
+    """Append only keys not yet stored. Each micro-batch is de-duplicated, checked
+    against the stored table as it stands (exact: no watermark, no state to expire),
+    and appended. A replayed batch finds its keys stored and appends nothing.
+
+    The stored table is partitioned by key range (``_kb``); the lookup is a semi join
+    of the stored table with the batch keys on (``_kb``, key), so dynamic partition
+    pruning reads only the key ranges the batch touches, and the remaining anti join
+    is against that small matched set.
+    """
+    ckpt = checkpoint or table_path + "_checkpoint"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(drop_dir)
+    kb = F.floor(F.col(key) / bucket_width).cast("long")
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("_kb", kb)
         try:
-            stored = spark.read.schema(schema).parquet(table_path).select(key)
-            fresh = fresh.join(stored, key, "left_anti")
+            stored = spark.read.parquet(table_path).select("_kb", key)
         except Exception:  # noqa: BLE001 - first batch: no table yet
-            pass
-        fresh.write.mode("append").parquet(table_path)
+            stored = None
+        if stored is not None:
+            seen = stored.join(fresh.select("_kb", key), ["_kb", key], "left_semi")
+            fresh = fresh.join(seen, ["_kb", key], "left_anti")
+        fresh.write.mode("append").partitionBy("_kb").parquet(table_path)
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
