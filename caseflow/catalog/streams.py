@@ -30,7 +30,7 @@ def _year_drops(spark, d) -> tuple[str, object]:
     again = o.where(F.month("o_orderdate") == 12).withColumn("drop_year", y + 1)
     allrows = o.withColumn("drop_year", y).unionByName(again)
     path = scratch_path(spark, "visit_drops")
-    allrows.repartition("drop_year").write.partitionBy("drop_year").parquet(path)
+    allrows.write.partitionBy("drop_year").parquet(path)
     schema = allrows.drop("drop_year").schema
     return path, schema
 

@@ -131,11 +131,11 @@ def _section_input(spark, d):
 
 
 def _pieces_sql() -> str:
-    w = "string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')"
     cols = ", ".join(
-        f"array_to_string(list_filter({w}, lambda x, i: floor((i - 1) * 6 / len({w})) = {j}), ' ') AS p{j}"
-        for j in range(6))
-    return f"SELECT doc_id, {cols} FROM documents"
+        f"array_to_string(list_filter(w, lambda x, i: floor((i - 1) * 6 / n) = {j}), ' ') AS p{j}" for j in range(6))
+    return f"""SELECT doc_id, {cols} FROM (
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w FROM documents))"""
 
 
 @register("section_filter", fx.with_views("""

@@ -51,7 +51,7 @@ def assemble_report(enc: DataFrame, subjects: DataFrame, cases: DataFrame, probl
 
 def report_by_date(tables: dict[str, DataFrame], start, end, with_history: bool = False) -> DataFrame:
     enc = flt.date_window(tables["encounters"], "arrival_ts", start, end)
-    hist = previous_visits(tables, start) if with_history else None
+    hist = previous_visits(tables, start, subjects=enc.select("subject_id")) if with_history else None
     return assemble_report(enc, tables["subjects"], tables["case_report"], tables["problems"],
                            tables["summaries"], hist)
 
