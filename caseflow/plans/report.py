@@ -67,12 +67,15 @@ def split_report(report: DataFrame) -> tuple[DataFrame, DataFrame]:
     return report.where(~F.col("is_case")), report.where(F.col("is_case"))
 
 
-def previous_visits(tables: dict[str, DataFrame], before) -> DataFrame:
+def previous_visits(tables: dict[str, DataFrame], before, subjects: DataFrame | None = None) -> DataFrame:
     """Per subject, a digest of visits earlier than ``before``: ``subject:encounter\\nsummary``
-    lines joined by newline, ordered by arrival then encounter."""
+    lines joined by newline, ordered by arrival then encounter. With ``subjects``, only
+    those subjects' history is assembled (semi join before the aggregation)."""
     import datetime as dt
     b = before if isinstance(before, dt.date) else dt.date.fromisoformat(str(before))
     enc = tables["encounters"].where(F.col("arrival_ts") < F.lit(dt.datetime.combine(b, dt.time())))
+    if subjects is not None:
+        enc = enc.join(subjects.select("subject_id").distinct(), "subject_id", "left_semi")
     cur_sum = latest_version(tables["summaries"].join(enc.select("encounter_id"), "encounter_id", "left_semi"))
     line = F.concat(F.col("subject_id").cast("string"), F.lit(":"), F.col("encounter_id").cast("string"),
                     F.lit("\n"), F.col("summary_text"))
