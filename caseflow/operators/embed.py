@@ -22,7 +22,12 @@ def hash_embed(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) ->
     Counts are pre-aggregated per (key, bucket) before the norm is taken per key, so
     what is shuffled is at most one row per distinct bucket of a text, not its tokens.
     """
-    toks = df.select(key, F.explode(tx.token_list(F.col(text_col))).alias("t"))
+    from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
+    # explode first, then drop stop words with IN over a literal list (a hash-set test
+    # in generated code) instead of a per-token lambda over the stop-word array
+    toks = (df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0))
+                      .alias("t"))
+            .where(~F.col("t").isin(ENGLISH_STOP_WORDS)))
     counts = toks.groupBy(key, term_bucket(F.col("t"), dim).alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))

@@ -69,7 +69,9 @@ def keyword_rank(df: DataFrame, text_col: str, positive=None, negative=None) ->
 
 def term_document_frequency(df: DataFrame, text_col: str) -> DataFrame:
     """Postings summary: for each term, the number of rows containing it."""
-    return (df.select(F.explode(tx.search_terms(F.col(text_col))).alias("term"))
+    from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
+    terms = F.array_distinct(_raw_tokens(text_col))
+    return (df.select(F.explode(terms).alias("term")).where(~F.col("term").isin(ENGLISH_STOP_WORDS))
             .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")))
 
 
