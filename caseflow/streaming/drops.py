@@ -27,11 +27,13 @@ def parse_dump_stream(lines: DataFrame, header: list[str], key_column: str, deli
 
 
 def run_file_drop(spark: SparkSession, drop_dir: str, header: list[str], key_column: str,
-                  out_path: str | None = None) -> str:
-    """Process every dump file in ``drop_dir`` into a parquet table; returns its path."""
+                  out_path: str | None = None, files_per_batch: int = 64) -> str:
+    """Process every dump file in ``drop_dir`` into a parquet table; returns its path.
+    ``files_per_batch`` bounds one micro-batch (a backlog of daily drops is taken in
+    several batches, each a normal parallel job)."""
     out_path = out_path or scratch_path(spark, "drop_table")
     ckpt = out_path + "_checkpoint"
-    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", 1)
+    lines = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").load(drop_dir))
     q = (parse_dump_stream(lines, header, key_column).writeStream.format("parquet")
          .option("checkpointLocation", ckpt).option("path", out_path)
