@@ -74,7 +74,28 @@ def chunk_notes(spark, d):
     return em.chunk_by_size(fx.read(spark, d, "documents"), "doc_id", "text")
 
 
-@register("chunk_notes_similarity")
+CHUNK_SIM_SQL = r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)),
+                             lambda x: length(x) > 0) AS sl FROM documents),
+e0 AS (SELECT doc_id, sl[i] AS sent, i, len(string_split_regex(sl[i], '\s+')) AS n
+       FROM (SELECT doc_id, sl, unnest(range(1, len(sl) + 1)) AS i FROM s)),
+e1 AS (SELECT *, __TERMS__ AS terms FROM e0),
+e AS (SELECT *, lag(terms) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM e1),
+j AS (SELECT *, CASE WHEN len(list_distinct(list_concat(coalesce(prev, []), terms))) = 0 THEN 1.0
+                     ELSE len(list_intersect(coalesce(prev, []), terms)) * 1.0
+                          / len(list_distinct(list_concat(coalesce(prev, []), terms))) END AS jac FROM e),
+r AS (
+  SELECT doc_id, i, n, sent, 0 AS no, n AS used FROM j WHERE i = 1
+  UNION ALL
+  SELECT j.doc_id, j.i, j.n, j.sent,
+         CASE WHEN r.used + j.n > 128 OR j.jac < 0.5 THEN r.no + 1 ELSE r.no END,
+         CASE WHEN r.used + j.n > 128 OR j.jac < 0.5 THEN j.n ELSE r.used + j.n END
+  FROM r JOIN j ON j.doc_id = r.doc_id AND j.i = r.i + 1)
+SELECT doc_id, no AS chunk_number, string_agg(sent, ' ' ORDER BY i) AS chunk_text FROM r GROUP BY doc_id, no"""
+
+
+@register("chunk_notes_similarity", CHUNK_SIM_SQL.replace("__TERMS__", q.terms("sent")))
 def chunk_notes_similarity(spark, d):
     return em.chunk_texts(fx.read(spark, d, "documents"), "doc_id", "text")
 
