@@ -73,25 +73,36 @@ def chunk_by_size(df: DataFrame, key: str, text_col: str, max_tokens: int = CHUN
 def chunk_texts(df: DataFrame, key: str, text_col: str, max_tokens: int = CHUNK_MAX_TOKENS,
                 threshold: float = CHUNK_SIMILARITY) -> DataFrame:
     """Size rule plus a topic break: a new chunk also starts when a sentence's term set
-    overlaps the previous sentence's by less than ``threshold`` (Jaccard)."""
+    overlaps the previous sentence's by less than ``threshold`` (Jaccard).
+
+    Sentences are exploded to rows so that term extraction and the overlap with the
+    previous sentence (``lag`` within the text) run as generated code; only the cheap
+    sequential packing is a fold over each text's sentence list. The window and the
+    regrouping share one shuffle on the text key; a text's sentences are bounded by
+    the text itself.
+    """
     parts = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"[^.!?]+[.!?]*"), 0),
                                  lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-    init = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("used"), F.array().cast("array<string>").alias("prev"),
-                    F.array().cast("array<int>").alias("nums"))
-
-    def step(acc, s):
-        n = F.size(F.split(s, r"\s+"))
-        terms = tx.search_terms(s)
-        inter = F.size(F.array_intersect(acc["prev"], terms))
-        union = F.size(F.array_union(acc["prev"], terms))
-        jac = F.when(union > 0, inter / union).otherwise(F.lit(1.0))
-        new = (acc["used"] == 0) | (acc["used"] + n > max_tokens) | (jac < threshold)
+    sents = (df.select(key, F.posexplode(parts).alias("i", "s"))
+             .withColumn("n", F.size(F.split("s", r"\s+")))
+             .withColumn("terms", tx.search_terms(F.col("s"))))
+    empty = F.array().cast("array<string>")
+    prev = F.coalesce(F.lag("terms").over(Window.partitionBy(key).orderBy("i")), empty)
+    inter = F.size(F.array_intersect(prev, F.col("terms")))
+    union = F.size(F.array_union(prev, F.col("terms")))
+    topic = F.when(union > 0, inter / union).otherwise(F.lit(1.0)) < threshold
+    rows = (sents.select(key, "i", "n", "s", topic.alias("topic"))
+            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "n", "topic", "s"))).alias("_rows")))
+    init = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("nums"))
+
+    def step(acc, r):
+        new = (acc["used"] == 0) | (acc["used"] + r["n"] > max_tokens) | r["topic"]
         no = F.when(new, acc["no"] + 1).otherwise(acc["no"])
-        used = F.when(new, n).otherwise(acc["used"] + n)
-        return F.struct(no.alias("no"), used.alias("used"), terms.alias("prev"),
-                        F.concat(acc["nums"], F.array(no)).alias("nums"))
+        used = F.when(new, r["n"]).otherwise(acc["used"] + r["n"])
+        return F.struct(no.alias("no"), used.alias("used"), F.concat(acc["nums"], F.array(no)).alias("nums"))
 
-    staged = df.select(key, parts.alias("_s")).withColumn("_nums", F.aggregate(F.col("_s"), init, step)["nums"])
+    staged = rows.select(key, F.transform("_rows", lambda r: r["s"]).alias("_s"),
+                         F.aggregate(F.col("_rows"), init, step)["nums"].alias("_nums"))
     return _explode_chunks(staged, key, with_tokens=False)
 
 
