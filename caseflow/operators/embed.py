@@ -47,27 +47,55 @@ def sentences(df: DataFrame, key: str, text_col: str) -> DataFrame:
     return s.withColumn("n_tokens", F.size(F.split("sentence", r"\s+")))
 
 
+def _pack(sizes, max_tokens: int, breaks=None) -> list[int]:
+    """Greedy packing: chunk number of each sentence (a new chunk when the current one
+    is empty, the sentence would overflow it, or a topic break is flagged)."""
+    out, no, used = [], -1, 0
+    for j, n in enumerate(sizes):
+        if used == 0 or used + n > max_tokens or (breaks is not None and breaks[j]):
+            no, used = no + 1, n
+        else:
+            used += n
+        out.append(no)
+    return out
+
+
+def _chunk_rows(k, sents, sizes, max_tokens, breaks=None):
+    groups: dict[int, list] = {}
+    for no, s, n in zip(_pack(sizes, max_tokens, breaks), sents, sizes):
+        g = groups.setdefault(no, [[], 0])
+        g[0].append(s)
+        g[1] += int(n)
+    return [(k, no, " ".join(ss), n) for no, (ss, n) in groups.items()]
+
+
 def chunk_by_size(df: DataFrame, key: str, text_col: str, max_tokens: int = CHUNK_MAX_TOKENS) -> DataFrame:
     """Greedy packing of whole sentences into chunks of at most ``max_tokens`` tokens
     (a longer sentence is a chunk of its own); chunks numbered from 0 per text.
 
-    The packing is sequential within one text, so it runs as one ``aggregate`` fold
-    over the text's sentence array (JVM-side); texts are independent rows.
+    Sentence cutting and token counts are built-in expressions; the packing itself is
+    sequential within a text, so it runs in ``mapInPandas`` over Arrow batches of
+    (key, sentences, sizes) rows — texts are independent and stay where Spark put them
+    (no shuffle), and each text is handled in one linear pass.
     """
     parts = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"[^.!?]+[.!?]*"), 0),
                                  lambda s: F.trim(s)), lambda s: F.length(s) > 0)
-    sizes = F.transform(parts, lambda s: F.size(F.split(s, r"\s+")))
-    init = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("nums"))
+    staged = df.select(F.col(key).alias("_k"), parts.alias("_s")).select(
+        "_k", "_s", F.transform("_s", lambda s: F.size(F.split(s, r"\s+"))).alias("_n"))
 
-    def step(acc, n):
-        new = (acc["used"] == 0) | (acc["used"] + n > max_tokens)
-        no = F.when(new, acc["no"] + 1).otherwise(acc["no"])
-        used = F.when(new, n).otherwise(acc["used"] + n)
-        return F.struct(no.alias("no"), used.alias("used"), F.concat(acc["nums"], F.array(no)).alias("nums"))
+    def run(batches):
+        import pandas as pd
+        cols = ["_k", "chunk_number", "chunk_text", "n_tokens"]
+        for b in batches:
+            rows = []
+            for k, sents, sizes in zip(b["_k"], b["_s"], b["_n"]):
+                if sents is not None and len(sents) > 0:
+                    rows.extend(_chunk_rows(k, list(sents), list(sizes), max_tokens))
+            yield pd.DataFrame(rows, columns=cols)
 
-    staged = df.select(key, parts.alias("_s"), sizes.alias("_n")).withColumn(
-        "_nums", F.aggregate(F.col("_n"), init, step)["nums"])
-    return _explode_chunks(staged, key, with_tokens=True)
+    key_type = dict(df.dtypes)[key]
+    out = staged.mapInPandas(run, schema=f"_k {key_type}, chunk_number int, chunk_text string, n_tokens long")
+    return out.withColumnRenamed("_k", key)
 
 
 def chunk_texts(df: DataFrame, key: str, text_col: str, max_tokens: int = CHUNK_MAX_TOKENS,
@@ -92,33 +120,22 @@ def chunk_texts(df: DataFrame, key: str, text_col: str, max_tokens: int = CHUNK_
     union = F.size(F.array_union(prev, F.col("terms")))
     topic = F.when(union > 0, inter / union).otherwise(F.lit(1.0)) < threshold
     rows = (sents.select(key, "i", "n", "s", topic.alias("topic"))
-            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "n", "topic", "s"))).alias("_rows")))
-    init = F.struct(F.lit(-1).alias("no"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("nums"))
-
-    def step(acc, r):
-        new = (acc["used"] == 0) | (acc["used"] + r["n"] > max_tokens) | r["topic"]
-        no = F.when(new, acc["no"] + 1).otherwise(acc["no"])
-        used = F.when(new, r["n"]).otherwise(acc["used"] + r["n"])
-        return F.struct(no.alias("no"), used.alias("used"), F.concat(acc["nums"], F.array(no)).alias("nums"))
-
-    staged = rows.select(key, F.transform("_rows", lambda r: r["s"]).alias("_s"),
-                         F.aggregate(F.col("_rows"), init, step)["nums"].alias("_nums"))
-    return _explode_chunks(staged, key, with_tokens=False)
-
-
-def _explode_chunks(staged: DataFrame, key: str, with_tokens: bool) -> DataFrame:
-    """Within each row, gather sentences by chunk number (in order) and emit one row per
-    chunk; no shuffle, since a text's chunks never leave its row."""
-    z = F.arrays_zip(F.col("_nums").alias("c"), F.col("_s").alias("s"))
-    last = F.coalesce(F.array_max("_nums"), F.lit(-1))
-    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.filter(z, lambda e: e["c"] == c))
-    fields = [F.array_join(F.transform("ch", lambda e: e["s"]), " ").alias("chunk_text")]
-    if with_tokens:
-        fields.append(F.aggregate(F.transform("ch", lambda e: F.size(F.split(e["s"], r"\s+"))), F.lit(0),
-                                  lambda a, b: a + b).cast("long").alias("n_tokens"))
-    return (staged.where(F.size("_nums") > 0)
-            .select(key, F.posexplode(chunks).alias("chunk_number", "ch"))
-            .select(key, "chunk_number", *fields))
+            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "n", "topic", "s"))).alias("_rows"))
+            .select(F.col(key).alias("_k"), F.col("_rows.s").alias("_s"), F.col("_rows.n").alias("_n"),
+                    F.col("_rows.topic").alias("_t")))
+
+    def run(batches):
+        import pandas as pd
+        for b in batches:
+            out = []
+            for k, ss, ns, ts in zip(b["_k"], b["_s"], b["_n"], b["_t"]):
+                out.extend((k, no, text) for k, no, text, _ in _chunk_rows(k, list(ss), list(ns), max_tokens,
+                                                                           list(ts)))
+            yield pd.DataFrame(out, columns=["_k", "chunk_number", "chunk_text"])
+
+    key_type = dict(df.dtypes)[key]
+    return (rows.mapInPandas(run, schema=f"_k {key_type}, chunk_number int, chunk_text string")
+            .withColumnRenamed("_k", key))
 
 
 def overlap_relevance(df: DataFrame, text_col: str, query: str) -> DataFrame:
