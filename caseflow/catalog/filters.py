@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from caseflow import fixtures as fx
@@ -33,7 +35,7 @@ def _one(key: str, spec: dict, sql_where: str):
 _one("filter_gt", {"los": {"gt": 12.0}}, "los > 12.0")
 _one("filter_lt", {"age": {"lt": 5}}, "age < 5")
 _one("filter_gte", {"ctas": {"gte": 4}}, "ctas >= 4")
-_one("filter_lte", {"arrival_date": {"lte": __import__("datetime").date(1995, 6, 30)}},
+_one("filter_lte", {"arrival_date": {"lte": dt.date(1995, 6, 30)}},
      "arrival_date <= DATE '1995-06-30'")
 _one("filter_eq", {"sex": {"eq": "M"}}, "sex = 'M'")
 _one("filter_neq", {"postal_code": {"neq": "K1A 0B1"}}, "postal_code <> 'K1A 0B1'")

@@ -12,6 +12,7 @@ from caseflow.functions import text as tx
 from caseflow.operators import cutoffs as co
 from caseflow.operators import search as se
 from caseflow.plans.notes import full_narratives
+from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER
 from caseflow.sources import tables as tb
 
 POS, NEG = ["thon", "Thor"], ["que"]
@@ -78,7 +79,7 @@ def keyword_notes_level(spark, d):
 SELECT DISTINCT encounter_id FROM (
   SELECT encounter_id, string_agg(note_type || chr(10) || chr(10) || note_text, chr(10) || chr(10)
          ORDER BY rank, line, note_text) AS narrative
-  FROM (SELECT *, list_position({q.sql_str_list(__import__('caseflow.rules.vocab', fromlist=['x']).NARRATIVE_NOTE_ORDER)}, note_type) AS rank
+  FROM (SELECT *, list_position({q.sql_str_list(NARRATIVE_NOTE_ORDER)}, note_type) AS rank
         FROM lines WHERE note_text IS NOT NULL) x
   WHERE rank IS NOT NULL GROUP BY encounter_id)
 WHERE list_has_any({q.terms('narrative')}, ['thon', 'thor'])""", lines=fx.NOTE_LINES_SQL))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseflow import fixtures as fx
 from caseflow.catalog import register
 from caseflow.catalog.coding import PARSED_SQL, REMARKS_SQL, RESPONSES_SQL, responses_src
-from caseflow.catalog.report import REPORT_END, REPORT_START, stored
+from caseflow.catalog.report import REPORT_END, REPORT_START, _report_sql, stored
 from caseflow.operators import cases as cs
 from caseflow.operators import filters as flt
 from caseflow.operators import versions as vs
@@ -278,7 +278,7 @@ def sink_append_children(spark, d):
     return out
 
 
-@register("sink_report_split", __import__("caseflow.catalog.report", fromlist=["x"])._report_sql(
+@register("sink_report_split", _report_sql(
     "SELECT is_case, count(*) AS n_rows FROM report GROUP BY is_case"))
 def sink_report_split(spark, d):
     rep = rp.report_by_date(stored(spark, d), REPORT_START, REPORT_END)

@@ -15,6 +15,7 @@ from caseflow.operators import embed as em
 from caseflow.operators import search as se
 from caseflow.plans import notes as nt
 from caseflow.plans import report as rp
+from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER
 from caseflow.sources import tables as tb
 
 BUCKET_SQL = "CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim}"
@@ -33,9 +34,9 @@ def hash_embed(spark, d):
 
 
 NARR_SQL = f"""SELECT encounter_id, string_agg(note_type || chr(10) || chr(10) || note_text, chr(10) || chr(10)
-  ORDER BY list_position({q.sql_str_list(__import__('caseflow.rules.vocab', fromlist=['x']).NARRATIVE_NOTE_ORDER)}, note_type), line)
+  ORDER BY list_position({q.sql_str_list(NARRATIVE_NOTE_ORDER)}, note_type), line)
   AS narrative FROM lines WHERE note_text IS NOT NULL AND list_position(
-  {q.sql_str_list(__import__('caseflow.rules.vocab', fromlist=['x']).NARRATIVE_NOTE_ORDER)}, note_type) IS NOT NULL
+  {q.sql_str_list(NARRATIVE_NOTE_ORDER)}, note_type) IS NOT NULL
   GROUP BY encounter_id"""
 
 
