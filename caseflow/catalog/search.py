@@ -12,7 +12,7 @@ from caseflow.functions import text as tx
 from caseflow.operators import cutoffs as co
 from caseflow.operators import search as se
 from caseflow.plans.notes import full_narratives
-from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER
+from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER, SEMANTIC_TOP_K
 from caseflow.sources import tables as tb
 
 POS, NEG = ["thon", "Thor"], ["que"]
@@ -97,7 +97,7 @@ def term_document_frequency(spark, d):
 
 # ------------------------------------------------------------------ vectors
 VEC = dict(vectors=fx.VECTORS_SQL, probe=fx.QUERY_VECTOR_SQL)
-TOPK = 100
+TOPK = SEMANTIC_TOP_K  # the default top-k of a vector search
 
 
 def _topk_sql(dist_sql: str, order: str = "ASC") -> str:
