@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from caseflow.llm import sql
+from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
 
 QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op2_radix_dedup": op2_radix_dedup,
 }
 
 ORACLE = {
     "op1_rlz_dedup": sql.OP1,
+    "op2_radix_dedup": sql.OP2,
 }

@@ -22,3 +22,9 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGI
        sha256(coalesce(kept.s, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+OP2 = f"""
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {lower('text')} AS t FROM documents)
+"""
