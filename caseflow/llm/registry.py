@@ -5,10 +5,12 @@ from __future__ import annotations
 from caseflow.llm import sql
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
+from caseflow.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_radix_dedup": op2_radix_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
 }
 
 ORACLE = {
