@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from caseflow.llm import sql
+from caseflow.llm.decontaminate import op6_decontaminate
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
 from caseflow.llm.suffix_dedup import op3_suffix_dedup
@@ -11,9 +12,11 @@ QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_radix_dedup": op2_radix_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_decontaminate": op6_decontaminate,
 }
 
 ORACLE = {
     "op1_rlz_dedup": sql.OP1,
     "op2_radix_dedup": sql.OP2,
+    "op6_decontaminate": sql.OP6,
 }
