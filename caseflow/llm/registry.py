@@ -7,6 +7,7 @@ from caseflow.llm.decontaminate import op6_decontaminate
 from caseflow.llm.language_id import op10_language_id
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
+from caseflow.llm.secret_scan import op5_secret_scan
 from caseflow.llm.suffix_dedup import op3_suffix_dedup
 from caseflow.llm.url_filter import op8_url_filter
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_radix_dedup": op2_radix_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op10_language_id": op10_language_id,
