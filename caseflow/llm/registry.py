@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caseflow.llm import sql
 from caseflow.llm.decontaminate import op6_decontaminate
+from caseflow.llm.katz import op4_katz
 from caseflow.llm.language_id import op10_language_id
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_radix_dedup": op2_radix_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_katz": op4_katz,
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLE = {
     "op1_rlz_dedup": sql.OP1,
     "op2_radix_dedup": sql.OP2,
+    "op4_katz": sql.OP4,
     "op6_decontaminate": sql.OP6,
 }

@@ -49,3 +49,46 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"""
+
+
+def _discount(n: str) -> str:
+    """Good-Turing factors by count from a table (r, n) of counts of counts, r = 1..6."""
+    return f"""
+  (SELECT r, CASE WHEN bool_and(coalesce(d > 0 AND d <= 1, false)) OVER () THEN d ELSE 1 - 0.5 / r END AS d
+   FROM (SELECT a.r, CASE WHEN a.n > 0 AND f.n > 0 AND 6.0 * s.n / f.n <> 1 THEN
+                ((a.r + 1) * b.n / (a.r * a.n::DOUBLE) - 6.0 * s.n / f.n) / (1 - 6.0 * s.n / f.n) END AS d
+         FROM {n} a, {n} b, {n} f, {n} s WHERE a.r <= 5 AND b.r = a.r + 1 AND f.r = 1 AND s.r = 6))"""
+
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {CRC32} % 10 = 0 AS held_out,
+                  list_append(regexp_extract_all({lower('text')}, '{SPACE}'), ' ') AS w FROM documents),
+tok AS (SELECT doc_id, held_out, unnest(w) AS w, unnest(list_prepend(NULL::VARCHAR, w[:len(w) - 1])) AS h FROM d),
+u AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w),
+b AS (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out AND h IS NOT NULL GROUP BY h, w),
+rs AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS r),
+n1 AS (SELECT r, count(u.c) AS n FROM rs LEFT JOIN u ON u.c = r GROUP BY r),
+n2 AS (SELECT r, count(b.c) AS n FROM rs LEFT JOIN b ON b.c = r GROUP BY r),
+d1 AS {_discount('n1')},
+d2 AS {_discount('n2')},
+t AS (SELECT sum(c) AS n, count(*) AS v FROM u),
+free1 AS (SELECT (1 + sum((1 - d) * d1.r * n1.n)) / (max(t.n) + 1) AS p FROM d1 JOIN n1 USING (r), t),
+p1 AS (SELECT w, c, coalesce(d, 1) * c / (t.n + 1) AS p FROM u LEFT JOIN d1 ON r = c, t),
+p2 AS (SELECT h, b.w, b.c, coalesce(d, 1) * b.c / (hc.c + 1) AS p, p1.p AS low,
+              CASE WHEN d IS NULL THEN 0 ELSE (1 - d) * b.c END AS freed
+       FROM b LEFT JOIN d2 ON r = b.c JOIN u hc ON hc.w = h JOIN p1 ON p1.w = b.w),
+a AS (SELECT h, (1 + sum(freed)) / (max(u.c) + 1) / (1 - sum(low)) AS a FROM p2 JOIN u ON u.w = h GROUP BY h),
+s AS (SELECT tok.doc_id, tok.held_out, p1.c AS c, t.n AS n, t.v AS v,
+             CASE WHEN tok.h IS NULL OR (p2.p IS NULL AND a.a IS NULL) THEN coalesce(p1.p, free1.p)
+                  ELSE coalesce(p2.p, a.a * coalesce(p1.p, free1.p)) END AS p
+      FROM tok CROSS JOIN t CROSS JOIN free1 LEFT JOIN p1 ON p1.w = tok.w
+           LEFT JOIN p2 ON p2.h = tok.h AND p2.w = tok.w LEFT JOIN a ON a.h = tok.h)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known,
+       any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score,
+       sum(log10(p)) AS score
+FROM s GROUP BY doc_id
+"""
