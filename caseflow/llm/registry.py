@@ -6,6 +6,7 @@ from caseflow.llm import sql
 from caseflow.llm.decontaminate import op6_decontaminate
 from caseflow.llm.katz import op4_katz
 from caseflow.llm.language_id import op10_language_id
+from caseflow.llm.partenum import op9_partenum
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
 from caseflow.llm.secret_scan import op5_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
+    "op9_partenum": op9_partenum,
     "op10_language_id": op10_language_id,
 }
 
@@ -28,4 +30,5 @@ ORACLE = {
     "op2_radix_dedup": sql.OP2,
     "op4_katz": sql.OP4,
     "op6_decontaminate": sql.OP6,
+    "op9_partenum": sql.OP9,
 }
