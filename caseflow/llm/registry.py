@@ -10,6 +10,7 @@ from caseflow.llm.partenum import op9_partenum
 from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
 from caseflow.llm.secret_scan import op5_secret_scan
+from caseflow.llm.sentencepiece import op7_sentencepiece
 from caseflow.llm.suffix_dedup import op3_suffix_dedup
 from caseflow.llm.url_filter import op8_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_katz": op4_katz,
     "op5_secret_scan": op5_secret_scan,
     "op6_decontaminate": op6_decontaminate,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filter": op8_url_filter,
     "op9_partenum": op9_partenum,
     "op10_language_id": op10_language_id,
