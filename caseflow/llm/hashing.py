@@ -87,8 +87,11 @@ def gram_hash(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Hash of ``h[i:i+n]`` for every i (one per possible start; row borders are the caller's)."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(h) - n + 1)
-    return span_hash(h, at, at + n, seed)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(seed, len(h), False), out=total[1:])
+    total = total[n:] - total[:-n]
+    total *= _powers(seed, len(h) + 1, True)[:len(total)]
+    return mix(total)
 
 
 def sliding_min(h: np.ndarray, n: int) -> np.ndarray:

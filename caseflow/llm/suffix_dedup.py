@@ -33,15 +33,15 @@ from caseflow.llm.blocks import Blocks, answer, numpy_of, pack, release, split_b
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
 SLICE = 1 << 19
-FREQUENT = 2000  # documents from which a seed's windows are dealt one by one
 
 
 # ------------------------------------------------------------------ deep-shallow sorting
-def _char(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight bytes from each position as one big-endian character."""
-    out = np.zeros(len(at), np.uint64)
+def _chars(buf: np.ndarray) -> np.ndarray:
+    """At each position, the eight bytes from there as one big-endian character."""
+    out = np.zeros(len(buf), np.uint64)
     for j in range(8):
-        out = (out << np.uint64(8)) | buf[at + j].astype(np.uint64)
+        out <<= np.uint64(8)
+        out[:len(buf) - j] |= buf[j:]
     return out
 
 
@@ -58,12 +58,12 @@ def deep_shallow(buf: np.ndarray, at: np.ndarray, depth: int, shallow: int = 16)
     Returns (order, class): the sorted order of ``at`` and, per element of ``at``, the number
     of its class of suffixes equal to that depth, rising in sorted order. ``buf`` must
     reach ``depth`` + 8 bytes past every start."""
-    n = len(at)
+    n, chars = len(at), _chars(buf)
     order, group = np.arange(n), np.zeros(n, np.int64)
     live = np.arange(n)  # places in `order` that still share a group
     d = 0
     while d < min(shallow, depth) and len(live):  # multikey quicksort, one character a level
-        key = _char(buf, at[order[live]] + d)
+        key = chars[at[order[live]] + d]
         if depth - d < 8:
             key >>= np.uint64(8 * (8 - (depth - d)))
         by = np.lexsort((key, group[live]))
@@ -77,13 +77,13 @@ def deep_shallow(buf: np.ndarray, at: np.ndarray, depth: int, shallow: int = 16)
         live = live[np.repeat(size > 1, size)]
         d += 8
     if d < depth and len(live):
-        _blind_tries(buf, at, order, group, live, d, depth)
+        _blind_tries(buf, chars, at, order, group, live, d, depth)
     cls = np.empty(n, np.int64)
-    cls[order] = group
-    return order, np.unique(cls, return_inverse=True)[1]
+    cls[order] = _groups(group) if n else group
+    return order, cls
 
 
-def _blind_tries(buf, at, order, group, live, d, depth) -> None:
+def _blind_tries(buf, chars, at, order, group, live, d, depth) -> None:
     """Order the groups at places ``live``, which agree on their first ``d`` bytes.
 
     All groups grow their tries together. In each round the first suffix of every group is
@@ -99,7 +99,7 @@ def _blind_tries(buf, at, order, group, live, d, depth) -> None:
         branch, byte = np.full(len(live), depth), np.zeros(len(live), np.int64)
         open_ = np.arange(len(live))
         for j in range(int(known.min()), depth, 8):  # compare below the representative
-            a, b = _char(buf, mine[open_] + j), _char(buf, reps[open_] + j)
+            a, b = chars[mine[open_] + j], chars[reps[open_] + j]
             off = open_[a != b]
             if len(off):
                 i = np.arange(8)
@@ -125,17 +125,17 @@ def _blind_tries(buf, at, order, group, live, d, depth) -> None:
 
 # ------------------------------------------------------------------ windows and seeds
 def _window_seeds(buf, off, window: int, gram: int):
-    """Slices of the window starts that stay in one row: (starts, their seeds)."""
-    ends = off[1:] - window + 1
+    """Slices of the window starts that stay in one row: (starts, their seeds). Starts in
+    different rows are never neighbours."""
     for a in range(0, len(buf) - window + 1, SLICE):
         b = min(a + SLICE, len(buf) - window + 1)
-        piece = H._table(11)[buf[a:b + window - 1]]
-        grams = H.gram_hash(piece, gram, 11)
+        grams = H.gram_hash(H._table(11)[buf[a:b + window - 1]], gram, 11)
         seed = H.sliding_min(grams, window - gram + 1)
-        at = np.arange(a, b)
-        row = np.searchsorted(off, at, "right") - 1
-        ok = at < ends[row]
-        yield at[ok], seed[ok], row[ok]
+        ok = np.ones(b - a, bool)
+        for z in off[np.searchsorted(off, a, "right"):np.searchsorted(off, b + window)].tolist():
+            ok[max(z - window + 1 - a, 0):max(z - a, 0)] = False
+        at = np.flatnonzero(ok)
+        yield at + a, seed[at]
 
 
 def _padded(buf: np.ndarray, window: int) -> np.ndarray:
@@ -143,33 +143,39 @@ def _padded(buf: np.ndarray, window: int) -> np.ndarray:
 
 
 def _run_matrix(buf, at, size, wide):
-    """Rows of ``wide`` bytes: ``size`` bytes from each start, then zeros; then the size."""
-    grid = buf[np.minimum(at[:, None] + np.arange(wide), len(buf) - 1)]
-    grid[np.arange(wide) >= size[:, None]] = 0
-    return np.ascontiguousarray(np.concatenate([grid, size[:, None].astype("<u4").view(np.uint8).reshape(-1, 4)], 1))
+    """Rows of ``wide`` bytes and filling: ``size`` bytes from each start, zeros, and the size."""
+    grid = np.zeros((len(at), -(-(wide + 4) // 8) * 8), np.uint8)
+    grid[:, :wide] = buf[np.minimum(at[:, None] + np.arange(wide), len(buf) - 1)]
+    grid[:, :wide][np.arange(wide) >= size[:, None]] = 0
+    grid[:, -4:] = size.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return grid
 
 
 def _smallest_equal(matrix: np.ndarray, doc: np.ndarray):
-    """Per row, a row with the same bytes and the smallest doc."""
-    rows = matrix.view(f"V{matrix.shape[1]}").ravel()
-    order = np.lexsort((doc, np.unique(rows, return_inverse=True)[1]))
-    same = rows[order][1:] == rows[order][:-1]
-    lead = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
-    out = np.empty(len(order), np.int64)
-    out[order] = lead
-    return out
-
-
-def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
-    """One row per row of ``docs``: SCHEMA; ``spans`` are the maximal removed byte runs."""
+    """Per row, a row with the same bytes and the smallest doc: rows are put in order of a
+    hash, then compared byte by byte with the first of their hash."""
+    rows = matrix.view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        h = H.mix(h + rows[:, j])
+    order = np.lexsort((doc, h))
+    same = h[order][1:] == h[order][:-1]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
+    return np.where((rows[lead] == rows).all(1), lead, np.arange(len(order)))
+
+
+def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16, frequent: int = 2000) -> DataFrame:
+    """One row per row of ``docs``: SCHEMA; ``spans`` are the maximal removed byte runs. The windows
+    of seeds in more than ``frequent`` documents are dealt one by one."""
     store = Blocks(docs)
     n_parts, most = store.n_parts, 2 * window - gram
 
     def seeds(t, block):
         found = []
-        for _, seed, row in _window_seeds(t.buf, t.off, window, gram):
-            new = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (row[1:] != row[:-1]))) if len(seed) else []
-            found.append((seed[new], t.ids[row[new]]))
+        for at, seed in _window_seeds(t.buf, t.off, window, gram):
+            new = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (np.diff(at) != 1))[:len(at)])
+            found.append((seed[new], t.ids[np.searchsorted(t.off, at[new], "right") - 1]))
         if not found:
             return
         seed, doc = (np.concatenate(x) for x in zip(*found))
@@ -191,7 +197,7 @@ def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
             at += len(t)
             keep = total[here] > 1
             if keep.any():
-                yield block, pack(seed=seed[here][keep], frequent=(total[here] > FREQUENT)[keep])
+                yield block, pack(seed=seed[here][keep], frequent=(total[here] > frequent)[keep])
 
     def runs(t, replies, block):
         if not replies:
@@ -201,18 +207,22 @@ def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
         order = np.argsort(known)
         known, often = known[order], often[order]
         found = []
-        for at, seed, row in _window_seeds(t.buf, t.off, window, gram):
-            hit = H.member(seed, known)
-            at, seed, row = at[hit], seed[hit], row[hit]
+        for at, seed in _window_seeds(t.buf, t.off, window, gram):
+            first = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (np.diff(at) != 1))[:len(at)])
+            size = np.diff(np.append(first, len(at)))
+            hit = H.member(seed[first], known)
+            at, seed, size = at[first[hit]], seed[first[hit]], size[hit]
             if not len(at):
                 continue
+            # runs of frequent seeds are cut to single windows, others to the length of one gram's reach
             single = often[np.searchsorted(known, seed)]
-            new = np.append(True, (seed[1:] != seed[:-1]) | (np.diff(at) != 1) | (row[1:] != row[:-1])) | single
-            # a long run (a repeated byte) is cut, so that every run is short
-            place = np.arange(len(at))
-            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % (most - window + 1) == 0
-            first = np.flatnonzero(new)
-            found.append((at[first], np.diff(np.append(first, len(at))), seed[first], row[first], single[first]))
+            step = np.where(single, 1, most - window + 1)
+            cuts = -(-size // step)
+            of = np.repeat(np.arange(len(at)), cuts)
+            shift = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * step[of]
+            begin = at[of] + shift
+            found.append((begin, np.minimum(step[of], size[of] - shift), seed[of],
+                          np.searchsorted(t.off, begin, "right") - 1, single[of]))
         if not found:
             return
         at, n, seed, row, single = (np.concatenate(x) for x in zip(*found))
@@ -293,9 +303,9 @@ def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFr
             out["spans"].append([{"start": x, "stop": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())])
         return out
 
-    asked = written(store.ask_again(answer(store.ask(seeds), repeated), runs), "suffix-runs")
+    known = written(answer(store.ask(seeds), repeated), "suffix-seeds")
     release(store.spark)
-    out = written(store.settle(answer(asked, sort_runs), cut_spans, SCHEMA), "suffix-spans")
+    out = written(store.settle(answer(store.ask_again(known, runs), sort_runs), cut_spans, SCHEMA), "suffix-spans")
     store.drop()
     return out
 
