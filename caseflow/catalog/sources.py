@@ -68,13 +68,28 @@ def src_typed_lines(spark, d):
     return nd.type_note_lines(raw)
 
 
-@register("src_headered_export", "SELECT CAST(item_id AS VARCHAR) AS item_id, CAST(length(text) AS VARCHAR) AS n_chars FROM benchmark")
-def src_headered_export(spark, d):
-    """An export with a title line above the header, made from ``benchmark``."""
+def _write_export(spark, d) -> str:
+    """An export with a title line above the header, made from ``benchmark``: whole texts as
+    quoted fields, and for every fifth item a row with a surplus field."""
     b = fx.read(spark, d, "benchmark")
     path = scratch_path(spark, "export")
-    spark.createDataFrame([("Weekly export",), ("item_id,n_chars",)], "value string") \
+    spark.createDataFrame([("Weekly export",), ("item_id,text",)], "value string") \
         .coalesce(1).write.mode("overwrite").text(f"{path}/0-header")
-    b.select(F.concat_ws(",", F.col("item_id").cast("string"), F.length("text").cast("string")).alias("value")) \
-        .write.mode("overwrite").text(f"{path}/1-data")
-    return nd.read_headered_export(spark, f"{path}/*", "item_id")
+    key = F.col("item_id").cast("string")
+    text = F.regexp_replace(F.regexp_replace("text", "[\r\n]", " "), '"', '""')
+    quoted = b.select(F.concat(key, F.lit(',"'), text, F.lit('"')).alias("value"))
+    surplus = b.where(F.col("item_id") % 5 == 0).select(F.concat(key, F.lit(",one,two")).alias("value"))
+    quoted.unionByName(surplus).write.mode("overwrite").text(f"{path}/1-data")
+    return f"{path}/*"
+
+
+@register("src_headered_export", r"""SELECT CAST(item_id AS VARCHAR) AS item_id,
+  regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM benchmark""")
+def src_headered_export(spark, d):
+    return nd.read_headered_export(spark, _write_export(spark, d), "item_id")[0]
+
+
+@register("src_headered_export_rejects",
+          "SELECT CAST(item_id AS VARCHAR) || ',one,two' AS line FROM benchmark WHERE item_id % 5 = 0")
+def src_headered_export_rejects(spark, d):
+    return nd.read_headered_export(spark, _write_export(spark, d), "item_id")[1]

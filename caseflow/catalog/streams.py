@@ -14,11 +14,19 @@ from caseflow.streaming import drops as st
 @register("stream_file_drop")
 def stream_file_drop(spark, d):
     drop_dir = write_document_dump(spark, d).rstrip("*").rstrip("/")
-    out = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
+    out, _ = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
     return spark.read.parquet(out)
 
 
+@register("stream_file_drop_rejects")
+def stream_file_drop_rejects(spark, d):
+    drop_dir = write_document_dump(spark, d).rstrip("*").rstrip("/")
+    _, rejects = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
+    return spark.read.parquet(rejects)
+
+
 ORACLE["stream_file_drop"] = ORACLE["src_note_dump"]
+ORACLE["stream_file_drop_rejects"] = ORACLE["src_note_dump_rejects"]
 
 
 def _year_drops(spark, d) -> tuple[str, object]:

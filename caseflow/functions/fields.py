@@ -15,7 +15,7 @@ def scramble_id(c) -> Column:
     s = F.trim(_c(c).cast("string"))
     n = F.length(s)
     last, prev = F.substring(s, -1, 1), F.substring(s, -2, 1)
-    check = ((last.cast("int") + prev.cast("int")) % 10).cast("string")
+    check = ((last.try_cast("int") + prev.try_cast("int")) % 10).cast("string")
     return F.concat(F.substring(s, F.lit(1), n - 2), last, prev, check)
 
 
@@ -39,18 +39,23 @@ def normalise_sex(c) -> Column:
 
 
 def triage_level(c) -> Column:
-    """Blank → null, else the integer level (non-integers become null)."""
+    """Blank → null, else the integer level (anything else becomes null)."""
+    return int_or_null(c)
+
+
+def whole_number(c, to: str) -> Column:
+    """A cell as a whole number: digits, or a decimal with a whole value (``12.0``); words,
+    fractions and numbers beyond the type are null."""
     c = F.trim(_c(c).cast("string"))
-    return F.when(c.rlike("^-?[0-9]+$"), c.cast("int"))
+    return F.when(c.rlike(r"^[-+]?[0-9]+(\.0*)?$"), F.regexp_replace(c, r"\.0*$", "").try_cast(to))
 
 
 def int_or_null(c) -> Column:
-    """Numeric coercion used for every coded column: anything not an integer → null."""
-    c = F.trim(_c(c).cast("string"))
-    return F.when(c.rlike("^-?[0-9]+$"), c.cast("int"))
+    """Numeric coercion used for every coded column: anything not a whole number → null."""
+    return whole_number(c, "int")
 
 
 def ampm_from_hour(c) -> Column:
-    """Hour < 12 → 1, 12..23 → 2, anything else stays as it is."""
-    h = _c(c).cast("int")
+    """Hour < 12 → 1, 12..23 → 2, another number stays as it is, anything else is null."""
+    h = int_or_null(c)
     return F.when((h >= 0) & (h < 12), F.lit(1)).when((h >= 12) & (h < 24), F.lit(2)).otherwise(h)

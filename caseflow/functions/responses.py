@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseflow.functions.fields import int_or_null
+
 FIELDS = ["summary", "substance", "safety", "io", "sports", "time", "date", "ampm", "area", "location"]
 
 
@@ -59,7 +61,7 @@ def parse_time(r: Column) -> tuple[Column, Column]:
 
 def parse_int_field(r: Column, missing: str = "99") -> Column:
     v = after_colon(r)
-    return F.when(v.rlike("^-?[0-9]+$") & (v != missing), v.cast("int"))
+    return F.when(v != missing, int_or_null(v))
 
 
 def parse_zero_null(r: Column) -> Column:
@@ -69,7 +71,7 @@ def parse_zero_null(r: Column) -> Column:
 
 def label_to_code(label: Column, mapping: dict[int, int]) -> Column:
     """``LABEL_n`` → the configured code for class n."""
-    idx = F.regexp_replace(label, "^LABEL_", "").cast("int")
+    idx = F.regexp_replace(label, "^LABEL_", "").try_cast("int")
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     return F.element_at(m, idx)
 

@@ -11,6 +11,8 @@ from functools import partial
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseflow.sources.sinks import roundtrip
+
 
 def _ranked(df: DataFrame, score: str, tie: str) -> tuple[DataFrame, Window]:
     w = Window.orderBy(F.col(score).desc(), F.col(tie).asc())
@@ -74,14 +76,16 @@ def global_rank(df: DataFrame, score: str, tie: str, with_running_sum: bool = Fa
     sum of ``score``, for inputs of any size.
 
     The rows are range-partitioned on the sort key (sampled bounds, so a hot score
-    value or key is split like any other range); each partition's count and sum are
-    aggregated, turned into offsets over the partitions (one row per partition,
-    bounded by the partition count, so it is broadcast), and added to the positions
-    and running sums computed inside each partition.
+    value or key is split like any other range) and written to the shared folder with
+    their partition number: the bounds are sampled once, so offsets and rows agree. Each
+    partition's count and sum are aggregated, turned into offsets over the partitions (one
+    row per partition, bounded by the partition count, so it is broadcast), and added to
+    the positions and running sums computed inside each partition.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(score).desc(), F.col(tie).asc()]
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = roundtrip(df.sparkSession, df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()),
+                       "ranked")
     aggs = [F.count(F.lit(1)).alias("_pc")] + ([F.sum(score).alias("_ps")] if with_running_sum else [])
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = ranged.groupBy("_pid").agg(*aggs).select(

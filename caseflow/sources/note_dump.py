@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.functions import fields as ff
+
 
 def _clean(line):
     """Drop non-ASCII characters, then surrounding whitespace."""
@@ -56,32 +58,52 @@ def read_note_dump(spark: SparkSession, path: str, key_column: str, delim: str =
     return good.select(*cols), rejects
 
 
-def read_headered_export(spark: SparkSession, path: str, key_column: str, delim: str = ",") -> DataFrame:
-    """Export whose header is on the first or the second line (a title line may come
-    first). The header is the line holding the key column; lines with fewer fields
-    than the header (titles) are skipped. Missing key column → error."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"))
-    fields = F.split(F.col("line"), re.escape(delim), -1)
-    head = [ln for ln in _first_lines(spark, path, 2) if key_column in ln.split(delim)]
-    if not head:
+def read_headered_export(spark: SparkSession, path: str, key_column: str,
+                         delim: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of an export whose header is on the first or the second line (a
+    title line may come first). The header is the line holding the key column; a missing
+    key column is an error. Fields may be quoted (``"a, b"``, doubled quotes inside); a row
+    whose field count differs from the header's is a reject, so rows and rejects together
+    are all lines but titles, headers and blank lines."""
+    first = _first_lines(spark, path, 2)
+    at = [i for i, ln in enumerate(first) if key_column in ln.split(delim)]
+    if not at:
         raise ValueError(f"{key_column!r} column not found")
-    header = head[0].split(delim)
-    n = len(header)
-    body = lines.where(~F.array_contains(fields, key_column)).withColumn("_f", fields).where(F.size("_f") == n)
-    return body.select(*[F.get(F.col("_f"), i).alias(header[i]) for i in range(n)])
+    header = first[at[0]].split(delim)
+    titles = first[:at[0]]
+    lines = spark.read.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
+    fields = F.split(F.col("line"), re.escape(delim), -1)
+    lines = lines.where(~F.array_contains(fields, key_column) & ~F.col("line").isin(titles))
+    names = [f"_f{i}" for i in range(len(header))]
+    schema = ", ".join(f"{n} string" for n in names) + ", _bad string"
+    options = {"sep": delim, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = lines.select("line", F.from_csv("line", schema, options).alias("_r"))
+    good = parsed.where("_r._bad IS NULL")
+    return (good.select(*[F.col(f"_r.{n}").alias(h) for n, h in zip(names, header)]),
+            parsed.where("_r._bad IS NOT NULL").select("line"))
+
+
+# Timestamp forms met in exports, tried in this order.
+DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss",
+                "yyyy/MM/dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d-MMM-yyyy HH:mm", "d-MMM-yyyy"]
+
+
+def mixed_timestamp(c: str):
+    """The first of ``DATE_FORMATS`` that reads the cell; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(F.col(c)), F.lit(f)) for f in DATE_FORMATS])
 
 
 def type_note_lines(df: DataFrame) -> DataFrame:
     """Typed columns: LOS hours from arrival/departure, arrival time of day, integer
-    keys, blank triage level → 0."""
-    arr = F.to_timestamp("arrival_datetime")
-    dep = F.to_timestamp("departure_datetime")
+    keys, blank triage level → 0. Dates may come in any of ``DATE_FORMATS``; a cell that
+    cannot be read is null and never ends the job."""
+    arr, dep = mixed_timestamp("arrival_datetime"), mixed_timestamp("departure_datetime")
     ctas = F.trim(F.col("ctas"))
     return df.select(
-        F.col("encounter_id").cast("long").alias("encounter_id"),
-        F.col("subject_id").cast("long").alias("subject_id"),
+        ff.whole_number("encounter_id", "long").alias("encounter_id"),
+        ff.whole_number("subject_id", "long").alias("subject_id"),
         arr.alias("arrival_ts"),
         ((F.unix_timestamp(dep) - F.unix_timestamp(arr)) / 3600.0).alias("los"),
         F.date_format(arr, "HH:mm:ss").alias("arrival_time"),
-        F.when(ctas == "", F.lit(0)).otherwise(ctas.cast("int")).alias("ctas"),
+        F.when(ctas == "", F.lit(0)).otherwise(ff.int_or_null(ctas)).alias("ctas"),
     )

@@ -9,20 +9,33 @@ from caseflow.session import scratch_path
 
 
 def new_keys(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Batch rows whose key is not stored yet (anti join on the key, keys de-duplicated)."""
-    return batch.join(stored.select(key).distinct(), key, "left_anti")
+    """Batch rows whose key is not stored yet, one per key: of several batch rows with one
+    key the smallest stays (an aggregate with map-side combine, so a hot key is no hot task)."""
+    others = [c for c in batch.columns if c != key]
+    fresh = batch.join(stored.select(key).distinct(), key, "left_anti")
+    if not others:
+        return fresh.distinct()
+    return (fresh.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*")
+            .select(*batch.columns))
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored at ``path`` (a look at the file system, not a read)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Append to a parquet table; empty inputs write nothing (no empty files)."""
-    if df.isEmpty():
-        return
+    """Append to a parquet table; an empty input leaves a table with no rows and the schema."""
     df.write.mode("append").parquet(path)
 
 
-def write_report_split(report: DataFrame, path: str) -> None:
-    """The two report parts as one table partitioned by the case flag."""
-    report.write.mode("overwrite").partitionBy("is_case").parquet(path)
+def append_new(spark: SparkSession, batch: DataFrame, path: str, key: str) -> DataFrame:
+    """Append the batch rows whose key the table at ``path`` does not hold; the stored table as it is then."""
+    fresh = new_keys(batch, spark.read.schema(batch.schema).parquet(path), key) if table_exists(spark, path) else \
+        new_keys(batch, batch.limit(0), key)
+    append(fresh, path)
+    return spark.read.schema(batch.schema).parquet(path)
 
 
 def roundtrip(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -12,44 +12,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from caseflow.session import scratch_path
+from caseflow.sources.sinks import table_exists
 
 
-def parse_dump_stream(lines: DataFrame, header: list[str], key_column: str, delim: str = "|") -> DataFrame:
-    """Streaming form of the dump parse: the header is given (a stream cannot look
-    ahead), header lines inside the files are dropped, short rows are dropped,
-    surplus fields go to the last column."""
+def parse_dump_stream(lines: DataFrame, header: list[str], key_column: str,
+                      delim: str = "|") -> tuple[DataFrame, DataFrame]:
+    """Streaming form of the dump parse, (rows, rejects): the header is given (a stream
+    cannot look ahead), header and blank lines inside the files are dropped, rows with too
+    few fields are rejects, surplus fields go to the last column."""
     clean = F.regexp_replace(F.regexp_replace(F.col("value"), r"[^\x00-\x7F]", ""), r"^\s+|\s+$", "")
-    f = F.split(clean, re.escape(delim), -1)
     n = len(header)
-    body = lines.select(f.alias("_f")).where((F.get("_f", 0) != key_column) & (F.size("_f") >= n))
+    body = lines.select(clean.alias("line")).withColumn("_f", F.split("line", re.escape(delim), -1))
+    body = body.where((F.get("_f", 0) != key_column) & (F.length("line") > 0))
+    good = body.where(F.size("_f") >= n)
     last = F.array_join(F.slice(F.col("_f"), n, F.greatest(F.size("_f") - n + 1, F.lit(1))), " ")
-    return body.select(*[F.get(F.col("_f"), i).alias(header[i]) for i in range(n - 1)], last.alias(header[-1]))
+    return (good.select(*[F.get(F.col("_f"), i).alias(header[i]) for i in range(n - 1)], last.alias(header[-1])),
+            body.where(F.size("_f") < n).select("line"))
 
 
 def run_file_drop(spark: SparkSession, drop_dir: str, header: list[str], key_column: str,
-                  out_path: str | None = None, files_per_batch: int = 64) -> str:
-    """Process every dump file in ``drop_dir`` into a parquet table; returns its path.
-    ``files_per_batch`` bounds one micro-batch (a backlog of daily drops is taken in
-    several batches, each a normal parallel job)."""
+                  out_path: str | None = None, files_per_batch: int = 64) -> tuple[str, str]:
+    """Process every dump file in ``drop_dir`` into two parquet tables, rows and rejects;
+    returns their paths. ``files_per_batch`` bounds one micro-batch (a backlog of daily drops
+    is taken in several batches, each a normal parallel job)."""
     out_path = out_path or scratch_path(spark, "drop_table")
-    ckpt = out_path + "_checkpoint"
+    paths = (out_path, out_path + "_rejects")
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").load(drop_dir))
-    q = (parse_dump_stream(lines, header, key_column).writeStream.format("parquet")
-         .option("checkpointLocation", ckpt).option("path", out_path)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out_path
+    for part, path in zip(parse_dump_stream(lines, header, key_column), paths):
+        q = (part.writeStream.format("parquet").option("checkpointLocation", path + "_checkpoint")
+             .option("path", path).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return paths
 
 
 KEY_BUCKET_WIDTH = 1_000_000
 
 
 def run_new_keys(spark: SparkSession, drop_dir: str, schema: StructType, key: str, table_path: str,
-                 bucket_width: int = KEY_BUCKET_WIDTH, checkpoint: str | None = None) -> str:
-    """Append only keys not yet stored. Each micro-batch is de-duplicated, checked
-    against the stored table as it stands (exact: no watermark, no state to expire),
-    and appended. A replayed batch finds its keys stored and appends nothing.
+                 bucket_width: int = KEY_BUCKET_WIDTH, checkpoint: str | None = None, files_per_batch: int = 64) -> str:
+    """Append only keys not yet stored. Each micro-batch is reduced to one row per key (the
+    smallest), checked against the stored table as it stands (exact: no watermark, no
+    state to expire), and appended. A replayed batch finds its keys stored and appends nothing.
 
     The stored table is partitioned by key range (``_kb``); the lookup is a semi join
     of the stored table with the batch keys on (``_kb``, key), so dynamic partition
@@ -57,16 +61,14 @@ def run_new_keys(spark: SparkSession, drop_dir: str, schema: StructType, key: st
     is against that small matched set.
     """
     ckpt = checkpoint or table_path + "_checkpoint"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(drop_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(drop_dir)
     kb = F.floor(F.col(key) / bucket_width).cast("long")
 
     def upsert(batch: DataFrame, epoch_id: int) -> None:
-        fresh = batch.dropDuplicates([key]).withColumn("_kb", kb)
-        try:
+        others = [c for c in batch.columns if c != key]
+        fresh = batch.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(key, "_row.*").withColumn("_kb", kb)
+        if table_exists(spark, table_path):
             stored = spark.read.parquet(table_path).select("_kb", key)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            stored = None
-        if stored is not None:
             seen = stored.join(fresh.select("_kb", key), ["_kb", key], "left_semi")
             fresh = fresh.join(seen, ["_kb", key], "left_anti")
         fresh.write.mode("append").partitionBy("_kb").parquet(table_path)

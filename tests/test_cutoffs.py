@@ -66,3 +66,16 @@ def test_global_rank_positions(spark):
     got = {r["k"]: r["_pos"] for r in co.global_rank(df, "s", "k", partitions=7).collect()}
     want = {k: p for p, (k, _) in enumerate(sorted(vals, key=lambda t: (-t[1], t[0])))}
     assert got == want
+
+
+def test_global_rank_is_a_permutation_beyond_the_sample_size(spark):
+    from pyspark.sql import functions as F
+    n = 2_000_000
+    df = spark.range(n).select(F.col("id").alias("k"), (F.xxhash64("id") % 1000).cast("double").alias("s"),
+                               F.col("id").cast("string").alias("extra"))
+    r = co.global_rank(df, "s", "k", partitions=8)
+    got = r.agg(F.count_distinct("_pos").alias("d"), F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).first()
+    assert (got["d"], got["lo"], got["hi"]) == (n, 0, n - 1)
+    # ordered by score, then key
+    w = r.select("_pos", "s", "k").where("_pos < 5000").orderBy("_pos").collect()
+    assert [(x["s"], x["k"]) for x in w] == sorted(((x["s"], x["k"]) for x in w), key=lambda t: (-t[0], t[1]))

@@ -31,7 +31,33 @@ def test_dump_without_header_is_an_error(spark):
 
 def test_headered_export_title_line(spark):
     d = _write(["Weekly export", "MRN,CSN", "10,1", "20,2"])
-    got = sorted(tuple(r) for r in nd.read_headered_export(spark, d, "MRN").collect())
-    assert got == [("10", "1"), ("20", "2")]
+    rows, rejects = nd.read_headered_export(spark, d, "MRN")
+    assert sorted(tuple(r) for r in rows.collect()) == [("10", "1"), ("20", "2")] and rejects.count() == 0
     with pytest.raises(ValueError):
         nd.read_headered_export(spark, d, "NOPE")
+
+
+def test_headered_export_keeps_every_line(spark):
+    d = _write(["id,text", '1,plain', '2,"a, b"', "3,x,y", "4", '5,"say ""hi"""', "6,"])
+    rows, rejects = nd.read_headered_export(spark, d, "id")
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "plain"), ("2", "a, b"), ("5", 'say "hi"'), ("6", None)]
+    assert sorted(r["line"] for r in rejects.collect()) == ["3,x,y", "4"]
+
+
+def test_typed_lines_never_fail(spark):
+    cols = ["encounter_id", "subject_id", "arrival_datetime", "departure_datetime", "ctas"]
+    rows = [("1", "2.0", "2024-03-05 10:00:00", "2024-03-05 12:30:00", "3"),
+            ("x", "99999999999999999999", "3/5/2024 9:15", "5-Mar-2024 10:15", "three"), ("3", "", "soon", None, " ")]
+    out = nd.type_note_lines(spark.createDataFrame(rows, cols)).collect()
+    assert [(r["encounter_id"], r["subject_id"], r["los"], r["arrival_time"], r["ctas"]) for r in out] == [
+        (1, 2, 2.5, "10:00:00", 3), (None, None, 1.0, "09:15:00", None), (3, None, None, None, 0)]
+
+
+def test_coded_fields_never_fail(spark):
+    from pyspark.sql import functions as F
+    from caseflow.functions import fields as ff
+    vals = ["12", "12.0", "-3.", "twelve", "12.5", "12345678901", "", None, " 7 "]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    assert [r[0] for r in df.select(ff.int_or_null("v")).collect()] == [12, 12, -3, None, None, None, None, None, 7]
+    hours = spark.createDataFrame([(v,) for v in ["ten", "0", "15.0", "99", None]], "v string")
+    assert [r[0] for r in hours.select(ff.ampm_from_hour(F.col("v"))).collect()] == [None, 1, 2, 99, None]
