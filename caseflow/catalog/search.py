@@ -12,7 +12,7 @@ from caseflow.functions import text as tx
 from caseflow.operators import cutoffs as co
 from caseflow.operators import search as se
 from caseflow.plans.notes import full_narratives
-from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER, SEMANTIC_TOP_K
+from caseflow.rules.vocab import CUTOFF_BYPASS_ROWS, NARRATIVE_NOTE_ORDER, SEMANTIC_TOP_K
 from caseflow.sources import tables as tb
 
 POS, NEG = ["thon", "Thor"], ["que"]
@@ -52,11 +52,6 @@ def keyword_negative_only(spark, d):
     return se.keyword_keys(_summaries(spark, d), "summary_text", None, ["que", "des"])
 
 
-@register("keyword_no_terms", "SELECT CAST(NULL AS BIGINT) AS encounter_id WHERE false")
-def keyword_no_terms(spark, d):
-    return se.keyword_keys(_summaries(spark, d), "summary_text", [], [])
-
-
 @register("keyword_rank", fx.with_views(f"""
 SELECT encounter_id, round(r / (r + 1), 6) AS rank FROM (
   SELECT encounter_id, CAST(len(list_filter({q.tokens('summary_text')}, lambda t: t IN ('thon', 'thor'))) AS DOUBLE) AS r
@@ -97,7 +92,7 @@ def term_document_frequency(spark, d):
 
 # ------------------------------------------------------------------ vectors
 VEC = dict(vectors=fx.VECTORS_SQL, probe=fx.QUERY_VECTOR_SQL)
-TOPK = SEMANTIC_TOP_K  # the default top-k of a vector search
+TOPK = 100  # below the size of ``embeddings`` at every scale, so that the cut is tested
 
 
 def _topk_sql(dist_sql: str, order: str = "ASC") -> str:
@@ -109,7 +104,7 @@ ORDER BY distance {order}, encounter_id LIMIT {TOPK}""", **VEC)
 
 def _topk(metric):
     def run(spark, d):
-        r = se.nearest(fx.vectors_src(spark, d), _qvec(spark, d), metric, TOPK)
+        r = se.nearest(fx.vectors_src(spark, d), _qvec(spark, d), metric, limit=TOPK)
         return r.select("encounter_id", F.round("distance", 6).alias("distance"))
     return run
 
@@ -123,6 +118,30 @@ SELECT encounter_id, round(-ip, 6) AS distance FROM (
 ORDER BY ip DESC, encounter_id LIMIT {TOPK}""", **VEC))(_topk("max_inner_product"))
 
 
+@register("topk_ties", f"""
+SELECT vec_id AS encounter_id, CAST(abs(label - 3) AS DOUBLE) AS distance FROM embeddings
+ORDER BY abs(label - 3), vec_id LIMIT {TOPK}""")
+def topk_ties(spark, d):
+    """Many rows at the same distance on both sides of the cut: the smaller keys stay."""
+    e = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("encounter_id"),
+                                               F.array(F.col("label").cast("float")).alias("vec"))
+    return se.nearest(e, [3.0], "L1", limit=TOPK).select("encounter_id", "distance")
+
+
+@register("semantic_unbounded", fx.with_views("SELECT 1", **VEC)[:-len("SELECT 1")].rstrip() + f"""
+, ranked AS (SELECT encounter_id, similarity,
+    sum(similarity) OVER (ORDER BY similarity DESC, encounter_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+    sum(similarity) OVER () AS tot, row_number() OVER (ORDER BY similarity DESC, encounter_id) AS rn
+  FROM (SELECT v.encounter_id, greatest(0.0, 1.0 - {q.cosine_distance('v.vec', 'p.qvec')}) AS similarity
+        FROM vectors v, probe p))
+SELECT encounter_id, round(similarity, 6) AS similarity FROM ranked WHERE tot = 0 OR rn = 1 OR cum / tot <= 0.8""")
+def semantic_unbounded(spark, d):
+    """No top-k and no bypass: every row is ranked and the cutoff acts."""
+    r = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine",
+                           cutoff=co.choose("cum_mass", mass=0.8))
+    return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _cum_mass_sql(scored: str, mass: float = 0.95) -> str:
     """Oracle for cumulative-mass cut over a scored relation (encounter_id, similarity)."""
     return f"""
@@ -159,13 +178,15 @@ def _sem_scored_sql() -> str:
 
 @register("semantic_cosine", _sem_scored_sql() + _cum_mass_sql("scored"))
 def semantic_cosine(spark, d):
-    r = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000, co.choose("cum_mass"))
+    r = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", SEMANTIC_TOP_K, co.choose("cum_mass"),
+                           CUTOFF_BYPASS_ROWS)
     return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 
 @register("semantic_knee", _sem_scored_sql() + _knee_sql("scored"))
 def semantic_knee(spark, d):
-    r = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000, co.choose("elbow"))
+    r = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", SEMANTIC_TOP_K, co.choose("elbow"),
+                           CUTOFF_BYPASS_ROWS)
     return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -209,5 +230,6 @@ SELECT encounter_id FROM kw INTERSECT SELECT encounter_id FROM sem INTERSECT SEL
 def combined_search(spark, d):
     t = stored(spark, d)
     kw = se.keyword_keys(t["summaries"], "summary_text", POS, NEG)
-    sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000)
+    sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", SEMANTIC_TOP_K,
+                             bypass_below=CUTOFF_BYPASS_ROWS)
     return se.combined_search(kw, sem, t, FILTERS)

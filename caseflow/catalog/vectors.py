@@ -117,7 +117,7 @@ def _chunks(spark, d):
              GROUP BY encounter_id ORDER BY distance, encounter_id LIMIT 5000)""" + _cum_mass_sql("scored"))
 def semantic_chunks(spark, d):
     chunks, notes = _chunks(spark, d)
-    r = se.chunk_semantic_search(chunks, notes, _qvec(spark, d), "cosine", 5000)
+    r = se.chunk_semantic_search(chunks, notes, _qvec(spark, d), "cosine", 5000, bypass_below=300)
     return r.select("encounter_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -181,6 +181,6 @@ def _report_by_query_sql() -> str:
 def report_by_query(spark, d):
     t = stored(spark, d)
     kw = se.keyword_keys(t["summaries"], "summary_text", POS, NEG)
-    sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000)
+    sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000, bypass_below=300)
     keys = se.combined_search(kw, sem, t, FILTERS)
     return rp.report_by_keys(t, keys)

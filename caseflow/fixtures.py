@@ -217,7 +217,7 @@ REFERRALS_SQL = """SELECT l_orderkey AS encounter_id, s_name AS referral
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"""
 
 
-# ---------------------------------------------------------------- case report versions (lineitem, flag R)
+# ---------------------------------------------------------------- case report versions (lineitem)
 INTENT_CODES = [10, 11, 12, 13, 15, 16, 19]
 NATURE_CODES = [10, 11, 12, 13, 14, 27, 41, 42, 50, 71]
 BODY_CODES = [110, 120, 310, 410, 440, 450, 460, 530, 550, 900]
@@ -225,13 +225,16 @@ SD_CODES = [-1, 0, 2, 3, 6, 9]
 
 
 def case_versions_src(spark, d) -> DataFrame:
-    from pyspark.sql.window import Window
-    li = read(spark, d, "lineitem").where(F.col("l_returnflag") == "R")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    """Stored versions: one per (order, line number); of several lines with one number, the
+    smallest by part and supplier (an aggregate with map-side combine, no sort per order)."""
+    li = read(spark, d, "lineitem")
+    row = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_tax")
+    li = (li.groupBy("l_orderkey", "l_linenumber").agg(F.min(row).alias("_r"))
+          .select("l_orderkey", "l_linenumber", "_r.*"))
     q = F.col("l_quantity").cast("long")
     return li.select(
         F.col("l_orderkey").alias("encounter_id"),
-        F.row_number().over(w).alias("version"),
+        F.col("l_linenumber").cast("int").alias("version"),
         _pick(INTENT_CODES, F.col("l_linenumber") % len(INTENT_CODES)).cast("int").alias("intent"),
         _pick(NATURE_CODES, q % len(NATURE_CODES)).cast("int").alias("no1"),
         _pick(BODY_CODES, F.col("l_partkey") % len(BODY_CODES)).cast("int").alias("bp1"),
@@ -244,7 +247,7 @@ def case_versions_src(spark, d) -> DataFrame:
 
 
 CASE_VERSIONS_SQL = f"""SELECT l_orderkey AS encounter_id,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS version,
+  CAST(l_linenumber AS INTEGER) AS version,
   CAST(({INTENT_CODES})[CAST(l_linenumber % {len(INTENT_CODES)} AS INTEGER) + 1] AS INTEGER) AS intent,
   CAST(({NATURE_CODES})[CAST(CAST(l_quantity AS BIGINT) % {len(NATURE_CODES)} AS INTEGER) + 1] AS INTEGER) AS no1,
   CAST(({BODY_CODES})[CAST(l_partkey % {len(BODY_CODES)} AS INTEGER) + 1] AS INTEGER) AS bp1,
@@ -253,7 +256,8 @@ CASE_VERSIONS_SQL = f"""SELECT l_orderkey AS encounter_id,
   CASE WHEN l_linestatus = 'O' THEN 'I' ELSE 'O' END AS i_o,
   CAST(l_suppkey % 9 + 1 AS INTEGER) AS disp,
   l_tax AS score
-FROM lineitem WHERE l_returnflag = 'R'"""
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+             ORDER BY l_partkey, l_suppkey, l_quantity, l_linestatus, l_tax) AS rn FROM lineitem) WHERE rn = 1"""
 
 
 # ---------------------------------------------------------------- vectors (embeddings)

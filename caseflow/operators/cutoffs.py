@@ -69,6 +69,13 @@ def choose(method: str = "cum_mass", **kwargs):
     raise ValueError(f"unknown cutoff method {method!r}")
 
 
+def unbounded(cutoff):
+    """The form of a cutoff for inputs of any size, with the same bound arguments."""
+    fn, kw = (cutoff.func, cutoff.keywords) if isinstance(cutoff, partial) else (cutoff, {})
+    forms = {cumulative_mass: cumulative_mass_global, knee: knee_global}
+    return partial(forms[fn], **{k: v for k, v in kw.items() if k != "bypass_below"})
+
+
 # ---------------------------------------------------------------- unbounded inputs
 def global_rank(df: DataFrame, score: str, tie: str, with_running_sum: bool = False,
                 partitions: int | None = None) -> DataFrame:

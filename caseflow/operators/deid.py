@@ -14,16 +14,30 @@ KEY = "encounter_id"
 def name_words(names: DataFrame, name_col: str = "subject_name") -> DataFrame:
     """(key, name_word, tolerance): lower-cased name split on blanks and commas; the edit
     tolerance grows with word length (<4 → 0, <6 → 1, else 2)."""
-    w = F.explode(F.split(F.regexp_replace(F.lower(F.col(name_col)), ",", " "), " ")).alias("name_word")
+    w = F.explode(F.split(F.lower(F.col(name_col)), "[\\s,.;]+")).alias("name_word")
     out = names.select(KEY, w).where(F.length("name_word") > 0).distinct()
     return out.withColumn("tolerance", F.when(F.length("name_word") < 4, 0)
                           .when(F.length("name_word") < 6, 1).otherwise(2))
 
 
+def _normal(text_col: str):
+    """Lower-cased text with runs of blanks collapsed."""
+    return F.regexp_replace(F.lower(F.col(text_col)), " +", " ")
+
+
+def _word_runs(text):
+    """Runs of letters, digits and inner marks (``o'neil`` stays whole but for a possessive
+    ``'s``), and the runs between them: joined, they are the text again."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+(?:['’-](?!s\b)[\p{L}\p{M}\p{N}]+)*|[^\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
+_IS_WORD = r"^[\p{L}\p{M}\p{N}]"
+
+
 def note_words(notes: DataFrame, text_col: str = "note_text") -> DataFrame:
-    """Lower-cased text with runs of blanks collapsed, exploded to (key, pos, word)."""
-    norm = F.regexp_replace(F.lower(F.col(text_col)), " +", " ")
-    return notes.select(KEY, F.posexplode(F.split(norm, " ")).alias("pos", "word"))
+    """The words of the normalised text, exploded to (key, pos, word); ``pos`` counts words."""
+    words = F.filter(_word_runs(_normal(text_col)), lambda w: w.rlike(_IS_WORD))
+    return notes.select(KEY, F.posexplode(words).alias("pos", "word"))
 
 
 def fuzzy_name_matches(notes: DataFrame, names: DataFrame, text_col: str = "note_text",
@@ -40,14 +54,18 @@ def fuzzy_name_matches(notes: DataFrame, names: DataFrame, text_col: str = "note
 def deidentify(notes: DataFrame, names: DataFrame, text_col: str = "note_text",
                name_col: str = "subject_name", replace_with: str = "pt") -> DataFrame:
     """Lower-case, collapse blanks, replace every word matching a name word by
-    ``replace_with``, then redact record numbers and birth dates."""
-    hits = (fuzzy_name_matches(notes, names, text_col, name_col)
-            .groupBy(KEY).agg(F.collect_set("pos").alias("_hits")))
-    norm = F.regexp_replace(F.lower(F.col(text_col)), " +", " ")
-    words = F.split(norm, " ")
-    replaced = F.array_join(F.transform(words, lambda w, i: F.when(
-        F.coalesce(F.array_contains(F.col("_hits"), i), F.lit(False)), F.lit(replace_with)).otherwise(w)), " ")
-    return (notes.join(hits, KEY, "left")
+    ``replace_with``, then redact record numbers and birth dates.
+
+    Words are runs of letters and digits, so a name next to a comma, a full stop, a line
+    break or a possessive is found and what stands around it stays. The names of an encounter
+    are one short array, joined once to the note; the words are compared in place."""
+    name = F.struct(F.col("name_word").alias("w"), F.col("tolerance").alias("t"))
+    per = name_words(names, name_col).groupBy(KEY).agg(F.collect_set(name).alias("_names"))
+    runs = _word_runs(_normal(text_col))
+    hit = lambda w: F.coalesce(w.rlike(_IS_WORD) & F.exists(
+        "_names", lambda n: F.levenshtein(n["w"], w, 2).between(0, n["t"])), F.lit(False))
+    replaced = F.array_join(F.transform(runs, lambda w: F.when(hit(w), F.lit(replace_with)).otherwise(w)), "")
+    return (notes.join(per, KEY, "left")
             .select(KEY, tx.redact_identifiers(replaced, replace_with).alias("note_text")))
 
 

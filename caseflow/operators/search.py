@@ -12,7 +12,6 @@ from caseflow.functions import text as tx
 from caseflow.functions import vectors as vx
 from caseflow.operators import cutoffs as co
 from caseflow.operators import filters as flt
-from caseflow.rules.vocab import CUTOFF_BYPASS_ROWS, SEMANTIC_TOP_K
 
 KEY = "encounter_id"
 
@@ -76,7 +75,7 @@ def term_document_frequency(df: DataFrame, text_col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ vectors
-def nearest(vectors: DataFrame, qvec: list[float], metric: str = "cosine", limit: int = SEMANTIC_TOP_K,
+def nearest(vectors: DataFrame, qvec: list[float], metric: str = "cosine", *, limit: int,
             vec_col: str = "vec", key: str = KEY) -> DataFrame:
     """Exact top-k by distance (nearest first), ties by key: a TakeOrderedAndProject,
     i.e. a per-partition top-k followed by one bounded merge."""
@@ -87,11 +86,11 @@ def nearest(vectors: DataFrame, qvec: list[float], metric: str = "cosine", limit
 
 
 def semantic_search(vectors: DataFrame, qvec: list[float], metric: str = "cosine",
-                    limit: int = SEMANTIC_TOP_K, cutoff: Callable | None = None,
-                    bypass_below: int = CUTOFF_BYPASS_ROWS, key: str = KEY,
-                    vec_col: str = "vec") -> DataFrame:
-    """Top-k neighbours, then the automatic cutoff on descending similarity unless the
-    hit list is shorter than ``bypass_below``. Works on at most ``limit`` rows after the scan."""
+                    limit: int | None = None, cutoff: Callable | None = None,
+                    bypass_below: int = 0, key: str = KEY, vec_col: str = "vec") -> DataFrame:
+    """Neighbours, then the automatic cutoff on descending similarity. ``limit`` keeps the
+    nearest k first, ``bypass_below`` keeps a shorter hit list whole; unset, every row is
+    ranked and the cutoff always acts."""
     q = F.array(*[F.lit(float(x)) for x in qvec])
     dist, sim = vx.metric_columns(metric, F.col(vec_col), q)
     scored = vectors.select(key, dist.alias("distance"), sim.alias("similarity"))
@@ -99,24 +98,30 @@ def semantic_search(vectors: DataFrame, qvec: list[float], metric: str = "cosine
 
 
 def chunk_semantic_search(chunks: DataFrame, notes: DataFrame, qvec: list[float], metric: str = "cosine",
-                          limit: int = SEMANTIC_TOP_K, cutoff: Callable | None = None) -> DataFrame:
-    """Chunk-level search: nearest chunks joined to their note's encounter, best
-    (smallest) distance per encounter, then the same cut as ``semantic_search``."""
+                          limit: int | None = None, cutoff: Callable | None = None,
+                          bypass_below: int = 0) -> DataFrame:
+    """Chunk-level search: chunks joined to their note's encounter, best (smallest)
+    distance per encounter, then the same cut as ``semantic_search``."""
     q = F.array(*[F.lit(float(x)) for x in qvec])
     dist, sim = vx.metric_columns(metric, F.col("vec"), q)
     per_chunk = chunks.select("note_id", dist.alias("distance"), sim.alias("similarity"))
     per_enc = (per_chunk.join(notes.select("note_id", KEY), "note_id", "inner")
                .groupBy(KEY).agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity")))
-    return _cut_scored(per_enc, limit, cutoff)
+    return _cut_scored(per_enc, limit, cutoff, bypass_below)
 
 
-def _cut_scored(scored: DataFrame, limit: int, cutoff: Callable | None,
-                bypass_below: int = CUTOFF_BYPASS_ROWS, key: str = KEY) -> DataFrame:
+def _cut_scored(scored: DataFrame, limit: int | None, cutoff: Callable | None,
+                bypass_below: int = 0, key: str = KEY) -> DataFrame:
     """Top-k of a scored key set, then the cutoff unless fewer than ``bypass_below`` hits.
 
-    The top-k runs once (a per-partition top-k and one bounded merge); the bypass test
-    is a count over the same window pass as the cutoff, so the scan is not repeated."""
+    With a limit, the top-k runs once (a per-partition top-k and one bounded merge), and
+    the bypass test is a count over the same window pass as the cutoff, so the scan is not
+    repeated. Without one the ranking has no bound and the cutoff's distributed form is used."""
     cutoff = cutoff or co.choose("cum_mass")
+    if limit is None:
+        cut = co.unbounded(cutoff)(scored, score="similarity", tie=key).select(key, "distance", "similarity")
+        return cut if not bypass_below else scored.where(scored.agg(F.count(F.lit(1))).scalar() < bypass_below).select(
+            key, "distance", "similarity").unionByName(cut).distinct()
     top = scored.orderBy(F.col("distance").asc(), F.col(key).asc()).limit(limit)
     return cutoff(top, score="similarity", tie=key, bypass_below=bypass_below).select(key, "distance", "similarity")
 

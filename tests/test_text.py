@@ -49,8 +49,18 @@ def test_deidentify_tolerance(spark):
     names = spark.createDataFrame([(1, "Al, Jonathan")], "encounter_id long, subject_name string")
     out = dd.deidentify(notes, names).first()["note_text"]
     # "al" (2 letters) must match exactly; "jonathn" is within 2 edits of "jonathan"
-    # whole blank-separated words are replaced, so the comma goes with "jonathn,"
-    assert out == "seen with pt and pt pt saidpt [redacted]"
+    assert out == "seen with pt and pt, pt saidpt [redacted]"
+
+
+def test_deidentify_names_next_to_other_characters(spark):
+    notes = spark.createDataFrame([(1, "seen with Lee, lee\nand LEE. lee ok. smith's smith (Smit) lees O'Neil-Smith fleece"),
+                                   (2, "Lee is no name here"), (3, None), (4, "")],
+                                  "encounter_id long, note_text string")
+    names = spark.createDataFrame([(1, "Lee, Smith"), (1, "Lee, Smith"), (4, "Lee")],
+                                  "encounter_id long, subject_name string")
+    out = {r["encounter_id"]: r["note_text"] for r in dd.deidentify(notes, names).collect()}
+    assert out == {1: "seen with pt, pt\nand pt. pt ok. pt's pt (pt) lees o'neil-smith fleece",
+                   2: "lee is no name here", 3: None, 4: ""}
 
 
 def test_word_windows(spark):
@@ -59,3 +69,10 @@ def test_word_windows(spark):
     rows = sorted(dd.word_windows(df).collect(), key=lambda r: r["window_no"])
     # 1030 words, max 512 → 3 windows of ceil(1030/3) = 344 words (last shorter)
     assert [len(r["window_text"].split(" ")) for r in rows] == [344, 344, 342]
+
+
+def test_keyword_search_without_terms_is_empty(spark):
+    from caseflow.operators import search as se
+    df = spark.createDataFrame([(1, "fell on ice")], "encounter_id long, summary_text string")
+    assert se.keyword_keys(df, "summary_text", [], []).count() == 0
+    assert se.keyword_keys(df, "summary_text", ["the"], None).count() == 0
