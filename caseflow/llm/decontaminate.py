@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.text import fresh
+
 KEY, MARK = "doc_id", "_text_mark"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -86,28 +88,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes:
 
 
 def _marked(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    f = found.withColumnRenamed(KEY, "_found_id").withColumnRenamed(MARK, "_found_mark")
-    same = docs[KEY].eqNullSafe(f["_found_id"]) & (docs[MARK] == f["_found_mark"])
-    return docs.join(f, same, how)
+    """``docs`` joined to the results ``found`` (doc_id, mark, ...) of their texts."""
+    mark, key = fresh(docs, MARK), fresh(docs, "_found_id")
+    f = found.withColumnRenamed(KEY, key).withColumnRenamed(MARK, key + "_mark")
+    d = docs.withColumn(mark, F.xxhash64("text"))
+    return d.join(f, F.col(KEY).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(key + "_mark")), how)
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, columns unchanged."""
-    marked = docs.withColumn(MARK, F.xxhash64("text"))
     hit = scan(docs, benchmark, size).where(F.size("covered") > 0).select(KEY, MARK)
-    return _marked(marked, hit, "left_anti").select(*docs.columns)
+    return _marked(docs, hit, "left_anti").select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``docs`` with the hit words, and the separators before them, cut from the text."""
-    found = scan(docs, benchmark, size).where(F.size("covered") > 0).select(KEY, MARK, "covered")
-    marked = _marked(docs.withColumn(MARK, F.xxhash64("text")), found, "left")
+    covered = fresh(docs, "_covered")
+    found = scan(docs, benchmark, size).where(F.size("covered") > 0).select(KEY, MARK, F.col("covered").alias(covered))
+    marked = _marked(docs, found, "left")
     sep = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all("text", F.lit(f"{sep}*{word}+"), F.lit(0))
     tail = F.regexp_extract("text", f"{sep}*$", 0)
-    kept = F.filter(pieces, lambda p, i: ~F.array_contains("covered", i))
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
+    kept = F.filter(pieces, lambda p, i: ~F.array_contains(covered, i))
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
     return marked.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -12,3 +12,11 @@ def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is. A text of single-byte characters
     only takes the whole-string path; the result is the same."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``docs`` has such a column already (names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
