@@ -32,7 +32,7 @@ from caseflow.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
 IPC = pa.ipc.IpcWriteOptions(compression="zstd")
-NULL_KEY = -(1 << 63)  # a missing document key sorts before every other
+NULL_KEY = 1 - (1 << 63)  # a missing document key sorts before every other; it can be negated
 
 
 def pack(**columns) -> bytes:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from caseflow.llm.text import fresh
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -180,6 +182,13 @@ def _stacked(texts, limit: int = 4096):
         yield np.concatenate(rows), np.concatenate(owner)
 
 
+def keep_recognised(docs: DataFrame, net: ByteNet | None, least_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` with a language other than ``und`` at ``least_score`` or more, columns unchanged."""
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_lang_score")
+    judged = predict(docs, net, lang, score)
+    return judged.where((F.col(lang) != UND) & (F.col(score) >= least_score)).select(*docs.columns)
+
+
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

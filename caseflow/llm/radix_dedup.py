@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.blocks import NULL_KEY, release
-from caseflow.llm.text import lower_ascii
+from caseflow.llm.text import fresh, lower_ascii
 from caseflow.session import scratch_path
 
 OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -62,6 +62,18 @@ def radix_groups(docs: DataFrame, first_digit: int = 16, widen: int = 8) -> Data
                         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_largest(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, columns unchanged: of equal texts, the largest doc_id."""
+    gone = fresh(docs, "_gone")
+    drop = radix_groups(docs).where("NOT kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(gone + "_sha"))
+    mark = fresh(docs, "_sha")
+    text = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    d = docs.withColumn(mark, text)
+    # the digest only tells rows that repeat a doc_id apart
+    return d.join(drop.distinct(), F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(mark) == F.col(gone + "_sha")),
+                  "left_anti").select(*docs.columns)
+
+
 def op2_radix_dedup(spark, sf_dir: str) -> DataFrame:
     """Groups of documents equal after lower-casing A-Z; the largest doc_id of each stays."""
     return radix_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from caseflow.llm import sql
 from caseflow.llm.decontaminate import op6_decontaminate
 from caseflow.llm.katz import op4_katz
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_partenum": op9_partenum,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
@@ -34,3 +36,5 @@ ORACLE = {
     "op6_decontaminate": sql.OP6,
     "op9_partenum": sql.OP9,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

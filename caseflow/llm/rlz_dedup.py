@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import Blocks, answer, numpy_of, pack, release, split_by_part, written
+from caseflow.llm.blocks import NULL_KEY, Blocks, answer, numpy_of, pack, release, split_by_part, written
 
 SCHEMA = ("doc_id long, n_words long, n_removed long, kept_sha256 string, "
           "factors array<struct<start: long, length: long, ref_doc: long, ref_start: long>>")
@@ -171,7 +171,7 @@ def parse(docs: DataFrame, window: int = 20, seed_words: int = 8) -> DataFrame:
             n_words.append(b - a)
             n_removed.append(b - a - len(kept))
             sha.append(hashlib.sha256(join_words(t.buf, start, end, kept)).hexdigest())
-            factors.append([{"start": w, "length": x, "ref_doc": None if y == -(1 << 63) else y, "ref_start": z}
+            factors.append([{"start": w, "length": x, "ref_doc": None if y == NULL_KEY else y, "ref_start": z}
                             for w, x, y, z in zip(*(v.tolist() for v in f))])
         return {"doc_id": t.keys, "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "factors": factors}
 
