@@ -109,3 +109,21 @@ def test_empty_tables(empty_frame):
     assert radix_dedup.keep_largest(empty_frame).count() == 0
     assert suffix_dedup.duplicate_bytes(empty_frame).count() == 0
     assert partenum.keep_one(empty_frame).count() == 0
+
+
+def test_partenum_family_of_uneven_copies(spark):
+    # copies with 1 to 4 edits of one text, and of a second text some edits away from the first
+    import random
+    r = random.Random(9)
+    first = [f"w{i}" for i in range(110)]
+    second = [f"v{w}" if i % 23 == 0 else w for i, w in enumerate(first)]
+    docs = []
+    for i in range(160):
+        w = list(first if i % 3 else second)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(110)] = f"x{r.randrange(400)}"
+        docs.append((i, " ".join(w[:r.randint(104, 110)])))
+    for k, num in ((3, 90), (5, 80)):
+        want = brute.jaccard(docs, k, num)
+        assert 50 < len({c for *_, c in want}) < 150
+        same(partenum.link(spark.createDataFrame(docs, "doc_id long, text string"), k, num), want)
