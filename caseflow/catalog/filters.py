@@ -11,7 +11,7 @@ from caseflow.catalog import register
 from caseflow.catalog.report import stored
 from caseflow.operators import filters as flt
 from caseflow.operators.versions import latest_version
-from caseflow.rules.codes import code_rows
+from caseflow.rules.codes import GROUP_OF, code_rows
 from caseflow.rules.vocab import MERGE_NOTE_TYPES
 from caseflow.sources import tables as tb
 
@@ -100,18 +100,23 @@ def filter_cases_only(spark, d):
     return flt.filter_key_sets(t, {"encounters": MULTI["encounters"]}, restrict_to=t["case_report"])
 
 
-@register("filter_virtual_group", fx.with_views("""
-SELECT encounter_id, sd1, sd2, no1 FROM (
+def _any_sql(columns: list[str], codes: str) -> str:
+    return "(" + " OR ".join(f"coalesce({c} IN ({codes}), false)" for c in columns) + ")"
+
+
+@register("filter_virtual_group", fx.with_views(f"""
+SELECT encounter_id, sd1, sd5, no1, no3, bp1, bp2 FROM (
   SELECT * FROM cases c WHERE version = (SELECT max(version) FROM cases c2 WHERE c2.encounter_id = c.encounter_id)) cur
-WHERE coalesce(sd1 IN (2, 6) OR sd2 IN (2, 6), false) AND NOT coalesce(no1 IN (12, 13), false)""",
-    cases=fx.CASE_VERSIONS_SQL))
+WHERE {_any_sql(['sd1', 'sd2', 'sd3', 'sd4', 'sd5'], '2, 6')} AND NOT {_any_sql(['no1', 'no2', 'no3'], '12, 13')}
+  AND {_any_sql(['bp1', 'bp2', 'bp3'], '110, 120, 530')}""", cases=fx.CASE_VERSIONS_SQL))
 def filter_virtual_group(spark, d):
     cur = latest_version(tb.stored_cases(spark, d))
-    spec = {"sd_all": {"in": [2, 6]}, "no_all": {"not_in": [12, 13]}}
-    return flt.apply_table_filter(cur, spec).select("encounter_id", "sd1", "sd2", "no1")
+    spec = {"sd_all": {"in": [2, 6]}, "no_all": {"not_in": [12, 13]}, "bp_all": {"in": [110, 120, 530]}}
+    return flt.apply_table_filter(cur, spec).select("encounter_id", "sd1", "sd5", "no1", "no3", "bp1", "bp2")
 
 
-DECODE_COLS = ["intent", "sd1", "disp", "i_o"]
+DECODE_COLS = ["intent", "am_pm", "i_o", "location", "area", "no1", "bp1", "no2", "bp2", "no3", "bp3", "sd1", "sd2", "sd3", "sd4",
+               "sd5", "sports_code", "sub", "disp"]
 
 
 def _code_dim_sql() -> str:
@@ -119,18 +124,14 @@ def _code_dim_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) t(code_column, code, label)"
 
 
-@register("decode_labels", fx.with_views("""
+@register("decode_labels", fx.with_views(f"""
 SELECT u.encounter_id, u.code_column, u.code, d.label FROM (
-  SELECT encounter_id, 'intent' AS code_column, CAST(intent AS VARCHAR) AS code FROM cur
-  UNION ALL SELECT encounter_id, 'sd1', CAST(sd1 AS VARCHAR) FROM cur
-  UNION ALL SELECT encounter_id, 'disp', CAST(disp AS VARCHAR) FROM cur
-  UNION ALL SELECT encounter_id, 'i_o', i_o FROM cur) u
-LEFT JOIN dim d ON d.code_column = (CASE WHEN u.code_column = 'sd1' THEN 'sd' ELSE u.code_column END)
-               AND d.code = u.code""",
+  {' UNION ALL '.join(f"SELECT encounter_id, '{c}' AS code_column, '{GROUP_OF.get(c, c)}' AS grp, CAST({c} AS VARCHAR) AS code FROM cur" for c in DECODE_COLS)}) u
+LEFT JOIN dim d ON d.code_column = u.grp AND d.code = u.code""",
     cases=fx.CASE_VERSIONS_SQL,
     cur="SELECT * FROM cases c WHERE version = (SELECT max(version) FROM cases c2 WHERE c2.encounter_id = c.encounter_id)",
     dim=_code_dim_sql()))
 def decode_labels(spark, d):
     from caseflow.operators.decode import decode_codes
     cur = latest_version(tb.stored_cases(spark, d))
-    return decode_codes(spark, cur, DECODE_COLS, group_of={"sd1": "sd"})
+    return decode_codes(spark, cur, DECODE_COLS, group_of=GROUP_OF)

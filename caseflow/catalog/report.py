@@ -30,12 +30,15 @@ REPORT_SQL_BODY = """
 , cur_sum AS (SELECT s.encounter_id, s.summary_text FROM summaries s
               WHERE version = (SELECT max(version) FROM summaries s2 WHERE s2.encounter_id = s.encounter_id))
 , report AS (
-SELECT e.encounter_id, e.subject_id, j.scrambled_id, j.dob, e.sex,
+SELECT e.encounter_id, e.subject_id, j.scrambled_id, j.dob, e.sex, e.age,
   CASE WHEN length(e.postal_code) = 7 AND substr(e.postal_code, 4, 1) = ' ' THEN substr(e.postal_code, 1, 3)
        ELSE e.postal_code END AS postal,
-  e.arrival_date AS er_date, e.arrival_time AS er_time, e.ctas, e.chief_complaint, e.diagnosis, e.disposition,
-  e.los, e.score, p.problem_list, m.summary_text, c.intent, c.no1, c.bp1, c.sd1, c.sd2, c.i_o, c.disp,
-  c.version AS case_version, c.encounter_id IS NOT NULL AS is_case
+  e.arrival_time AS er_time, e.arrival_date AS er_date, e.day_of_week AS er_day, c.injury_date, c.injury_hour,
+  c.injury_min, c.am_pm, c.i_o, c.location, c.area, c.place, e.diagnosis, e.full_narrative, m.summary_text, c.w4p,
+  c.no1, c.bp1, c.no2, c.bp2, c.no3, c.bp3, c.veh, c.veh_p, e.notes, e.los, c.disp, c.intent, c.sub, c.sub_id,
+  c.sd1, c.sd2, c.sd3, c.sd4, c.sd5, c.sports_code, CAST(NULL AS VARCHAR) AS e1, CAST(NULL AS VARCHAR) AS e2,
+  CAST(NULL AS VARCHAR) AS e3, CAST(NULL AS VARCHAR) AS e4, e.ctas, e.chief_complaint, p.problem_list,
+  e.disposition, e.score, c.version AS case_version, c.encounter_id IS NOT NULL AS is_case
 FROM sel e JOIN subjects j ON e.subject_id = j.subject_id
 LEFT JOIN cur_case c ON c.encounter_id = e.encounter_id
 LEFT JOIN plist p ON p.encounter_id = e.encounter_id

@@ -122,7 +122,9 @@ def prune_orphans(spark, d):
 
 
 # ---------------------------------------------------------------- versions and review
-COMPARE = ["intent", "no1", "bp1", "sd1", "sd2", "i_o", "disp"]
+COMPARE = ["injury_date", "injury_hour", "injury_min", "am_pm", "i_o", "location", "area", "place", "w4p", "no1", "bp1",
+           "no2", "bp2", "no3", "bp3", "disp", "intent", "veh", "veh_p", "sub", "sub_id", "sd1", "sd2", "sd3", "sd4", "sd5",
+           "sports_code"]
 
 
 @register("latest_case_version", fx.with_views(LATEST_CASES_SQL, **CASES))
@@ -136,33 +138,43 @@ def max_version(spark, d):
     return vs.max_version(tb.stored_cases(spark, d))
 
 
+FRESH = {"intent": 10, "no1": 27, "bp1": 120, "i_o": "I", "disp": 3, "am_pm": "p", "sports_code": 2}
+
+
 def upload_src(spark, d):
-    """Reviewed report: current versions with edits on rows whose disposition code is 3,
+    """Reviewed report: current versions with edits on rows whose disposition code is 3 or 4,
     plus reports for visits that have no stored case yet (triage level 1)."""
     cur = vs.latest_version(tb.stored_cases(spark, d))
     edited = cur.withColumn("intent", F.when(F.col("disp") == 3, F.lit(19)).otherwise(F.col("intent"))) \
-        .withColumn("bp1", F.when(F.col("disp") == 3, F.lit(999)).otherwise(F.col("bp1")))
+        .withColumn("bp1", F.when(F.col("disp") == 3, F.lit(999)).otherwise(F.col("bp1"))) \
+        .withColumn("veh_p", F.when(F.col("disp") != 4, F.col("veh_p")))
     enc = tb.stored_encounters(spark, d).where(F.col("ctas") == 1)
     fresh = (enc.join(tb.stored_cases(spark, d).select("encounter_id"), "encounter_id", "left_anti")
-             .select("encounter_id", F.lit(10).alias("intent"), F.lit(27).alias("no1"), F.lit(120).alias("bp1"),
-                     F.lit(None).cast("int").alias("sd1"), F.lit(None).cast("int").alias("sd2"),
-                     F.lit("I").alias("i_o"), F.lit(3).alias("disp")))
+             .select("encounter_id", *[F.lit(FRESH.get(c)).cast(edited.schema[c].dataType).alias(c) for c in COMPARE]))
     return edited.select("encounter_id", *COMPARE).unionByName(fresh)
 
 
-UPLOAD_SQL = f"""SELECT encounter_id, CASE WHEN disp = 3 THEN 19 ELSE intent END AS intent, no1,
-  CASE WHEN disp = 3 THEN 999 ELSE bp1 END AS bp1, sd1, sd2, i_o, disp FROM latest
+def _edited_sql(c: str) -> str:
+    return {"intent": "CASE WHEN disp = 3 THEN 19 ELSE intent END AS intent", "bp1": "CASE WHEN disp = 3 THEN 999 ELSE bp1 END AS bp1",
+            "veh_p": "CASE WHEN disp = 4 THEN NULL ELSE veh_p END AS veh_p"}.get(c, c)
+
+
+def _fresh_sql(c: str) -> str:
+    v = FRESH.get(c)
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+UPLOAD_SQL = f"""SELECT encounter_id, {', '.join(map(_edited_sql, COMPARE))} FROM latest
 UNION ALL
-SELECT encounter_id, 10, 27, 120, NULL, NULL, 'I', 3 FROM encounters
+SELECT encounter_id, {', '.join(map(_fresh_sql, COMPARE))} FROM encounters
 WHERE ctas = 1 AND encounter_id NOT IN (SELECT encounter_id FROM cases)"""
+DIFFERS = " OR ".join(f"u.{c} IS DISTINCT FROM l.{c}" for c in COMPARE)
 REVIEW_VIEWS = dict(**ENC, **CASES, latest=LATEST_CASES_SQL, upload=UPLOAD_SQL)
 
 
 @register("diff_case_versions", fx.with_views("""
 SELECT u.* FROM upload u JOIN latest l ON l.encounter_id = u.encounter_id
-WHERE u.intent IS DISTINCT FROM l.intent OR u.no1 IS DISTINCT FROM l.no1 OR u.bp1 IS DISTINCT FROM l.bp1
-   OR u.sd1 IS DISTINCT FROM l.sd1 OR u.sd2 IS DISTINCT FROM l.sd2 OR u.i_o IS DISTINCT FROM l.i_o
-   OR u.disp IS DISTINCT FROM l.disp""", **REVIEW_VIEWS))
+WHERE """ + DIFFERS, **REVIEW_VIEWS))
 def diff_case_versions(spark, d):
     cur = vs.latest_version(tb.stored_cases(spark, d))
     return vs.changed_rows(cur, upload_src(spark, d), COMPARE)
@@ -174,19 +186,36 @@ def new_case_keys(spark, d):
     return vs.new_rows(tb.stored_cases(spark, d), upload_src(spark, d)).select("encounter_id").distinct()
 
 
-@register("apply_case_updates", fx.with_views("""
-SELECT u.encounter_id, u.intent, u.no1, u.bp1, u.sd1, u.sd2, u.i_o, u.disp, l.version + 1 AS version
-FROM upload u JOIN latest l ON l.encounter_id = u.encounter_id
-WHERE u.intent IS DISTINCT FROM l.intent OR u.no1 IS DISTINCT FROM l.no1 OR u.bp1 IS DISTINCT FROM l.bp1
-   OR u.sd1 IS DISTINCT FROM l.sd1 OR u.sd2 IS DISTINCT FROM l.sd2 OR u.i_o IS DISTINCT FROM l.i_o
-   OR u.disp IS DISTINCT FROM l.disp
+UPDATES_SQL = f"""
+SELECT u.encounter_id, {', '.join('u.' + c for c in COMPARE)}, l.version + 1 AS version
+FROM upload u JOIN latest l ON l.encounter_id = u.encounter_id WHERE {DIFFERS}
 UNION ALL
-SELECT encounter_id, intent, no1, bp1, sd1, sd2, i_o, disp, 1 FROM upload
-WHERE encounter_id NOT IN (SELECT encounter_id FROM cases)""", **REVIEW_VIEWS))
+SELECT encounter_id, {', '.join(COMPARE)}, 1 FROM upload WHERE encounter_id NOT IN (SELECT encounter_id FROM cases)"""
+
+
+@register("apply_case_updates", fx.with_views(UPDATES_SQL, **REVIEW_VIEWS))
 def apply_case_updates(spark, d):
     return vs.apply_updates(tb.stored_cases(spark, d), upload_src(spark, d), COMPARE)
 
 
+@register("review_round_trip", fx.with_views(f"""
+SELECT encounter_id, {', '.join(COMPARE)}, version FROM updates
+UNION ALL
+SELECT encounter_id, {', '.join(COMPARE)}, version FROM latest
+WHERE encounter_id NOT IN (SELECT encounter_id FROM updates)""", **REVIEW_VIEWS, updates=UPDATES_SQL))
+def review_round_trip(spark, d):
+    """The stored table after a review: versions appended, read back, latest per visit."""
+    from caseflow.session import scratch_path
+    cols = ["encounter_id", *COMPARE, "version"]
+    path = scratch_path(spark, "case_report")
+    before = tb.stored_cases(spark, d).select(*cols)
+    sk.append(before, path)
+    stored_cases = spark.read.schema(before.schema).parquet(path)
+    updates = vs.apply_updates(stored_cases, upload_src(spark, d), COMPARE)
+    sk.append(updates.select(*[F.col(f.name).cast(f.dataType) for f in before.schema]), path)
+    return vs.latest_version(spark.read.schema(before.schema).parquet(path))
+
+
 def summary_upload(spark, d):
     doc = fx.read(spark, d, "documents")
     return doc.select(F.col("doc_id").alias("encounter_id"),
@@ -223,7 +252,7 @@ def apply_summary_updates(spark, d):
 @register("validate_report_upload", fx.with_views("SELECT *, 2 AS n_missing FROM upload WHERE encounter_id IS NOT NULL",
                                                   **REVIEW_VIEWS))
 def validate_report_upload(spark, d):
-    rows, missing = sk.validate_upload(upload_src(spark, d), ["encounter_id", *COMPARE, "sd3", "place"])
+    rows, missing = sk.validate_upload(upload_src(spark, d), ["encounter_id", *COMPARE, "e1", "chief_complaint"])
     return rows.withColumn("n_missing", F.lit(len(missing)))
 
 
@@ -288,8 +317,9 @@ def sink_report_split(spark, d):
 
 # ---------------------------------------------------------------- raw export
 @register("raw_export", fx.with_views("""
-SELECT e.encounter_id, e.subject_id, s.dob, e.arrival_date, e.chief_complaint, e.diagnosis, e.disposition,
-       r.referral, n.note_type, n.note_text, p.problem_list, 1 AS line, CAST(NULL AS VARCHAR) AS icon,
+SELECT e.encounter_id, e.subject_id, e.sex, s.dob, e.age, e.postal_code, e.arrival_date, e.arrival_time, e.los,
+       e.chief_complaint, p.problem_list, e.diagnosis, e.ctas, r.referral, n.note_type, n.author_type, n.author_service,
+       n.note_text, e.address, e.city, e.province, e.disposition, 1 AS line, CAST(NULL AS VARCHAR) AS icon,
        CAST(NULL AS VARCHAR) AS subject_name
 FROM encounters e
 LEFT JOIN subj s ON s.subject_id = e.subject_id

@@ -66,6 +66,7 @@ FIXTURE_DIAGNOSES = [
     None,                                     # null diagnosis
 ]
 
+FIXTURE_CITIES = ["Ottawa", "Kingston", "Toronto"]
 FIXTURE_DISPOSITIONS = {"F": "Admit", "O": "Discharge", "P": "LWBS"}
 
 
@@ -119,6 +120,9 @@ def visits_src(spark, d) -> DataFrame:
         (((k * 31) % 240) / 10.0).alias("los"),
         F.when(F.col("o_custkey") % 4 == 0, "K1A 0B1").when(F.col("o_custkey") % 4 == 1, "M5V2T6")
          .when(F.col("o_custkey") % 4 == 2, "H2X 1Y4").alias("postal_code"),
+        F.concat((F.col("o_custkey") % 900 + 1).cast("string"), F.lit(" Main Street")).alias("address"),
+        _pick(FIXTURE_CITIES, F.col("o_custkey") % len(FIXTURE_CITIES)).alias("city"),
+        F.lit("ON").alias("province"),
     )
 
 
@@ -132,7 +136,9 @@ VISITS_SQL = f"""SELECT o_orderkey AS encounter_id, o_custkey + 100000 AS subjec
   CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0 AS score,
   CAST((o_orderkey * 31) % 240 AS DOUBLE) / 10.0 AS los,
   CASE WHEN o_custkey % 4 = 0 THEN 'K1A 0B1' WHEN o_custkey % 4 = 1 THEN 'M5V2T6'
-       WHEN o_custkey % 4 = 2 THEN 'H2X 1Y4' END AS postal_code
+       WHEN o_custkey % 4 = 2 THEN 'H2X 1Y4' END AS postal_code,
+  CAST(o_custkey % 900 + 1 AS VARCHAR) || ' Main Street' AS address,
+  ({_sql_list(FIXTURE_CITIES)})[CAST(o_custkey % {len(FIXTURE_CITIES)} AS INTEGER) + 1] AS city, 'ON' AS province
 FROM orders"""
 
 
@@ -222,6 +228,8 @@ INTENT_CODES = [10, 11, 12, 13, 15, 16, 19]
 NATURE_CODES = [10, 11, 12, 13, 14, 27, 41, 42, 50, 71]
 BODY_CODES = [110, 120, 310, 410, 440, 450, 460, 530, 550, 900]
 SD_CODES = [-1, 0, 2, 3, 6, 9]
+LOCATION_CODES = [11, 12, 42, 62, 64, 82, 131, 7777]  # the last has no label
+AREA_CODES = [11, 16, 42, 59, 72, 84, 92]
 
 
 def case_versions_src(spark, d) -> DataFrame:
@@ -242,6 +250,24 @@ def case_versions_src(spark, d) -> DataFrame:
         _pick(SD_CODES, (F.col("l_suppkey") + q) % len(SD_CODES)).cast("int").alias("sd2"),
         F.when(F.col("l_linestatus") == "O", "I").otherwise("O").alias("i_o"),
         (F.col("l_suppkey") % 9 + 1).cast("int").alias("disp"),
+        (19980000 + (F.col("l_partkey") % 12 + 1) * 100 + F.col("l_suppkey") % 28 + 1).cast("int").alias("injury_date"),
+        (q % 24).cast("int").alias("injury_hour"),
+        (F.col("l_partkey") % 60).cast("int").alias("injury_min"),
+        F.when(q % 24 < 12, "a").otherwise("p").alias("am_pm"),
+        _pick(LOCATION_CODES, F.col("l_partkey") % len(LOCATION_CODES)).cast("int").alias("location"),
+        _pick(AREA_CODES, F.col("l_suppkey") % len(AREA_CODES)).cast("int").alias("area"),
+        F.concat(F.lit("place "), (F.col("l_suppkey") % 7).cast("string")).alias("place"),
+        (F.col("l_linenumber") % 2).cast("int").alias("w4p"),
+        _pick(NATURE_CODES, F.col("l_partkey") % len(NATURE_CODES)).cast("int").alias("no2"),
+        _pick(BODY_CODES, F.col("l_suppkey") % len(BODY_CODES)).cast("int").alias("bp2"),
+        F.when(q % 2 == 0, _pick(NATURE_CODES, F.col("l_suppkey") % len(NATURE_CODES))).cast("int").alias("no3"),
+        F.when(q % 2 == 0, _pick(BODY_CODES, q % len(BODY_CODES))).cast("int").alias("bp3"),
+        (F.col("l_suppkey") % 3).cast("int").alias("veh"),
+        F.when(F.col("l_suppkey") % 3 == 0, "driver").when(F.col("l_suppkey") % 3 == 1, "passenger").alias("veh_p"),
+        (F.col("l_partkey") % 2 + 1).cast("int").alias("sub"),
+        F.concat(F.lit("S"), (F.col("l_partkey") % 11).cast("string")).alias("sub_id"),
+        *[_pick(SD_CODES, (F.col("l_partkey") + k) % len(SD_CODES)).cast("int").alias(f"sd{k}") for k in (3, 4, 5)],
+        (q % 4 + 1).cast("int").alias("sports_code"),
         F.col("l_tax").alias("score"),
     )
 
@@ -255,6 +281,23 @@ CASE_VERSIONS_SQL = f"""SELECT l_orderkey AS encounter_id,
   CAST(({SD_CODES})[CAST((l_suppkey + CAST(l_quantity AS BIGINT)) % {len(SD_CODES)} AS INTEGER) + 1] AS INTEGER) AS sd2,
   CASE WHEN l_linestatus = 'O' THEN 'I' ELSE 'O' END AS i_o,
   CAST(l_suppkey % 9 + 1 AS INTEGER) AS disp,
+  CAST(19980000 + (l_partkey % 12 + 1) * 100 + l_suppkey % 28 + 1 AS INTEGER) AS injury_date,
+  CAST(CAST(l_quantity AS BIGINT) % 24 AS INTEGER) AS injury_hour, CAST(l_partkey % 60 AS INTEGER) AS injury_min,
+  CASE WHEN CAST(l_quantity AS BIGINT) % 24 < 12 THEN 'a' ELSE 'p' END AS am_pm,
+  CAST(({LOCATION_CODES})[CAST(l_partkey % {len(LOCATION_CODES)} AS INTEGER) + 1] AS INTEGER) AS location,
+  CAST(({AREA_CODES})[CAST(l_suppkey % {len(AREA_CODES)} AS INTEGER) + 1] AS INTEGER) AS area,
+  'place ' || CAST(l_suppkey % 7 AS VARCHAR) AS place, CAST(l_linenumber % 2 AS INTEGER) AS w4p,
+  CAST(({NATURE_CODES})[CAST(l_partkey % {len(NATURE_CODES)} AS INTEGER) + 1] AS INTEGER) AS no2,
+  CAST(({BODY_CODES})[CAST(l_suppkey % {len(BODY_CODES)} AS INTEGER) + 1] AS INTEGER) AS bp2,
+  CASE WHEN CAST(l_quantity AS BIGINT) % 2 = 0
+       THEN CAST(({NATURE_CODES})[CAST(l_suppkey % {len(NATURE_CODES)} AS INTEGER) + 1] AS INTEGER) END AS no3,
+  CASE WHEN CAST(l_quantity AS BIGINT) % 2 = 0
+       THEN CAST(({BODY_CODES})[CAST(CAST(l_quantity AS BIGINT) % {len(BODY_CODES)} AS INTEGER) + 1] AS INTEGER) END AS bp3,
+  CAST(l_suppkey % 3 AS INTEGER) AS veh,
+  CASE l_suppkey % 3 WHEN 0 THEN 'driver' WHEN 1 THEN 'passenger' END AS veh_p,
+  CAST(l_partkey % 2 + 1 AS INTEGER) AS sub, 'S' || CAST(l_partkey % 11 AS VARCHAR) AS sub_id,
+  {', '.join(f"CAST(({SD_CODES})[CAST((l_partkey + {k}) % {len(SD_CODES)} AS INTEGER) + 1] AS INTEGER) AS sd{k}" for k in (3, 4, 5))},
+  CAST(CAST(l_quantity AS BIGINT) % 4 + 1 AS INTEGER) AS sports_code,
   l_tax AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
              ORDER BY l_partkey, l_suppkey, l_quantity, l_linestatus, l_tax) AS rn FROM lineitem) WHERE rn = 1"""

@@ -13,13 +13,20 @@ from caseflow.operators.versions import latest_version
 # Report layout: (source column, report column), in report order.
 REPORT_COLUMNS = [
     ("encounter_id", "encounter_id"), ("subject_id", "subject_id"), ("scrambled_id", "scrambled_id"),
-    ("dob", "dob"), ("sex", "sex"), ("postal", "postal"), ("arrival_date", "er_date"),
-    ("arrival_time", "er_time"), ("ctas", "ctas"), ("chief_complaint", "chief_complaint"),
-    ("diagnosis", "diagnosis"), ("disposition", "disposition"), ("los", "los"), ("score", "score"),
-    ("problem_list", "problem_list"), ("summary_text", "summary_text"), ("intent", "intent"),
-    ("no1", "no1"), ("bp1", "bp1"), ("sd1", "sd1"), ("sd2", "sd2"), ("i_o", "i_o"), ("disp", "disp"),
-    ("case_version", "case_version"), ("is_case", "is_case"),
+    ("dob", "dob"), ("sex", "sex"), ("age", "age"), ("postal", "postal"), ("arrival_time", "er_time"),
+    ("arrival_date", "er_date"), ("day_of_week", "er_day"), ("injury_date", "injury_date"),
+    ("injury_hour", "injury_hour"), ("injury_min", "injury_min"), ("am_pm", "am_pm"), ("i_o", "i_o"),
+    ("location", "location"), ("area", "area"), ("place", "place"), ("diagnosis", "diagnosis"),
+    ("full_narrative", "full_narrative"), ("summary_text", "summary_text"), ("w4p", "w4p"), ("no1", "no1"),
+    ("bp1", "bp1"), ("no2", "no2"), ("bp2", "bp2"), ("no3", "no3"), ("bp3", "bp3"), ("veh", "veh"),
+    ("veh_p", "veh_p"), ("notes", "notes"), ("los", "los"), ("disp", "disp"), ("intent", "intent"), ("sub", "sub"),
+    ("sub_id", "sub_id"), ("sd1", "sd1"), ("sd2", "sd2"), ("sd3", "sd3"), ("sd4", "sd4"), ("sd5", "sd5"),
+    ("sports_code", "sports_code"), ("e1", "e1"), ("e2", "e2"), ("e3", "e3"), ("e4", "e4"), ("ctas", "ctas"),
+    ("chief_complaint", "chief_complaint"), ("problem_list", "problem_list"),
+    # beyond the report's own layout
+    ("disposition", "disposition"), ("score", "score"), ("case_version", "case_version"), ("is_case", "is_case"),
 ]
+BLANK_COLUMNS = ["e1", "e2", "e3", "e4"]  # filled in by the reviewers' own systems
 
 
 def assemble_report(enc: DataFrame, subjects: DataFrame, cases: DataFrame, problems: DataFrame,
@@ -41,7 +48,8 @@ def assemble_report(enc: DataFrame, subjects: DataFrame, cases: DataFrame, probl
            .join(plist, "encounter_id", "left")
            .join(cur_sum, "encounter_id", "left")
            .withColumn("is_case", F.coalesce("is_case", F.lit(False)))
-           .withColumn("postal", ff.truncate_postal("postal_code")))
+           .withColumn("postal", ff.truncate_postal("postal_code"))
+           .withColumns({c: F.lit(None).cast("string") for c in BLANK_COLUMNS}))
     cols = [F.col(src).alias(dst) for src, dst in REPORT_COLUMNS]
     if history is not None:
         out = out.join(history, "subject_id", "left")

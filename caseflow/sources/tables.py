@@ -45,7 +45,10 @@ def stored_encounters(spark, d) -> DataFrame:
         ff.weekday_name("arrival_date").alias("day_of_week"),
         F.date_format("arrival_ts", "HH:mm:ss").alias("arrival_time"),
         ff.triage_level("ctas_raw").alias("ctas"),
-        "chief_complaint", "diagnosis", "disposition", "los", "score", "postal_code"))
+        "chief_complaint", "diagnosis", "disposition", "los", "score", "postal_code", "address", "city", "province",
+        # stand-ins for the narrative and the remark that the encounter build writes
+        F.concat_ws(": ", "chief_complaint", "diagnosis").alias("full_narrative"),
+        F.lower("disposition").alias("notes")))
 
 
 def stored_cases(spark, d) -> DataFrame:
@@ -71,7 +74,8 @@ ENCOUNTERS_SQL = f"""SELECT v.encounter_id, v.subject_id, v.arrival_ts, v.arriva
   dayname(v.arrival_date) AS day_of_week,
   strftime(v.arrival_ts, '%H:%M:%S') AS arrival_time,
   CASE WHEN regexp_matches(trim(v.ctas_raw), '^-?[0-9]+$') THEN CAST(trim(v.ctas_raw) AS INTEGER) END AS ctas,
-  v.chief_complaint, v.diagnosis, v.disposition, v.los, v.score, v.postal_code
+  v.chief_complaint, v.diagnosis, v.disposition, v.los, v.score, v.postal_code, v.address, v.city, v.province,
+  concat_ws(': ', v.chief_complaint, v.diagnosis) AS full_narrative, lower(v.disposition) AS notes
 FROM ({fx.VISITS_SQL}) v LEFT JOIN ({fx.SUBJECTS_SQL}) s ON v.subject_id = s.subject_id"""
 
 SUBJECTS_STORED_SQL = f"""SELECT subject_id,
