@@ -88,6 +88,6 @@ SELECT e.subject_id, string_agg(CAST(e.subject_id AS VARCHAR) || ':' || CAST(e.e
         || chr(10) || s.summary_text, chr(10) ORDER BY e.arrival_ts, e.encounter_id) AS previous_visits
 FROM encounters e JOIN summaries s ON s.encounter_id = e.encounter_id
 WHERE e.arrival_date < DATE '{REPORT_START}'
-GROUP BY e.subject_id""", encounters=tb.ENCOUNTERS_SQL, summaries=fx.SUMMARIES_SQL))
+GROUP BY e.subject_id""", encounters=tb.ENCOUNTERS_SQL, summaries=fx.LATEST_SUMMARIES_SQL))
 def previous_visits(spark, d):
     return rp.previous_visits(stored(spark, d), REPORT_START)

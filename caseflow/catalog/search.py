@@ -19,7 +19,7 @@ POS, NEG = ["thon", "Thor"], ["que"]
 
 
 def _summaries(spark, d):
-    return tb.stored_summaries(spark, d)
+    return tb.latest_summaries(spark, d)
 
 
 def _qvec(spark, d) -> list[float]:
@@ -28,7 +28,7 @@ def _qvec(spark, d) -> list[float]:
     return list(fx.query_vector_src(spark, d).first()["qvec"])
 
 
-SUM = dict(summaries=fx.SUMMARIES_SQL)
+SUM = dict(summaries=fx.LATEST_SUMMARIES_SQL)
 
 
 @register("text_terms", fx.with_views(
@@ -225,11 +225,11 @@ FILTERS = {"encounters": {"ctas": {"lte": 3}}, "unknown": {"a": {"eq": 1}}}
            AND NOT list_has_any({q.terms('summary_text')}, ['que']))
 , flt AS (SELECT encounter_id FROM encounters WHERE ctas <= 3)
 SELECT encounter_id FROM kw INTERSECT SELECT encounter_id FROM sem INTERSECT SELECT encounter_id FROM flt""")
-          .replace("WITH vectors", "WITH summaries AS (" + fx.SUMMARIES_SQL + "), encounters AS ("
+          .replace("WITH vectors", "WITH summaries AS (" + fx.LATEST_SUMMARIES_SQL + "), encounters AS ("
                    + tb.ENCOUNTERS_SQL + "), vectors", 1))
 def combined_search(spark, d):
     t = stored(spark, d)
-    kw = se.keyword_keys(t["summaries"], "summary_text", POS, NEG)
+    kw = se.keyword_keys(_summaries(spark, d), "summary_text", POS, NEG)
     sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", SEMANTIC_TOP_K,
                              bypass_below=CUTOFF_BYPASS_ROWS)
     return se.combined_search(kw, sem, t, FILTERS)

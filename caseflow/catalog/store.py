@@ -228,7 +228,7 @@ SUM_UPLOAD_SQL = "SELECT doc_id AS encounter_id, CASE WHEN lang = 'de' THEN text
 
 @register("diff_summaries", fx.with_views("""
 SELECT u.encounter_id, u.summary_text FROM up u LEFT JOIN sums s ON s.encounter_id = u.encounter_id
-WHERE u.summary_text IS DISTINCT FROM s.summary_text""", up=SUM_UPLOAD_SQL, sums=fx.SUMMARIES_SQL))
+WHERE u.summary_text IS DISTINCT FROM s.summary_text""", up=SUM_UPLOAD_SQL, sums=fx.LATEST_SUMMARIES_SQL))
 def diff_summaries(spark, d):
     cur = vs.latest_version(tb.stored_summaries(spark, d))
     return vs.changed_texts(cur, summary_upload(spark, d), "summary_text").select("encounter_id", "summary_text")
@@ -238,7 +238,7 @@ def diff_summaries(spark, d):
 SELECT u.encounter_id, u.summary_text, coalesce(m.mv, 0) + 1 AS version
 FROM up u LEFT JOIN sums s ON s.encounter_id = u.encounter_id
 LEFT JOIN (SELECT encounter_id, max(version) AS mv FROM sums GROUP BY encounter_id) m ON m.encounter_id = u.encounter_id
-WHERE u.summary_text IS DISTINCT FROM s.summary_text""", up=SUM_UPLOAD_SQL, sums=fx.SUMMARIES_SQL))
+WHERE u.summary_text IS DISTINCT FROM s.summary_text""", up=SUM_UPLOAD_SQL, sums=fx.LATEST_SUMMARIES_SQL))
 def apply_summary_updates(spark, d):
     st = tb.stored_summaries(spark, d)
     cur = vs.latest_version(st)

@@ -14,6 +14,7 @@ from caseflow.operators import cutoffs as co
 from caseflow.operators import embed as em
 from caseflow.operators import search as se
 from caseflow.plans import notes as nt
+from caseflow.plans import query as qy
 from caseflow.plans import report as rp
 from caseflow.rules.vocab import NARRATIVE_NOTE_ORDER
 from caseflow.sources import tables as tb
@@ -43,13 +44,13 @@ NARR_SQL = f"""SELECT encounter_id, string_agg(note_type || chr(10) || chr(10) |
 @register("pair_similarity", fx.with_views(f"""
 SELECT a.encounter_id, round(sum(a.weight * b.weight), 6) AS cosine
 FROM ea a JOIN eb b ON a.encounter_id = b.encounter_id AND a.bucket = b.bucket GROUP BY a.encounter_id""",
-    lines=fx.NOTE_LINES_SQL, narr=NARR_SQL, summaries=fx.SUMMARIES_SQL,
+    lines=fx.NOTE_LINES_SQL, narr=NARR_SQL, summaries=fx.LATEST_SUMMARIES_SQL,
     ea=_embed_sql("narr", "encounter_id", "narrative"), eb=_embed_sql("summaries", "encounter_id", "summary_text")))
 def pair_similarity(spark, d):
     """Review aid: cosine between an encounter's note narrative and its summary vector."""
     nar = nt.full_narratives(fx.note_lines_src(spark, d))
     a = em.hash_embed(nar, "encounter_id", "full_narrative")
-    b = em.hash_embed(tb.stored_summaries(spark, d), "encounter_id", "summary_text")
+    b = em.hash_embed(tb.latest_summaries(spark, d), "encounter_id", "summary_text")
     return em.sparse_cosine(a, b, "encounter_id").select("encounter_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -126,7 +127,7 @@ RERANK_QUERY = "thon thor des ing"
 
 def _rerank_sql(candidates_where: str) -> str:
     qterms = "['des', 'ing', 'thon', 'thor']"
-    return fx.with_views("SELECT 1", summaries=fx.SUMMARIES_SQL)[:-len("SELECT 1")].rstrip() + f"""
+    return fx.with_views("SELECT 1", summaries=fx.LATEST_SUMMARIES_SQL)[:-len("SELECT 1")].rstrip() + f"""
 , scored AS (SELECT encounter_id, 1.0 / (1.0 + exp(1.0 - CAST(len(list_intersect({q.terms('summary_text')}, {qterms})) AS DOUBLE)))
                AS similarity FROM summaries WHERE {candidates_where})""" + _cum_mass_sql("scored").replace(
         "n < 300 OR ", "").replace("pos <= greatest(i, 0)", "pos < greatest(i, 1)")
@@ -137,7 +138,7 @@ KW_WHERE = (f"list_has_any({q.terms('summary_text')}, ['thon', 'thor']) "
 
 
 def _rerank(spark, d, candidates):
-    texts = tb.stored_summaries(spark, d).join(candidates, "encounter_id", "left_semi")
+    texts = tb.latest_summaries(spark, d).join(candidates, "encounter_id", "left_semi")
     scored = em.overlap_relevance(texts, "summary_text", RERANK_QUERY).select(
         "encounter_id", F.col("relevance").alias("similarity"))
     # candidate lists are not bounded by a top-k, so the distributed form is used
@@ -147,13 +148,13 @@ def _rerank(spark, d, candidates):
 
 @register("rerank_candidates", _rerank_sql(KW_WHERE))
 def rerank_candidates(spark, d):
-    kw = se.keyword_keys(tb.stored_summaries(spark, d), "summary_text", POS, NEG)
+    kw = se.keyword_keys(tb.latest_summaries(spark, d), "summary_text", POS, NEG)
     return _rerank(spark, d, kw)
 
 
 @register("rerank_cut", _rerank_sql("true"))
 def rerank_cut(spark, d):
-    return _rerank(spark, d, tb.stored_summaries(spark, d).select("encounter_id"))
+    return _rerank(spark, d, tb.latest_summaries(spark, d).select("encounter_id"))
 
 
 @register("score_documents")
@@ -169,7 +170,7 @@ def _report_by_query_sql() -> str:
   ORDER BY distance, encounter_id LIMIT 5000)""" + _cum_mass_sql("scored").replace(
         "SELECT encounter_id, round(similarity, 6) AS similarity FROM ranked, idx",
         ", sem AS (SELECT encounter_id FROM ranked, idx") + f""")
-, kw AS (SELECT DISTINCT encounter_id FROM summaries WHERE {KW_WHERE})
+, kw AS (SELECT DISTINCT encounter_id FROM ({fx.LATEST_SUMMARIES_SQL}) WHERE {KW_WHERE})
 , flt AS (SELECT encounter_id FROM encounters WHERE ctas <= 3)
 , qkeys AS (SELECT encounter_id FROM kw INTERSECT SELECT encounter_id FROM sem INTERSECT SELECT encounter_id FROM flt)"""
     return _report_sql("SELECT * FROM report",
@@ -177,10 +178,69 @@ def _report_by_query_sql() -> str:
                        extra=sem, vectors=fx.VECTORS_SQL, probe=fx.QUERY_VECTOR_SQL)
 
 
+QUERY = {"keywords": {"positive": POS, "negative": NEG, "detail_level": 1},
+         "semantic": {"description": "the probe", "detail_level": 1, "metric": "cosine", "limit": 5000},
+         "filters": FILTERS}
+
+
+def _query_tables(spark, d) -> dict:
+    """The stored tables, with the ``embeddings`` rows as vectors: of summaries, processed notes
+    and chunks (a note belongs to encounter note_id // 4)."""
+    t = stored(spark, d)
+    vec = fx.vectors_src(spark, d)
+    chunks, chunk_notes = _chunks(spark, d)
+    t["summaries"] = t["summaries"].join(vec, "encounter_id", "left")
+    t["processed_notes"] = (fx.notes_src(spark, d).select("encounter_id", "note_text").join(vec, "encounter_id", "left"))
+    t["chunked_notes"] = chunks
+    t["notes"] = fx.notes_src(spark, d).select("encounter_id", "note_text").join(
+        chunk_notes.withColumnRenamed("encounter_id", "owner"), F.col("encounter_id") == F.col("note_id"), "left")
+    t["notes"] = t["notes"].select(F.coalesce("owner", "encounter_id").alias("encounter_id"), "note_id", "note_text")
+    return t
+
+
+def _run(spark, d, query, **options):
+    probe = _qvec(spark, d)
+    t = _query_tables(spark, d)
+    t["summaries"] = t["summaries"].where(F.col("vec").isNotNull()) if "semantic" in query else t["summaries"]
+    return qy.search_keys(t, query, embed=lambda text, small: probe, bypass_below=300, **options)
+
+
 @register("report_by_query", _report_by_query_sql())
 def report_by_query(spark, d):
-    t = stored(spark, d)
-    kw = se.keyword_keys(t["summaries"], "summary_text", POS, NEG)
-    sem = se.semantic_search(fx.vectors_src(spark, d), _qvec(spark, d), "cosine", 5000, bypass_below=300)
-    keys = se.combined_search(kw, sem, t, FILTERS)
-    return rp.report_by_keys(t, keys)
+    """A query dict compiled to the report."""
+    return rp.report_by_keys(stored(spark, d), _run(spark, d, QUERY))
+
+
+def _keys_sql(text_sql: str, where: str) -> str:
+    return f"SELECT DISTINCT encounter_id FROM ({text_sql}) t WHERE {where}"
+
+
+@register("query_keywords_narrative", _keys_sql(
+    f"SELECT encounter_id, full_narrative FROM ({tb.ENCOUNTERS_SQL}) e",
+    f"list_has_any({q.terms('full_narrative')}, ['fracture', 'burn']) AND NOT list_has_any({q.terms('full_narrative')}, ['skull'])"))
+def query_keywords_narrative(spark, d):
+    return _run(spark, d, {"keywords": {"positive": ["fracture", "Burn"], "negative": ["skull"], "detail_level": 2}})
+
+
+@register("query_keywords_notes", _keys_sql(
+    """SELECT CASE WHEN vec_id IS NULL THEN doc_id ELSE CAST(floor(doc_id / 4) AS BIGINT) END AS encounter_id, text
+       FROM documents LEFT JOIN embeddings ON vec_id = doc_id""", f"list_has_any({q.terms('text')}, ['thon', 'thor'])"))
+def query_keywords_notes(spark, d):
+    return _run(spark, d, {"keywords": {"positive": POS, "detail_level": 3}})
+
+
+@register("query_rerank", _rerank_sql(KW_WHERE).replace("round(similarity, 6) AS similarity ", ""). replace(
+    "SELECT encounter_id, FROM ranked", "SELECT encounter_id FROM ranked"))
+def query_rerank(spark, d):
+    return _run(spark, d, {"keywords": {"positive": POS, "negative": NEG},
+                           "rerank": {"prompt": RERANK_QUERY, "detail_level": 1}})
+
+
+@register("query_chunks_filtered", fx.with_views("SELECT 1", probe=fx.QUERY_VECTOR_SQL)[:-len("SELECT 1")].rstrip() + f"""
+, per AS (SELECT CAST(floor(vec_id / 4) AS BIGINT) AS encounter_id, min({q.l2('embedding', 'p.qvec')}) AS distance
+          FROM embeddings JOIN documents ON doc_id = vec_id, probe p GROUP BY 1)
+, near AS (SELECT encounter_id FROM per ORDER BY distance, encounter_id LIMIT 100)
+SELECT encounter_id FROM near JOIN ({tb.ENCOUNTERS_SQL}) e USING (encounter_id) WHERE sex = 'F'""")
+def query_chunks_filtered(spark, d):
+    return _run(spark, d, {"semantic": {"description": "the probe", "detail_level": 3, "metric": "L2", "limit": 100},
+                           "filters": {"encounters": {"sex": {"eq": "F"}}}})

@@ -190,14 +190,20 @@ NOTES_SQL = """SELECT doc_id AS note_id, doc_id AS encounter_id,
 FROM documents"""
 
 
-# ---------------------------------------------------------------- summaries (documents, version 1)
+# ---------------------------------------------------------------- summaries (documents; every third has two versions)
 def summaries_src(spark, d) -> DataFrame:
     doc = read(spark, d, "documents")
-    return doc.select(F.col("doc_id").alias("encounter_id"), F.col("text").alias("summary_text"),
-                      F.lit(1).alias("version"))
+    version = F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return doc.select(F.col("doc_id").alias("encounter_id"), "text", version.alias("version")).select(
+        "encounter_id", F.when(F.col("version") == 1, F.col("text")).otherwise(F.concat("text", F.lit(" thon revised")))
+        .alias("summary_text"), "version")
 
 
-SUMMARIES_SQL = "SELECT doc_id AS encounter_id, text AS summary_text, 1 AS version FROM documents"
+SUMMARIES_SQL = """SELECT doc_id AS encounter_id, text AS summary_text, 1 AS version FROM documents
+UNION ALL SELECT doc_id, text || ' thon revised', 2 FROM documents WHERE doc_id % 3 = 0"""
+LATEST_SUMMARIES_SQL = """SELECT doc_id AS encounter_id,
+  CASE WHEN doc_id % 3 = 0 THEN text || ' thon revised' ELSE text END AS summary_text,
+  CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM documents"""
 
 
 # ---------------------------------------------------------------- problems / referrals (lineitem)

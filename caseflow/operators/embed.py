@@ -33,6 +33,27 @@ def hash_embed(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) ->
     return counts.select(key, "bucket", (F.col("c") / norm).alias("weight"))
 
 
+def dense_embed(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) -> DataFrame:
+    """(key, vec): the same vectors at their fixed length, as stored for searches."""
+    rows = hash_embed(df, key, text_col, dim).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight"))).alias("_w"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_w", i), F.lit(0.0)))
+    return rows.select(key, vec.alias("vec"))
+
+
+def embed_query(text: str, small: bool = False) -> list[float]:
+    """The vector of one query text, built as the stored ones are."""
+    import hashlib
+    import re
+    from collections import Counter
+    from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
+    dim = SMALL_DIM if small else LARGE_DIM
+    terms = [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in ENGLISH_STOP_WORDS]
+    counts = Counter(int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in terms)
+    norm = sum(c * c for c in counts.values()) ** 0.5
+    return [counts[i] / norm if norm else 0.0 for i in range(dim)]
+
+
 def sparse_cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Cosine of two unit-length sparse vectors per key: equi-join on (key, bucket) and sum."""
     j = a.withColumnRenamed("weight", "wa").join(b.withColumnRenamed("weight", "wb"), [key, "bucket"], "inner")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseflow import fixtures as fx
 from caseflow.functions import fields as ff
+from caseflow.operators.versions import latest_version
 from caseflow.session import prepare
 
 STORED_TABLES = ["subjects", "encounters", "summaries", "referrals", "problems", "notes",
@@ -59,6 +60,10 @@ def stored_summaries(spark, d) -> DataFrame:
     return fx.summaries_src(spark, d)
 
 
+def latest_summaries(spark, d) -> DataFrame:
+    return latest_version(fx.summaries_src(spark, d))
+
+
 def stored_problems(spark, d) -> DataFrame:
     return fx.problems_src(spark, d)
 
