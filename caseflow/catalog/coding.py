@@ -325,7 +325,9 @@ SELECT encounter_id,
   injury_date,
   CASE WHEN regexp_matches(trim(injury_hour), '^-?[0-9]+$') THEN CAST(trim(injury_hour) AS INTEGER) END AS injury_hour,
   CASE WHEN regexp_matches(trim(replace(injury_min, '.', '')), '^-?[0-9]+$') THEN CAST(trim(replace(injury_min, '.', '')) AS INTEGER) END AS injury_min,
-  CASE WHEN trim(am_pm) = '1' THEN 'a' WHEN trim(am_pm) = '2' THEN 'p' ELSE am_pm END AS am_pm,
+  CASE WHEN TRY_CAST(trim(injury_hour) AS INTEGER) BETWEEN 0 AND 11 THEN 'a'
+       WHEN TRY_CAST(trim(injury_hour) AS INTEGER) BETWEEN 12 AND 23 THEN 'p'
+       WHEN trim(am_pm) = '1' THEN 'a' WHEN trim(am_pm) = '2' THEN 'p' ELSE am_pm END AS am_pm,
   CASE WHEN regexp_matches(trim(sports_code), '^-?[0-9]+$') THEN CAST(trim(sports_code) AS INTEGER) END AS sports_code,
   CASE WHEN regexp_matches(trim(sd1), '^-?[0-9]+$') THEN CAST(trim(sd1) AS INTEGER) END AS sd1,
   CASE WHEN regexp_matches(trim(sd2), '^-?[0-9]+$') THEN CAST(trim(sd2) AS INTEGER) END AS sd2,
@@ -352,8 +354,8 @@ def cases_build(spark, d):
     return cs.build_cases(flagged, _intent_parsed(spark, d), enc, rem)
 
 
-def _cases_sql() -> str:
-    head = fx.with_views("SELECT 1", **ENC, cut=CUTOFF_SQL, flagged=FLAG_SQL, responses=RESPONSES_SQL,
+def _cases_sql(flagged: str = FLAG_SQL) -> str:
+    head = fx.with_views("SELECT 1", **ENC, cut=CUTOFF_SQL, flagged=flagged, responses=RESPONSES_SQL,
                          parsed=PARSED_SQL, cls=CLASSIFIER_SQL, lines=fx.NOTE_LINES_SQL, remarks=REMARKS_SQL,
                          expected=values_sql())
     head = head[: head.rindex("SELECT 1")].rstrip()

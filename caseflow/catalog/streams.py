@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from caseflow import fixtures as fx
 from caseflow.catalog import ORACLE, register
 from caseflow.catalog.sources import DUMP_HEADER, write_document_dump
+from caseflow.catalog.text import collapse_sql, expand_sql
+from caseflow.plans.daily import daily_batch
 from caseflow.session import scratch_path
 from caseflow.streaming import drops as st
 
@@ -87,10 +89,66 @@ def managed_user_logs(spark, d):
                                                         F.countDistinct("user_id").alias("n_users"))
 
 
-@register("pipeline_daily")
+# ---------------------------------------------------------------- the daily batch
+def _batch_sources(spark, d) -> dict:
+    from caseflow.catalog.coding import _intent_parsed
+    from caseflow.operators.aggregates import ordered_join
+    from caseflow.sources import tables as tb
+    return {"lines": fx.note_lines_src(spark, d), "visits": fx.visits_src(spark, d), "subjects": fx.subjects_src(spark, d),
+            "problem_lists": fx.problems_src(spark, d).groupBy("encounter_id").agg(
+                ordered_join([], F.col("problem"), ", ").alias("problem_list")),
+            "referrals": fx.referrals_src(spark, d), "answers": _intent_parsed(spark, d),
+            "history": tb.stored_encounters(spark, d)}
+
+
+def _daily_sql() -> str:
+    from caseflow.catalog import coding as cd
+    sql = cd._cases_sql(cd.FLAG_SQL[:cd.FLAG_SQL.index("WHERE e.arrival_date")]
+                        + "WHERE e.encounter_id IN (SELECT conv_id FROM conversations)")
+    i = sql.rindex("SELECT encounter_id,\n  CASE WHEN (CASE")
+    merged = expand_sql(collapse_sql("t"))
+    return sql[:i] + f""", case_rows AS ({sql[i:]}),
+merged AS (SELECT encounter_id, {merged} AS note_text FROM (
+  SELECT encounter_id, string_agg(coalesce(note_text, 'None'), ' ' ORDER BY note_type, line, coalesce(note_text, 'None')) AS t
+  FROM lines WHERE note_type IN ('ED Provider Notes', 'ED Triage Notes') GROUP BY encounter_id))
+SELECT m.encounter_id, regexp_replace(regexp_replace(regexp_replace(lower(m.note_text), ' +', ' ', 'g'),
+         'mrn(:| )*[0-9]+', '[redacted]', 'g'), ' dob(:| )*[0-9]+/[0-9]+/[0-9]+', 'pt', 'g') AS processed_notes,
+       f.is_case, c.no1, c.bp1, c.disp, c.am_pm
+FROM merged m JOIN flagged f USING (encounter_id) LEFT JOIN case_rows c USING (encounter_id)"""
+
+
+@register("pipeline_daily", _daily_sql())
 def pipeline_daily(spark, d):
-    """The daily batch end to end on the note lines present: merge lines, expand terms,
-    cut sections, de-identify, flag with the learned cutoff, parse answers and build
-    case rows. Returns the processed notes joined with the case codes."""
-    from caseflow.plans.daily import daily_batch
-    return daily_batch(spark, d)
+    """The daily batch end to end on the note lines present: merge lines, expand terms, cut
+    sections, de-identify, build and store every table, flag with the learned cutoff, code the
+    cases. Returns the stored processed notes with the case codes."""
+    from caseflow.catalog.coding import BATCH_START
+    t = daily_batch(_batch_sources(spark, d), scratch_path(spark, "daily"), BATCH_START)
+    return (t["processed_notes"].join(t["flagged"].select("encounter_id", "is_case"), "encounter_id", "inner")
+            .join(t["case_report"].select("encounter_id", "no1", "bp1", "disp", "am_pm"), "encounter_id", "left")
+            .select("encounter_id", F.col("note_text").alias("processed_notes"), "is_case", "no1", "bp1", "disp", "am_pm"))
+
+
+_IN = "encounter_id IN (SELECT conv_id FROM conversations)"
+
+
+@register("pipeline_daily_tables", fx.with_views(f"""
+SELECT 'subjects' AS table_name, count(DISTINCT subject_id) AS n_rows FROM visits WHERE {_IN}
+UNION ALL SELECT 'encounters', count(*) FROM visits WHERE {_IN}
+UNION ALL SELECT 'processed_notes', count(DISTINCT encounter_id) FROM lines WHERE note_type <> 'Consults'
+UNION ALL SELECT 'notes', count(DISTINCT note_id) FROM lines
+UNION ALL SELECT 'problems', count(*) FROM (SELECT DISTINCT encounter_id, problem FROM problems WHERE {_IN})
+UNION ALL SELECT 'referrals', count(*) FROM (SELECT DISTINCT encounter_id, referral FROM refs WHERE {_IN})
+UNION ALL SELECT 'summaries', count(*) FROM visits WHERE {_IN}""",
+    visits=fx.VISITS_SQL, lines=fx.NOTE_LINES_SQL, problems=fx.PROBLEMS_SQL, refs=fx.REFERRALS_SQL))
+def pipeline_daily_tables(spark, d):
+    """Rows per stored table after running the same batch twice: the second run adds nothing."""
+    from caseflow.catalog.coding import BATCH_START
+    root = scratch_path(spark, "daily")
+    daily_batch(_batch_sources(spark, d), root, BATCH_START)
+    t = daily_batch(_batch_sources(spark, d), root, BATCH_START)
+    out = None
+    for name in ("subjects", "encounters", "processed_notes", "notes", "problems", "referrals", "summaries"):
+        n = t[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = n if out is None else out.unionByName(n)
+    return out

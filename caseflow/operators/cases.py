@@ -99,7 +99,9 @@ def build_cases(flagged: DataFrame, parsed: DataFrame, encounters: DataFrame, re
     io = F.trim(F.col("i_o"))
     c = c.withColumn("i_o", F.when(io == "1", "I").when(io == "2", "O").otherwise(F.lit(None).cast("string")))
     ap = F.trim(F.col("am_pm"))
-    c = c.withColumn("am_pm", F.when(ap == "1", "a").when(ap == "2", "p").otherwise(F.col("am_pm")))
+    hour = ff.int_or_null("injury_hour")  # more reliable than the am/pm answer, which it overrides
+    c = c.withColumn("am_pm", F.when((hour >= 0) & (hour < 12), "a").when((hour >= 12) & (hour <= 23), "p")
+                     .when(ap == "1", "a").when(ap == "2", "p").otherwise(F.col("am_pm")))
     mins = F.regexp_replace(F.col("injury_min"), r"\.", "")
     c = c.withColumn("injury_min", F.when(mins != "", mins))
     c = c.withColumn("injury_date", ff.int_or_null("injury_date").cast("string"))

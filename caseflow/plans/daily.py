@@ -1,33 +1,74 @@
-"""The daily batch as one job DAG (P1)."""
+"""The daily batch: from note lines to stored tables (P1).
+
+The batch is the visits that have note lines. What several tables need (processed notes,
+encounters, flagged visits) is computed once, appended to its stored table and read back, so
+each later step starts from a small written table instead of repeating the plan. Every table
+takes only keys it does not hold yet: running the same batch again appends nothing.
+"""
 
 from __future__ import annotations
 
+import os
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow import fixtures as fx
 from caseflow.operators import cases as cs
 from caseflow.operators import deid as dd
+from caseflow.operators import embed as em
 from caseflow.operators import sections as sc
+from caseflow.plans import entities as en
 from caseflow.plans import notes as nt
-from caseflow.sources import tables as tb
-
-
-def daily_batch(spark, d, batch_date: str = "1998-06-01"):
-    from caseflow.catalog.coding import _intent_parsed
-    lines = fx.note_lines_src(spark, d)
-    merged = nt.merge_note_lines(lines)
-    processed = sc.filter_sections(merged, "note_text")
-    names = (lines.select("encounter_id").distinct()
-             .join(fx.visits_src(spark, d).select("encounter_id", "subject_id"), "encounter_id")
-             .join(fx.subjects_src(spark, d).select("subject_id", "subject_name"), "subject_id")
-             .select("encounter_id", "subject_name"))
-    clean = dd.deidentify(processed, names)
-    enc = tb.stored_encounters(spark, d)
-    cutoff = cs.dynamic_cutoff(enc, batch_date).scalar()
-    batch = enc.join(clean.select("encounter_id"), "encounter_id", "left_semi")
-    flagged = cs.flag_cases(batch, cutoff)
-    remarks = nt.visit_remarks(lines, fx.visits_src(spark, d))
-    cases = cs.build_cases(flagged, _intent_parsed(spark, d), enc, remarks)
-    return (clean.join(flagged.select("encounter_id", "is_case"), "encounter_id", "inner")
-            .join(cases.select("encounter_id", "no1", "bp1", "disp"), "encounter_id", "left")
-            .select("encounter_id", F.col("note_text").alias("processed_notes"), "is_case", "no1", "bp1", "disp"))
+from caseflow.sources.sinks import append_new, roundtrip
+
+KEY = "encounter_id"
+
+
+def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str) -> dict[str, DataFrame]:
+    """Run one batch into the tables under ``root``; the stored tables as they are then.
+
+    ``src``: lines, visits, subjects (with name), problem_lists, referrals, answers (parsed model
+    answers with intent and summary), history (stored encounters, for the cutoff)."""
+    lines = src["lines"]
+    spark = lines.sparkSession
+    at = lambda name: os.path.join(root, name)
+    out: dict[str, DataFrame] = {}
+
+    keys = roundtrip(spark, lines.select(KEY).distinct(), "batch_keys")
+    visits = roundtrip(spark, src["visits"].join(keys, KEY, "left_semi"), "batch_visits")
+    subjects = src["subjects"].join(visits.select("subject_id").distinct(), "subject_id", "left_semi")
+    names = visits.select(KEY, "subject_id").join(subjects.select("subject_id", "subject_name"), "subject_id")
+    two = dd.check_single_name(names)
+    if not two.isEmpty():
+        raise ValueError("a visit carries more than one subject name")
+
+    out["subjects"] = append_new(spark, en.build_subjects(visits, subjects), at("subjects"), "subject_id")
+    built = en.build_encounters(visits, subjects, lines).withColumn("arrival_ts", F.col("arrival_date").cast("timestamp"))
+    out["encounters"] = append_new(spark, built, at("encounters"), KEY)
+    kept = out["encounters"].join(out["subjects"].select("subject_id"), "subject_id", "left_semi")
+    mine = roundtrip(spark, kept.join(keys, KEY, "left_semi"), "batch_encounters")
+
+    def child(df: DataFrame) -> DataFrame:
+        return df.join(mine.select(KEY), KEY, "left_semi")
+
+    processed = dd.deidentify(sc.filter_sections(nt.merge_note_lines(lines), "note_text"), names.select(KEY, "subject_name"))
+    out["processed_notes"] = append_new(spark, child(processed), at("processed_notes"), KEY)
+    out["notes"] = append_new(spark, child(nt.merge_note_ids(lines)), at("notes"), "note_id")
+    mine_notes = out["notes"].join(mine.select(KEY), KEY, "left_semi")
+    chunks = em.chunk_by_size(mine_notes, "note_id", "note_text").withColumn(
+        "chunk_id", F.concat_ws("-", "note_id", "chunk_number"))
+    out["chunked_notes"] = append_new(spark, chunks, at("chunked_notes"), "chunk_id")
+    problems = en.build_problems(child(src["problem_lists"])).withColumn("id", F.concat_ws("|", KEY, "problem"))
+    out["problems"] = append_new(spark, problems, at("problems"), "id")
+    referrals = en.build_referrals(child(src["referrals"])).withColumn("id", F.concat_ws("|", KEY, "referral"))
+    out["referrals"] = append_new(spark, referrals, at("referrals"), "id")
+
+    answers = roundtrip(spark, child(src["answers"]), "batch_answers")
+    out["summaries"] = append_new(spark, en.build_summaries(answers), at("summaries"), KEY)
+    cutoff = cs.dynamic_cutoff(src["history"], batch_date).first()["cutoff"]
+    flagged = roundtrip(spark, cs.flag_cases(mine, F.lit(cutoff)), "batch_flagged")
+    remarks = mine.select(KEY, F.col("notes").alias("remark"))
+    cases = cs.build_cases(flagged, answers, mine, remarks)
+    out["case_report"] = append_new(spark, cases, at("case_report"), KEY)
+    out["flagged"] = flagged
+    return out
