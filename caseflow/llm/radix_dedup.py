@@ -7,8 +7,8 @@ level, so a text of n bytes is done after O(log n) levels, and only rows still s
 their whole prefix with another row are carried on.
 
 A level is one aggregate by (group, digit), which collapses copies before the shuffle,
-and one join back to the rows. A group of any size never meets in one task: its rows are
-split over tasks by the skew handling of the join. Every level is written to the shared
+and one join of the groups of several rows back to the rows. A group of any size never
+meets in one task: its rows are split over tasks by the skew handling of the join. Every level is written to the shared
 folder, which cuts the lineage.
 
 Defined cases: null counts as empty text; rows that repeat a doc_id count in
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.blocks import NULL_KEY, release
+from caseflow.llm.blocks import NULL_KEY, release, written
 from caseflow.llm.text import fresh, lower_ascii
 from caseflow.session import scratch_path
 
@@ -41,13 +41,17 @@ def radix_groups(docs: DataFrame, first_digit: int = 16, widen: int = 8) -> Data
     while True:
         rows = rows.withColumn("digit", F.substring("rest", 1, width))
         by = ["group_key", "group_mark", "digit"]
-        groups = rows.groupBy(*by).agg(F.min(F.struct("key", "mark")).alias("lead"), F.count(F.lit(1)).alias("size"),
-                                       F.max("doc_id").alias("keep_id"))
-        split = rows.join(groups, by)
-        done = (F.col("size") == 1) | (F.octet_length("digit") < width)
+        # only groups of several rows; written, so that the join can split the rows of a large one
+        groups = written(rows.groupBy(*by).agg(F.min(F.struct("key", "mark")).alias("lead"),
+                                               F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep_id"))
+                         .where("size > 1"), "radix-groups")
+        split = rows.join(groups.hint("merge"), by, "left")  # the same plan at every size
+        alone = F.col("size").isNull()
+        done = alone | (F.octet_length("digit") < width)
         paths.append(scratch_path(spark, f"radix-{len(paths)}"))
         out = split.select("doc_id", "key", "mark", "text_sha256", F.col("lead.key").alias("group_key"),
-                           F.col("lead.mark").alias("group_mark"), "size", "keep_id",
+                           F.col("lead.mark").alias("group_mark"), F.coalesce("size", F.lit(1)).alias("size"),
+                           F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                            F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"), done.alias("done"))
         out.write.partitionBy("done").parquet(paths[-1])
         level = spark.read.schema(out.schema).parquet(paths[-1])
