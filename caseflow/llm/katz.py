@@ -200,7 +200,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
             for p, i in split_by_part(part, n_parts):
                 cols = {"key": key[i], "c": c[i].astype(np.int32)}
                 if n > 1:
-                    cols |= {"hist": hist[i], "low": prob[first[i]], "hot": hot[i]}
+                    cols |= {"hist": hist[i], "low": _coded(prob[first[i]]), "hot": hot[i]}
                 yield p, pack(**cols, part=np.full(len(i), p, np.int32))
         return ask
 
@@ -217,7 +217,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
             stats = None
             if n > 1 and len(k):
                 low, hot = np.zeros(len(k)), np.zeros(len(k), bool)
-                low[index] = np.concatenate([numpy_of(t, "low") for _, t in got])
+                low[index] = np.concatenate([t.column("low").cast(pa.float64()).to_numpy() for _, t in got])
                 hot[index] = np.concatenate([t.column("hot").to_numpy(zero_copy_only=False) for _, t in got])
                 names, of = np.unique(g, return_inverse=True)
                 m = np.stack([np.bincount(of[seen], total[seen] == r, len(names)) for r in range(1, CUT + 1)], 1)
@@ -273,6 +273,12 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
     return out
 
 
+def _coded(x: np.ndarray) -> pa.Array:
+    """Few different values, many times: as places in a list of the values."""
+    values, at = np.unique(x, return_inverse=True)
+    return pa.DictionaryArray.from_arrays(pa.array(at.astype(np.int16 if len(values) < 1 << 15 else np.int32)), pa.array(values))
+
+
 def _stats(names, m, low, which, n):
     return pack(hist=names[which], **{f"m{r}": m[which, r - 1].astype(np.int64) for r in range(1, CUT + 1)},
                 low=low[which], order=np.full(int(which.sum()), n, np.int8))
