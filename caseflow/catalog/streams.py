@@ -66,6 +66,17 @@ def log_append_parse(spark, d):
     return spark.read.parquet(out).select("event_id", "user_id", "action", "ts", "k")
 
 
+@register("user_log_one", """
+SELECT user_id, event_id, ts, event_type FROM events
+WHERE user_id = (SELECT max(user_id) FROM events) ORDER BY ts DESC, event_id DESC""")
+def user_log_one(spark, d):
+    """One user's log, newest first: the filter reaches the scan, the sort holds one user."""
+    ev = fx.read(spark, d, "events")
+    user = ev.agg(F.max("user_id")).first()[0]  # a query parameter: one value
+    return (ev.where(F.col("user_id") == user).select("user_id", "event_id", "ts", "event_type")
+            .orderBy(F.col("ts").desc(), F.col("event_id").desc()))
+
+
 @register("user_log_history", """
 SELECT user_id, event_id, ts, event_type FROM events ORDER BY user_id, ts DESC, event_id DESC""")
 def user_log_history(spark, d):

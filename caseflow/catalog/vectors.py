@@ -157,6 +157,16 @@ def rerank_cut(spark, d):
     return _rerank(spark, d, tb.latest_summaries(spark, d).select("encounter_id"))
 
 
+@register("score_external_model", """SELECT doc_id, least(length(text) / 1000.0, 1.0) AS score FROM documents""")
+def score_external_model(spark, d):
+    """The model hook: a model loaded once per task scores batches of texts."""
+    from caseflow.operators.scoring import model_scores
+
+    def load():
+        return lambda texts: [min(len(t) / 1000.0, 1.0) for t in texts]
+    return model_scores(fx.read(spark, d, "documents"), load, "doc_id", "text")
+
+
 @register("score_documents")
 def score_documents(spark, d):
     from caseflow.operators.scoring import score_corpus

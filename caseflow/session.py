@@ -42,11 +42,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written tables.
 
-    Taken from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh temporary folder is created and registered.
+    Taken from ``spark.checkpoint.dir``. Only under a local master (tests), where every task
+    sees this machine's disk, a session without one gets a fresh temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         d = tempfile.mkdtemp(prefix="caseflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)

@@ -76,3 +76,10 @@ def test_keyword_search_without_terms_is_empty(spark):
     df = spark.createDataFrame([(1, "fell on ice")], "encounter_id long, summary_text string")
     assert se.keyword_keys(df, "summary_text", [], []).count() == 0
     assert se.keyword_keys(df, "summary_text", ["the"], None).count() == 0
+
+
+def test_section_filter_in_any_case(spark):
+    text = "Past medical history: asthma Chief complaint: fell assessment AND plan cast"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert sc.filter_sections(df, "text").first()["text"] == text
+    assert sc.filter_sections(df, "text", ignore_case=True).first()["text"] == "fell cast"
