@@ -18,23 +18,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long); component is its smallest node."""
     spark = links.sparkSession
     # kept as (u, v) with v < u: a forest of depth 1 once nothing changes
-    e = written(_down(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    e = written(_down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both)
-        large = written(_down(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))),
+        large = written(_down(both.where("v > u").join(_lowest(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))),
                         "large-star")
         low = _lowest(large)
-        small = large.join(low, "u")
-        out = written(_down(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = written(_down(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                             .unionByName(low.select("u", F.col("m").alias("v")))), "small-star")
-        release(spark)
         # settled when every node has one smaller neighbour, which itself has none
-        parents = out.select("v").distinct()
-        if (out.join(parents.withColumnRenamed("v", "u"), "u", "left_semi").isEmpty()
-                and out.groupBy("u").count().where("count > 1").isEmpty()):
+        roles = out.select(F.col("u").alias("n"), F.lit(1).alias("below")).unionByName(
+            out.select(F.col("v").alias("n"), F.lit(0).alias("below")).distinct())
+        open_ = roles.groupBy("n").agg(F.sum("below").alias("up"), F.count(F.lit(1)).alias("all")).where("up > 1 OR up < all AND up > 0")
+        if open_.isEmpty():
             break
         e = out
+        release(spark)
     return out.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         out.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -11,11 +11,21 @@ at least num / den. Linked sets are of similar size and differ in few shingles,
   a smaller partner is possible, of the band below. A set with at most z empty partitions
   need not send their signatures, because a non-empty one is shared as well.
 
-Sets that share a signature are compared exactly. Equal sets first collapse to one node.
-Not all pairs of a signature are compared: the node that shares most signatures leads, all
-others are compared with the leaders, and then only pairs that are still in different
-components, so a group of near copies costs as many comparisons as it has members; no
-link between components is missed.
+Sets that share a signature are candidates, and links are decided by exact comparison.
+Equal sets first collapse to one node. The pairs of a signature are not all compared, and
+yet no link between components is missed:
+
+* the node that shares most signatures leads; every other node of the signature is compared
+  with it, which gives their distance (the number of shingles in one set only);
+* a pair of nodes that link lies, by the triangle inequality, either both near the leader or
+  both far from it. Far nodes get a second leader, and those far from both all pairs;
+* near the leader O, x and y with distances a and b link only if their differences to O
+  have at least (a + b - t) / 2 shingles in common, t being the distance at which sets of
+  their sizes still link. Unless both link with O this is positive, so the pair meets at a
+  shingle of the prefixes of both differences, in one order of all shingles (those not in O
+  first, as they are rare). Only such pairs, still in different components, are compared.
+
+So a family of near copies costs comparisons in proportion to its members, not its pairs.
 
 Defined cases: documents without words, or null, have the empty set, link with nothing and
 are their own component; fewer words than a shingle make one shingle; rows that repeat a
@@ -25,7 +35,7 @@ are ignored by ``link`` and kept by ``keep_one``.
 
 from __future__ import annotations
 
-from math import exp
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +45,7 @@ from pyspark.sql import functions as F
 from caseflow.llm import hashing as H
 from caseflow.llm.blocks import NULL_KEY, release, written
 from caseflow.llm.components import components
+from caseflow.llm.text import fresh
 
 SLICE = 1 << 21  # bytes of text worked on at once
 
@@ -162,25 +173,122 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb"))
+    c = compared(pairs.select(F.col("a").alias("x"), F.col("b").alias("leader")), sets, num, den)
+    return c.where("linked").select(*_ordered("x", "leader")).distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Each pair (x, leader) compared: the size of x, their distance, whether they link, whether
+    x is near and whether it is far (it can be both), and for a near x the prefix of the
+    difference: shingles of x first, then those of the leader."""
+    both = (pairs.join(sets.select(F.col("key").alias("x"), F.col("grams").alias("gx")), "x")
+            .join(sets.select(F.col("key").alias("leader"), F.col("grams").alias("gl")), "leader")
+            .select("x", "leader", "gx", "gl"))
+
+    def one(p, q):
+        extra, missing = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+        dist, same = len(extra) + len(missing), len(p) - len(extra)
+        linked = den * same >= num * (len(p) + len(missing))
+        reach = len(p) * (den - num) / num  # sets that link with x are no farther from it
+        near = 10 * dist <= 8 * len(q)
+        if linked:  # it must overlap with differences that are too long to link
+            least = (dist - max((len(p) - len(q)) * (den - num) / (den + num), 0)) / 2
+        else:
+            least = (dist + 1 - reach) / 2
+        prefix = dist - max(1, ceil(least - 1e-9)) + 1
+        return len(p), dist, linked, near, 10 * dist > 8 * len(q) - 10 * reach, (
+            np.concatenate([np.sort(extra), np.sort(missing)])[:max(prefix, 0)] if near else None)
 
     def run(batches):
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * same >= num * (len(p) + len(q) - same))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-    return both.mapInArrow(run, "a long, b long").distinct()
+            rows = [one(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                 *(pa.array([bool(v) for v in c], pa.bool_()) for c in cols[2:5]), pa.array(cols[5], pa.list_(pa.int64()))],
+                names=["x", "leader", "size", "dist", "linked", "near", "far", "prefix"])
+    return both.mapInArrow(run, "x long, leader long, size long, dist long, linked boolean, near boolean, far boolean, "
+                           "prefix array<long>")
 
 
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+class Components:
+    """The components that the links found so far make: (node, component), null until the first."""
+
+    def __init__(self):
+        self.label = None
+
+    def add(self, found: DataFrame) -> None:
+        """Join the components of linked nodes. Only links between different components are kept, so
+        each call works on a graph of components, not of nodes."""
+        ends = self.of(self.of(found, "a", "ca"), "b", "cb").where("ca <> cb")
+        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        if self.label is not None:
+            merged = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+            nodes = self.label.join(merged, "component", "full")
+            merged = nodes.select(F.coalesce("node", "component").alias("node"), F.coalesce("root", "component").alias("component"))
+        self.label = written(merged, "components")
+        release(found.sparkSession)
+
+    def of(self, rows: DataFrame, node: str, out: str) -> DataFrame:
+        """``rows`` with the component of ``node`` as ``out``."""
+        if self.label is None:
+            return rows.withColumn(out, F.col(node))
+        names = self.label.select(F.col("node").alias(node), F.col("component").alias(out))
+        return rows.join(names, node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _led(members: DataFrame, found: Components, sets: DataFrame, num: int, den: int):
+    """Compare the members (sig, node, fame) of every signature in several components with its
+    most shared node: (comparisons, signatures with their leaders)."""
+    m = found.of(members, "node", "comp")
+    lead = (m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                 F.max(F.struct("fame", -F.col("node"))).alias("lead"))
+            .where("lo < hi").select("sig", (-F.col("lead.col2")).alias("leader")))
+    lead = written(lead, "leaders")
+    pairs = members.join(lead, "sig").where("node <> leader").select(F.col("node").alias("x"), "leader").distinct()
+    done = written(compared(pairs, sets, num, den), "compared")
+    found.add(written(done.where("linked").select(*_ordered("x", "leader")).distinct(), "links"))
+    return done, lead
+
+
+def _far(members: DataFrame, done: DataFrame, lead: DataFrame) -> DataFrame:
+    """The members (sig, node, fame) that are far from their signature's leader."""
+    far = done.where("far").select(F.col("x").alias("node"), "leader")
+    return written(members.join(lead, "sig").join(far, ["node", "leader"], "left_semi").select("sig", "node", "fame"), "far")
+
+
+def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: int) -> None:
+    """Find the links between nodes near a common leader, through the prefixes of their differences."""
+    n = found.of(found.of(near, "x", "comp"), "leader", "leader_comp")
+    several = (n.groupBy("leader").agg(F.min(F.least("comp", "leader_comp")).alias("lo"),
+                                       F.max(F.greatest("comp", "leader_comp")).alias("hi")).where("lo < hi").select("leader"))
+    rows = n.join(several, "leader", "left_semi").select(
+        "leader", "x", "size", "dist", "linked", F.posexplode("prefix").alias("place", "e"))
+    rows = written(rows.withColumn("place", F.col("place") + 1), "prefixes")
+    slack = f"floor((size + size2) * {den - num} / {den + num})"
+    need = f"greatest(1, ceil((dist + dist2 - {slack}) / 2))"
+    can = F.expr(f"place <= dist - {need} + 1 AND place2 <= dist2 - {need} + 1 AND NOT (linked AND linked2) AND comp <> comp2")
+    for all_pairs in (False, True):
+        r = found.of(rows, "x", "comp")
+        apart = (r.groupBy("leader", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                              F.min(F.struct("dist", "x")).alias("first"))
+                 .where("lo < hi").select("leader", "e", F.col("first.x").alias("first")))
+        r = written(r.join(written(apart, "apart"), ["leader", "e"]), "meeting")
+        other = r.select("leader", "e", *[F.col(c).alias(c + "2") for c in ("x", "size", "dist", "linked", "place", "comp")])
+        if not all_pairs:  # first with the one nearest to the leader
+            other = other.join(r.select("leader", "e", F.col("first").alias("x2")).distinct(), ["leader", "e", "x2"], "left_semi")
+        else:
+            can = can & (F.col("x") < F.col("x2"))
+        pairs = written(r.join(other, ["leader", "e"]).where(can).select(*_ordered("x", "x2")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            found.add(written(verified(pairs, sets, num, den), "links"))
+
+
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the
     smallest doc_id reachable by links)."""
@@ -205,44 +313,21 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     sets = written(sets_of(rows.join(involved.withColumnRenamed("node", "key"), "key", "left_semi"), n), "sets")
     release(spark)
 
-    links, tested, label = None, None, None
-    for step in range(3):  # two rounds of leaders, then all that is still apart
-        m = members if label is None else members.join(
-            label.withColumnRenamed("component", "comp"), "node", "left")
-        m = m.withColumn("comp", F.col("node") if label is None else F.coalesce("comp", "node"))
-        apart = written(m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                             F.max(F.struct("fame", -F.col("node"), "comp")).alias("lead"))
-                        .where("lo < hi"), "apart")
-        if step < 2:
-            # the most shared node leads; in the second round, one outside that node's component
-            if step:
-                m2 = m.join(apart.select("sig", F.col("lead.comp").alias("not")), "sig").where(F.col("comp") != F.col("not"))
-                apart = written(m2.groupBy("sig").agg(F.max(F.struct("fame", -F.col("node"), "comp")).alias("lead")),
-                                "second-leaders")
-            leaders = apart.select("sig", (-F.col("lead.col2")).alias("leader"), F.col("lead.comp").alias("leader_comp"))
-            pairs = m.join(leaders, "sig").where(F.col("comp") != F.col("leader_comp")).select(*_ordered("node", "leader"))
-        else:
-            left = m.join(apart.select("sig"), "sig", "left_semi").select("sig", "node", "comp")
-            left = written(left, "apart-members")
-            right = left.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = left.join(right, "sig").where("comp < other_comp").select(*_ordered("node", "other"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(pairs, sets, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        label = written(components(links), "components")
-        release(spark)
+    found = Components()
+    done, lead = _led(members, found, sets, num, den)
+    far = _far(members, done, lead)
+    done2, lead2 = _led(far, found, sets, num, den)
+    far = found.of(_far(far, done2, lead2), "node", "comp")
+    far = written(far, "far-components")
+    other = far.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+    pairs = written(far.join(other, "sig").where("comp < other_comp").select(*_ordered("node", "other")).distinct(), "pairs")
+    if not pairs.isEmpty():
+        found.add(written(verified(pairs, sets, num, den), "links"))
+    near = done.where("near").unionByName(done2.where("near")).dropDuplicates(["x", "leader"])
+    _meet(near, found, sets, num, den)
 
     out = full.select("key", "n_shingles", "c1", "c2").join(classes, ["c1", "c2", "n_shingles"])
-    if label is None:
-        out = out.withColumn("component", F.col("node"))
-    else:  # the labels are written, so the rows of a large class are split by the join
-        out = out.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    out = found.of(out, "node", "component")  # the labels are written: the rows of a large class are split by the join
     empty = p.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component"))
     null = F.lit(NULL_KEY)
     return written(out.select("key", "n_shingles", "component").unionByName(empty).select(
@@ -252,9 +337,10 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component: the one that names it, the smallest doc_id."""
+    gone = fresh(docs, "_gone")
     found = link(docs, n, num, den)
-    drop = (found.where("NOT component_id <=> doc_id").select(F.col("doc_id").alias("_drop_id")).distinct())
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_drop_id"]), "left_anti")
+    drop = found.where("NOT component_id <=> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def op9_partenum(spark, sf_dir: str) -> DataFrame:
