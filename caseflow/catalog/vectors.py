@@ -199,7 +199,7 @@ def _query_tables(spark, d) -> dict:
     t = stored(spark, d)
     vec = fx.vectors_src(spark, d)
     chunks, chunk_notes = _chunks(spark, d)
-    t["summaries"] = t["summaries"].join(vec, "encounter_id", "left")
+    t["summaries"] = t["summaries"].join(vec, "encounter_id", "full").withColumn("version", F.coalesce("version", F.lit(1)))
     t["processed_notes"] = (fx.notes_src(spark, d).select("encounter_id", "note_text").join(vec, "encounter_id", "left"))
     t["chunked_notes"] = chunks
     t["notes"] = fx.notes_src(spark, d).select("encounter_id", "note_text").join(
