@@ -120,11 +120,18 @@ def held_out(modulus: int = 4, remainder: int = 2):
 
 def train(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
     """Fit on the rows of ``docs`` (doc_id, text, lang) that are not held out."""
-    data = F.col("text").cast("binary")
-    size = F.octet_length("text")
+    known = docs.where(~held_out() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
+        return None
+    data, size = F.col("text").cast("binary"), F.octet_length("text")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(size - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    # about twice the bound by hash, then exactly the bound: the ranking sees few rows of any language
+    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items()
+                                        for v in (lang, min(1.0, 2 * per_language / n))]), F.col("lang"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text"))
-    rows = (docs.where(~held_out() & F.col("lang").isNotNull() & (size > 0) & F.col("text").rlike(r"\p{L}"))
+    rows = (known.where((draw < share) & (size > 0) & F.col("text").rlike(r"\p{L}"))
             .select("lang", F.substring(data, start, F.lit(WINDOW)).alias("x"), F.row_number().over(order).alias("r"))
             .where(F.col("r") <= per_language))
     got = sorted((r["lang"], bytes(r["x"])) for r in rows.select("lang", "x").collect())
