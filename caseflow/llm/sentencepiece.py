@@ -43,7 +43,6 @@ from caseflow.llm.blocks import Blocks, bodies, pack, release, split_by_part, wr
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONGEST = 64  # bytes of a word
-BLOCK_BYTES = 6 << 20
 
 
 class Pieces:
@@ -63,39 +62,78 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) and BLANK not in p[1:]:
                 self.rows.append((p, i, -log(1 - s) - log(h) if ranked else s))
                 self.text[i] = p.replace(BLANK, " ").encode()
+        if n >= SPELT:
+            raise ValueError(f"the piece table has {n} pieces; edges hold fewer than {SPELT}")
         self.worst = min((s for *_, s in self.rows), default=0.0) - 10.0
+        self.scores = [0.0] * n + [self.worst]
+        for _, i, score in self.rows:
+            self.scores[i] = score
         self.longest = max((len(p) for p, *_ in self.rows), default=1)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
 
+SPELT = 0xFFFF  # in an edge, the mark of a character that is spelt in bytes
+
+
 def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """part, word, ids for the distinct (part, word) of ``words``: the relational lattice."""
+    """part, word, ids for the distinct (part, word) of ``words``: the relational lattice.
+
+    An edge is one number: its end, its start and its piece, in this order of bits, so that
+    sorted edges come by end, and for one end the longest first."""
     spark = words.sparkSession
-    marked = F.concat(F.when(F.startswith("word", F.lit(" ")), BLANK).otherwise(""),
-                      F.replace(F.when(F.startswith("word", F.lit(" ")), F.substring("word", 2, LONGEST)).otherwise(F.col("word")),
-                                F.lit(BLANK), F.lit("￿")))
+    blank = F.startswith("word", F.lit(" "))
+    marked = F.concat(F.when(blank, BLANK).otherwise(""), F.replace(
+        F.when(blank, F.substring("word", 2, LONGEST)).otherwise(F.col("word")), F.lit(BLANK), F.lit("\uffff")))
     w = words.repartition("word").select("part", "word", marked.alias("m"), F.length("word").alias("n"))
     at = w.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
     sub = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("a")))).alias("len"))
-    sub = sub.select("part", "word", "n", "a", "len", F.expr("substring(m, a + 1, len)").alias("piece"))
+    sub = sub.select("part", "word", "a", "len", F.expr("substring(m, a + 1, len)").alias("piece"))
     edges = sub.join(F.broadcast(pieces.frame(spark)), "piece", "left").where("id IS NOT NULL OR len = 1")
-    raw = F.encode(F.expr("substring(word, a + 1, 1)"), "utf-8")
-    byte_ids = F.array(*map(F.lit, pieces.byte_ids))
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.element_at(
-        byte_ids, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1))
-    edge = F.struct((F.col("a") + F.col("len")).alias("b"), F.col("a"), F.coalesce("score", F.lit(pieces.worst)).alias("s"),
-                    F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"))
-    lattice = edges.groupBy("part", "word", "n").agg(F.collect_list(edge).alias("edges"))
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.col("n")),
-        F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("short"), F.array().cast("array<int>").alias("ids"))),
-        lambda best, end: F.concat(best, F.array(F.array_max(F.transform(
-            F.filter("edges", lambda e: e["b"] == end),
-            lambda e: F.struct((F.element_at(best, e["a"] + 1)["s"] + e["s"]).alias("s"), (-e["a"]).alias("short"),
-                               F.concat(F.element_at(best, e["a"] + 1)["ids"], e["ids"]).alias("ids")))))))
-    return lattice.select("part", "word", F.element_at(step, -1)["ids"].alias("ids"))
+    edge = ((F.col("a") + F.col("len")).cast("long") * (1 << 32) + F.col("a").cast("long") * (1 << 16)
+            + F.coalesce("id", F.lit(SPELT)).cast("long"))
+    lattice = (edges.select("part", "word", edge.alias("edge")).groupBy("part", "word")
+               .agg(F.sort_array(F.collect_list("edge")).alias("edges")))
+
+    scores = F.lit(pieces.scores)  # by piece; the last one is for characters spelt in bytes
+    last = len(pieces.scores) - 1
+
+    def read(e):
+        piece = e.bitwiseAND(F.lit(0xFFFF)).cast("int")
+        return F.struct(F.shiftright(e, 32).cast("int").alias("b"),
+                        F.shiftright(e, 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("a"),
+                        F.get(scores, F.least(piece, F.lit(last))).alias("s"), piece.alias("id"))
+
+    def step(best, e):  # best[i]: the best way to reach i, its score and last edge
+        score = F.get(best, e["a"])["s"] + e["s"]
+        node = F.array(F.struct(score.alias("s"), e["a"].alias("a"), e["id"].alias("id")))
+        return (F.when(F.size(best) == e["b"], F.concat(best, node))
+                .when(score > F.get(best, e["b"])["s"], F.concat(F.slice(best, F.lit(1), e["b"]), node)).otherwise(best))
+
+    start_state = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("id")))
+    found = lattice.select("part", "word", F.transform("edges", read).alias("edges"))
+    found = found.select("part", "word", F.aggregate("edges", start_state, step).alias("best"))
+    n = F.size("best") - 1
+
+    def walk(path, at):  # from the last position back along the best edges
+        node = F.get(F.col("best"), at)
+        return F.when(path["at"] == at, F.struct(node["a"].alias("at"), F.concat(F.array(node), path["p"]).alias("p"))).otherwise(path)
+
+    none = F.array().cast("array<struct<s: double, a: int, id: int>>")
+    path = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("at"), none.alias("p")), walk, lambda path: path["p"])
+    byte_ids = F.lit(pieces.byte_ids)
+
+    def spell(e):
+        raw = F.encode(F.substring(F.col("word"), e["a"] + 1, F.lit(1)), "utf-8")
+        return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.get(
+            byte_ids, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
+
+    found = found.select("part", "word", path.alias("path"))
+    plain = F.col("path.id")
+    ids = F.when(F.array_contains(plain, SPELT), F.flatten(F.transform("path", lambda e: F.when(
+        e["id"] == SPELT, spell(e)).otherwise(F.array(e["id"]))))).otherwise(plain)
+    return found.select("part", "word", ids.alias("ids"))
 
 
 def cut_words(t):
@@ -128,10 +166,13 @@ def cut_words(t):
 
 
 def _distinct(buf, start, end):
-    """(a word's number for each distinct word, index per word), told apart by 128 bits of hash."""
+    """(a word's number for each distinct word, index per word, hashes), told apart by 128 bits of hash."""
     h1, h2 = H.word_hash(buf, start, end, 41), H.word_hash(buf, start, end, 42)
-    order = np.lexsort((h2, h1))
-    new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[:len(order)]
+    order = np.argsort(h1)
+    new = np.append(True, h1[order][1:] != h1[order][:-1])[:len(order)]
+    if (h2[order][1:] != h2[order][:-1])[~new[1:]].any():  # two words with one first hash
+        order = np.lexsort((h2, h1))
+        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
     index = np.empty(len(order), np.int64)
     index[order] = np.cumsum(new) - 1
     first = order[new]
@@ -161,7 +202,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     warehouse until the program ends, because the result is read from them."""
     spark = docs.sparkSession
     pieces = pieces or Pieces()
-    store = Blocks(docs, BLOCK_BYTES)
+    store = Blocks(docs)
     n_parts = store.n_parts
     atexit.register(store.drop)
 
