@@ -20,8 +20,10 @@ steps are ordinary shuffles and a written table, so lost executors only cost a r
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,17 @@ from pyspark.sql import functions as F
 from caseflow.session import scratch_path
 
 BLOCK_BYTES = 4 << 20
-IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+TIGHT = 6  # compression of texts, which are written twice and read often
 NULL_KEY = 1 - (1 << 63)  # a missing document key sorts before every other; it can be negated
 
 
-def pack(**columns) -> bytes:
+def pack(level: int = 1, **columns) -> bytes:
     """Arrays of one length → compressed bytes."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))
     batch = pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()],
                             names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=IPC) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -74,14 +77,34 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` from a table in the shared folder, which cuts the lineage."""
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` from a table in the shared folder, which cuts the lineage. Its path is
+    added to ``scratch``, for ``discard`` once nothing reads it any more."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark, scratch: list[str]) -> None:
+    """Delete the written tables listed in ``scratch``, and let go of finished shuffles."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while scratch:
+        path = hadoop.Path(scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
+def give_back() -> None:
+    """Return freed memory to the system between blocks: workers live on while the executor's
+    own heap grows in later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Text:
     """The texts of one block as one byte buffer: row ``i`` is ``buf[off[i]:off[i + 1]]``.
 
@@ -130,7 +153,7 @@ class Blocks:
             for b in batches:
                 for block, at in split_by_part(b.column("block").to_numpy(zero_copy_only=False), n):
                     some = b.take(pa.array(at))
-                    body = pack(doc_id=some.column("doc_id"), text=some.column("text").cast(pa.large_binary()))
+                    body = pack(TIGHT, doc_id=some.column("doc_id"), text=some.column("text").cast(pa.large_binary()))
                     yield pa.record_batch([pa.array([block], pa.int32()), pa.array([body], pa.binary())],
                                           names=["block", "body"])
 
@@ -150,14 +173,18 @@ class Blocks:
         """fn(Text, block) yields (part, packed bytes)."""
         def run(key, table):
             block = key[0].as_py()
-            return _rows(list(fn(Text(table), block)), block)
+            out = _rows(list(fn(Text(table), block)), block)
+            give_back()
+            return out
         return self.df.groupBy("block").applyInArrow(run, "part int, block int, body binary")
 
     def ask_again(self, replies: DataFrame, fn) -> DataFrame:
         """fn(Text, replies, block) yields (part, packed bytes)."""
         def run(key, left, right):
             block = key[0].as_py()
-            return _rows(list(fn(Text(left), list(bodies(right)), block)) if left.num_rows else [], block)
+            out = _rows(list(fn(Text(left), list(bodies(right)), block)) if left.num_rows else [], block)
+            give_back()
+            return out
         return (self.df.groupBy("block").cogroup(replies.groupBy("block"))
                 .applyInArrow(run, "part int, block int, body binary"))
 
@@ -170,7 +197,9 @@ class Blocks:
         def run(key, left, right):
             if not left.num_rows:
                 return arrow.empty_table()
-            return pa.table(fn(Text(left), list(bodies(right))), schema=arrow)
+            out = pa.table(fn(Text(left), list(bodies(right))), schema=arrow)
+            give_back()
+            return out
         return self.df.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 
     def drop(self) -> None:
@@ -189,6 +218,7 @@ def answer(requests: DataFrame, fn) -> DataFrame:
     def run(table):
         got = list(zip(table.column("block").to_pylist(), bodies(table)))
         sent = list(fn(got))
+        give_back()
         return pa.table({"block": pa.array([b for b, _ in sent], pa.int32()),
                          "body": pa.array([x for _, x in sent], pa.binary())})
     return requests.groupBy("part").applyInArrow(run, "block int, body binary")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import Blocks, answer, bodies, numpy_of, pack, release, split_by_part, unpack, written
+from caseflow.llm.blocks import Blocks, answer, bodies, discard, numpy_of, pack, release, split_by_part, unpack, written
 
 CUT = 5  # counts above are not discounted
 END = np.uint64(0x51ED270B7F4A9C35)
@@ -184,6 +184,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
     are dealt by n-gram."""
     store = Blocks(docs, BLOCK_BYTES)
     n_parts, levels, replies = store.n_parts, [], None
+    scratch: list[str] = []
 
     def limit(known) -> int:
         return 0 if not known else frequent or max(known[0].tokens // (4 * n_parts), 1000)
@@ -245,7 +246,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
     for n in range(1, order + 1):
         asked = store.ask_again(replies, requests(n, list(levels))) if n > 1 else store.ask(
             lambda t, block, f=requests(1, []): f(t, [], block))
-        new = written(answer(asked, add_up(n)), f"katz-{n}")
+        new = written(answer(asked, add_up(n)), f"katz-{n}", scratch)
         totals = [0] * (CUT + 3), 0, 0
         for r in new.where("block = -1").select("body").toLocalIterator():
             s = unpack(r["body"]).to_pylist()[0]
@@ -270,6 +271,7 @@ def score(docs: DataFrame, order: int = 2, modulus: int = 10, smoothing: float =
 
     out = written(store.settle(replies, judge, SCHEMA), "katz-scores")
     store.drop()
+    discard(store.spark, scratch)
     return out
 
 

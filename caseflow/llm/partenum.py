@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import NULL_KEY, release, written
+from caseflow.llm.blocks import NULL_KEY, discard, release, written
 from caseflow.llm.components import components
 from caseflow.llm.text import fresh
 
@@ -220,18 +220,18 @@ class Components:
     """The components that the links found so far make: (node, component), null until the first."""
 
     def __init__(self):
-        self.label = None
+        self.label, self.scratch = None, []
 
     def add(self, found: DataFrame) -> None:
         """Join the components of linked nodes. Only links between different components are kept, so
         each call works on a graph of components, not of nodes."""
         ends = self.of(self.of(found, "a", "ca"), "b", "cb").where("ca <> cb")
-        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), self.scratch)
         if self.label is not None:
             merged = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
             nodes = self.label.join(merged, "component", "full")
             merged = nodes.select(F.coalesce("node", "component").alias("node"), F.coalesce("root", "component").alias("component"))
-        self.label = written(merged, "components")
+        self.label = written(merged, "components", self.scratch)
         release(found.sparkSession)
 
     def of(self, rows: DataFrame, node: str, out: str) -> DataFrame:
@@ -249,17 +249,17 @@ def _led(members: DataFrame, found: Components, sets: DataFrame, num: int, den:
     lead = (m.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                  F.max(F.struct("fame", -F.col("node"))).alias("lead"))
             .where("lo < hi").select("sig", (-F.col("lead.col2")).alias("leader")))
-    lead = written(lead, "leaders")
+    lead = written(lead, "leaders", found.scratch)
     pairs = members.join(lead, "sig").where("node <> leader").select(F.col("node").alias("x"), "leader").distinct()
-    done = written(compared(pairs, sets, num, den), "compared")
-    found.add(written(done.where("linked").select(*_ordered("x", "leader")).distinct(), "links"))
+    done = written(compared(pairs, sets, num, den), "compared", found.scratch)
+    found.add(written(done.where("linked").select(*_ordered("x", "leader")).distinct(), "links", found.scratch))
     return done, lead
 
 
-def _far(members: DataFrame, done: DataFrame, lead: DataFrame) -> DataFrame:
+def _far(members: DataFrame, done: DataFrame, lead: DataFrame, found: Components) -> DataFrame:
     """The members (sig, node, fame) that are far from their signature's leader."""
     far = done.where("far").select(F.col("x").alias("node"), "leader")
-    return written(members.join(lead, "sig").join(far, ["node", "leader"], "left_semi").select("sig", "node", "fame"), "far")
+    return written(members.join(lead, "sig").join(far, ["node", "leader"], "left_semi").select("sig", "node", "fame"), "far", found.scratch)
 
 
 def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: int) -> None:
@@ -269,7 +269,7 @@ def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: in
                                        F.max(F.greatest("comp", "leader_comp")).alias("hi")).where("lo < hi").select("leader"))
     rows = n.join(several, "leader", "left_semi").select(
         "leader", "x", "size", "dist", "linked", F.posexplode("prefix").alias("place", "e"))
-    rows = written(rows.withColumn("place", F.col("place") + 1), "prefixes")
+    rows = written(rows.withColumn("place", F.col("place") + 1), "prefixes", found.scratch)
     slack = f"floor((size + size2) * {den - num} / {den + num})"
     need = f"greatest(1, ceil((dist + dist2 - {slack}) / 2))"
     can = F.expr(f"place <= dist - {need} + 1 AND place2 <= dist2 - {need} + 1 AND NOT (linked AND linked2) AND comp <> comp2")
@@ -278,15 +278,15 @@ def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: in
         apart = (r.groupBy("leader", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                               F.min(F.struct("dist", "x")).alias("first"))
                  .where("lo < hi").select("leader", "e", F.col("first.x").alias("first")))
-        r = written(r.join(written(apart, "apart"), ["leader", "e"]), "meeting")
+        r = written(r.join(written(apart, "apart", found.scratch), ["leader", "e"]), "meeting", found.scratch)
         other = r.select("leader", "e", *[F.col(c).alias(c + "2") for c in ("x", "size", "dist", "linked", "place", "comp")])
         if not all_pairs:  # first with the one nearest to the leader
             other = other.join(r.select("leader", "e", F.col("first").alias("x2")).distinct(), ["leader", "e", "x2"], "left_semi")
         else:
             can = can & (F.col("x") < F.col("x2"))
-        pairs = written(r.join(other, ["leader", "e"]).where(can).select(*_ordered("x", "x2")).distinct(), "pairs")
+        pairs = written(r.join(other, ["leader", "e"]).where(can).select(*_ordered("x", "x2")).distinct(), "pairs", found.scratch)
         if not pairs.isEmpty():
-            found.add(written(verified(pairs, sets, num, den), "links"))
+            found.add(written(verified(pairs, sets, num, den), "links", found.scratch))
 
 
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -295,34 +295,39 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
     rows = docs.select(key, F.col("text").cast("binary").alias("text"))
-    p = written(profiles(rows, n, num, den), "shingle-profiles")
+    scratch: list[str] = []
+    first, second, third = [], [], []
+    signed = written(profiles(rows, n, num, den), "shingle-profiles", first)
+    p = written(signed.drop("sigs"), "shingle-sizes", scratch)
     full = p.where("n_shingles > 0")
-    classes = written(full.groupBy("c1", "c2", "n_shingles").agg(F.min("key").alias("node")), "shingle-classes")
+    classes = written(full.groupBy("c1", "c2", "n_shingles").agg(F.min("key").alias("node")), "shingle-classes", scratch)
     # signatures of one row per class; a class of one row is its own node
-    nodes = written(full.select("key", "c1", "c2", "sigs").join(
+    nodes = written(signed.where("n_shingles > 0").select("key", "c1", "c2", "sigs").join(
         classes.select("c1", "c2", F.col("node").alias("key")), ["c1", "c2", "key"], "left_semi")
-        .select(F.col("key").alias("node"), "sigs").where(F.size("sigs") > 0), "shingle-nodes")
-    release(spark)
+        .select(F.col("key").alias("node"), "sigs").where(F.size("sigs") > 0), "shingle-nodes", second)
+    discard(spark, first)
     entries = nodes.select(F.explode("sigs").alias("sig"), "node")
-    shared = written(entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-signatures")
-    members = written(entries.join(shared, "sig").distinct(), "signature-members")
+    shared = written(entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-signatures", second)
     release(spark)
+    members = written(entries.join(shared, "sig").distinct(), "signature-members", third)
+    discard(spark, second)
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
-    members = written(members.join(fame, "node").select("sig", "node", "fame"), "members-fame")
+    members = written(members.join(fame, "node").select("sig", "node", "fame"), "members-fame", scratch)
+    discard(spark, third)
     involved = members.select("node").distinct()
-    sets = written(sets_of(rows.join(involved.withColumnRenamed("node", "key"), "key", "left_semi"), n), "sets")
+    sets = written(sets_of(rows.join(involved.withColumnRenamed("node", "key"), "key", "left_semi"), n), "sets", scratch)
     release(spark)
 
     found = Components()
     done, lead = _led(members, found, sets, num, den)
-    far = _far(members, done, lead)
+    far = _far(members, done, lead, found)
     done2, lead2 = _led(far, found, sets, num, den)
-    far = found.of(_far(far, done2, lead2), "node", "comp")
-    far = written(far, "far-components")
+    far = found.of(_far(far, done2, lead2, found), "node", "comp")
+    far = written(far, "far-components", found.scratch)
     other = far.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    pairs = written(far.join(other, "sig").where("comp < other_comp").select(*_ordered("node", "other")).distinct(), "pairs")
+    pairs = written(far.join(other, "sig").where("comp < other_comp").select(*_ordered("node", "other")).distinct(), "pairs", found.scratch)
     if not pairs.isEmpty():
-        found.add(written(verified(pairs, sets, num, den), "links"))
+        found.add(written(verified(pairs, sets, num, den), "links", found.scratch))
     near = done.where("near").unionByName(done2.where("near")).dropDuplicates(["x", "leader"])
     _meet(near, found, sets, num, den)
 
@@ -330,9 +335,11 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     out = found.of(out, "node", "component")  # the labels are written: the rows of a large class are split by the join
     empty = p.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component"))
     null = F.lit(NULL_KEY)
-    return written(out.select("key", "n_shingles", "component").unionByName(empty).select(
+    out = written(out.select("key", "n_shingles", "component").unionByName(empty).select(
         F.nullif("key", null).alias("doc_id"), "n_shingles", F.nullif("component", null).alias("component_id")),
         "jaccard-components")
+    discard(spark, scratch + found.scratch)
+    return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

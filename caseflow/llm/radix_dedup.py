@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.llm.blocks import NULL_KEY, release, written
+from caseflow.llm.blocks import NULL_KEY, discard, written
 from caseflow.llm.text import fresh, lower_ascii
 from caseflow.session import scratch_path
 
@@ -37,33 +37,39 @@ def radix_groups(docs: DataFrame, first_digit: int = 16, widen: int = 8) -> Data
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.xxhash64("rest").alias("mark"),
                        F.sha2("rest", 256).alias("text_sha256"), F.lit(0).cast("long").alias("group_key"),
                        F.lit(0).cast("long").alias("group_mark"), "rest")
-    paths, width, ended = [], first_digit, None
+    scratch: list[str] = []
+    keep: list[str] = []
+    width, ended = first_digit, None
     while True:
         rows = rows.withColumn("digit", F.substring("rest", 1, width))
         by = ["group_key", "group_mark", "digit"]
         # only groups of several rows; written, so that the join can split the rows of a large one
         groups = written(rows.groupBy(*by).agg(F.min(F.struct("key", "mark")).alias("lead"),
                                                F.count(F.lit(1)).alias("size"), F.max("doc_id").alias("keep_id"))
-                         .where("size > 1"), "radix-groups")
+                         .where("size > 1"), "radix-groups", scratch)
         split = rows.join(groups.hint("merge"), by, "left")  # the same plan at every size
         alone = F.col("size").isNull()
         done = alone | (F.octet_length("digit") < width)
-        paths.append(scratch_path(spark, f"radix-{len(paths)}"))
+        path = scratch_path(spark, "radix")
         out = split.select("doc_id", "key", "mark", "text_sha256", F.col("lead.key").alias("group_key"),
                            F.col("lead.mark").alias("group_mark"), F.coalesce("size", F.lit(1)).alias("size"),
                            F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                            F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"), done.alias("done"))
-        out.write.partitionBy("done").parquet(paths[-1])
-        level = spark.read.schema(out.schema).parquet(paths[-1])
-        ended = level.where("done") if ended is None else ended.unionByName(level.where("done"))
+        out.write.partitionBy("done").parquet(path)
+        level = spark.read.schema(out.schema).parquet(path)
+        finished = written(level.where("done").drop("rest"), "radix-ended", keep)
+        ended = finished if ended is None else ended.unionByName(finished)
+        discard(spark, scratch)  # the level before, whose open rows this one has taken over
+        scratch.append(path)
         rows = level.where("NOT done").drop("done", "size", "keep_id")
         width *= widen
         del split, groups, out
-        release(spark)
         if rows.isEmpty():
             break
-    return ended.select("doc_id", "keep_id", F.col("size").alias("group_size"),
-                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    out = written(ended.select("doc_id", "keep_id", F.col("size").alias("group_size"),
+                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"), "radix-result")
+    discard(spark, scratch + keep)
+    return out
 
 
 def keep_largest(docs: DataFrame) -> DataFrame:

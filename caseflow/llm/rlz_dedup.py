@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import NULL_KEY, Blocks, answer, numpy_of, pack, release, split_by_part, written
+from caseflow.llm.blocks import NULL_KEY, Blocks, answer, discard, numpy_of, pack, release, split_by_part, written
 
 SCHEMA = ("doc_id long, n_words long, n_removed long, kept_sha256 string, "
           "factors array<struct<start: long, length: long, ref_doc: long, ref_start: long>>")
@@ -175,10 +175,12 @@ def parse(docs: DataFrame, window: int = 20, seed_words: int = 8) -> DataFrame:
                             for w, x, y, z in zip(*(v.tolist() for v in f))])
         return {"doc_id": t.keys, "n_words": n_words, "n_removed": n_removed, "kept_sha256": sha, "factors": factors}
 
-    asked = written(store.ask_again(answer(store.ask(seeds), repeated), ask), "rlz-windows")
+    scratch: list[str] = []
+    known = written(answer(store.ask(seeds), repeated), "rlz-seeds", scratch)
     release(store.spark)
-    out = written(store.settle(answer(asked, first_sources), cut_spans, SCHEMA), "rlz-parse")
+    out = written(store.settle(answer(store.ask_again(known, ask), first_sources), cut_spans, SCHEMA), "rlz-parse")
     store.drop()
+    discard(store.spark, scratch)
     return out
 
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import Blocks, answer, numpy_of, pack, release, split_by_part, written
+from caseflow.llm.blocks import Blocks, answer, discard, numpy_of, pack, release, split_by_part, written
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>"
 SLICE = 1 << 19
@@ -303,10 +303,12 @@ def duplicate_bytes(docs: DataFrame, window: int = 50, gram: int = 16, frequent:
             out["spans"].append([{"start": x, "stop": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist())])
         return out
 
-    known = written(answer(store.ask(seeds), repeated), "suffix-seeds")
+    scratch: list[str] = []
+    known = written(answer(store.ask(seeds), repeated), "suffix-seeds", scratch)
     release(store.spark)
     out = written(store.settle(answer(store.ask_again(known, runs), sort_runs), cut_spans, SCHEMA), "suffix-spans")
     store.drop()
+    discard(store.spark, scratch)
     return out
 
 
