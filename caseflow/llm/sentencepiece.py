@@ -204,7 +204,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     pieces = pieces or Pieces()
     store = Blocks(docs)
     n_parts = store.n_parts
-    atexit.register(store.drop)
+    atexit.register(_drop, store)
 
     def ask(t, block):
         buf, start, end, _ = cut_words(t)
@@ -266,6 +266,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     return store.settle(replies, settle, SCHEMA)
 
 
+def _drop(store: Blocks) -> None:
+    if store.spark.sparkContext._jsc is not None:  # the session may have been stopped before
+        store.drop()
+
+
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
     """The text of one list of ids: its pieces without the leading blank."""
     return b"".join([table[i] for i in ids.tolist()])[1:]
