@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into words: a word begins at each blank, and each line break is a word of its
-own; the first word of a text gets a leading blank. Words of more than ``LONGEST`` bytes are
-cut further. The distinct words of the corpus are a table, and their segmentations a join:
+Texts are cut into words: a word begins at each run of blanks, and each line break is a word
+of its own; the first word of a text gets a leading blank. No piece crosses such a cut (where
+a table has pieces that would, it is not made), so the best paths of the words make up the best
+path of the text. The distinct words of the corpus are a table, and their segmentations a join:
 
 1. all substrings of up to the longest piece's length are exploded from each distinct word
    and equi-joined to the piece table (tens of thousands of rows, fixed by the model);
@@ -12,7 +13,9 @@ cut further. The distinct words of the corpus are a table, and their segmentatio
    by end position. On equal scores the longest last piece wins.
 
 Words are dealt to key partitions by hash, so the group-by follows the exchange of the
-words and moves no edges. The paths go back to the blocks of texts that asked for them, and
+words and moves no edges. Words of more than ``LONGEST`` bytes (text without blanks, URLs) are
+not cut: their lattice would not stay small, so the partition that answers for such a word finds
+the same path position by position, in time and memory linear in its length. The paths go back to the blocks of texts that asked for them, and
 each text is the concatenation of its words' ids. Blanks are written as in the piece
 table (U+2581); that character itself, where it is in a text, is encoded as bytes, so
 that decoding gives back every text exactly.
@@ -29,7 +32,8 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-from math import log
+from array import array
+from math import inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,7 @@ from caseflow.llm.blocks import Blocks, bodies, pack, release, split_by_part, wr
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-LONGEST = 64  # bytes of a word
+LONGEST = 64  # bytes of a word whose lattice is a join
 
 
 class Pieces:
@@ -59,7 +63,7 @@ class Pieces:
             if m.is_byte(i):
                 self.byte_ids[int(p[3:5], 16)] = i
                 self.text[i] = bytes([int(p[3:5], 16)])
-            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) and BLANK not in p[1:]:
+            elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.rows.append((p, i, -log(1 - s) - log(h) if ranked else s))
                 self.text[i] = p.replace(BLANK, " ").encode()
         if n >= SPELT:
@@ -69,6 +73,9 @@ class Pieces:
         for _, i, score in self.rows:
             self.scores[i] = score
         self.longest = max((len(p) for p, *_ in self.rows), default=1)
+        # whether words may begin at blanks and at line breaks: no piece goes on across them
+        self.blank_cuts = not any(BLANK in p.lstrip(BLANK) for p, *_ in self.rows)
+        self.line_cuts = not any("\n" in p and len(p) > 1 for p, *_ in self.rows)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "piece string, id int, score double")
@@ -83,9 +90,7 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     An edge is one number: its end, its start and its piece, in this order of bits, so that
     sorted edges come by end, and for one end the longest first."""
     spark = words.sparkSession
-    blank = F.startswith("word", F.lit(" "))
-    marked = F.concat(F.when(blank, BLANK).otherwise(""), F.replace(
-        F.when(blank, F.substring("word", 2, LONGEST)).otherwise(F.col("word")), F.lit(BLANK), F.lit("\uffff")))
+    marked = F.translate("word", " " + BLANK, BLANK + "\uffff")
     w = words.repartition("word").select("part", "word", marked.alias("m"), F.length("word").alias("n"))
     at = w.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
     sub = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("a")))).alias("len"))
@@ -136,7 +141,42 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.select("part", "word", ids.alias("ids"))
 
 
-def cut_words(t):
+class Trie:
+    """The piece table for one word at a time: the path of ``best_paths`` in linear time."""
+
+    def __init__(self, pieces: Pieces):
+        self.known = {p: (s, i) for p, i, s in pieces.rows}
+        self.prefixes = {p[:n] for p in self.known for n in range(1, len(p))}
+        self.worst, self.byte_ids = pieces.worst, pieces.byte_ids
+
+    def path(self, word: str) -> list[int]:
+        m, n = word.translate({0x20: BLANK, ord(BLANK): "\uffff"}), len(word)
+        best, came, by = array("d", [-inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        known, prefixes = self.known, self.prefixes
+        for a in range(n):  # starts in order, and only a better score replaces: the longest last piece wins ties
+            here, b = best[a], a + 1
+            sub = m[a]
+            score, piece = known.get(sub, (self.worst, SPELT))
+            while True:
+                if here + score > best[b]:
+                    best[b], came[b], by[b] = here + score, a, piece
+                while b < n and sub in prefixes:
+                    b += 1
+                    sub = m[a:b]
+                    if sub in known:
+                        score, piece = known[sub]
+                        break
+                else:
+                    break
+        out, at = [], n
+        while at:
+            out.append([by[at]] if by[at] != SPELT else [self.byte_ids[c] for c in word[came[at]].encode()])
+            at = came[at]
+        return [i for ids in reversed(out) for i in ids]
+
+
+def cut_words(t, blank_cuts: bool = True, line_cuts: bool = True):
     """Words of every row of a block: (start, end, word_off) over a buffer with the leading blanks."""
     size = np.diff(t.off)
     extra = (size > 0).astype(np.int64)
@@ -146,22 +186,17 @@ def cut_words(t):
     text[off[:-1][extra > 0]] = False
     buf[text] = t.buf
     new = np.zeros(len(buf) + 1, bool)
-    new[:-1] = (buf == 0x20) | (buf == 0x0A)
-    new[1:] |= new[:-1] & np.append(buf == 0x0A, False)[:-1]
+    if blank_cuts:
+        blank = buf == 0x20
+        new[:-1] = blank
+        new[1:-1] &= ~blank[:-1]
+    if line_cuts:
+        line = buf == 0x0A
+        new[:-1] |= line
+        new[1:] |= line
     new[off] = True
     start = np.flatnonzero(new[:-1])
     end = np.append(start[1:], len(buf))
-    cuts = []
-    for a, b in zip(*(x[end - start > LONGEST].tolist() for x in (start, end))):
-        p = a + LONGEST
-        while p < b:
-            while p > a and (buf[p] & 0xC0) == 0x80:  # not inside a character
-                p -= 1
-            cuts.append(p)
-            p += LONGEST
-    if cuts:
-        start = np.sort(np.append(start, cuts))
-        end = np.append(start[1:], len(buf))
     return buf, start, end, np.searchsorted(start, off)
 
 
@@ -187,10 +222,10 @@ def _strings(buf, start, end) -> pa.Array:
 
 
 def _flat(column: pa.ChunkedArray):
-    """A list column as (lengths, values)."""
+    """A list column as (lengths, values); null has length 0."""
     lists = column.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy()
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), lists.flatten().to_numpy()
 
 
 SCHEMA = "doc_id long, n_words long, n_pieces long, ids array<int>, decoded_sha256 string, exact boolean"
@@ -206,14 +241,18 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     n_parts = store.n_parts
     atexit.register(_drop, store)
 
+    cuts = pieces.blank_cuts, pieces.line_cuts
+    shared = spark.sparkContext.broadcast(pieces)  # fixed by the model
+
     def ask(t, block):
-        buf, start, end, _ = cut_words(t)
+        buf, start, end, _ = cut_words(t, *cuts)
         first, _, h = _distinct(buf, start, end)
         for p, i in split_by_part(H.part_of(h, n_parts), n_parts):
             yield p, pack(word=_strings(buf, start[first[i]], end[first[i]]))
 
     def distinct_words(key, table):
         words = pc.unique(pa.chunked_array([c for b in bodies(table) for c in b.column("word").chunks]))
+        words = words.filter(pc.less_equal(pc.binary_length(words), LONGEST))
         return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": words.cast(pa.string())})
 
     requests = store.ask(ask)
@@ -225,9 +264,23 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         names = known.column("word").cast(pa.binary()).combine_chunks()
         ids = known.column("ids").combine_chunks()
         blocks, sent = asked.column("block").to_pylist(), []
+        trie, paths = None, {}  # of the long words
         for b in bodies(asked):
-            got = ids.take(pc.index_in(b.column("word").combine_chunks(), value_set=names))
+            words = b.column("word").combine_chunks()
+            long = np.flatnonzero(pc.greater(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False))
+            got = ids.take(pc.index_in(words, value_set=names))
             size, values = _flat(got if isinstance(got, pa.ChunkedArray) else pa.chunked_array([got]))
+            if len(long):
+                trie = trie or Trie(shared.value)
+                size = size.copy()
+                off, runs, at = np.append(0, np.cumsum(size)), [], 0
+                for i in long.tolist():
+                    word = words[i].as_py()
+                    if word not in paths:
+                        paths[word] = np.array(trie.path(word.decode()), np.int32)
+                    runs += [values[off[at]:off[i]], paths[word]]
+                    size[i], at = len(paths[word]), i
+                values = np.concatenate([*runs, values[off[at]:]])
             sent.append(pack(size=pa.array([size.astype(np.int32)], pa.list_(pa.int32())),
                              ids=pa.array([values], pa.list_(pa.int32())), part=np.array([key[0].as_py()])))
         return pa.table({"block": pa.array(blocks, pa.int32()), "body": pa.array(sent, pa.binary())})
@@ -236,7 +289,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     table = pieces.text
 
     def settle(t, replies):
-        buf, start, end, word_off = cut_words(t)
+        buf, start, end, word_off = cut_words(t, *cuts)
         first, index, h = _distinct(buf, start, end)
         sent = dict(split_by_part(H.part_of(h, n_parts), n_parts))
         size = np.zeros(len(first), np.int64)

@@ -153,6 +153,35 @@ def test_best_paths(spark, pieces):
         assert row["ids"] == brute.viterbi(row["word"], table, pieces.worst, pieces.byte_ids), row["word"]
 
 
+def test_encode_whole_texts(spark, pieces):
+    # nothing is cut: the ids are the best path over the text as one lattice
+    r = random.Random(12)
+    run = "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(500))
+    url = "https://www.example.org/internationalisation/" + "some-long-path/" * 9 + "index.html?q=" + run[:80]
+    texts = [run, " " * 16 + "return value\n" + " " * 23 + "x\n\n  " + " " * 40, "学习自然语言处理的方法" * 30, url, "the " + run + " end",
+             "   lead  and▁▁ tail " + "é" * 70 + "𝄞" * 40, "internationalisation" * 12, "a" * 300]
+    table = {p: (i, s) for p, i, s in pieces.rows}
+    out = sentencepiece.encode(spark.createDataFrame(list(enumerate(texts)) + [(90, run)], "doc_id long, text string"), pieces)
+    got = {row["doc_id"]: row for row in out.collect()}
+    for i, t in [*enumerate(texts), (90, run)]:
+        m = "".join({" ": "▁", "▁": "\uffff"}.get(c, c) for c in " " + t)
+        best = [(0.0, 0, 0, [])]
+        for b in range(1, len(m) + 1):
+            options = []
+            for a in range(max(0, b - pieces.longest), b):
+                if m[a:b] in table:
+                    options.append((best[a][0] + table[m[a:b]][1], -a, a, [table[m[a:b]][0]]))
+                elif b - a == 1:
+                    options.append((best[a][0] + pieces.worst, -a, a, [pieces.byte_ids[x] for x in (" " + t)[a].encode()]))
+            best.append(max(options))
+        ids, at = [], len(m)
+        while at:
+            ids, at = best[at][3] + ids, best[at][2]
+        assert got[i]["ids"] == ids and got[i]["exact"], t
+    blanks = {p: i for p, i, _ in pieces.rows if set(p) == {"▁"}}
+    assert blanks["▁" * 16] in got[1]["ids"]
+
+
 def test_encode_empty(empty_frame, pieces):
     assert sentencepiece.encode(empty_frame, pieces).count() == 0
 
