@@ -6,9 +6,10 @@ segmentation of the value into dictionary words, dates, repeats, keyboard walks
 brute-force spans, found by dynamic programming over its characters. A value whose
 cost reaches ``min_guesses`` (log10) is added as a span of kind ``guess``; base spans stay.
 
-The dictionary is the ``dictionary_words`` most frequent words of the whole corpus (a
-count over all documents; the bound keeps the broadcast small) behind a short list of common
-passwords. The scan itself is one pass over the texts without a shuffle.
+The dictionary is the ``dictionary_words`` words that most distinct texts hold (the bound
+keeps the broadcast small) behind a short list of common passwords. Copies of a text count
+once and the values of credential contexts not at all, so a secret does not become a word by
+being spread. The scan itself is one pass over the texts without a shuffle.
 
 Defined cases: null counts as empty text, which has no spans. Rows are judged by text alone
 against one dictionary, so repeated rows agree; extra columns are ignored.
@@ -19,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from functools import reduce
 from math import log10
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,8 +127,13 @@ def find_spans(text: str, ranks: dict[str, int], min_guesses: float):
 
 
 def dictionary(docs: DataFrame, dictionary_words: int) -> dict[str, int]:
-    """The most frequent words of all texts with their ranks, common passwords first."""
-    words = docs.select(F.explode(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    """The words of most distinct texts with their ranks, common passwords first; values in a
+    credential context are left out."""
+    texts = docs.select("text").distinct().select(lower_ascii(F.col("text")).alias("t"))
+    hinted = reduce(or_, [F.contains("t", F.lit(h)) for h in HINTS])
+    plain = F.when(hinted, F.regexp_replace("t", CONTEXT.pattern, " ")).otherwise(F.col("t"))
+    found = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
+    words = texts.select(F.explode(F.array_distinct(found)).alias("w"))
     top = (words.where(F.length("w").between(3, MAX_WORD)).groupBy("w").count()
            .orderBy(F.desc("count"), "w").limit(dictionary_words).select("w"))
     ranked = dict.fromkeys([*COMMON, *(r["w"] for r in top.collect())])

@@ -93,6 +93,18 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secret_scan.guess_cost("19991231", ranks) < 5 < 10 < secret_scan.guess_cost("k8Fj2!xQ9z", ranks)
 
 
+def test_copies_do_not_make_a_secret_a_word(spark):
+    rows = [(i, "the note says pwd=kvqzxrtplmnb here") for i in range(3000)]
+    rows += [(5000 + i, f"near copy {i} login: qhzvwkxjrtpd and Bearer zmqxwvkjhgtb") for i in range(40)]
+    rows += [(6000 + i, "orchard " * 9 + f"{i}") for i in range(20)] + [(7000 + i, "meadow " * 5000) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = secret_scan.dictionary(docs, 20_000)
+    assert not {"kvqzxrtplmnb", "qhzvwkxjrtpd", "zmqxwvkjhgtb"} & set(ranks)
+    assert ranks["near"] < ranks["orchard"] < ranks["meadow"]  # by distinct texts, not by occurrences
+    found = {(r["doc_id"] >= 5000, r["n_guess"]) for r in secret_scan.scan(docs).where("doc_id < 6000").collect()}
+    assert found == {(False, 1), (True, 2)}
+
+
 # ------------------------------------------------------------------ decontamination
 ITEMS = [("a", " ".join(f"Item{i}" for i in range(25))), ("b", "two words"), ("c", None), (None, " ".join(f"nul{i}" for i in range(12))),
          ("d", "..."), ("a2", "x, " + " ".join(f"item{i}" for i in range(5, 17))), ("é", "été déjà vu " * 5)]
