@@ -8,8 +8,14 @@ probabilities are the mean over its windows, weighted by their bytes.
 Training takes at most ``per_language`` labelled texts of each language, those with the
 smallest hash of doc_id, and one window of each; that bound does not depend on the corpus.
 
+The score tells text in a learned language from noise: ``train`` sets the network's
+``least_score`` from the scores of its training windows, LEAST_SHARE of the way from chance to
+the score that all but one in a thousand of them reach, so practically all clean text passes. A
+network that learned little is little above chance and drops nothing.
+
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a null lang is
-not learned from; without any labelled text everything is ``und``. Rows are judged by text
+not learned from; without any labelled text everything is ``und``, and ``keep_recognised``
+keeps all text with a letter. Rows are judged by text
 alone, so repeated rows agree; extra columns are kept by ``predict``.
 """
 
@@ -30,6 +36,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
+LEAST_SHARE = 0.4
 
 
 class ByteNet:
@@ -41,6 +48,7 @@ class ByteNet:
         self.w = {k: r.normal(0, 0.3, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS}
         self.out = r.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))).astype(np.float32)
         self.bias = np.zeros(len(classes), np.float32)
+        self.least_score = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> "ByteNet":
         """x: windows (n, WINDOW) of bytes; y: class numbers. Adam on the softmax loss,
@@ -140,7 +148,11 @@ def train(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
         return None
     x = np.concatenate([windows(b) for _, b in got])
     y = np.array([classes.index(lang) for lang, _ in got])
-    return ByteNet(classes).fit(x, y)
+    net = ByteNet(classes).fit(x, y)
+    tables, chance = net.pairs(), 1 / len(classes)
+    score = np.concatenate([net.probabilities(b, tables).max(1) for b in np.array_split(x, -(-len(x) // 4096))])
+    net.least_score = chance + LEAST_SHARE * max(float(np.quantile(score, 0.001)) - chance, 0.0)
+    return net
 
 
 def predict(docs: DataFrame, net: ByteNet | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -190,7 +202,10 @@ def _stacked(texts, limit: int = 4096):
 
 
 def keep_recognised(docs: DataFrame, net: ByteNet | None, least_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with a language other than ``und`` at ``least_score`` or more, columns unchanged."""
+    """The rows of ``docs`` with a language other than ``und`` at ``least_score`` or more, columns
+    unchanged; without a network, those with a letter."""
+    if net is None:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
     lang, score = fresh(docs, "_lang"), fresh(docs, "_lang_score")
     judged = predict(docs, net, lang, score)
     return judged.where((F.col(lang) != UND) & (F.col(score) >= least_score)).select(*docs.columns)
