@@ -28,9 +28,10 @@ yet no link between components is missed:
 So a family of near copies costs comparisons in proportion to its members, not its pairs.
 
 Defined cases: documents without words, or null, have the empty set, link with nothing and
-are their own component; fewer words than a shingle make one shingle; rows that repeat a
-doc_id each get the component of their own text; a null doc_id sorts first. Extra columns
-are ignored by ``link`` and kept by ``keep_one``.
+are their own component; fewer words than a shingle make one shingle; rows are told apart by
+doc_id and text, so rows that repeat a doc_id each get the component of their own text, and
+rows that repeat both share it; a null doc_id sorts first. Extra columns are ignored by
+``link`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def _lists(row, values, n):
 
 
 def profiles(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """key, n_shingles, c1 and c2 (128-bit name of the set), sigs."""
+    """key and hash (of the row), n_shingles, c1 and c2 (128-bit name of the set), sigs."""
     def run(batches):
         for batch in batches:
             for a, b, buf, off in _texts(batch):
@@ -155,9 +156,9 @@ def profiles(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 srow, sig = signatures(row, gram, size, num, den)
                 order = np.argsort(srow, kind="stable")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(x.view(np.int64)) for x in c),
-                     _lists(srow[order], sig[order], b - a)], names=["key", "n_shingles", "c1", "c2", "sigs"])
-    return rows.mapInArrow(run, "key long, n_shingles long, c1 long, c2 long, sigs array<long>")
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), *(pa.array(x.view(np.int64)) for x in c),
+                     _lists(srow[order], sig[order], b - a)], names=["key", "hash", "n_shingles", "c1", "c2", "sigs"])
+    return rows.mapInArrow(run, "key long, hash long, n_shingles long, c1 long, c2 long, sigs array<long>")
 
 
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
@@ -289,22 +290,36 @@ def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: in
             found.add(written(verified(pairs, sets, num, den), "links", found.scratch))
 
 
+def _row_key(docs: DataFrame):
+    """What tells rows apart: doc_id (NULL_KEY for null) and a hash of the text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)), F.xxhash64(docs["text"].cast("binary"))
+
+
 def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the
     smallest doc_id reachable by links)."""
+    null = F.lit(NULL_KEY)
+    return _linked(docs, n, num, den).select(F.nullif("key", null).alias("doc_id"), "n_shingles",
+                                             F.nullif("lowest.key", null).alias("component_id"))
+
+
+def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """One row per row of ``docs``: key, hash, n_shingles, lowest (key and hash of the first row of
+    its component)."""
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")
-    rows = docs.select(key, F.col("text").cast("binary").alias("text"))
+    key, name = _row_key(docs)
+    rows = docs.select(key.alias("key"), docs["text"].cast("binary").alias("text"), name.alias("hash"))
     scratch: list[str] = []
     first, second, third = [], [], []
     signed = written(profiles(rows, n, num, den), "shingle-profiles", first)
     p = written(signed.drop("sigs"), "shingle-sizes", scratch)
     full = p.where("n_shingles > 0")
-    classes = written(full.groupBy("c1", "c2", "n_shingles").agg(F.min("key").alias("node")), "shingle-classes", scratch)
-    # signatures of one row per class; a class of one row is its own node
-    nodes = written(signed.where("n_shingles > 0").select("key", "c1", "c2", "sigs").join(
-        classes.select("c1", "c2", F.col("node").alias("key")), ["c1", "c2", "key"], "left_semi")
-        .select(F.col("key").alias("node"), "sigs").where(F.size("sigs") > 0), "shingle-nodes", second)
+    # a class of equal sets is one node, numbered as it is written; its first row stands for it
+    classes = full.groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("key", "hash")).alias("row"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes", scratch)
+    nodes = written(signed.where("n_shingles > 0").select("key", "hash", "c1", "c2", "sigs").join(
+        classes.select("c1", "c2", "row.key", "row.hash", "node"), ["c1", "c2", "key", "hash"])
+        .select("node", "sigs").where(F.size("sigs") > 0), "shingle-nodes", second)
     discard(spark, first)
     entries = nodes.select(F.explode("sigs").alias("sig"), "node")
     shared = written(entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-signatures", second)
@@ -314,8 +329,11 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     members = written(members.join(fame, "node").select("sig", "node", "fame"), "members-fame", scratch)
     discard(spark, third)
-    involved = members.select("node").distinct()
-    sets = written(sets_of(rows.join(involved.withColumnRenamed("node", "key"), "key", "left_semi"), n), "sets", scratch)
+    involved = members.select("node").distinct().join(classes.select("node", "row.key", "row.hash"), "node")
+    texts = rows.join(involved, ["key", "hash"]).select(F.col("node").alias("key"), "text")
+    sets = written(sets_of(texts, n), "sets", scratch)
+    if not sets.groupBy("key").count().where("count > 1").isEmpty():  # rows that repeat doc_id and text
+        sets = written(sets.dropDuplicates(["key"]), "distinct-sets", scratch)
     release(spark)
 
     found = Components()
@@ -331,23 +349,25 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     near = done.where("near").unionByName(done2.where("near")).dropDuplicates(["x", "leader"])
     _meet(near, found, sets, num, den)
 
-    out = full.select("key", "n_shingles", "c1", "c2").join(classes, ["c1", "c2", "n_shingles"])
-    out = found.of(out, "node", "component")  # the labels are written: the rows of a large class are split by the join
-    empty = p.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component"))
-    null = F.lit(NULL_KEY)
-    out = written(out.select("key", "n_shingles", "component").unionByName(empty).select(
-        F.nullif("key", null).alias("doc_id"), "n_shingles", F.nullif("component", null).alias("component_id")),
-        "jaccard-components")
+    named = written(found.of(classes, "node", "component"), "class-components", scratch)
+    lowest = written(named.groupBy("component").agg(F.min("row").alias("lowest")), "component-rows", scratch)
+    named = written(named.join(lowest, "component").select("c1", "c2", "n_shingles", "lowest"), "class-rows", scratch)
+    # the labels are written: the rows of a large class are split by the join
+    out = full.join(named, ["c1", "c2", "n_shingles"]).select("key", "hash", "n_shingles", "lowest")
+    empty = p.where("n_shingles = 0").select("key", "hash", "n_shingles", F.struct("key", "hash").alias("lowest"))
+    out = written(out.unionByName(empty), "jaccard-components")
     discard(spark, scratch + found.scratch)
     return out
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it, the smallest doc_id."""
-    gone = fresh(docs, "_gone")
-    found = link(docs, n, num, den)
-    drop = found.where("NOT component_id <=> doc_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    """``docs`` with one document (doc_id and text) of each component: the one of the smallest doc_id."""
+    gone, gone_hash = fresh(docs, "_gone"), fresh(docs, "_gone_hash")
+    found = _linked(docs, n, num, den)
+    drop = (found.where("key <> lowest.key OR hash <> lowest.hash")
+            .select(F.col("key").alias(gone), F.col("hash").alias(gone_hash)).distinct())
+    key, name = _row_key(docs)
+    return docs.join(drop, (key == F.col(gone)) & (name == F.col(gone_hash)), "left_anti")
 
 
 def op9_partenum(spark, sf_dir: str) -> DataFrame:

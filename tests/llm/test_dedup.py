@@ -1,5 +1,7 @@
 """Dedup operators against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -87,6 +89,21 @@ def test_keep_one(edge_frame, edge_docs):
     same(out.select("doc_id", "text"), [d for d, e in zip(edge_docs, brute.jaccard(edge_docs, 5, 80)) if e[2] == d[0]])
 
 
+def test_repeated_ids_with_different_texts(spark):
+    r = random.Random(3)
+    text = lambda: [f"w{r.randrange(10 ** 6)}" for _ in range(100)]
+    near = lambda w: " ".join([*w[:99], "end"])
+    a, c, e, f, g = (text() for _ in range(5))
+    docs = [(3, near(a)), (7, " ".join(a)), (7, " ".join(c)), (9, near(c)), (None, " ".join(e)), (None, near(e)), (None, " ".join(f)),
+            (12, near(f)), (15, " ".join(g)), (15, near(g)), (20, " ".join(text())), (20, " ".join(text())), (None, None), (3, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    same(partenum.link(df, 5, 80), brute.jaccard(docs, 5, 80))
+    kept = [tuple(x) for x in partenum.keep_one(df, 5, 80).collect()]
+    whole = [docs[i] for i in (0, 2, 6, 10, 11, 12, 13)]
+    assert all(kept.count(d) == 1 for d in whole) and len(kept) == len(whole) + 2
+    assert sum(d in kept for d in docs[4:6]) == 1 and sum(d in kept for d in docs[8:10]) == 1
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in r.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(30)] + [(5, 5)]
