@@ -32,8 +32,19 @@ def merge_note_lines(lines: DataFrame, note_types: list[str] | None = None, expa
 
 
 def merge_note_ids(lines: DataFrame) -> DataFrame:
-    """One row per note id: its lines in line order joined by a blank, with the note's attributes."""
-    return lines.groupBy("note_id").agg(
+    """One row per note id: its distinct lines in line order joined by a blank, with the note's
+    attributes. Lines without a note id (null, or no such column) are distinct rows of their own
+    encounter, under a key derived from the row (negative, or "row-..." for text ids)."""
+    row = ["encounter_id", "note_type", "author_type", "author_service", "note_text"]
+    given = F.col("note_id") if "note_id" in lines.columns else F.lit(None).cast("long")
+    values = F.to_json(F.struct(*row))
+    if dict(lines.dtypes).get("note_id") == "string":
+        derived = F.concat(F.lit("row-"), F.sha2(values, 256))
+    else:
+        derived = -F.xxhash64(values).bitwiseAND(F.lit((1 << 62) - 1)) - 1
+    distinct = lines.select(F.coalesce(given, derived).alias("note_id"), *row,
+                            F.when(given.isNotNull(), F.col("line")).alias("line")).distinct()
+    return distinct.groupBy("note_id").agg(
         F.min("encounter_id").alias("encounter_id"), F.min("note_type").alias("note_type"),
         F.min("author_type").alias("author_type"), F.min("author_service").alias("author_service"),
         ordered_join([F.col("line")], F.coalesce(F.col("note_text"), F.lit("None")), " ").alias("note_text"))

@@ -83,3 +83,23 @@ def test_section_filter_in_any_case(spark):
     df = spark.createDataFrame([(1, text)], "id long, text string")
     assert sc.filter_sections(df, "text").first()["text"] == text
     assert sc.filter_sections(df, "text", ignore_case=True).first()["text"] == "fell cast"
+
+
+def test_merge_note_ids_distinct_lines_and_missing_ids(spark):
+    from caseflow.plans.notes import merge_note_ids
+    cols = ["encounter_id", "note_type", "author_type", "author_service", "line", "note_text"]
+    line = lambda e, n, t: (e, "ED Provider Notes", "MD", "Emergency", n, t)
+    rows = [(10, *line(1, 1, "a")), (10, *line(1, 1, "a")), (10, *line(1, 2, "a")), (10, *line(1, 3, "b")),
+            (None, *line(2, 1, "x")), (None, *line(2, 1, "x")), (None, *line(2, 2, "y")), (None, *line(3, 1, "x"))]
+    want = {(1, "a a b"), (2, "x"), (2, "y"), (3, "x")}
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "note_id long, encounter_id long, note_type string, author_type string, "
+                                   "author_service string, line int, note_text string")
+        df = df.withColumn("note_id", df["note_id"].cast(kind))
+        got = merge_note_ids(df).collect()
+        assert len(got) == 4 and {(r["encounter_id"], r["note_text"]) for r in got} == want
+        assert len({r["note_id"] for r in got}) == 4 and None not in {r["note_id"] for r in got}
+        again = merge_note_ids(df.repartition(3)).collect()
+        assert {r["note_id"] for r in again} == {r["note_id"] for r in got}  # so that a second batch appends nothing
+    none = merge_note_ids(df.select(*cols)).collect()
+    assert sorted((r["encounter_id"], r["note_text"]) for r in none) == [(1, "a"), (1, "b"), (2, "x"), (2, "y"), (3, "x")]
