@@ -12,6 +12,7 @@ from caseflow.llm.radix_dedup import op2_radix_dedup
 from caseflow.llm.rlz_dedup import op1_rlz_dedup
 from caseflow.llm.secret_scan import op5_secret_scan
 from caseflow.llm.sentencepiece import op7_sentencepiece
+from caseflow.llm.simhash import op11_simhash
 from caseflow.llm.suffix_dedup import op3_suffix_dedup
 from caseflow.llm.token_align import op13_token_align
 from caseflow.llm.url_filter import op8_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_partenum": op9_partenum,
     "op10_language_id": op10_language_id,
+    "op11_simhash": op11_simhash,
     "op13_token_align": op13_token_align,
     "pipeline": corpus_pipeline.run,
 }
