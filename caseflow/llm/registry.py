@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from caseflow.llm import sql
+from caseflow.llm.collocations import op12_collocations
 from caseflow.llm.decontaminate import op6_decontaminate
 from caseflow.llm.katz import op4_katz
 from caseflow.llm.language_id import op10_language_id
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_partenum": op9_partenum,
     "op10_language_id": op10_language_id,
     "op11_simhash": op11_simhash,
+    "op12_collocations": op12_collocations,
     "op13_token_align": op13_token_align,
     "pipeline": corpus_pipeline.run,
 }
@@ -39,6 +41,7 @@ ORACLE = {
     "op4_katz": sql.OP4,
     "op6_decontaminate": sql.OP6,
     "op9_partenum": sql.OP9,
+    "op12_collocations": sql.OP12,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -106,3 +106,25 @@ r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.b FROM r JO
 SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reach) AS component_id
 FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower('text')}, '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k AS size, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, size, g, f AS a, string_split(g, ' ') AS w FROM f WHERE size >= 2),
+cut AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+             JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:c.k], ' ')
+             JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[c.k + 1:], ' ')),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, max(a) AS f
+           FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM c WHERE size > 2))
+           GROUP BY ALL),
+kept AS (SELECT worst.*, n.n FROM worst JOIN n USING (lang) LEFT JOIN longer USING (lang, g)
+         WHERE longer.f IS NULL OR 100 * longer.f < 80 * worst.a)
+SELECT lang, rank, g AS phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept) WHERE rank <= 2000
+"""
