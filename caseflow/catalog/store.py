@@ -35,7 +35,7 @@ def subjects_build(spark, d):
 
 @register("encounters_build", fx.with_views("""
 SELECT e.encounter_id, e.subject_id, e.sex, e.age, e.arrival_date, e.arrival_time, e.day_of_week, n.full_narrative,
-       r.remark AS notes, e.postal_code, e.chief_complaint, e.diagnosis, e.disposition, e.ctas, e.los, e.score
+       r.remark AS notes, e.postal_code, e.address, e.city, e.province, e.chief_complaint, e.diagnosis, e.disposition, e.ctas, e.los, e.score
 FROM encounters e
 JOIN (SELECT encounter_id, string_agg(note_type || chr(10) || chr(10) || note_text, chr(10) || chr(10)
              ORDER BY list_position(['ED Triage Notes', 'ED Provider Notes', 'PS Initial Consult', 'Consults',

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseflow import fixtures as fx
 from caseflow.catalog import ORACLE, register
+from caseflow.catalog import sqlfrag as q
 from caseflow.catalog.sources import DUMP_HEADER, write_document_dump
 from caseflow.catalog.text import collapse_sql, expand_sql
 from caseflow.plans.daily import daily_batch
@@ -134,7 +135,7 @@ def pipeline_daily(spark, d):
     sections, de-identify, build and store every table, flag with the learned cutoff, code the
     cases. Returns the stored processed notes with the case codes."""
     from caseflow.catalog.coding import BATCH_START
-    t = daily_batch(_batch_sources(spark, d), scratch_path(spark, "daily"), BATCH_START)
+    t = daily_batch(_batch_sources(spark, d), scratch_path(spark, "daily"), BATCH_START, grain="month")
     return (t["processed_notes"].join(t["flagged"].select("encounter_id", "is_case"), "encounter_id", "inner")
             .join(t["case_report"].select("encounter_id", "no1", "bp1", "disp", "am_pm"), "encounter_id", "left")
             .select("encounter_id", F.col("note_text").alias("processed_notes"), "is_case", "no1", "bp1", "disp", "am_pm"))
@@ -156,10 +157,72 @@ def pipeline_daily_tables(spark, d):
     """Rows per stored table after running the same batch twice: the second run adds nothing."""
     from caseflow.catalog.coding import BATCH_START
     root = scratch_path(spark, "daily")
-    daily_batch(_batch_sources(spark, d), root, BATCH_START)
-    t = daily_batch(_batch_sources(spark, d), root, BATCH_START)
+    daily_batch(_batch_sources(spark, d), root, BATCH_START, grain="month")
+    t = daily_batch(_batch_sources(spark, d), root, BATCH_START, grain="month")
     out = None
     for name in ("subjects", "encounters", "processed_notes", "notes", "problems", "referrals", "summaries"):
         n = t[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+# ---------------------------------------------------------------- late lines
+def _late_tables(spark, d, replay: bool = True) -> dict:
+    """The stored tables after two days: the first brings every visit's first two lines, the second the
+    rest (late lines of stored visits). With ``replay`` both days come once more, in the same order."""
+    from caseflow.catalog.coding import BATCH_START
+    root = scratch_path(spark, "daily-late")
+    src = _batch_sources(spark, d)
+    days = [{**src, "lines": src["lines"].where("line <= 2")}, {**src, "lines": src["lines"].where("line > 2")}]
+    for day in days * 2 if replay else days:
+        t = daily_batch(day, root, BATCH_START, grain="month")
+    return t
+
+
+@register("pipeline_daily_late", fx.with_views("""
+SELECT note_id, min(encounter_id) AS encounter_id, min(note_type) AS note_type,
+       string_agg(coalesce(note_text, 'None'), ' ' ORDER BY line, coalesce(note_text, 'None')) AS note_text
+FROM (SELECT DISTINCT * FROM lines) GROUP BY note_id""", lines=fx.NOTE_LINES_SQL))
+def pipeline_daily_late(spark, d):
+    """Stored notes after late lines and a replay of both days: as if all lines had come at once."""
+    return _late_tables(spark, d)["notes"].select("note_id", "encounter_id", "note_type", "note_text")
+
+
+@register("pipeline_daily_vectors", f"""
+WITH merged AS (SELECT * FROM ({_daily_sql()})),
+tok AS (SELECT encounter_id, unnest({q.tokens('processed_notes')}) AS t FROM merged),
+cnt AS (SELECT encounter_id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 1024 AS bucket, count(*) AS c FROM tok GROUP BY ALL)
+SELECT encounter_id, bucket, CAST(c / sqrt(sum(c * c) OVER (PARTITION BY encounter_id)) AS FLOAT) AS weight FROM cnt""")
+def pipeline_daily_vectors(spark, d):
+    """The stored vectors of the processed notes, by their places that are not zero."""
+    from caseflow.catalog.coding import BATCH_START
+    t = daily_batch(_batch_sources(spark, d), scratch_path(spark, "daily"), BATCH_START, grain="month")
+    return t["processed_notes"].select("encounter_id", F.posexplode("vec").alias("bucket", "weight")).where("weight <> 0").select(
+        "encounter_id", F.col("bucket").cast("long").alias("bucket"), "weight")
+
+
+_QUERY = {"semantic": {"description": "patient fell and hurt the left hand", "detail_level": 2, "limit": 50}}
+
+
+def _similar_sql() -> str:
+    from caseflow.operators.embed import embed_query
+    q_ = {i: w for i, w in enumerate(embed_query(_QUERY["semantic"]["description"])) if w}
+    values = ", ".join(f"({i}, CAST({w!r} AS DOUBLE))" for i, w in q_.items())
+    return f"""WITH vec AS ({ORACLE["pipeline_daily_vectors"]}),
+sim AS (SELECT m.encounter_id, 1.0 - coalesce(sum(v.weight::DOUBLE * p.w), 0.0) AS distance
+        FROM (SELECT DISTINCT encounter_id FROM vec) m LEFT JOIN vec v USING (encounter_id)
+             LEFT JOIN (VALUES {values}) p(bucket, w) ON p.bucket = v.bucket GROUP BY m.encounter_id)
+SELECT encounter_id, round(distance, 5) AS distance FROM sim ORDER BY distance, encounter_id LIMIT 50"""
+
+
+@register("pipeline_daily_nearest", _similar_sql())
+def pipeline_daily_nearest(spark, d):
+    """A description in words against the vectors that the batch stored: its 50 nearest visits."""
+    from caseflow.catalog.coding import BATCH_START
+    from caseflow.operators import embed as em
+    from caseflow.operators import search as se
+    t = daily_batch(_batch_sources(spark, d), scratch_path(spark, "daily"), BATCH_START, grain="month")
+    spec = _QUERY["semantic"]
+    hits = se.semantic_search(t["processed_notes"], em.embed_query(spec["description"]), "cosine", spec["limit"],
+                              lambda top, **_: top, unit=True)
+    return hits.select("encounter_id", F.round("distance", 5).alias("distance"))

@@ -34,11 +34,42 @@ def hash_embed(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) ->
 
 
 def dense_embed(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) -> DataFrame:
-    """(key, vec): the same vectors at their fixed length, as stored for searches."""
-    rows = hash_embed(df, key, text_col, dim).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight"))).alias("_w"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("_w", i), F.lit(0.0)))
-    return rows.select(key, vec.alias("vec"))
+    """(key, vec): the same vectors at their fixed length, of unit length.
+
+    One aggregate gathers a text's counts (at most ``dim``) in bucket order; each count then brings
+    the zeros before it, so the array is written once from left to right without look-ups.
+    Texts without a term have no row; ``with_vectors`` gives them zeros.
+    """
+    from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
+    toks = (df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0)).alias("t"))
+            .where(~F.col("t").isin(ENGLISH_STOP_WORDS)))
+    counts = toks.groupBy(key, term_bucket(F.col("t"), dim).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("c"))
+    rows = counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("_e"),
+                                   F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_norm"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    before = F.concat(F.array(F.lit(-1)), F.col("_e.bucket"))
+    pieces = F.zip_with("_e", F.slice(before, F.lit(1), F.size("_e")), lambda x, last: F.concat(
+        zeros(x["bucket"] - last - 1), F.array(x["c"] / F.col("_norm"))))
+    return rows.select(key, F.concat(F.flatten(pieces), zeros(dim - 1 - F.element_at("_e.bucket", -1))).alias("vec"))
+
+
+def with_vectors(df: DataFrame, key: str, text_col: str, dim: int = SMALL_DIM) -> DataFrame:
+    """``df`` (one row per key) with the vector of its text as ``vec``, in floats as stored; all zeros without terms."""
+    none = F.array_repeat(F.lit(0.0), dim)
+    out = df.join(dense_embed(df, key, text_col, dim), key, "left")
+    return out.select(*df.columns, F.coalesce("vec", none).cast("array<float>").alias("vec"))
+
+
+def keep_vectors(df: DataFrame, stored: DataFrame | None, key: str, text_col: str, dim: int = SMALL_DIM) -> DataFrame:
+    """``df`` with vectors: that of the stored row of the same key where the text is the same, a new one
+    where the text is new or has changed."""
+    if stored is None:
+        return with_vectors(df, key, text_col, dim)
+    old = stored.select(key, F.col(text_col).alias("_text"), "vec")
+    both = df.join(old, key, "left")
+    same = F.col("vec").isNotNull() & F.col("_text").eqNullSafe(F.col(text_col))
+    changed = both.where(~same).select(*df.columns)
+    return both.where(same).select(*df.columns, "vec").unionByName(with_vectors(changed, key, text_col, dim))
 
 
 def embed_query(text: str, small: bool = False) -> list[float]:

@@ -85,25 +85,29 @@ def nearest(vectors: DataFrame, qvec: list[float], metric: str = "cosine", *, li
     return scored.orderBy(F.col("distance").asc(), F.col(key).asc()).limit(limit)
 
 
+def _metric(metric: str, vec_col: str, qvec: list[float], unit: bool):
+    if unit:
+        return vx.unit_metric_columns(metric, F.col(vec_col), qvec)
+    return vx.metric_columns(metric, F.col(vec_col), F.array(*[F.lit(float(x)) for x in qvec]))
+
+
 def semantic_search(vectors: DataFrame, qvec: list[float], metric: str = "cosine",
                     limit: int | None = None, cutoff: Callable | None = None,
-                    bypass_below: int = 0, key: str = KEY, vec_col: str = "vec") -> DataFrame:
+                    bypass_below: int = 0, key: str = KEY, vec_col: str = "vec", unit: bool = False) -> DataFrame:
     """Neighbours, then the automatic cutoff on descending similarity. ``limit`` keeps the
     nearest k first, ``bypass_below`` keeps a shorter hit list whole; unset, every row is
-    ranked and the cutoff always acts."""
-    q = F.array(*[F.lit(float(x)) for x in qvec])
-    dist, sim = vx.metric_columns(metric, F.col(vec_col), q)
+    ranked and the cutoff always acts. ``unit`` states that stored vectors have unit length."""
+    dist, sim = _metric(metric, vec_col, qvec, unit)
     scored = vectors.select(key, dist.alias("distance"), sim.alias("similarity"))
     return _cut_scored(scored, limit, cutoff, bypass_below, key)
 
 
 def chunk_semantic_search(chunks: DataFrame, notes: DataFrame, qvec: list[float], metric: str = "cosine",
                           limit: int | None = None, cutoff: Callable | None = None,
-                          bypass_below: int = 0) -> DataFrame:
+                          bypass_below: int = 0, unit: bool = False) -> DataFrame:
     """Chunk-level search: chunks joined to their note's encounter, best (smallest)
     distance per encounter, then the same cut as ``semantic_search``."""
-    q = F.array(*[F.lit(float(x)) for x in qvec])
-    dist, sim = vx.metric_columns(metric, F.col("vec"), q)
+    dist, sim = _metric(metric, "vec", qvec, unit)
     per_chunk = chunks.select("note_id", dist.alias("distance"), sim.alias("similarity"))
     per_enc = (per_chunk.join(notes.select("note_id", KEY), "note_id", "inner")
                .groupBy(KEY).agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity")))

@@ -45,8 +45,8 @@ def build_encounters(visits: DataFrame, subjects: DataFrame, lines: DataFrame) -
                     ff.age_years("arrival_date", "dob").alias("age"), "arrival_date",
                     F.date_format("arrival_ts", "HH:mm:ss").alias("arrival_time"),
                     ff.weekday_name("arrival_date").alias("day_of_week"),
-                    "full_narrative", F.col("remark").alias("notes"), "postal_code", "chief_complaint", "diagnosis",
-                    "disposition", ff.triage_level("ctas_raw").alias("ctas"), "los", "score"))
+                    "full_narrative", F.col("remark").alias("notes"), "postal_code", "address", "city", "province",
+                    "chief_complaint", "diagnosis", "disposition", ff.triage_level("ctas_raw").alias("ctas"), "los", "score"))
 
 
 def build_problems(problem_lists: DataFrame, col: str = "problem_list") -> DataFrame:

@@ -51,9 +51,9 @@ def keyword_keys(tables: dict[str, DataFrame], spec: dict) -> DataFrame | None:
 
 
 def semantic_keys(tables: dict[str, DataFrame], spec: dict, embed: Callable, cutoff: Callable | None,
-                  bypass_below: int) -> DataFrame:
+                  bypass_below: int, unit: bool = False) -> DataFrame:
     """Keys of a meaning part. ``embed(text, small)`` turns the description into a vector of
-    the length the level's table holds (small for chunks)."""
+    the length the level's table holds (small for chunks); ``unit``: stored vectors have unit length."""
     level = spec.get("detail_level", 1)
     name = _level(SEMANTIC_LEVELS, level, "semantic")
     metric = spec.get("metric", "cosine")
@@ -61,8 +61,8 @@ def semantic_keys(tables: dict[str, DataFrame], spec: dict, embed: Callable, cut
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     vec = embed(spec["description"], level == 3)
     if level == 3:
-        return se.chunk_semantic_search(tables[name], tables["notes"], vec, metric, spec.get("limit"), cutoff, bypass_below)
-    return se.semantic_search(_table(tables, name), vec, metric, spec.get("limit"), cutoff, bypass_below)
+        return se.chunk_semantic_search(tables[name], tables["notes"], vec, metric, spec.get("limit"), cutoff, bypass_below, unit)
+    return se.semantic_search(_table(tables, name), vec, metric, spec.get("limit"), cutoff, bypass_below, unit=unit)
 
 
 def rerank_keys(tables: dict[str, DataFrame], keys: DataFrame, spec: dict, relevance: Callable) -> DataFrame:
@@ -74,13 +74,14 @@ def rerank_keys(tables: dict[str, DataFrame], keys: DataFrame, spec: dict, relev
 
 
 def search_keys(tables: dict[str, DataFrame], query: dict, embed: Callable | None = None, cutoff: Callable | None = None,
-                bypass_below: int = 0, cases_only: bool = False, relevance: Callable = em.overlap_relevance) -> DataFrame:
-    """The keys that a query dict finds."""
+                bypass_below: int = 0, cases_only: bool = False, relevance: Callable = em.overlap_relevance,
+                unit: bool = False) -> DataFrame:
+    """The keys that a query dict finds. ``unit`` for the tables of the daily batch, whose vectors have unit length."""
     unknown = set(query) - {"keywords", "semantic", "filters", "rerank"}
     if unknown:
         raise ValueError(f"unknown parts of a query: {sorted(unknown)}")
     kw = keyword_keys(tables, query["keywords"]) if query.get("keywords") else None
-    sem = (semantic_keys(tables, query["semantic"], embed or em.embed_query, cutoff, bypass_below)
+    sem = (semantic_keys(tables, query["semantic"], embed or em.embed_query, cutoff, bypass_below, unit)
            if query.get("semantic") else None)
     keys = se.combined_search(kw, sem, tables, query.get("filters"), tables["case_report"] if cases_only else None)
     if keys is None:
