@@ -145,7 +145,7 @@ SELECT e.encounter_id, x.bp AS body_part FROM encounters e LEFT JOIN expected x
     expected=values_sql(), **ENC))
 def code_body_part(spark, d):
     e = tb.stored_encounters(spark, d)
-    return e.select("encounter_id", cd.body_part(F.lower(F.col("diagnosis"))).alias("body_part"))
+    return e.select("encounter_id", cd.body_part("lower(diagnosis)").alias("body_part"))
 
 
 @register("code_nature", fx.with_views("""

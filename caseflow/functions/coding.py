@@ -1,202 +1,73 @@
 """Coded fields derived from free text: body part, nature of injury, disposition.
 
 Every test is a substring test on the lower-cased diagnosis, and the first rule
-that fires wins (an ordered ``when`` chain). The rules are data: each row names a
-code, the condition over substrings, and (for nature) how the body part is found.
+that fires wins. The rules are a table in ``rules.injury``; here each table becomes one
+ordered ``CASE``, handed to Spark as one SQL expression.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseflow.rules.conditions import has, has_all
+from caseflow.rules.injury import BODY_PART_ROWS, LOOKUP, NATURE_ROWS
 from caseflow.rules.vocab import DISP_ADMITTED, DISP_LEFT
 
 
-class Dx:
-    """Substring predicates over one lower-cased text column."""
-
-    def __init__(self, col: Column):
-        self.c = col
-
-    def any(self, *subs: str) -> Column:
-        return reduce(lambda a, b: a | b, [self.c.contains(s) for s in subs])
-
-    def all(self, *subs: str) -> Column:
-        return reduce(lambda a, b: a & b, [self.c.contains(s) for s in subs])
-
-    def none(self, *subs: str) -> Column:
-        return ~self.any(*subs)
-
-
-def body_part_rules(d: Dx) -> list[tuple[int, Column]]:
-    a, n, al = d.any, d.none, d.all
-    return [
-        (560, (a("foot") & n("phalan") | a("metatarsal")) & n("toe")),
-        (110, a("head") & n("radial", "forehead") | a("scalp", "skull")),
-        (120, a("mandible") | a("face") & n("surface") | a("eyelid", "periocular", "area")
-              | a("ear") & n("forearm", "frenulum") | a("nose", "mouth", "jaw", "nasal", "facial", "chin", "cheek",
-                                                        "eyebrow")
-              | a("lip") & n("slipped", "frenulum") | a("forehead", "sinus", "orbital", "epistaxis")
-              | al("nose", "bleed") | a("palsy") | al("tympanic", "membrane")),
-        (130, al("internal", "mouth") | a("palate", "tongue") | al("tear", "frenulum", "lip")),
-        (140, a("neck") & n("femur", "radial", "fibula", "tibula", "fib", "tib", "tibia")),
-        (141, a("upper", "impact") & a("esophag") | a("trachea", "pharyngeal", "laryngeal")),
-        (210, a("cervical")),
-        (220, a("thoracic")),
-        (230, a("lumbar")),
-        (240, a("sacrum", "coccyx")),
-        (250, a("spine")),
-        (310, a("thorax", "ribs", "lungs", "armpits", "lower esophagus", "trachea", "chest", "aspirat")),
-        (315, a("upper back", "trapeziu")),
-        (321, a("abdom", "colon") | a("foreign") & a("ingestion", "intestine") | a("stomach", "kidney")
-              | a("sple") & n("cyst", "splenomegaly", "disease") | a("gastrointestinal tract", "liver")),
-        (322, a("lower back", "flank")),
-        (323, a("pelvis", "bladder", "buttocks", "rectum", "vagina", "anal")),
-        (324, a("penis", "circumcision", "penile", "scrot", "testic")),
-        (325, a("groin")),
-        (330, a("back")),
-        (410, a("shoulder", "scapula") | a("proximal") & a("humerus", "humeral")),
-        (415, a("clavic")),
-        (420, a("upper arm", "humerus", "humeral") & n("condyl", "distal", "proximal")),
-        (430, a("elbow") | a("distal") & a("humerus", "humeral") | a("condyl")
-              | a("radial") & a("head", "neck") | a("ulna") & a("head", "neck") | a("olecranon")
-              | a("proximal") & a("radius", "radial", "ulna")),
-        (440, (a("forearm", "radius", "ulna", "monteggia") | al("lower", "arm") | a("radial"))
-              & n("distal", "proximal", "upper")),
-        (450, a("wrist", "carpal") & n("metacarpal") | a("distal") & a("radius", "radial", "ulna")
-              | a("scaphoid") | al("forearm", "lower")),
-        (460, a("hand") & n("phalan") | a("metacarpal", "boxer")),
-        (470, a("finger", "thumb", "phalan") & (n("foot") | n("toe"))),
-        (510, a("hip") | al("neck", "femur") | a("proximal") & a("femur", "femoral") | al("fem", "neck")
-              | al("slipped", "femoral")),
-        (520, a("thigh") | n("distal", "proximal") & a("femur", "femoral")),
-        (530, a("knee", "patella") | a("distal") & a("femur", "femoral") | a("proximal") & a("tibia", "fibula")
-              | al("tibia", "plateau")),
-        (540, a("lower leg", "tibia", "fibula") & n("distal", "proximal")),
-        (550, a("ankle", "tarsal") | a("distal") & a("tibia", "fibula") | a("tillaux")),
-        (570, a("toe", "phalan")),
-    ]
-
-
-LOOKUP = "lookup"  # body part found by the body-part rules
-
-
-def nature_rules(d: Dx) -> list[tuple[int, Column, object]]:
-    """(nature code, condition, body part: fixed code or LOOKUP), in firing order."""
-    a, n, al = d.any, d.none, d.all
-    eye = a("globe", "cornea", "eye", "ocular")
-    fb = a("foreign", "fb")
-    return [
-        (10, a("abrasion") & n("globe", "cornea", "eye", "ocular", "canal")
-             | (a("bruis", "contusion") | a("hematoma") & n("subdural")) & n("subungual")
-             | a("superficial") & n("cut", "laceration", "burn", "swelling") & (n("kidney") | n("spleen") | n("splenic"))
-             | al("abrasion", "eyelid"), LOOKUP),
-        (11, (a("open wound", "laceration") | al("minor", "cut") | al("nail", "avulsion") | a("circumcision")
-              | a("fissure", "epistaxis") | al("self", "cut") | al("dehiscence", "wound") | al("nose", "bleed"))
-             & n("liver", "splenic") | al("tear", "frenulum", "lip"), LOOKUP),
-        (12, a("fracture", "fx", "broken") & n("tooth", "patholog"), LOOKUP),
-        (13, a("dislocation", "subluxation") | al("slipped", "femoral"), LOOKUP),
-        (14, a("sprain", "strain"), LOOKUP),
-        (15, a("nerve", "palsy") & n("oedema"), LOOKUP),
-        (16, a("blood vessel", "subungual"), LOOKUP),
-        (17, a("tendon", "muscle") & a("injury", "rupture", "sever"), LOOKUP),
-        (18, a("crush"), LOOKUP),
-        (19, a("amputation"), LOOKUP),
-        (20, a("burn", "corrosion") & n("globe", "cornea", "eye", "ocular"), LOOKUP),
-        (21, a("frostbite"), LOOKUP),
-        (22, a("bite") & n("insect") | a("dog", "squirrel", "racoon", "cat", "human") & n("medication", "complication"),
-         LOOKUP),
-        (23, a("electric"), LOOKUP),
-        (24, a("corrosion", "chemical", "injur", "burn", "abrasion", "trauma", "hyphema") & eye
-             | a("eye", "ocular") & a("pain") | al("visual", "disturbance")
-             | a("conjunctival") & a("haemorrhage", "hemorrhage"), 135),
-        (25, a("dental", "tooth", "teeth")
-             & a("injury", "fracture", "trauma", "chip", "pain", "implant", "device", "avulsion", "impact"), 135),
-        (26, a("kidney", "spleen", "splenic") | al("ear", "canal") | a("liver") & a("injury", "abrasion", "laceration")
-             | a("perforated tympanic membrane"), LOOKUP),
-        (27, (a("pain") & n("sickle", "disorder") | al("soft", "tissue") & n("cyst", "mass")
-              | a("swelling") & n("eye") | al("testicular", "torsion") | a("injury"))
-             & n("infection", "foreign", "fb"), LOOKUP),
-        (31, a("foreign") & eye, 135),
-        (32, (al("foreign", "ear") | a("auditory") & n("hallucination")) & n("earlobe") | al("fb", "ear"), 135),
-        (33, fb & a("nose", "nasal", "nostril", "sinus", "nare"), 135),
-        (34, fb & a("respira", "aspiration", "choking", "air", "laryngeal") | a("gagging"), LOOKUP),
-        (35, fb & a("pharyngeal", "intestine", "digestive", "stomach", "ingestion", "colon", "alimentary", "esophag",
-                    "swallow") | al("impaction", "esophagus"), LOOKUP),
-        (36, a("foreign") & a("genito-urinary", "bladder", "penis", "urethra", "vagina"), LOOKUP),
-        # The body-part test inside this rule never fails, so any foreign body qualifies.
-        (37, fb | a("splinter"), LOOKUP),
-        (41, al("minor", "head") | al("head", "injury") | al("head", "trauma"), 135),
-        (42, a("concussion"), 135),
-        (43, a("intracranial") | a("brain") & n("tumor", "tumour", "cancer") | a("subarachnoid")
-             | al("subdural", "hematoma") | a("intraventricular") & a("haemorrhage", "hemorrhage"), 135),
-        (50, a("poison", "toxic", "overdose", "ingestion"), 900),
-        (51, a("drown", "immersion"), 900),
-        (52, a("asphyxia", "choking"), 900),
-        (53, a("overexertion") | al("heat", "stress") | al("cold", "stress"), 900),
-        (70, al("no", "injury") & n("nose"), 900),
-        (71, a("mania", "depressi", "aggressi", "psychosis") | a("tic") & (F.length(d.c) == 3)
-             | a("stress", "anxiety") & n("fracture", "respira") | a("overdose", "hallucination", "anorexia", "poison",
-                                                                   "intoxication")
-             | a("medication", "anger", "night", "behavi", "mental", "disorder", "social", "sleep", "learning", "mood",
-                 "weight")
-             & a("adjustment", "management", "terror", "reaction", "depressed", "concern", "bizarre", "mood", "food",
-                 "conversion", "eat", "depress", "motor", "tic", "compulsive", "problem", "change", "health",
-                 "abnormal", "aggressive", "disturbance", "difficult", "loss")
-             | a("tic") & a("facial", "simple") | a("suicid", "violent", "ocd") | al("drug", "ingestion")
-             | al("self", "harm") | a("panic", "emotional", "disruptive", "temper") | al("food", "refusal")
-             | a("banging") | a("behavi") & a("change", "concern") & n("neurologic")
-             | a("mental", "behavi") & a("disorder"), 900),
-        (75, al("pulled", "elbow") | a("nursemaid"), 430),
-        (76, a("caustic"), LOOKUP),
-        (77, a("stab") & n("instability") | a("bullet", "penetrat"), LOOKUP),
-    ]
-
-
-def _chain(rules: list[tuple[Column, Column]], default: Column) -> Column:
-    out = None
-    for cond, val in rules:
-        out = F.when(cond, val) if out is None else out.when(cond, val)
-    return default if out is None else out.otherwise(default)
-
-
-def body_part(dx_lower: Column) -> Column:
-    d = Dx(dx_lower)
-    return _chain([(c, F.lit(code)) for code, c in body_part_rules(d)], F.lit(None).cast("int"))
-
-
-def nature_and_body(dx_lower: Column, bp: Column) -> Column:
-    """struct(no, bp) for a lower-cased diagnosis; ``bp`` is the body-part column.
-
-    A first test handles facial/skull fractures and subungual hematomas; the main
-    chain then overrides it when one of its rules fires. "injury"/"trauma" alone sets
-    only the body part, and a tibia-and-fibula text always takes the looked-up body part.
-    The chain yields (no, fixed body part, use-lookup flag) so that ``bp`` appears once
-    in the expression (the body-part chain is large; repeating it would blow up codegen).
-    """
-    d = Dx(dx_lower)
+def _case(rows: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in rows) + f" ELSE {default} END"
+
+
+@cache
+def body_part_sql(column: str) -> str:
+    """Body part code of a lower-cased diagnosis column, as SQL."""
+    return _case([(cond.sql(column), str(code)) for code, cond in BODY_PART_ROWS], "CAST(NULL AS INT)")
+
+
+def _name(column: Column | str) -> str:
+    """A column's SQL text; of a Column, only a plain name has one that can be relied on."""
+    if isinstance(column, str):
+        return column
+    name = str(column)[len("Column<'"):-len("'>")]
+    if not name.isidentifier():
+        raise TypeError(f"give SQL text or a named column, not {column}")
+    return name
 
+
+def body_part(column: Column | str) -> Column:
+    return F.expr(body_part_sql(_name(column)))
+
+
+@cache
+def nature_sql(column: str) -> str:
+    """struct(no, fixed body part, whether the body part is looked up), as SQL.
+
+    A first test handles facial/skull fractures and subungual hematomas; the rows then
+    override it when one of them fits. "injury"/"trauma" alone sets only the body part.
+    """
     def st(no, fixed, look):
-        return F.struct(F.lit(no).cast("int").alias("no") if not isinstance(no, Column) else no.cast("int").alias("no"),
-                        F.lit(fixed).cast("int").alias("fixed"), F.lit(look).alias("look"))
-
-    pre = (F.when(d.any("facial", "skull") & d.any("fracture"), st(42, 135, False))
-           .when(d.all("subungual", "hematoma"), st(10, None, True))
-           .otherwise(st(None, None, False)))
-    rules = [(c, st(code, None if b == LOOKUP else b, b == LOOKUP)) for code, c, b in nature_rules(d)]
-    rules.append((d.any("injury", "trauma"), st(pre["no"], None, True)))
-    main = _chain(rules, pre)
-    tibia_fibula = d.all("tibia", "fibula")
-
-    def finish(m):
-        look = F.coalesce(m["look"] | tibia_fibula, F.lit(False))
-        return F.struct(m["no"].alias("no"), F.when(look, bp).otherwise(m["fixed"]).cast("int").alias("bp"))
-    # ``main`` is bound once (as the fold's start value) and read through a variable,
-    # so the rule chain is not copied into each field of the result
-    return F.aggregate(F.array(F.lit(0)), main, lambda acc, _x: acc, finish)
+        return (f"named_struct('no', CAST({'NULL' if no is None else no} AS INT), "
+                f"'fixed', CAST({'NULL' if fixed is None else fixed} AS INT), 'look', {str(look).lower()})")
+
+    first = [((has("facial", "skull") & has("fracture")).sql(column), (42, 135, False)),
+             (has_all("subungual", "hematoma").sql(column), (10, None, True))]
+    rows = [(cond.sql(column), st(code, None if b == LOOKUP else b, b == LOOKUP)) for code, cond, b in NATURE_ROWS]
+    no = _case([(c, str(v[0])) for c, v in first], "NULL")
+    rows.append((has("injury", "trauma").sql(column), st(no, None, True)))
+    return _case(rows, _case([(c, st(*v)) for c, v in first], st(None, None, False)))
+
+
+def nature_and_body(column: Column | str, bp: Column | str) -> Column:
+    """struct(no, bp) for a lower-cased diagnosis column; ``bp`` is the body-part column. A
+    tibia-and-fibula text always takes the looked-up body part. The chain is bound once (as the
+    fold's start value) and read through a variable, so it is not copied into each field."""
+    column, bp = _name(column), _name(bp)
+    tibia = has_all("tibia", "fibula").sql(column)
+    return F.expr(f"""aggregate(array(0), {nature_sql(column)}, (acc, x) -> acc, m -> named_struct(
+        'no', m.no, 'bp', CAST(CASE WHEN coalesce(m.look OR {tibia}, false) THEN {bp} ELSE m.fixed END AS INT)))""")
 
 
 def disposition_code(remark: Column, disposition: Column, no1: Column, bp1: Column) -> Column:

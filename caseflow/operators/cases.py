@@ -89,8 +89,9 @@ def build_cases(flagged: DataFrame, parsed: DataFrame, encounters: DataFrame, re
             .join(remarks.join(keys, KEY, "left_semi"), KEY, "left"))
     base = case_defaults(base).withColumn("intent", F.col("intent").cast("string"))
     dx = F.lower(F.coalesce(F.col("diagnosis"), F.lit("none")))
-    base = cd.pin(base, _bp=cd.body_part(dx))
-    base = cd.pin(base, _nb=cd.nature_and_body(dx, F.col("_bp")))
+    dx_sql = "lower(coalesce(diagnosis, 'none'))"
+    base = cd.pin(base, _bp=cd.body_part(dx_sql))
+    base = cd.pin(base, _nb=cd.nature_and_body(dx_sql, "_bp"))
     device = F.col("chief_complaint") == "Medical Device Problem"
     c = cd.pin(base, no1=F.when(device, F.lit(99)).otherwise(F.col("_nb.no")),
                bp1=F.when(device, F.lit(999)).otherwise(F.col("_nb.bp")))
