@@ -46,6 +46,70 @@ def keyword_search(spark, d):
     return se.keyword_keys(_summaries(spark, d), "summary_text", POS, NEG)
 
 
+def _stem_sql(text: str) -> str:
+    from caseflow.functions.stems import stem_sql
+    return stem_sql(f"SELECT DISTINCT unnest({q.terms(text)}) AS term FROM summaries "
+                    "UNION SELECT unnest(['running', 'handed', 'ques'])")
+
+
+HAS_SQL = f"""SELECT DISTINCT s.encounter_id, x.stem
+FROM (SELECT encounter_id, unnest({q.terms('summary_text')}) AS term FROM summaries) s JOIN stems x USING (term)"""
+STEMS = dict(**SUM, stems=_stem_sql("summary_text"), has_stem=HAS_SQL)
+
+
+@register("text_terms_stemmed", fx.with_views(
+    "SELECT encounter_id, string_agg(stem, ' ' ORDER BY stem) AS stems FROM has_stem GROUP BY encounter_id", **STEMS))
+def text_terms_stemmed(spark, d):
+    from caseflow.functions.stems import stemmed_terms
+    rows = stemmed_terms(_summaries(spark, d), "encounter_id", "summary_text")
+    return rows.groupBy("encounter_id").agg(F.array_join(F.array_sort(F.collect_list("stem")), " ").alias("stems"))
+
+
+@register("keyword_search_stemmed", fx.with_views("""
+SELECT DISTINCT encounter_id FROM has_stem WHERE stem IN (SELECT stem FROM stems WHERE term IN ('running', 'handed'))
+  AND encounter_id NOT IN (SELECT encounter_id FROM has_stem WHERE stem IN (SELECT stem FROM stems WHERE term = 'ques'))""", **STEMS))
+def keyword_search_stemmed(spark, d):
+    """Texts with a form of "run" or "hand", and none of "que"."""
+    from caseflow.operators.postings import stemmed_keys
+    return stemmed_keys(_summaries(spark, d), "encounter_id", "summary_text", ["running", "handed"], ["ques"])
+
+
+def _postings(spark, d):
+    """Postings of the summaries, grown in two batches: version 1 of every text first, then what changed."""
+    from caseflow.operators.postings import Postings
+    from caseflow.session import scratch_path
+    p = Postings(spark, scratch_path(spark, "postings"))
+    p.add(fx.summaries_src(spark, d).where("version = 1"), "summary_text")
+    p.add(_summaries(spark, d), "summary_text")
+    return p
+
+
+@register("keyword_search_postings", fx.with_views(f"""
+SELECT DISTINCT encounter_id FROM summaries
+WHERE list_has_any({q.terms('summary_text')}, ['thon', 'thor'])
+  AND NOT list_has_any({q.terms('summary_text')}, ['que'])""", **SUM))
+def keyword_search_postings(spark, d):
+    return _postings(spark, d).keys(POS, NEG)
+
+
+@register("keyword_rank_postings", fx.with_views(f"""
+SELECT encounter_id, round(r / (r + 1), 6) AS rank FROM (
+  SELECT encounter_id, CAST(len(list_filter({q.tokens('summary_text')}, lambda t: t IN ('thon', 'thor'))) AS DOUBLE) AS r
+  FROM summaries
+  WHERE list_has_any({q.terms('summary_text')}, ['thon', 'thor'])
+    AND NOT list_has_any({q.terms('summary_text')}, ['que']))""", **SUM))
+def keyword_rank_postings(spark, d):
+    r = F.col("r").cast("double")
+    return _postings(spark, d).rank(POS, NEG).select("encounter_id", F.round(r / (r + 1), 6).alias("rank"))
+
+
+@register("postings_document_frequency", fx.with_views(f"""
+SELECT term, count(*) AS doc_freq FROM (SELECT encounter_id, unnest({q.terms('summary_text')}) AS term FROM summaries)
+GROUP BY term""", **SUM))
+def postings_document_frequency(spark, d):
+    return _postings(spark, d).document_frequency()
+
+
 @register("keyword_negative_only", fx.with_views(f"""
 SELECT DISTINCT encounter_id FROM summaries WHERE NOT list_has_any({q.terms('summary_text')}, ['que', 'des'])""", **SUM))
 def keyword_negative_only(spark, d):

@@ -167,14 +167,14 @@ def pipeline_daily_tables(spark, d):
 
 
 # ---------------------------------------------------------------- late lines
-def _late_tables(spark, d, replay: bool = True) -> dict:
+def _late_tables(spark, d) -> dict:
     """The stored tables after two days: the first brings every visit's first two lines, the second the
-    rest (late lines of stored visits). With ``replay`` both days come once more, in the same order."""
+    rest (late lines of stored visits)."""
     from caseflow.catalog.coding import BATCH_START
     root = scratch_path(spark, "daily-late")
     src = _batch_sources(spark, d)
     days = [{**src, "lines": src["lines"].where("line <= 2")}, {**src, "lines": src["lines"].where("line > 2")}]
-    for day in days * 2 if replay else days:
+    for day in days:
         t = daily_batch(day, root, BATCH_START, grain="month")
     return t
 
@@ -184,7 +184,7 @@ SELECT note_id, min(encounter_id) AS encounter_id, min(note_type) AS note_type,
        string_agg(coalesce(note_text, 'None'), ' ' ORDER BY line, coalesce(note_text, 'None')) AS note_text
 FROM (SELECT DISTINCT * FROM lines) GROUP BY note_id""", lines=fx.NOTE_LINES_SQL))
 def pipeline_daily_late(spark, d):
-    """Stored notes after late lines and a replay of both days: as if all lines had come at once."""
+    """Stored notes after late lines: as if all lines had come at once."""
     return _late_tables(spark, d)["notes"].select("note_id", "encounter_id", "note_type", "note_text")
 
 

@@ -73,6 +73,27 @@ def _run_lookup_is_exact(terms: list[tuple[str, str]]) -> bool:
     return True
 
 
+def _one_pass_is_exact(terms: list[tuple[str, str]]) -> bool:
+    """True when the multi-run terms in order, then all single-run terms in one pass over the runs, equal
+    the ordered chain: besides ``_run_lookup_is_exact``, no expansion of a multi-run term holds a
+    single-run term (which the pass would expand again), and no term is listed twice."""
+    single = {k for k, _ in terms if _single_run(k)}
+    return (_run_lookup_is_exact(terms) and len({k for k, _ in terms}) == len(terms)
+            and not any(single & set(re.findall(f"[{WORD_EDGE}]+", v)) for k, v in terms if not _single_run(k)))
+
+
+def _expand_runs(c: Column, terms: list[tuple[str, str]]) -> Column:
+    """One pass: the text is cut into letter/digit runs and what lies between, and each run that is a
+    term is looked up in a literal map."""
+    single = [(k, v) for k, v in terms if _single_run(k)]
+    out = _regex_fold(c, [(k, v) for k, v in terms if not _single_run(k)])
+    table = F.create_map(*[F.lit(x) for kv in single for x in kv])
+    # the set test comes first: it is a hash look-up, the map a search through its keys
+    keys = [k for k, _ in single]
+    runs = F.regexp_extract_all(out, F.lit(f"[{WORD_EDGE}]+|[^{WORD_EDGE}]+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.when(r.isin(keys), F.try_element_at(table, r)).otherwise(r)), "")
+
+
 def _alternation(terms: list[str]) -> str:
     """Terms as one alternation grouped by first character (longest first inside a
     group), behind a one-character look-ahead, with word edges."""
@@ -88,26 +109,24 @@ def expand_terms(c, terms: list[tuple[str, str]] | None = None) -> Column:
     """Replace every dictionary term that is not glued to an ASCII letter/digit, one term
     after the other in dictionary order, case-sensitively.
 
-    One regex pass first lists the terms present at word edges; the ordered chain of
-    built-in ``regexp_replace`` steps then runs only for those. Skipping is exact when
-    no expansion can create a term (``_run_lookup_is_exact``); otherwise every step runs.
+    Where that is the same (``_one_pass_is_exact``, as for the built-in dictionary), runs of letters
+    and digits are looked up in one pass. Else, one regex pass lists the terms present at word
+    edges, and the chain of built-in ``regexp_replace`` steps runs over those only, which are few in a
+    text; that is exact when no expansion can create a term (``_run_lookup_is_exact``). Else every step runs.
     """
     terms = terms or ABBREVIATIONS
     c = _c(c)
+    if any(_single_run(k) for k, _ in terms) and _one_pass_is_exact(terms):
+        return _expand_runs(c, terms)
     if not _run_lookup_is_exact(terms):
         return _regex_fold(c, terms)
     rules = F.array(*[F.struct(F.lit(k).alias("k"),
                                F.lit(f"(?<![{WORD_EDGE}]){re.escape(k)}(?![{WORD_EDGE}])").alias("pat"),
                                F.lit(_java_replacement(v)).alias("rep")) for k, v in terms])
-    # the present-term list is computed once and carried in the accumulator
-    init = F.struct(c.alias("text"),
-                    F.regexp_extract_all(c, F.lit(_alternation([k for k, _ in terms])), 0).alias("present"))
-
-    def merge(acc, r):
-        return F.struct(F.when(F.array_contains(acc["present"], r["k"]),
-                               F.regexp_replace(acc["text"], r["pat"], r["rep"])).otherwise(acc["text"]).alias("text"),
-                        acc["present"].alias("present"))
-    return F.aggregate(rules, init, merge, lambda acc: acc["text"])
+    present = F.array_distinct(F.regexp_extract_all(c, F.lit(_alternation([k for k, _ in terms])), 0))
+    # bound to a variable, so that the list is made once per text and not once per rule
+    todo = F.element_at(F.transform(F.array(present), lambda found: F.filter(rules, lambda r: F.array_contains(found, r["k"]))), 1)
+    return F.aggregate(todo, c, lambda text, r: F.regexp_replace(text, r["pat"], r["rep"]))
 
 
 def stop_words() -> Column:

@@ -103,3 +103,28 @@ def test_merge_note_ids_distinct_lines_and_missing_ids(spark):
         assert {r["note_id"] for r in again} == {r["note_id"] for r in got}  # so that a second batch appends nothing
     none = merge_note_ids(df.select(*cols)).collect()
     assert sorted((r["encounter_id"], r["note_text"]) for r in none) == [(1, "a"), (1, "b"), (2, "x"), (2, "y"), (3, "x")]
+
+
+def test_expansion_equals_the_chain_on_random_texts(spark):
+    """Random texts of terms, their parts and separators, against one replacement after another."""
+    import random
+    import re
+    from caseflow.functions import text as tx
+    from caseflow.rules.vocab import ABBREVIATIONS
+    r = random.Random(3)
+    words = [k for k, _ in ABBREVIATIONS] + ["the", "Fu", "w/", "é", "3", "x" * 40]
+    seps = [" ", "", "/", "-", "'", "#", "@", "\n", ".", "  "]
+    texts = ["".join(r.choice(words) + r.choice(seps) for _ in range(r.randrange(0, 14))) for _ in range(1500)] + ["", None]
+
+    def chain(t):
+        for k, v in ABBREVIATIONS:
+            t = re.sub(f"(?<![a-zA-Z0-9]){re.escape(k)}(?![a-zA-Z0-9])", lambda m: v, t)
+        return t
+    assert tx._one_pass_is_exact(ABBREVIATIONS)
+    assert not tx._one_pass_is_exact([("a/b", "x y"), ("y", "z")]) and not tx._one_pass_is_exact([("a", "b"), ("b", "c")])
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    again = ABBREVIATIONS + [("the", "the"), ("the", "the")]  # listed twice: the chain over present terms
+    assert tx._run_lookup_is_exact(ABBREVIATIONS) and not tx._one_pass_is_exact(again)
+    for terms in (None, again):
+        got = {row.i: row.x for row in frame.select("i", tx.expand_terms("t", terms).alias("x")).collect()}
+        assert [got[i] for i in range(len(texts))] == [t if t is None else chain(t) for t in texts]
