@@ -6,12 +6,14 @@ segmentation of the value into dictionary words, dates, repeats, keyboard walks
 brute-force spans, found by dynamic programming over its characters. A value whose
 cost reaches ``min_guesses`` (log10) is added as a span of kind ``guess``; base spans stay.
 
-The dictionary is the ``dictionary_words`` words that most distinct texts hold (the bound
-keeps the broadcast small) behind a short list of common passwords. Copies of a text count
+The dictionary is the words that most distinct texts hold, at most ``dictionary_words`` (the bound
+keeps the broadcast small; words of equally many texts are in or out together), behind a short list
+of common passwords. Copies of a text count
 once and the values of credential contexts not at all, so a secret does not become a word by
 being spread. The scan itself is one pass over the texts without a shuffle.
 
-Defined cases: null counts as empty text, which has no spans. Rows are judged by text alone
+Defined cases: null counts as empty text, which has no spans; an empty table gives no rows; a value
+or run of any length is judged whole, in time that grows with it. Rows are judged by text alone
 against one dictionary, so repeated rows agree; extra columns are ignored.
 """
 
@@ -28,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.llm.blocks import discard, written
 from caseflow.llm.text import lower_ascii
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -47,7 +50,6 @@ NEXT_TO = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row
 DATES = (re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"),
          re.compile(r"(?:0?[1-9]|[12]\d|3[01])([-/.])(?:0?[1-9]|1[0-2])\1(?:19|20)?\d\d"), re.compile(r"(?:19|20)\d\d"))
 DAYS = log10(366 * 120)
-MAX_WORD = 24
 JOINT = 0.7  # a further segment: where it begins and in which order
 
 
@@ -56,21 +58,28 @@ def brute(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def segments(value: str, ranks: dict[str, int]):
-    """(start, end, kind, log10 guesses) of every word, date, repeat and walk in ``value``."""
+class Ranks(dict):
+    """The rank of every word, and the lengths that words have (``lengths``)."""
+
+    def __init__(self, ranks):
+        super().__init__(ranks)
+        self.lengths = sorted({len(w) for w in self} - {1, 2})
+
+
+def words_and_dates(value: str, ranks: dict[str, int]):
+    """(start, end, kind, log10 guesses) of every word and date in ``value``. Only lengths that words
+    of the dictionary have are looked up, so their number grows with the length of the value."""
+    lengths = ranks.lengths if isinstance(ranks, Ranks) else Ranks(ranks).lengths
     low = value.lower()
     if len(low) != len(value):
         low = value
     plain = low.translate(LEET)
     n = len(value)
-    run, walk = [1] * n, [1] * n  # lengths of the repeat and of the walk that end at i
-    for i in range(1, n):
-        if low[i] == low[i - 1]:
-            run[i] = run[i - 1] + 1
-        if low[i - 1:i + 1] in NEXT_TO:
-            walk[i] = walk[i - 1] + 1
     for i in range(n):
-        for j in range(i + 3, min(n, i + MAX_WORD) + 1):
+        for size in lengths:
+            j = i + size
+            if j > n:
+                break
             for text, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
                 rank = ranks.get(text)
                 if rank and (extra == 0.0 or plain[i:j] != low[i:j]):
@@ -80,23 +89,104 @@ def segments(value: str, ranks: dict[str, int]):
             m = d.match(value, i)
             if m:
                 yield i, m.end(), "date", 2.1 if m.end() - i == 4 else DAYS
-    for j in range(n):
-        for k in range(3, run[j] + 1):
+
+
+def segments(value: str, ranks: dict[str, int]):
+    """(start, end, kind, log10 guesses) of every word, date, repeat and walk in ``value``: what
+    ``guess_cost`` chooses from, listed one by one (their number grows with the square of a run)."""
+    yield from words_and_dates(value, ranks)
+    low = value.lower()
+    if len(low) != len(value):
+        low = value
+    run = walk = 1
+    for j in range(len(value)):
+        if j:
+            run = run + 1 if low[j] == low[j - 1] else 1
+            walk = walk + 1 if low[j - 1:j + 1] in NEXT_TO else 1
+        for k in range(3, run + 1):
             yield j - k + 1, j + 1, "repeat", brute(low[j]) + log10(k)
-        for k in range(3, walk[j] + 1):
+        for k in range(3, walk + 1):
             yield j - k + 1, j + 1, "walk", log10(47) + 0.3 * (k - 1)
 
 
+class Repeats:
+    """The cheapest repeat that ends at each place of one run of equal characters.
+
+    A repeat of k characters costs log10(k) more than where it starts. That is concave in k: of two
+    starts, the earlier one can only get cheaper in comparison as the end moves on. So starts are kept
+    on a stack with the end from which on each is passed by the one below it, found by bisection; the
+    top is the cheapest one now. Every start enters and leaves once: O(n log n) for a run, exactly.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[int, float, float]] = []  # start, cost there, end from which on the one below is cheaper
+
+    @staticmethod
+    def _passed(old, new) -> float:
+        """The first end at which ``old`` (earlier start) costs no more than ``new``: cost + log10(end - start)."""
+        lead = new[1] - old[1]
+        if lead <= 1e-15:
+            return float("inf")  # the shorter one starts no dearer: it stays cheaper
+        if lead > 300:
+            return float(new[0])
+        ratio = 10 ** lead  # end - old <= (end - new) * ratio
+        return (new[0] * ratio - old[0]) / (ratio - 1)
+
+    def push(self, start: int, cost: float) -> None:
+        new = (start, cost)
+        while self.stack:
+            end = self._passed(self.stack[-1], new)
+            if end <= start + 3:
+                return  # an earlier start is cheaper from the first end of the new one on
+            if end < self.stack[-1][2]:
+                self.stack.append((*new, end))
+                return
+            # the one on top would be passed by the one below it before it passes the new one
+            self.stack.pop()
+        self.stack.append((*new, float("inf")))
+
+    def cheapest(self, end: int) -> float:
+        while len(self.stack) > 1 and self.stack[-1][2] <= end:
+            self.stack.pop()
+        start, cost, _ = self.stack[-1]
+        return cost + log10(end - start)
+
+
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses for ``value``: the cheapest segmentation, brute force filling the gaps."""
+    """log10 of the guesses for ``value``: the cheapest segmentation, brute force filling the gaps.
+
+    Time and memory grow with the length (times its logarithm): sub-repeats and sub-walks of a run are
+    not listed. A walk costs 0.3 a character from where it starts, so the cheapest start of a run is a
+    running minimum; repeats see ``Repeats``."""
     ends: dict[int, list] = {}
-    for i, j, _, cost in segments(value, ranks):
+    for i, j, _, cost in words_and_dates(value, ranks):
         ends.setdefault(j, []).append((i, cost))
-    best, blind = [-JOINT], [float("inf")]  # best: any segmentation up to here; blind: one that ends in brute force
+    low = value.lower()
+    if len(low) != len(value):
+        low = value
+    best, blind = [-JOINT], float("inf")  # best: any segmentation up to here; blind: one that ends in brute force
+    run = walk = 1  # lengths of the repeat and of the walk that end here
+    repeats, lowest = Repeats(), float("inf")
     for j in range(1, len(value) + 1):
         c = brute(value[j - 1])
-        blind.append(min(best[j - 1] + JOINT, blind[j - 1]) + c)
-        best.append(min([blind[j], *(best[i] + JOINT + cost for i, cost in ends.get(j, ()))]))
+        blind = min(best[j - 1] + JOINT, blind) + c
+        now = min([blind, *(best[i] + JOINT + cost for i, cost in ends.get(j, ()))])
+        if j > 1:
+            if low[j - 1] == low[j - 2]:
+                run += 1
+            else:
+                run, repeats = 1, Repeats()
+            if low[j - 2:j] in NEXT_TO:
+                walk += 1
+            else:
+                walk, lowest = 1, float("inf")
+        if run >= 3:  # a repeat may start three characters back
+            repeats.push(j - 3, best[j - 3] + JOINT)
+            now = min(now, repeats.cheapest(j) + brute(low[j - 1]))
+        if walk >= 3:
+            lowest = min(lowest, best[j - 3] + JOINT - 0.3 * (j - 3))
+            now = min(now, lowest + 0.3 * (j - 1) + log10(47))
+        best.append(now)
     return max(best[-1], 0.0)
 
 
@@ -126,18 +216,29 @@ def find_spans(text: str, ranks: dict[str, int], min_guesses: float):
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def dictionary(docs: DataFrame, dictionary_words: int) -> dict[str, int]:
+def dictionary(docs: DataFrame, dictionary_words: int) -> Ranks:
     """The words of most distinct texts with their ranks, common passwords first; values in a
-    credential context are left out."""
+    credential context are left out. The cut is at a number of texts, so that words that as many texts
+    hold are in or out together: the lowest number that at most ``dictionary_words`` words reach.
+    Ranks of equal words follow the alphabet. The driver gets the counts of counts (their number is at
+    most the square root of twice the occurrences) and the words above the cut."""
     texts = docs.select("text").distinct().select(lower_ascii(F.col("text")).alias("t"))
     hinted = reduce(or_, [F.contains("t", F.lit(h)) for h in HINTS])
     plain = F.when(hinted, F.regexp_replace("t", CONTEXT.pattern, " ")).otherwise(F.col("t"))
     found = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
     words = texts.select(F.explode(F.array_distinct(found)).alias("w"))
-    top = (words.where(F.length("w").between(3, MAX_WORD)).groupBy("w").count()
-           .orderBy(F.desc("count"), "w").limit(dictionary_words).select("w"))
-    ranked = dict.fromkeys([*COMMON, *(r["w"] for r in top.collect())])
-    return {w: i + 1 for i, w in enumerate(ranked)}
+    scratch: list[str] = []
+    counts = written(words.where(F.length("w") >= 3).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts", scratch)
+    cut, total = 1, 0
+    for n, many in sorted(((r["n"], r["many"]) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):
+        total += many
+        if total > dictionary_words:
+            cut = n + 1
+            break
+    top = sorted(((r["n"], r["w"]) for r in counts.where(F.col("n") >= cut).collect()), key=lambda x: (-x[0], x[1]))
+    discard(docs.sparkSession, scratch)
+    ranked = dict.fromkeys([*COMMON, *(w for _, w in top)])
+    return Ranks({w: i + 1 for i, w in enumerate(ranked)})
 
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, "
@@ -146,10 +247,10 @@ SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, n_guess long,
 
 def scan(docs: DataFrame, dictionary_words: int = 20_000, min_guesses: float = 10.0) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): SCHEMA; ``found`` lists all spans."""
-    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs, dictionary_words))
+    ranks = docs.sparkSession.sparkContext.broadcast(dict(dictionary(docs, dictionary_words)))
 
     def run(batches):
-        words = ranks.value
+        words = Ranks(ranks.value)
         for b in batches:
             rows = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

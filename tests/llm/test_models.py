@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import re
 import string
 
@@ -93,6 +94,38 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secret_scan.guess_cost("19991231", ranks) < 5 < 10 < secret_scan.guess_cost("k8Fj2!xQ9z", ranks)
 
 
+def test_guess_cost_of_long_runs():
+    """Values of long repeats and walks against the listed segments, and very long ones at all."""
+    ranks = {w: i + 1 for i, w in enumerate(["password", "cat", "aaaa", "a" * 30])}
+    r = random.Random(8)
+    for _ in range(120):
+        v = "".join(r.choice("aabz1") * r.randrange(1, 25) if r.random() < 0.7 else r.choice(["qwertyuiop", "cat", "9876543", "K!"])
+                    for _ in range(r.randrange(1, 6)))
+        into = {}
+        for a, b, _, c in secret_scan.segments(v, ranks):
+            into.setdefault(b, []).append((a, c))
+        best = [-secret_scan.JOINT]
+        for end in range(1, len(v) + 1):
+            blind = [(a, sum(map(secret_scan.brute, v[a:end]))) for a in range(end)]
+            best.append(min(best[a] + secret_scan.JOINT + c for a, c in blind + into.get(end, [])))
+        assert abs(secret_scan.guess_cost(v, ranks) - max(best[-1], 0)) < 1e-9, v
+    start = time.process_time()
+    for v in ("x" * 100_000, "qwertyuiop" * 10_000, "ab1" * 33_000, "abcdefghijklmnopqrstuvwxyz" * 4_000):
+        assert secret_scan.guess_cost(v, ranks) > 0
+    assert time.process_time() - start < 60
+
+
+def test_secret_scan_edges(spark, empty_frame):
+    assert secret_scan.scan(empty_frame).count() == 0
+    rows = [(1, "pwd=" + "a" * 20_000, "x", 1, "y"), (1, "pwd=" + "a" * 20_000, "x", 1, "y"), (2, None, None, None, None)]
+    out = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string, n int, found string")).collect()
+    assert len(out) == 3 and len({tuple(x for x in r if not isinstance(x, list)) for r in out}) == 2
+    # words of equally many texts are in or out together
+    docs = spark.createDataFrame([(i, f"{'alpha' if i < 3 else 'beta'} {'gamma' if i % 2 else 'delta'}") for i in range(6)], "doc_id long, text string")
+    assert {"alpha", "beta", "gamma", "delta"} <= set(secret_scan.dictionary(docs, 4))
+    assert not {"alpha", "beta", "gamma", "delta"} & set(secret_scan.dictionary(docs.union(docs), 3))
+
+
 def test_copies_do_not_make_a_secret_a_word(spark):
     rows = [(i, "the note says pwd=kvqzxrtplmnb here") for i in range(3000)]
     rows += [(5000 + i, f"near copy {i} login: qhzvwkxjrtpd and Bearer zmqxwvkjhgtb") for i in range(40)]
