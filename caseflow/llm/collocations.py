@@ -260,8 +260,8 @@ def _words(a, b):
     return F.array_join(F.slice("words", a, b), " ")
 
 
-def scored(found: DataFrame, absorbed: int = ABSORBED) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the collocations among ``found`` (lang, size, phrase, n)."""
+def _scored(found: DataFrame, absorbed: int) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the collocations among ``found`` (lang, size, phrase, n)."""
     parts = found.where("size > 0").select("lang", "phrase", "n")
     c = found.where("size > 1").select("lang", "phrase", F.col("n").alias("a"), "size", F.split("phrase", " ").alias("words"))
     cut = c.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select(
@@ -276,16 +276,25 @@ def scored(found: DataFrame, absorbed: int = ABSORBED) -> DataFrame:
     inner = c.where("size > 2").withColumn("k", F.explode(F.sequence(F.lit(2), F.col("size") - 1)))
     inner = inner.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1)))
     longer = inner.select("lang", _words(F.col("i"), F.col("k")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = worst.join(longer, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {int(absorbed)} * a")
-    words = found.where("size = 0").select("lang", "n")
-    return kept.join(words, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return worst.join(longer, ["lang", "phrase"], "left").where(f"longer IS NULL OR 100 * longer < {int(absorbed)} * a").drop("longer")
+
+
+def _with_words(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.where("size = 0").select("lang", "n"), "lang")
+
+
+def scored(found: DataFrame, absorbed: int = ABSORBED) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of the collocations among ``found`` (lang, size, phrase, n)."""
+    return _with_words(_scored(found, absorbed), found).select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, absorbed: int = ABSORBED, **sizes) -> DataFrame:
     """The ``top`` collocations of each language of ``docs`` (text, lang), best first."""
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored(frequent_phrases(docs, least, **sizes), absorbed).withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    found = frequent_phrases(docs, least, **sizes)
+    # rows are dealt by (lang, phrase) here: each task keeps its best of a language, and only those meet
+    ranked = _scored(found, absorbed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return _with_words(ranked, found).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark, sf_dir: str) -> DataFrame:
