@@ -14,18 +14,19 @@ from caseflow.session import scratch_path
 from caseflow.streaming import drops as st
 
 
+def _file_drop(spark, d):
+    drop_dir, header = write_document_dump(spark, d).rstrip("*").rstrip("/"), DUMP_HEADER.split("|")
+    return st.read_file_drop(spark, st.run_file_drop(spark, drop_dir, header, "doc_id"), header)
+
+
 @register("stream_file_drop")
 def stream_file_drop(spark, d):
-    drop_dir = write_document_dump(spark, d).rstrip("*").rstrip("/")
-    out, _ = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
-    return spark.read.parquet(out)
+    return _file_drop(spark, d)[0]
 
 
 @register("stream_file_drop_rejects")
 def stream_file_drop_rejects(spark, d):
-    drop_dir = write_document_dump(spark, d).rstrip("*").rstrip("/")
-    _, rejects = st.run_file_drop(spark, drop_dir, DUMP_HEADER.split("|"), "doc_id")
-    return spark.read.parquet(rejects)
+    return _file_drop(spark, d)[1]
 
 
 ORACLE["stream_file_drop"] = ORACLE["src_note_dump"]
@@ -67,6 +68,19 @@ def log_append_parse(spark, d):
     return spark.read.parquet(out).select("event_id", "user_id", "action", "ts", "k")
 
 
+@register("log_parameters", """
+SELECT event_id, event_type AS action, CAST(value AS DOUBLE) AS value, CAST(1 + (value IS NOT NULL)::INT AS INTEGER) AS n_keys FROM events""")
+def log_parameters(spark, d):
+    """The stored JSON parameters of every action, read back: an absent value is an absent key."""
+    ev = fx.read(spark, d, "events")
+    src = scratch_path(spark, "event_files")
+    ev.write.parquet(src)
+    p = F.from_json("parameters", "action string, value double")
+    return (spark.read.parquet(st.run_log_stream(spark, src, ev.schema))
+            .select("event_id", p["action"].alias("action"), p["value"].alias("value"),
+                    F.json_object_keys("parameters").alias("_k")).withColumn("n_keys", F.size("_k")).drop("_k"))
+
+
 @register("user_log_one", """
 SELECT user_id, event_id, ts, event_type FROM events
 WHERE user_id = (SELECT max(user_id) FROM events) ORDER BY ts DESC, event_id DESC""")

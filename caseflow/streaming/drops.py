@@ -9,41 +9,60 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from caseflow.session import scratch_path
 from caseflow.sources.sinks import table_exists
 
 
-def parse_dump_stream(lines: DataFrame, header: list[str], key_column: str,
-                      delim: str = "|") -> tuple[DataFrame, DataFrame]:
-    """Streaming form of the dump parse, (rows, rejects): the header is given (a stream
-    cannot look ahead), header and blank lines inside the files are dropped, rows with too
-    few fields are rejects, surplus fields go to the last column."""
+def tag_dump_lines(lines: DataFrame, header: list[str], key_column: str, delim: str = "|") -> DataFrame:
+    """Every line of a dump parsed once: the header's columns, ``line`` and ``kind`` ("rows" or
+    "rejects"). The header is given (a stream cannot look ahead); header and blank lines inside the
+    files are dropped. Rows with too few fields are rejects and keep their line only, surplus fields
+    go to the last column."""
     clean = F.regexp_replace(F.regexp_replace(F.col("value"), r"[^\x00-\x7F]", ""), r"^\s+|\s+$", "")
     n = len(header)
     body = lines.select(clean.alias("line")).withColumn("_f", F.split("line", re.escape(delim), -1))
     body = body.where((F.get("_f", 0) != key_column) & (F.length("line") > 0))
-    good = body.where(F.size("_f") >= n)
+    good = F.size("_f") >= n
     last = F.array_join(F.slice(F.col("_f"), n, F.greatest(F.size("_f") - n + 1, F.lit(1))), " ")
-    return (good.select(*[F.get(F.col("_f"), i).alias(header[i]) for i in range(n - 1)], last.alias(header[-1])),
-            body.where(F.size("_f") < n).select("line"))
+    fields = [F.get(F.col("_f"), i) for i in range(n - 1)] + [last]
+    return body.select(*[F.when(good, f).alias(h) for h, f in zip(header, fields)], F.when(~good, F.col("line")).alias("_line"),
+                       F.when(good, F.lit("rows")).otherwise(F.lit("rejects")).alias("_kind"))
 
 
 def run_file_drop(spark: SparkSession, drop_dir: str, header: list[str], key_column: str,
-                  out_path: str | None = None, files_per_batch: int = 64) -> tuple[str, str]:
-    """Process every dump file in ``drop_dir`` into two parquet tables, rows and rejects;
-    returns their paths. ``files_per_batch`` bounds one micro-batch (a backlog of daily drops
-    is taken in several batches, each a normal parallel job)."""
+                  out_path: str | None = None, files_per_batch: int = 64) -> str:
+    """Process every dump file in ``drop_dir`` into the table at ``out_path`` (returned; read it with
+    ``read_file_drop``). ``files_per_batch`` bounds one micro-batch (a backlog of daily drops is taken
+    in several batches, each a normal parallel job).
+
+    Rows and rejects of a micro-batch are written by one job, so each file is read once and the two
+    never disagree. They lie in the partitions of that batch's number, which a replayed batch
+    overwrites: a run that failed between write and commit adds nothing twice. The checkpoint
+    belongs to the table; one without the other is an error of the caller."""
     out_path = out_path or scratch_path(spark, "drop_table")
-    paths = (out_path, out_path + "_rejects")
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
              .option("recursiveFileLookup", "true").load(drop_dir))
-    for part, path in zip(parse_dump_stream(lines, header, key_column), paths):
-        q = (part.writeStream.format("parquet").option("checkpointLocation", path + "_checkpoint")
-             .option("path", path).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return paths
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        (tag_dump_lines(batch, header, key_column).withColumn("_batch", F.lit(epoch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_kind").parquet(out_path))
+
+    q = (lines.writeStream.foreachBatch(write).option("checkpointLocation", out_path + "_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out_path
+
+
+def read_file_drop(spark: SparkSession, path: str, header: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of the table that ``run_file_drop`` writes; both empty where nothing came yet.
+    Each reads its own partitions only."""
+    schema = StructType([StructField(h, StringType()) for h in [*header, "_line"]]
+                        + [StructField("_batch", LongType()), StructField("_kind", StringType())])
+    t = spark.read.schema(schema).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+    return (t.where(F.col("_kind") == "rows").select(*header),
+            t.where(F.col("_kind") == "rejects").select(F.col("_line").alias("line")))
 
 
 KEY_BUCKET_WIDTH = 1_000_000
