@@ -248,6 +248,27 @@ def label_to_code(spark, d):
                     F.round(rs.positive_probability(idx, F.col("label_score")), 6).alias("p_positive"))
 
 
+REVIEWED_SQL = f"""SELECT encounter_id, diagnosis,
+  [{", ".join(map(str, fx.INTENT_CODES))}][length(diagnosis) % {len(fx.INTENT_CODES)} + 1] AS intent FROM ({fx.VISITS_SQL}) v"""
+
+
+def _reviewed(spark, d):
+    """Stand-in for reviewed visits: the intent that a reviewer gave to each diagnosis text."""
+    v = fx.visits_src(spark, d).select("encounter_id", "diagnosis")
+    place = F.length("diagnosis") % len(fx.INTENT_CODES) + 1
+    return v.withColumn("intent", F.element_at(F.array(*[F.lit(c) for c in fx.INTENT_CODES]), place))
+
+
+@register("intent_from_text", f"SELECT encounter_id, intent FROM ({REVIEWED_SQL}) r")
+def intent_from_text(spark, d):
+    """The intent of every visit, read from its diagnosis by the seven-class model at its cutoff. The model
+    learns from half of the visits (an even crc32 of the key), so what SQL states of the others is held out."""
+    from caseflow.operators import scoring as so
+    r = _reviewed(spark, d)
+    model = so.fit_classes(r.where(F.crc32(F.col("encounter_id").cast("string")) % 2 == 0), "diagnosis", "intent", fx.INTENT_CODES)
+    return so.predict_classes(model, r, "encounter_id", "diagnosis").select("encounter_id", "intent")
+
+
 @register("ampm_from_hour", fx.with_views("""
 SELECT encounter_id, CASE WHEN h >= 0 AND h < 12 THEN 1 WHEN h >= 12 AND h < 24 THEN 2 ELSE h END AS am_pm
 FROM (SELECT encounter_id, TRY_CAST(injury_hour AS INTEGER) AS h FROM parsed)""",

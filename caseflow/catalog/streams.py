@@ -181,7 +181,7 @@ def pipeline_daily_tables(spark, d):
 
 
 # ---------------------------------------------------------------- late lines
-def _late_tables(spark, d) -> dict:
+def _late_tables(spark, d, postings: dict | None = None) -> dict:
     """The stored tables after two days: the first brings every visit's first two lines, the second the
     rest (late lines of stored visits)."""
     from caseflow.catalog.coding import BATCH_START
@@ -189,7 +189,7 @@ def _late_tables(spark, d) -> dict:
     src = _batch_sources(spark, d)
     days = [{**src, "lines": src["lines"].where("line <= 2")}, {**src, "lines": src["lines"].where("line > 2")}]
     for day in days:
-        t = daily_batch(day, root, BATCH_START, grain="month")
+        t = daily_batch(day, root, BATCH_START, grain="month", postings=postings)
     return t
 
 
@@ -202,6 +202,21 @@ def pipeline_daily_late(spark, d):
     return _late_tables(spark, d)["notes"].select("note_id", "encounter_id", "note_type", "note_text")
 
 
+_WORDS = {"keywords": {"positive": ["thon", "thor"], "negative": ["que"], "detail_level": 2}}
+
+
+@register("pipeline_daily_keywords", f"""
+SELECT encounter_id FROM ({ORACLE["full_narrative"]}) n
+WHERE list_has_any({q.terms('full_narrative')}, ['thon', 'thor']) AND NOT list_has_any({q.terms('full_narrative')}, ['que'])""")
+def pipeline_daily_keywords(spark, d):
+    """A keyword search in the narratives, answered by the postings that the batch grew on two days: narratives
+    that late lines changed count as they are now."""
+    from caseflow.operators.postings import Postings
+    from caseflow.plans.query import search_keys
+    postings = {"encounters": Postings(spark, scratch_path(spark, "postings"))}
+    return search_keys(_late_tables(spark, d, postings), _WORDS, postings=postings)
+
+
 @register("pipeline_daily_vectors", f"""
 WITH merged AS (SELECT * FROM ({_daily_sql()})),
 tok AS (SELECT encounter_id, unnest({q.tokens('processed_notes')}) AS t FROM merged),

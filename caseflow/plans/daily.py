@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from caseflow.operators import cases as cs
 from caseflow.operators import deid as dd
 from caseflow.operators import embed as em
+from caseflow.operators import scoring
 from caseflow.operators import sections as sc
 from caseflow.operators.versions import latest_version
 from caseflow.plans import entities as en
@@ -43,12 +44,17 @@ def line_hash(cols: list[str]):
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in cols])
 
 
-def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: str = "day", jobs: int = 4) -> dict[str, DataFrame]:
+def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: str = "day", jobs: int = 4,
+                intent_model=None, postings: dict | None = None) -> dict[str, DataFrame]:
     """Run one batch into the tables under ``root``; the stored tables as they are then.
 
     ``src``: lines, visits, subjects (with name), problem_lists, referrals, answers (parsed model
     answers with intent and summary), history (stored encounters, for the cutoff). ``grain`` is the
-    calendar period of a partition, ``jobs`` how many tables are written at a time."""
+    calendar period of a partition, ``jobs`` how many tables are written at a time. With an
+    ``intent_model`` (see ``operators/scoring``) the intent is read from the narrative instead of the
+    answers. ``postings`` holds the stored ``Postings`` that the batch grows: of "encounters" (narratives)
+    and "summaries" (latest versions), either or both."""
+    postings = postings or {}
     lines = src["lines"]
     spark = lines.sparkSession
     at = lambda name: os.path.join(root, name)
@@ -127,9 +133,16 @@ def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: st
         out["referrals"] = sk.append_new(spark, rows, at("referrals"), "id", PART, parts)
 
     def answered():
-        answers = keep(src["answers"].join(owner.select(KEY), KEY, "left_semi"), "batch_answers")
+        answers = src["answers"].join(owner.select(KEY), KEY, "left_semi")
+        if intent_model is not None:
+            found = scoring.predict_classes(intent_model, mine, KEY, "full_narrative").select(KEY, "intent")
+            answers = answers.drop("intent").join(found, KEY, "left")
+        answers = keep(answers, "batch_answers")
         out["summaries"] = sk.append_versions(spark, en.build_summaries(answers), at("summaries"), KEY, ["summary_text"],
                                               lambda df: em.with_vectors(df, KEY, "summary_text", em.LARGE_DIM))
+        if "summaries" in postings:
+            latest = latest_version(out["summaries"].select(KEY, "summary_text", "version").join(keys, KEY, "left_semi"))
+            postings["summaries"].add(latest, "summary_text")
         cutoff = cs.dynamic_cutoff(src["history"], batch_date).first()["cutoff"]
         out["flagged"] = sk.roundtrip(spark, cs.flag_cases(mine, F.lit(cutoff)), "batch_flagged")
         remarks = mine.select(KEY, F.col("notes").alias("remark"))
@@ -137,8 +150,12 @@ def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: st
         compare = [c for c in cases.columns if c not in (KEY, "version")]
         out["case_report"] = sk.append_versions(spark, cases, at("case_report"), KEY, compare)
 
+    def narratives():
+        if "encounters" in postings:
+            postings["encounters"].add(mine, "full_narrative")
+
     with ThreadPoolExecutor(max_workers=jobs) as pool:
-        for done in [pool.submit(f) for f in (notes, processed, answered, problems, referrals)]:
+        for done in [pool.submit(f) for f in (notes, processed, answered, problems, referrals, narratives)]:
             done.result()
 
     new.select(*fresh.columns).hint("rebalance", F.col(PART)).write.mode("append").partitionBy(PART).parquet(at("note_lines"))

@@ -43,11 +43,16 @@ def _table(tables: dict[str, DataFrame], name: str) -> DataFrame:
     return latest_version(t) if name == "summaries" else t
 
 
-def keyword_keys(tables: dict[str, DataFrame], spec: dict) -> DataFrame | None:
-    """Keys of a keyword part; None if it names no keyword (it then does not restrict)."""
+def keyword_keys(tables: dict[str, DataFrame], spec: dict, postings: dict | None = None) -> DataFrame | None:
+    """Keys of a keyword part; None if it names no keyword (it then does not restrict). A level whose
+    table has ``postings`` is answered from those and reads no text."""
     name, col = _level(KEYWORD_LEVELS, spec.get("detail_level", 1), "keyword")
     pos, neg = spec.get("positive"), spec.get("negative")
-    return se.keyword_keys(_table(tables, name), col, pos, neg) if pos or neg else None
+    if not (pos or neg):
+        return None
+    if name in (postings or {}):
+        return postings[name].keys(pos, neg)
+    return se.keyword_keys(_table(tables, name), col, pos, neg)
 
 
 def semantic_keys(tables: dict[str, DataFrame], spec: dict, embed: Callable, cutoff: Callable | None,
@@ -75,12 +80,13 @@ def rerank_keys(tables: dict[str, DataFrame], keys: DataFrame, spec: dict, relev
 
 def search_keys(tables: dict[str, DataFrame], query: dict, embed: Callable | None = None, cutoff: Callable | None = None,
                 bypass_below: int = 0, cases_only: bool = False, relevance: Callable = em.overlap_relevance,
-                unit: bool = False) -> DataFrame:
-    """The keys that a query dict finds. ``unit`` for the tables of the daily batch, whose vectors have unit length."""
+                unit: bool = False, postings: dict | None = None) -> DataFrame:
+    """The keys that a query dict finds. ``unit`` for the tables of the daily batch, whose vectors have unit length;
+    ``postings`` by table name, as the batch grows them."""
     unknown = set(query) - {"keywords", "semantic", "filters", "rerank"}
     if unknown:
         raise ValueError(f"unknown parts of a query: {sorted(unknown)}")
-    kw = keyword_keys(tables, query["keywords"]) if query.get("keywords") else None
+    kw = keyword_keys(tables, query["keywords"], postings) if query.get("keywords") else None
     sem = (semantic_keys(tables, query["semantic"], embed or em.embed_query, cutoff, bypass_below, unit)
            if query.get("semantic") else None)
     keys = se.combined_search(kw, sem, tables, query.get("filters"), tables["case_report"] if cases_only else None)

@@ -123,3 +123,35 @@ def test_batch_tables_feed_exports_reports_and_searches(spark, tmp_path):
         assert len(hit) == 1 and (level != 2 or hit[0].encounter_id == key)
         plain = run_query(t, query).collect()
         assert [r.encounter_id for r in hit] == [r.encounter_id for r in plain]
+
+
+def test_batch_reads_intent_and_grows_postings(spark, tmp_path):
+    from caseflow.operators import scoring as so
+    from caseflow.operators.postings import Postings
+    from caseflow.plans.daily import daily_batch
+    from caseflow.plans.query import search_keys
+    src = _source(spark, SF_SMALL, [0, 1, 2, 3])
+    flagged = src["visits"].withColumn("score", F.lit(1.0))  # every visit is a case
+    src["visits"], src["history"] = flagged.withColumn("diagnosis", F.lit("Sprain of ankle")), src["history"].where("encounter_id = 0")
+    p = "ED Provider Notes"
+    day1 = _lines(spark, [(1, 10, p, 1, "Fell off the ladder."), (2, 20, p, 1, "Punched in a fight.")])
+    day2 = _lines(spark, [(1, 10, p, 2, "Then punched in a fight, punched twice, a fight.")])
+    learn = spark.createDataFrame([(f"fell off the ladder {i}", 10) for i in range(9)] + [(f"punched in a fight {i}", 11) for i in range(9)],
+                                  "text string, intent int")
+    model = so.fit_classes(learn, "text", "intent", num_features=1 << 10)
+    made = {n: Postings(spark, str(tmp_path / n)) for n in ("encounters", "summaries")}
+    run = lambda day: daily_batch({**src, "lines": day}, str(tmp_path / "t"), "1998-06-01", intent_model=model, postings=made)
+    words = lambda level, **w: sorted(r[0] for r in search_keys(t, {"keywords": {"detail_level": level, **w}}, postings=made).collect())
+    t = run(day1)
+    assert _rows(t["case_report"], "encounter_id", "version", "intent") == [(1, 1, 10), (2, 1, 11)]
+    assert words(2, positive=["ladder"]) == [1] and words(2, positive=["fight"]) == [2] and words(2, negative=["fight"]) == [1]
+    t = run(day2)
+    latest = {r[0]: r[2] for r in _rows(t["case_report"], "encounter_id", "version", "intent")}
+    assert latest == {1: latest[1], 2: 11} and latest[1] != 10  # the narrative now tells of both
+    for spec in ({"positive": ["ladder"]}, {"positive": ["fight"]}, {"negative": ["twice"]}, {"positive": ["fight"], "negative": ["ladder"]}):
+        for level in (1, 2):
+            plain = sorted(r[0] for r in search_keys(t, {"keywords": {"detail_level": level, **spec}}).collect())
+            assert words(level, **spec) == plain, (level, spec)
+    assert words(2, positive=["fight"]) == [1, 2] and words(2, negative=["twice"]) == [2]
+    plan = search_keys(t, {"keywords": {"detail_level": 2, "positive": ["fight"]}}, postings=made)._jdf.queryExecution().toString()
+    assert "full_narrative" not in plan  # no text is read
