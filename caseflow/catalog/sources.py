@@ -93,3 +93,29 @@ def src_headered_export(spark, d):
           "SELECT CAST(item_id AS VARCHAR) || ',one,two' AS line FROM benchmark WHERE item_id % 5 = 0")
 def src_headered_export_rejects(spark, d):
     return nd.read_headered_export(spark, _write_export(spark, d), "item_id")[1]
+
+
+@register("src_notes_by_extension", """
+SELECT 'parquet' AS format, CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n_chars FROM documents
+UNION ALL SELECT 'export', CAST(item_id AS VARCHAR), length(regexp_replace(text, '[\r\n]', ' ', 'g')) FROM benchmark""")
+def src_notes_by_extension(spark, d):
+    """The reader chosen by the extension of the path, or stated."""
+    docs, _ = nd.read_notes(spark, f"{d}/documents.parquet", "doc_id")
+    items, _ = nd.read_notes(spark, _write_export(spark, d), "item_id", format="export")
+    return (docs.select(F.lit("parquet").alias("format"), "doc_id", F.length("text").cast("long").alias("n_chars"))
+            .unionByName(items.select(F.lit("export").alias("format"), F.col("item_id").alias("doc_id"),
+                                      F.length("text").cast("long").alias("n_chars"))))
+
+
+@register("stored_declared_read", f"""
+SELECT encounter_id, version, intent, CASE WHEN version > 2 THEN sports_code END AS sports_code, CAST(NULL AS INTEGER) AS injury_hour
+FROM ({fx.CASE_VERSIONS_SQL}) c""")
+def stored_declared_read(spark, d):
+    """Case versions stored by two states of the engine, the older without ``sports_code``, neither with
+    ``injury_hour``, read under the declared schema: what was not stored is null."""
+    from caseflow.sources.tables import read_stored
+    root = scratch_path(spark, "stored")
+    cases = fx.case_versions_src(spark, d).select("encounter_id", "version", "intent", "sports_code")
+    cases.where("version <= 2").drop("sports_code").write.parquet(f"{root}/case_report")
+    cases.where("version > 2").write.mode("append").parquet(f"{root}/case_report")
+    return read_stored(spark, root, ["case_report"])["case_report"].select("encounter_id", "version", "intent", "sports_code", "injury_hour")

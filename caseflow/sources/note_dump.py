@@ -83,6 +83,28 @@ def read_headered_export(spark: SparkSession, path: str, key_column: str,
             parsed.where("_r._bad IS NOT NULL").select("line"))
 
 
+FORMATS = {".txt": "dump", ".dat": "dump", ".csv": "export", ".parquet": "parquet"}
+
+
+def read_notes(spark: SparkSession, path: str, key_column: str, format: str | None = None,
+               delim: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of note input in any format: "dump", "export" or "parquet", stated or told by the
+    extension of ``path`` (that of a file, a folder or a pattern). All columns are strings, as in the
+    other readers; parquet has no rejects. An unknown format, or input without the key column, is
+    an error."""
+    kind = format or next((f for ext, f in FORMATS.items() if path.rstrip("/").lower().endswith(ext)), None)
+    if kind == "dump":
+        return read_note_dump(spark, path, key_column, delim or "|")
+    if kind == "export":
+        return read_headered_export(spark, path, key_column, delim or ",")
+    if kind != "parquet":
+        raise ValueError(f"no reader for {path!r}; state one of {sorted(set(FORMATS.values()))}")
+    rows = spark.read.parquet(path)
+    if key_column not in rows.columns:
+        raise ValueError(f"{key_column!r} column not found")
+    return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]), spark.createDataFrame([], "line string")
+
+
 # Timestamp forms met in exports, tried in this order.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss",
                 "yyyy/MM/dd", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d-MMM-yyyy HH:mm", "d-MMM-yyyy"]

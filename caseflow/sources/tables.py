@@ -14,19 +14,19 @@ from caseflow import fixtures as fx
 from caseflow.functions import fields as ff
 from caseflow.operators.versions import latest_version
 from caseflow.session import prepare
+from caseflow.sources.schemas import STORED, read_declared, schema_of
+from caseflow.sources.sinks import table_exists
 
-STORED_TABLES = ["subjects", "encounters", "summaries", "referrals", "problems", "notes",
-                 "chunked_notes", "processed_notes", "case_report"]
-
-
-def read_stored(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Every stored table by name (parquet under ``root/<name>``), also as temp views."""
+def read_stored(spark: SparkSession, root: str, names: list[str] | None = None, every_file: bool = False) -> dict[str, DataFrame]:
+    """The stored tables under ``root`` by name, under their declared schemas and as temp views. A table
+    that nothing was written to yet has no rows; a root that does not exist is an error."""
     prepare(spark)
+    if not table_exists(spark, root):
+        raise ValueError(f"nothing is stored at {root}")
     out = {}
-    for n in names or STORED_TABLES:
-        df = spark.read.parquet(f"{root}/{n}")
-        df.createOrReplaceTempView(n)
-        out[n] = df
+    for n in names or list(STORED):
+        out[n] = read_declared(spark, f"{root}/{n}", schema_of(n), every_file)
+        out[n].createOrReplaceTempView(n)
     return out
 
 

@@ -155,3 +155,10 @@ def test_batch_reads_intent_and_grows_postings(spark, tmp_path):
     assert words(2, positive=["fight"]) == [1, 2] and words(2, negative=["twice"]) == [2]
     plan = search_keys(t, {"keywords": {"detail_level": 2, "positive": ["fight"]}}, postings=made)._jdf.queryExecution().toString()
     assert "full_narrative" not in plan  # no text is read
+    # the tables read back under their declared schemas
+    from caseflow.sources.schemas import STORED
+    from caseflow.sources.tables import read_stored
+    back = read_stored(spark, str(tmp_path / "t"), every_file=True)
+    assert set(back) == set(STORED)
+    for n in back:
+        assert sorted(back[n].dtypes) == sorted(t[n].dtypes) and back[n].count() == t[n].count(), n

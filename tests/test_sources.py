@@ -61,3 +61,47 @@ def test_coded_fields_never_fail(spark):
     assert [r[0] for r in df.select(ff.int_or_null("v")).collect()] == [12, 12, -3, None, None, None, None, None, 7]
     hours = spark.createDataFrame([(v,) for v in ["ten", "0", "15.0", "99", None]], "v string")
     assert [r[0] for r in hours.select(ff.ampm_from_hour(F.col("v"))).collect()] == [None, 1, 2, 99, None]
+
+
+def test_declared_read(spark, tmp_path):
+    from caseflow.sources.tables import read_stored
+    with pytest.raises(ValueError, match="nothing is stored"):
+        read_stored(spark, str(tmp_path / "none"))
+    root = str(tmp_path / "store")
+    read = lambda n, **o: read_stored(spark, root, [n], **o)[n]
+    # an added column is null, an undeclared one is not read, a narrower number is taken
+    spark.createDataFrame([(1, "a summary", 1, True)], "encounter_id int, summary_text string, version int, extra boolean").write.parquet(f"{root}/summaries")
+    assert [tuple(r) for r in read("summaries").collect()] == [(1, "a summary", 1, None)]
+    assert read("summaries").schema["encounter_id"].dataType.simpleString() == "bigint"
+    assert [tuple(r) for r in spark.sql("SELECT encounter_id, vec FROM summaries").collect()] == [(1, None)]
+    # nothing written yet
+    assert read("problems").count() == 0 and read("problems").columns == ["encounter_id", "problem", "id", "arrival_part"]
+    # a changed type is refused by name, in one file of several too
+    spark.createDataFrame([("7", 3)], "subject_id string, dob int").write.parquet(f"{root}/subjects")
+    with pytest.raises(ValueError, match="subject_id is stored as string, declared as bigint; dob is stored as int, declared as date"):
+        read("subjects")
+    spark.createDataFrame([(2, 5, 1)], "encounter_id long, summary_text int, version int").write.mode("append").parquet(f"{root}/summaries")
+    with pytest.raises(Exception, match="(?i)merge|declared as"):
+        read("summaries", every_file=True)
+    # partitions by day stay strings
+    spark.createDataFrame([(1, "p", "1|p", "1998-06-01")], "encounter_id long, problem string, id string, arrival_part string") \
+        .write.partitionBy("arrival_part").parquet(f"{root}/problems")
+    assert [tuple(r) for r in read("problems").collect()] == [(1, "p", "1|p", "1998-06-01")]
+    with pytest.raises(ValueError, match="unknown table"):
+        read("nothing")
+
+
+def test_reader_by_extension(spark, tmp_path):
+    (tmp_path / "day.txt").write_text("CSN|MRN\n1|10\n2\n")
+    (tmp_path / "day.CSV").write_text("MRN,CSN\n10,1\n")
+    spark.createDataFrame([(1, None, 2.5)], "CSN long, `a.b` string, los double").write.parquet(str(tmp_path / "day.parquet"))
+    get = lambda name, **o: [sorted(tuple(r) for r in p.collect()) for p in nd.read_notes(spark, str(tmp_path / name), "CSN", **o)]
+    assert get("day.txt") == [[("1", "10")], [("2",)]]
+    assert get("day.CSV") == [[("10", "1")], []]
+    assert get("day.parquet") == [[("1", None, "2.5")], []]
+    (tmp_path / "notes").write_text("CSN;MRN\n3;30\n")
+    assert get("notes", format="dump", delim=";") == [[("3", "30")], []]
+    with pytest.raises(ValueError, match="no reader"):
+        get("day.xlsx")
+    with pytest.raises(ValueError, match="not found"):
+        nd.read_notes(spark, str(tmp_path / "day.parquet"), "MRN")
