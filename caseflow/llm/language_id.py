@@ -15,7 +15,8 @@ network that learned little is little above chance and drops nothing.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a null lang is
 not learned from; without any labelled text everything is ``und``, and ``keep_recognised``
-keeps all text with a letter. Rows are judged by text
+keeps all text with a letter. Of equally probable languages the first by name is taken; an empty
+table gives no rows. Rows are judged by text
 alone, so repeated rows agree; extra columns are kept by ``predict``.
 """
 

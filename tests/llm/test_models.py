@@ -296,3 +296,53 @@ def test_byte_net_tables_agree_with_the_filters():
         best.append(np.stack([sum(w[j][x[:, p + j]] for j in range(k)) for p in range(language_id.WINDOW - k + 1)]).max(0))
     want = language_id.softmax(np.concatenate(best, 1) @ net.out + net.bias)
     assert np.allclose(net.probabilities(x, net.pairs()), want, atol=1e-5)
+
+
+def plain_language(net, text):
+    """The language and its probability, one window and one place at a time."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, total = text.encode(), np.zeros(len(net.classes))
+    for at in range(0, len(data), language_id.WINDOW):
+        x = list(data[at:at + language_id.WINDOW])
+        weight = max(sum(b != 0 for b in x), 1)
+        x += [0] * (language_id.WINDOW - len(x))
+        feats = []
+        for k in language_id.WIDTHS:
+            seen = [sum(net.w[k][j][x[p + j]].astype(float) for j in range(k)) for p in range(language_id.WINDOW - k + 1)]
+            feats.extend(np.max(seen, axis=0))
+        z = np.array(feats) @ net.out.astype(float) + net.bias.astype(float)
+        e = np.exp(z - z.max())
+        total += weight * e / e.sum()
+    return net.classes[int(total.argmax())], float(total.max() / total.sum())
+
+
+def test_language_against_plain_windows(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    net = language_id.train(docs)
+    some = [r["text"] for r in docs.where("doc_id % 40 = 0").collect()]
+    w = language_id.WINDOW
+    odd = [None, "", " 12 -- !", "a", "\u4e2d\u6587", "z" * w, "z" * (w + 1), "a" + "\x00" * (2 * w), "9" * 700 + "le", "le chat noir " * 3000]
+    rows = [(i, t) for i, t in enumerate([*some, *odd, *odd])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in
+           language_id.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), net).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        lang, p = plain_language(net, t)
+        assert got[i][1] == pytest.approx(p, abs=1e-4), (i, t and t[:40])
+        assert got[i][0] == lang or abs(p - got[i][1]) < 1e-4 and p < 0.51
+    # equally probable languages: the first by name
+    even = language_id.ByteNet(["a", "b", "c"])
+    even.out[:] = 0
+    tie = language_id.predict(spark.createDataFrame([(1, "text")], "doc_id long, text string"), even).first()
+    assert tie["lang_pred"] == "a" and tie["score"] == pytest.approx(1 / 3)
+
+
+def test_language_learns_nothing_from_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    held = language_id.held_out()
+    other = docs.withColumn("text", F.when(held, F.lit("quite another text")).otherwise(F.col("text"))) \
+        .withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
+    a, b = language_id.train(docs), language_id.train(other)
+    assert docs.where(held).count() > 0 and "xx" not in b.classes and a.classes == b.classes
+    assert a.least_score == b.least_score and (a.out == b.out).all() and all((a.w[k] == b.w[k]).all() for k in language_id.WIDTHS)
