@@ -4,9 +4,9 @@ Several corpus operators have the same shape: a document can be judged only afte
 pieces (windows, n-grams, words) have met the same pieces of all other documents. Moving
 one row per piece would move many times the corpus, so the pieces travel packed:
 
-* ``Blocks`` writes the texts once, dealt by a hash of the document key into blocks of
-  a few MB, as a table bucketed by block. Every later step over blocks reads it without
-  a shuffle.
+* ``Blocks`` writes the texts once, dealt by a hash of document key and text into blocks of
+  a few MB, as a table bucketed by block, in the shared folder. Every later step over blocks
+  reads it without a shuffle. Different texts under one key (or under null) lie in many blocks.
 * ``ask`` lets every block send, per key partition, one packed batch of its *distinct*
   pieces: copies inside a block collapse before the shuffle, so a piece that a third of
   all rows hold arrives once per block, not once per row.
@@ -88,6 +88,18 @@ def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str, scratch: list[str], buckets: int = 0) -> tuple[str, DataFrame]:
+    """The rows of ``df`` as a table bucketed and sorted by ``by``, whose files lie in the shared folder:
+    its name, for ``DROP TABLE``, and its rows. Joins and groups on ``by`` read it without a shuffle."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    scratch.append(path)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, by).write.option("compression", "uncompressed").option("path", path)
+     .bucketBy(buckets, by).sortBy(by).saveAsTable(table))
+    return table, spark.table(table)
+
+
 def discard(spark, scratch: list[str]) -> None:
     """Delete the written tables listed in ``scratch``, and let go of finished shuffles."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -136,7 +148,7 @@ class Text:
 class Blocks:
     """The texts of ``docs`` (doc_id, text) dealt into blocks; see the module text.
 
-    The table lives in the warehouse until ``drop``. Columns other than doc_id and text
+    The table lives in the shared folder until ``drop``. Columns other than doc_id and text
     are not kept; repeated, null and empty rows are.
     """
 
@@ -157,18 +169,13 @@ class Blocks:
                     yield pa.record_batch([pa.array([block], pa.int32()), pa.array([body], pa.binary())],
                                           names=["block", "body"])
 
-        self.table = f"blocks_{uuid.uuid4().hex}"
-        dealt = (rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-                 .mapInArrow(deal, "block int, body binary").repartition(buckets, "block"))
-        (dealt.write.option("compression", "uncompressed").bucketBy(buckets, "block").sortBy("block")
-         .saveAsTable(self.table))
+        dealt = (rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+                 .mapInArrow(deal, "block int, body binary"))
+        self._scratch: list[str] = []
+        self.table, self.df = bucketed(dealt, "block", "blocks", self._scratch, buckets)
         del dealt
         release(spark)
 
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.table(self.table)
-
     def ask(self, fn) -> DataFrame:
         """fn(Text, block) yields (part, packed bytes)."""
         def run(key, table):
@@ -204,7 +211,7 @@ class Blocks:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        release(self.spark)
+        discard(self.spark, self._scratch)
 
 
 def _rows(sent: list, block: int) -> pa.Table:

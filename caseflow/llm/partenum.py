@@ -44,11 +44,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import NULL_KEY, discard, release, written
+from caseflow.llm.blocks import NULL_KEY, bucketed, discard, release, written
 from caseflow.llm.components import components
 from caseflow.llm.text import fresh
 
 SLICE = 1 << 21  # bytes of text worked on at once
+ROUND = 2  # pairs compared in one round, for each set there is
+PIECE = 1024  # comparisons with one leader that meet in one task
 
 
 class Bands:
@@ -172,19 +174,30 @@ def sets_of(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, grams array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    c = compared(pairs.select(F.col("a").alias("x"), F.col("b").alias("leader")), sets, num, den)
-    return c.where("linked").select(*_ordered("x", "leader")).distinct()
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: list[str]) -> DataFrame:
+    """The distinct pairs (a, b) whose sets reach the similarity."""
+    return compared(pairs.select(F.col("a").alias("x"), F.col("b").alias("leader")), sets, num, den, scratch,
+                    lambda c: c.where("linked").select(*_ordered("x", "leader")))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Each pair (x, leader) compared: the size of x, their distance, whether they link, whether
-    x is near and whether it is far (it can be both), and for a near x the prefix of the
-    difference: shingles of x first, then those of the leader."""
-    both = (pairs.join(sets.select(F.col("key").alias("x"), F.col("grams").alias("gx")), "x")
-            .join(sets.select(F.col("key").alias("leader"), F.col("grams").alias("gl")), "leader")
-            .select("x", "leader", "gx", "gl"))
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: list[str], keep=lambda c: c) -> DataFrame:
+    """``keep`` of the distinct pairs (x, leader) compared, in written tables: the size of x, their
+    distance, whether they link, whether x is near and whether it is far (it can be both), and for
+    a near x the prefix of the difference: shingles of x first, then those of the leader.
+
+    A pair carries the set of x to that of the leader, so shuffles would grow with the pairs. They are
+    dealt over rounds of ``ROUND`` pairs for each set there is, and each round's shuffle files go
+    before the next. The comparisons with one leader are dealt over pieces of some ``PIECE``, each
+    with its own copy of the leader's set. ``sets`` is bucketed by key: it meets x without a shuffle."""
+    spark = pairs.sparkSession
+    pairs = written(pairs, "pairs", scratch)
+    rounds = max(1, ceil(pairs.count() / (ROUND * max(1, sets.count()))))
+    pieces = written(pairs.groupBy("leader").agg(F.floor(F.count(F.lit(1)) / PIECE + 1).alias("pieces")), "pieces", scratch)
+    dealt = pairs.join(pieces, "leader").select("x", "leader", F.pmod(F.xxhash64("x"), F.col("pieces")).alias("piece"))
+    if rounds > 1:
+        dealt = written(dealt, "dealt-pairs", scratch)
+    copies = pieces.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    turn = F.pmod(F.xxhash64("leader", "piece"), F.lit(rounds))
 
     def one(p, q):
         extra, missing = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
@@ -209,8 +222,17 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                  *(pa.array([bool(v) for v in c], pa.bool_()) for c in cols[2:5]), pa.array(cols[5], pa.list_(pa.int64()))],
                 names=["x", "leader", "size", "dist", "linked", "near", "far", "prefix"])
-    return both.mapInArrow(run, "x long, leader long, size long, dist long, linked boolean, near boolean, far boolean, "
-                           "prefix array<long>")
+    paths: list[str] = []
+    for i in range(rounds):
+        leaders = copies.where(turn == i).join(sets.select(F.col("key").alias("leader"), F.col("grams").alias("gl")), "leader")
+        both = (dealt.where(turn == i).join(sets.select(F.col("key").alias("x"), F.col("grams").alias("gx")), "x")
+                .join(leaders, ["leader", "piece"]).select("x", "leader", "gx", "gl"))
+        out = written(keep(both.mapInArrow(run, "x long, leader long, size long, dist long, linked boolean, near boolean, "
+                                           "far boolean, prefix array<long>")), "compared", paths)
+        if rounds > 1:
+            release(spark)
+    scratch += paths
+    return spark.read.schema(out.schema).parquet(*paths)
 
 
 def _ordered(a, b):
@@ -252,7 +274,7 @@ def _led(members: DataFrame, found: Components, sets: DataFrame, num: int, den:
             .where("lo < hi").select("sig", (-F.col("lead.col2")).alias("leader")))
     lead = written(lead, "leaders", found.scratch)
     pairs = members.join(lead, "sig").where("node <> leader").select(F.col("node").alias("x"), "leader").distinct()
-    done = written(compared(pairs, sets, num, den), "compared", found.scratch)
+    done = compared(pairs, sets, num, den, found.scratch)
     found.add(written(done.where("linked").select(*_ordered("x", "leader")).distinct(), "links", found.scratch))
     return done, lead
 
@@ -287,7 +309,7 @@ def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: in
             can = can & (F.col("x") < F.col("x2"))
         pairs = written(r.join(other, ["leader", "e"]).where(can).select(*_ordered("x", "x2")).distinct(), "pairs", found.scratch)
         if not pairs.isEmpty():
-            found.add(written(verified(pairs, sets, num, den), "links", found.scratch))
+            found.add(verified(pairs, sets, num, den, found.scratch))
 
 
 def _row_key(docs: DataFrame):
@@ -331,9 +353,8 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     discard(spark, third)
     involved = members.select("node").distinct().join(classes.select("node", "row.key", "row.hash"), "node")
     texts = rows.join(involved, ["key", "hash"]).select(F.col("node").alias("key"), "text")
-    sets = written(sets_of(texts, n), "sets", scratch)
-    if not sets.groupBy("key").count().where("count > 1").isEmpty():  # rows that repeat doc_id and text
-        sets = written(sets.dropDuplicates(["key"]), "distinct-sets", scratch)
+    found = sets_of(texts, n).dropDuplicates(["key"])  # rows that repeat doc_id and text
+    table, sets = bucketed(found, "key", "sets", scratch)
     release(spark)
 
     found = Components()
@@ -345,7 +366,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     other = far.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
     pairs = written(far.join(other, "sig").where("comp < other_comp").select(*_ordered("node", "other")).distinct(), "pairs", found.scratch)
     if not pairs.isEmpty():
-        found.add(written(verified(pairs, sets, num, den), "links", found.scratch))
+        found.add(verified(pairs, sets, num, den, found.scratch))
     near = done.where("near").unionByName(done2.where("near")).dropDuplicates(["x", "leader"])
     _meet(near, found, sets, num, den)
 
@@ -356,6 +377,7 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     out = full.join(named, ["c1", "c2", "n_shingles"]).select("key", "hash", "n_shingles", "lowest")
     empty = p.where("n_shingles = 0").select("key", "hash", "n_shingles", F.struct("key", "hash").alias("lowest"))
     out = written(out.unionByName(empty), "jaccard-components")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     discard(spark, scratch + found.scratch)
     return out
 

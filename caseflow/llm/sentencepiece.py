@@ -234,7 +234,7 @@ SCHEMA = "doc_id long, n_words long, n_pieces long, ids array<int>, decoded_sha2
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): SCHEMA. ``decoded_sha256`` is of the text that
     the ids decode to, ``exact`` whether that is the text. The blocks of texts stay in the
-    warehouse until the program ends, because the result is read from them."""
+    shared folder until the program ends, because the result is read from them."""
     spark = docs.sparkSession
     pieces = pieces or Pieces()
     store = Blocks(docs)
