@@ -43,14 +43,25 @@ def inner_product(a, b) -> Column:
     return dot(a, b)
 
 
+CHAIN = 64  # longest sum written out as one expression
+
+
 def sparse_dot(vec, q: list[float]) -> Column:
-    """Dot product with a query vector that is zero in most places: one array access per non-zero
-    entry, in generated code, instead of a fold over the whole vector."""
-    v, out = _c(vec), F.lit(0.0)
-    for i, x in enumerate(q):
-        if x:
-            out = out + v[i].cast("double") * F.lit(float(x))
-    return out
+    """Dot product with a query vector that is zero in most places, over its non-zero entries only.
+
+    Few of them become one generated expression; a long text has hundreds, too deep a sum for the
+    analyser and too large a method for the compiler, so those are folded over two constant arrays.
+    Both add in the order of the entries, so they give the same number."""
+    v = _c(vec)
+    at = [i for i, x in enumerate(q) if x]
+    if len(at) <= CHAIN:
+        out = F.lit(0.0)
+        for i in at:
+            out = out + v[i].cast("double") * F.lit(float(q[i]))
+        return out
+    places, values = F.lit(at), F.lit([float(q[i]) for i in at])
+    terms = F.zip_with(places, values, lambda i, x: F.get(v, i).cast("double") * x)
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
 
 
 def unit_metric_columns(metric: str, vec, q: list[float]) -> tuple[Column, Column]:
