@@ -1,12 +1,15 @@
 """Dedup operators against brute force."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
 from caseflow.llm import partenum, radix_dedup, rlz_dedup, suffix_dedup
+from caseflow.llm.blocks import Blocks
 from caseflow.llm.components import components
+from caseflow.session import shared_dir
 from tests.llm import brute
 from tests.llm.conftest import same
 
@@ -83,6 +86,22 @@ def test_partenum_chain_through_a_hub(spark):
     same(partenum.link(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90), brute.jaccard(docs))
 
 
+def test_partenum_rounds_and_pieces(edge_frame, edge_docs, monkeypatch):
+    monkeypatch.setattr(partenum, "PIECE", 2)
+    monkeypatch.setattr(partenum, "ROUND", 0.5)
+    same(partenum.link(edge_frame, 3, 80), brute.jaccard(edge_docs, 3, 80))
+
+
+def test_texts_under_one_key_lie_in_many_blocks(spark):
+    store = Blocks(spark.createDataFrame([(None, f"text {i}") for i in range(64)] + [(5, f"text {i}") for i in range(64)],
+                                         "doc_id long, text string"), block_bytes=64)
+    assert store.n_blocks > 8 and store.df.select("block").distinct().count() > 8
+    path = store._scratch[0]
+    assert path.startswith(shared_dir(spark))
+    store.drop()
+    assert not os.path.exists(path)
+
+
 def test_keep_one(edge_frame, edge_docs):
     out = partenum.keep_one(edge_frame, 5, 80)
     assert out.columns == edge_frame.columns
