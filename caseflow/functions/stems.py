@@ -120,9 +120,14 @@ def stem_table(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().select("term", F.expr(stem_expression()).alias("stem"))
 
 
-def stemmed_terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, stem): the distinct stems of each text, stop words left out before."""
+def text_terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, term): the distinct terms of each text, without stop words."""
     from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"), 0))
-    rows = df.select(key, F.explode(tokens).alias("term")).where(~F.col("term").isin(ENGLISH_STOP_WORDS))
+    return df.select(key, F.explode(tokens).alias("term")).where(~F.col("term").isin(ENGLISH_STOP_WORDS))
+
+
+def stemmed_terms(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, stem): the distinct stems of each text, stop words left out before."""
+    rows = text_terms(df, key, text_col)
     return rows.join(stem_table(rows), "term").select(key, "stem").distinct()

@@ -90,15 +90,23 @@ class Postings:
 
 
 def stemmed_keys(df: DataFrame, key: str, text_col: str, positive=None, negative=None) -> DataFrame:
-    """Keyword match by stems: keys of texts that hold a form of any positive word and of no negative one."""
-    from caseflow.functions.stems import stem_table, stemmed_terms
+    """Keyword match by stems: keys of texts that hold a form of any positive word and of no negative one.
+
+    The stems of the distinct terms are written before they are searched: a filter on the stem would
+    otherwise move below the distinct, and stem a term once for every text that holds it. Texts are then
+    searched for the terms of the asked stems."""
+    from caseflow.functions.stems import stem_table, text_terms
     spark, pos, neg = df.sparkSession, _norm_terms(positive), _norm_terms(negative)
     if not pos and not neg:
         return df.select(key).limit(0)
-    rows = stemmed_terms(df, key, text_col)
+    rows, scratch = text_terms(df, key, text_col), []
+    stems = sk.roundtrip(spark, stem_table(rows), "stems", scratch=scratch)
 
     def having(words):
         asked = stem_table(spark.createDataFrame([(w,) for w in words], "term string")).select("stem").distinct()
-        return rows.join(F.broadcast(asked), "stem", "left_semi").select(key).distinct()  # the words of one query
+        forms = stems.join(F.broadcast(asked), "stem", "left_semi").select("term")  # asked: the words of one query
+        return rows.join(sk.roundtrip(spark, forms, "forms"), "term", "left_semi").select(key).distinct()
     out = having(pos) if pos else df.where(F.col(text_col).isNotNull()).select(key).distinct()
-    return out.join(having(neg), key, "left_anti") if neg else out
+    out = out.join(having(neg), key, "left_anti") if neg else out
+    sk.discard(spark, scratch)
+    return out

@@ -118,6 +118,11 @@ def test_stemmed_search(texts):
     assert find(["burn"], ["fractured"]) == [3] and find(None, ["burning"]) == [1, 4, 6] and find([]) == []
 
 
+def test_stemmed_search_stems_no_text(texts):
+    found = po.stemmed_keys(texts, "encounter_id", "t", ["burn"], ["fractured"])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # the steps of a stem
+
+
 def test_postings_equal_a_scan(spark, texts, tmp_path):
     p = po.Postings(spark, str(tmp_path), buckets=4)
     p.add(texts.where("encounter_id < 3"), "t")
