@@ -144,12 +144,12 @@ FRESH = {"intent": 10, "no1": 27, "bp1": 120, "i_o": "I", "disp": 3, "am_pm": "p
 def upload_src(spark, d):
     """Reviewed report: current versions with edits on rows whose disposition code is 3 or 4,
     plus reports for visits that have no stored case yet (triage level 1)."""
-    cur = vs.latest_version(tb.stored_cases(spark, d))
+    cur = tb.latest_cases(spark, d)
     edited = cur.withColumn("intent", F.when(F.col("disp") == 3, F.lit(19)).otherwise(F.col("intent"))) \
         .withColumn("bp1", F.when(F.col("disp") == 3, F.lit(999)).otherwise(F.col("bp1"))) \
         .withColumn("veh_p", F.when(F.col("disp") != 4, F.col("veh_p")))
     enc = tb.stored_encounters(spark, d).where(F.col("ctas") == 1)
-    fresh = (enc.join(tb.stored_cases(spark, d).select("encounter_id"), "encounter_id", "left_anti")
+    fresh = (enc.join(fx.case_keys_src(spark, d).distinct(), "encounter_id", "left_anti")
              .select("encounter_id", *[F.lit(FRESH.get(c)).cast(edited.schema[c].dataType).alias(c) for c in COMPARE]))
     return edited.select("encounter_id", *COMPARE).unionByName(fresh)
 
@@ -176,7 +176,7 @@ REVIEW_VIEWS = dict(**ENC, **CASES, latest=LATEST_CASES_SQL, upload=UPLOAD_SQL)
 SELECT u.* FROM upload u JOIN latest l ON l.encounter_id = u.encounter_id
 WHERE """ + DIFFERS, **REVIEW_VIEWS))
 def diff_case_versions(spark, d):
-    cur = vs.latest_version(tb.stored_cases(spark, d))
+    cur = tb.latest_cases(spark, d)
     return vs.changed_rows(cur, upload_src(spark, d), COMPARE)
 
 

@@ -238,13 +238,26 @@ LOCATION_CODES = [11, 12, 42, 62, 64, 82, 131, 7777]  # the last has no label
 AREA_CODES = [11, 16, 42, 59, 72, 84, 92]
 
 
-def case_versions_src(spark, d) -> DataFrame:
-    """Stored versions: one per (order, line number); of several lines with one number, the
-    smallest by part and supplier (an aggregate with map-side combine, no sort per order)."""
+def case_rows_src(spark, d) -> DataFrame:
+    """The line behind each stored version: one per (order, line number); of several lines with one
+    number, the smallest by part and supplier (an aggregate with map-side combine, no sort per order)."""
     li = read(spark, d, "lineitem")
     row = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_tax")
-    li = (li.groupBy("l_orderkey", "l_linenumber").agg(F.min(row).alias("_r"))
-          .select("l_orderkey", "l_linenumber", "_r.*"))
+    return (li.groupBy("l_orderkey", "l_linenumber").agg(F.min(row).alias("_r"))
+            .select("l_orderkey", "l_linenumber", "_r.*"))
+
+
+def case_keys_src(spark, d) -> DataFrame:
+    """The visits that have a stored version, repeats included."""
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("encounter_id"))
+
+
+def case_versions_src(spark, d) -> DataFrame:
+    return case_columns(case_rows_src(spark, d))
+
+
+def case_columns(li: DataFrame) -> DataFrame:
+    """The stored version of each of the lines ``li``, all columns."""
     q = F.col("l_quantity").cast("long")
     return li.select(
         F.col("l_orderkey").alias("encounter_id"),

@@ -56,6 +56,11 @@ def stored_cases(spark, d) -> DataFrame:
     return fx.case_versions_src(spark, d)
 
 
+def latest_cases(spark, d) -> DataFrame:
+    """The latest stored versions; the columns are derived after the choice, so that few are shuffled."""
+    return fx.case_columns(latest_version(fx.case_rows_src(spark, d), "l_orderkey", "l_linenumber"))
+
+
 def stored_summaries(spark, d) -> DataFrame:
     return fx.summaries_src(spark, d)
 

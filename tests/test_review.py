@@ -21,3 +21,10 @@ def test_updates_meet_the_stored_table_once(spark):
     got = vs.apply_updates(stored, upload, ["x", "y"])
     assert {tuple(r) for r in got.collect()} == {(1, "a", None, 3), (3, "c", None, 5), (4, "d", 1, 1), (None, "e", 1, 1)}
     assert plan(got).count("Join ") == 1
+
+
+def test_latest_cases_derive_their_columns_after_the_choice(spark):
+    got, want = tb.latest_cases(spark, SF), vs.latest_version(tb.stored_cases(spark, SF))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+    assert "place " in plan(got).split("Aggregate")[0] and "place " not in "".join(plan(got).split("Aggregate")[1:])
