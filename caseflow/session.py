@@ -8,12 +8,15 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC so dates read from parquet timestamps do not
-# shift, AQE so shuffle partition counts and skewed joins are re-planned at run time.
+# shift, AQE so shuffle partition counts and skewed joins are re-planned at run time, into tasks
+# whose memory does not grow with the tables.
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # keys compress well: a merged shuffle partition of the usual 64 MB is many millions of rows in a sort
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 

@@ -28,3 +28,7 @@ def test_latest_cases_derive_their_columns_after_the_choice(spark):
     assert sorted(got.columns) == sorted(want.columns)
     assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
     assert "place " in plan(got).split("Aggregate")[0] and "place " not in "".join(plan(got).split("Aggregate")[1:])
+
+
+def test_merged_partitions_are_bounded(spark):
+    assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
