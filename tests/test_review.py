@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caseflow.catalog import store
 from caseflow.operators import versions as vs
 from caseflow.session import prepare
 from caseflow.sources import tables as tb
@@ -32,3 +33,11 @@ def test_latest_cases_derive_their_columns_after_the_choice(spark):
 
 def test_merged_partitions_are_bounded(spark):
     assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_versions_of_a_visit_are_written_together(spark, monkeypatch):
+    from caseflow.sources import sinks as sk
+    written, append = [], sk.append
+    monkeypatch.setattr(sk, "append", lambda df, path: (written.append(plan(df)), append(df, path)))
+    store.review_round_trip(spark, SF)
+    assert "RebalancePartitions [l_orderkey" in written[0] and len(written) == 2
