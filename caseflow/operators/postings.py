@@ -47,8 +47,7 @@ class Postings:
         scratch: list[str] = []
         rows = sk.roundtrip(self.spark, rows, "to-index", scratch=scratch)
         from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
-        terms = (rows.select(self.key, F.explode(_raw_tokens("_text")).alias("term")).where(~F.col("term").isin(ENGLISH_STOP_WORDS))
-                 .groupBy(self.key, "term").agg(F.count(F.lit(1)).alias("tf")))
+        terms = term_counts(rows, self.key, "_text").where(~F.col("term").isin(ENGLISH_STOP_WORDS))
         out = terms.select("term", self.key, "tf", F.lit(gen).alias("gen"), F.pmod(F.crc32("term"), F.lit(self.buckets)).cast("int").alias("bucket"))
         # sorted by term inside a bucket's files, so that a term's rows are few row groups
         (out.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket")
@@ -89,6 +88,17 @@ class Postings:
         return rows.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
+def term_counts(rows: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, term, tf): the terms of each row with how often they occur in it, counted in the row itself: the
+    tokens are sorted, and a term's count is the length of its run."""
+    rows = rows.select(key, F.sort_array(_raw_tokens(text_col)).alias("_tok"))
+    starts = F.filter(F.transform("_tok", lambda t, i: F.when((i == 0) | (F.get("_tok", i - 1) != t), i)), lambda i: i.isNotNull())
+    rows = rows.select(key, "_tok", starts.alias("_at"))
+    runs = F.transform("_at", lambda at, j: F.struct(
+        F.get("_tok", at).alias("term"), (F.coalesce(F.get("_at", j + 1), F.size("_tok")) - at).cast("long").alias("tf")))
+    return rows.select(key, F.explode(runs).alias("_run")).select(key, "_run.term", "_run.tf")
+
+
 def stemmed_keys(df: DataFrame, key: str, text_col: str, positive=None, negative=None) -> DataFrame:
     """Keyword match by stems: keys of texts that hold a form of any positive word and of no negative one.
 

@@ -1,6 +1,7 @@
 """Stems by hand and by a plain version of the rules; postings against a scan of the texts."""
 
 import re
+from collections import Counter
 
 import pytest
 
@@ -118,6 +119,16 @@ def test_stemmed_search(texts):
     assert find(["burn"], ["fractured"]) == [3] and find(None, ["burning"]) == [1, 4, 6] and find([]) == []
 
 
+def test_terms_are_counted_in_their_row(spark, texts):
+    rows = spark.createDataFrame([(7, " b a1 B, c b a1 "), (8, "x"), (9, "...")], "encounter_id long, t string").union(texts)
+    got = po.term_counts(rows, "encounter_id", "t")
+    want = {(r.encounter_id, w, n) for r in rows.collect()
+            for w, n in Counter(re.findall("[a-z0-9]+", (r.t or "").lower())).items()}
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stemmed_search_stems_no_text(texts):
     found = po.stemmed_keys(texts, "encounter_id", "t", ["burn"], ["fractured"])
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # the steps of a stem
