@@ -3,8 +3,9 @@
 ``<root>/postings`` holds one row per term and text, (term, key, tf, gen), partitioned by a hash bucket of
 the term; ``<root>/indexed`` holds (key, text_hash, gen): which writing of a text counts. A batch adds the
 texts that are new or have changed under the next ``gen``, the rows of older writings stay and no longer
-count. ``indexed`` is written last: a batch that failed before is added again under the same ``gen``, and
-what it had written already counts once. A search reads the buckets of its terms and ``indexed``, never a
+count. ``indexed`` is written last, and no ``gen`` is used twice: what a batch that failed before had written
+is under a ``gen`` that no text has, and does not count. Rows that a table holds twice under one ``gen`` count
+once; ``<root>/batches`` holds how many rows each ``gen`` has, (gen, n), so that this is looked for only where there are more. A search reads the buckets of its terms and ``indexed``, never a
 text.
 
 Defined cases: a null or blank text is indexed without terms, so that searches by negatives only find it,
@@ -43,7 +44,9 @@ class Postings:
         if sk.table_exists(self.spark, f"{self.root}/indexed"):
             now = self.current().join(sk.small_keys(rows, self.key), self.key, "left_semi")
             rows = rows.join(now.drop("gen"), [self.key, "text_hash"], "left_anti")
-            gen += self._read("indexed", self.entry).agg(F.max("gen")).first()[0] or 0
+        used = [self._read(name, "gen int").agg(F.max("gen")).first()[0] or 0  # postings: a batch that failed before, too
+                for name in ("indexed", "postings") if sk.table_exists(self.spark, f"{self.root}/{name}")]
+        gen += max(used, default=0)
         scratch: list[str] = []
         rows = sk.roundtrip(self.spark, rows, "to-index", scratch=scratch)
         from caseflow.rules.stopwords import ENGLISH_STOP_WORDS
@@ -52,9 +55,22 @@ class Postings:
         # sorted by term inside a bucket's files, so that a term's rows are few row groups
         (out.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket")
          .parquet(f"{self.root}/postings"))
+        written = self._counts().where(F.col("gen") == gen)
+        sk.append(written, f"{self.root}/batches")
         sk.append(rows.select(self.key, "text_hash", F.lit(gen).alias("gen")), f"{self.root}/indexed")
         sk.discard(self.spark, scratch)
 
+    def _counts(self) -> DataFrame:
+        """(gen, n): the stored rows of each ``gen``."""
+        return self._read("postings", self.posting).groupBy("gen").agg(F.count(F.lit(1)).alias("n"))
+
+    def once(self) -> bool:
+        """Whether every ``gen`` that texts have holds as many rows as its batch wrote, that is, none twice."""
+        if not sk.table_exists(self.spark, f"{self.root}/batches"):
+            return False
+        counts = self._counts().join(self._read("indexed", self.entry).select("gen").distinct(), "gen", "left_semi")
+        return counts.join(self._read("batches", "gen int, n long"), ["gen", "n"], "left_anti").isEmpty()
+
     def current(self) -> DataFrame:
         """(key, text_hash, gen) of the texts that count."""
         t = self._read("indexed", self.entry)
@@ -83,7 +99,8 @@ class Postings:
 
     def document_frequency(self) -> DataFrame:
         """(term, doc_freq) over the current texts."""
-        rows = self._read("postings", self.posting).select("term", self.key, "gen").distinct()
+        rows = self._read("postings", self.posting).select("term", self.key, "gen")
+        rows = rows if self.once() else rows.distinct()
         rows = rows.join(self.current().select(self.key, "gen"), [self.key, "gen"], "left_semi")
         return rows.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
 

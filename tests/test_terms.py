@@ -119,6 +119,25 @@ def test_stemmed_search(texts):
     assert find(["burn"], ["fractured"]) == [3] and find(None, ["burning"]) == [1, 4, 6] and find([]) == []
 
 
+def test_a_failed_batch_of_postings_does_not_count(spark, texts, tmp_path, monkeypatch):
+    p = po.Postings(spark, str(tmp_path), buckets=4)
+    p.add(texts.where("encounter_id = 4"), "t")  # no terms at all
+    with monkeypatch.context() as m:
+        m.setattr(po.sk, "append", lambda df, path: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            p.add(texts, "t")
+    p.add(texts, "t")
+    p.add(spark.createDataFrame([(6, "a wrist")], "encounter_id long, t string"), "t")
+    got = p.document_frequency()
+    assert {r.term: r.doc_freq for r in got.where("term in ('wrist', 'hand', 'burns')").collect()} == {"wrist": 3, "hand": 1, "burns": 1}
+    assert {r.encounter_id: r.r for r in p.rank(["hand", "wrist"]).collect()} == {1: 1, 2: 2, 6: 1}
+    assert "Aggregate [term" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate [") == 2
+    rows = p._read("postings", p.posting)
+    again = spark.createDataFrame([tuple(r) for r in rows.collect()], rows.schema)
+    again.write.mode("append").partitionBy("bucket").parquet(str(tmp_path / "postings"))  # all of them twice
+    assert {r.term: r.doc_freq for r in p.document_frequency().where("term = 'wrist'").collect()} == {"wrist": 3}
+
+
 def test_terms_are_counted_in_their_row(spark, texts):
     rows = spark.createDataFrame([(7, " b a1 B, c b a1 "), (8, "x"), (9, "...")], "encounter_id long, t string").union(texts)
     got = po.term_counts(rows, "encounter_id", "t")
