@@ -5,12 +5,17 @@ bytes, the maximum of each filter over the window, and a softmax. It is trained
 on labelled text and applied in batches to every window of the whole text; a text's
 probabilities are the mean over its windows, weighted by their bytes.
 
-Training takes at most ``per_language`` labelled texts of each language, those with the
-smallest hash of doc_id, and one window of each; that bound does not depend on the corpus.
+Training reads every window of every labelled text. The texts are dealt by hash into shards of
+about SHARD windows, and the shards into rounds of 1, 4, 16 ... of them. In a round every task learns
+from one shard, starting from the weights of the round before, and the weights that come out are
+averaged, each counting as many times as its shard has windows. The first round goes over its shard
+several times if that is small. Sums are taken over whole numbers, so that no order of rows or tasks
+changes the network.
 
 The score tells text in a learned language from noise: ``train`` sets the network's
-``least_score`` from the scores of its training windows, LEAST_SHARE of the way from chance to
-the score that all but one in a thousand of them reach, so practically all clean text passes. A
+``least_score`` from the scores of all texts it learned from, LEAST_SHARE of the way from chance to
+the score that the texts of all but a thousandth of their bytes reach, so practically all clean text
+passes. The targets are smoothed by SMOOTH, so that the network is not sure of what it never saw. A
 network that learned little is little above chance and drops nothing.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; a null lang is
@@ -22,11 +27,12 @@ alone, so repeated rows agree; extra columns are kept by ``predict``.
 
 from __future__ import annotations
 
+import copy
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -38,6 +44,12 @@ FILTERS = 8
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 LEAST_SHARE = 0.4
+SHARD = 1 << 14  # windows that a task learns from, about, between two averages of the weights
+SMOOTH = 0.2  # share of a target that is spread over all languages
+SLOWED = 50  # steps after which the learning rate has halved
+FIRST_VISITS = 96_000  # windows that the first round visits at least, in at most 12 epochs
+FIXED = 1 << 20  # weights are summed in whole numbers of this fraction
+SCORE_STEPS = 10_000  # scores are counted in steps of a ten-thousandth
 
 
 class ByteNet:
@@ -49,43 +61,51 @@ class ByteNet:
         self.w = {k: r.normal(0, 0.3, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS}
         self.out = r.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))).astype(np.float32)
         self.bias = np.zeros(len(classes), np.float32)
-        self.least_score = 0.0
-
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> "ByteNet":
-        """x: windows (n, WINDOW) of bytes; y: class numbers. Adam on the softmax loss,
-        classes weighted to count alike."""
-        r = np.random.default_rng(5)
-        weight = (len(y) / np.maximum(np.bincount(y, minlength=len(self.classes)), 1) / len(self.classes))[y]
-        params = [*self.w.values(), self.out, self.bias]
+        self.least_score, self.windows_learnt = 0.0, 0
+
+    def params(self) -> list:
+        return [*self.w.values(), self.out, self.bias]
+
+    def fit(self, parts, weights: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> int:
+        """``parts`` yields (x, y): windows (n, WINDOW) of bytes and class numbers, which are learned from
+        part after part. Adam on the softmax loss; ``weights`` by class. Returns how many windows came."""
+        r, params, seen = np.random.default_rng(5), self.params(), 0
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
-            for at in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
-                b = x[at]
-                rows = np.arange(len(b))[:, None]
-                feats, where = [], []
-                for k in WIDTHS:
-                    s = sum(self.w[k][j][b[:, j:WINDOW - k + 1 + j]] for j in range(k))
-                    best = s.argmax(1)
-                    where.append(best)
-                    feats.append(np.take_along_axis(s, best[:, None], 1)[:, 0])
-                f = np.concatenate(feats, 1)
-                p = softmax(f @ self.out + self.bias)
-                p[np.arange(len(b)), y[at]] -= 1
-                p *= (weight[at] / len(b))[:, None].astype(np.float32)
-                g_f = p @ self.out.T
-                grads = []
-                for i, k in enumerate(WIDTHS):
-                    g = np.zeros_like(self.w[k])
-                    part = g_f[:, i * FILTERS:(i + 1) * FILTERS]
-                    for j in range(k):
-                        np.add.at(g[j], (b[rows, where[i] + j], np.arange(FILTERS)[None]), part)
-                    grads.append(g)
-                t += 1
-                for i, (q, g) in enumerate(zip(params, [*grads, f.T @ p, p.sum(0)])):
-                    m[i] = 0.9 * m[i] + 0.1 * g
-                    v[i] = 0.999 * v[i] + 0.001 * g * g
-                    q -= rate * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
-        return self
+        for x, y in parts:
+            weight, seen = weights[y], seen + len(y)
+            for _ in range(epochs):
+                for at in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
+                    t += 1
+                    for i, (q, g) in enumerate(zip(params, self.gradient(x[at], y[at], weight[at]))):
+                        m[i] = 0.9 * m[i] + 0.1 * g
+                        v[i] = 0.999 * v[i] + 0.001 * g * g
+                        q -= rate / (1 + t / SLOWED) * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
+        return seen
+
+    def gradient(self, b: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list:
+        """The gradient of the weighted loss of one batch, in the order of ``params``."""
+        rows, unit = np.arange(len(b))[:, None], np.arange(FILTERS)[None]
+        feats, where = [], []
+        for k in WIDTHS:
+            s = self.w[k][0][b[:, :WINDOW - k + 1]]
+            for j in range(1, k):
+                s += self.w[k][j][b[:, j:WINDOW - k + 1 + j]]
+            best = s.argmax(1)
+            where.append(best)
+            feats.append(np.take_along_axis(s, best[:, None], 1)[:, 0])
+        f = np.concatenate(feats, 1)
+        p = softmax(f @ self.out + self.bias)
+        p[np.arange(len(b)), y] -= 1 - SMOOTH
+        p -= SMOOTH / len(self.classes)
+        p *= (weight / len(b))[:, None].astype(np.float32)
+        g_f = p @ self.out.T
+        grads = []
+        for i, k in enumerate(WIDTHS):
+            part = g_f[:, i * FILTERS:(i + 1) * FILTERS].ravel()
+            g = [np.bincount((b[rows, where[i] + j].astype(np.int64) * FILTERS + unit).ravel(), part, 256 * FILTERS)
+                 for j in range(k)]
+            grads.append(np.stack(g).reshape(k, 256, FILTERS).astype(np.float32))
+        return [*grads, f.T @ p, p.sum(0)]
 
     def pairs(self) -> list:
         """The filters as tables over byte pairs, so that a width-4 filter takes two look-ups."""
@@ -127,35 +147,93 @@ def held_out(modulus: int = 4, remainder: int = 2):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder
 
 
-def train(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
-    """Fit on the rows of ``docs`` (doc_id, text, lang) that are not held out."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+def train(docs: DataFrame, least: bool = True) -> ByteNet | None:
+    """Fit on the rows of ``docs`` (doc_id, text, lang) that are not held out, all windows of all of
+    them; without ``least``, no ``least_score`` is worked out."""
+    known = (docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+             .select("doc_id", "text", "lang"))
+    n = F.ceil(F.octet_length("text") / WINDOW)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(n).alias("n")).collect()}  # one row per language
     if not counts:
         return None
-    data, size = F.col("text").cast("binary"), F.octet_length("text")
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(size - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    # about twice the bound by hash, then exactly the bound: the ranking sees few rows of any language
-    share = F.element_at(F.create_map(*[F.lit(v) for lang, n in counts.items()
-                                        for v in (lang, min(1.0, 2 * per_language / n))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text"))
-    rows = (known.where((draw < share) & (size > 0) & F.col("text").rlike(r"\p{L}"))
-            .select("lang", F.substring(data, start, F.lit(WINDOW)).alias("x"), F.row_number().over(order).alias("r"))
-            .where(F.col("r") <= per_language))
-    got = sorted((r["lang"], bytes(r["x"])) for r in rows.select("lang", "x").collect())
-    classes = sorted({lang for lang, _ in got})
-    if not classes:
-        return None
-    x = np.concatenate([windows(b) for _, b in got])
-    y = np.array([classes.index(lang) for lang, _ in got])
-    net = ByteNet(classes).fit(x, y)
-    tables, chance = net.pairs(), 1 / len(classes)
-    score = np.concatenate([net.probabilities(b, tables).max(1) for b in np.array_split(x, -(-len(x) // 4096))])
-    net.least_score = chance + LEAST_SHARE * max(float(np.quantile(score, 0.001)) - chance, 0.0)
+    net = ByteNet(sorted(counts))
+    total = sum(counts.values())
+    weights = np.array([total / counts[lang] / len(counts) for lang in net.classes])
+    shards = -(-total // SHARD)
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
+    done, size = 0, 1
+    while done < shards:  # every text is in one round
+        size = min(size, shards - done)
+        epochs = 1 if done else min(12, -(-FIRST_VISITS // min(total, SHARD)))
+        some = known.where((slot >= done) & (slot < done + size))
+        net = _round(some, net, weights, size, epochs, rate=0.003 if done else 0.01)
+        done, size = done + size, size * 4
+    if least:
+        net.least_score = _least_score(known, net)
     return net
 
 
+def _round(some: DataFrame, net: ByteNet, weights: np.ndarray, shards: int, epochs: int, rate: float) -> ByteNet:
+    """One round: ``shards`` tasks learn from their share of ``some`` each, and their weights are averaged."""
+    shared = some.sparkSession.sparkContext.broadcast((net, weights))  # fixed by the network's shape
+
+    def learn(batches):
+        start, weights = shared.value
+        mine, number = copy.deepcopy(start), {c: i for i, c in enumerate(start.classes)}
+        seen = mine.fit(_shard(batches, number), weights, epochs, rate=rate)
+        if seen:
+            flat = np.concatenate([q.ravel() for q in mine.params()]).astype(np.float64)
+            sums = np.append(np.rint(flat * FIXED).astype(np.int64) * seen, seen)
+            yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], names=["sums"])
+
+    # one task a shard, whose rows come in an order of their own, wherever they were stored
+    dealt = (some.select("lang", F.col("text").cast("binary").alias("x"), F.xxhash64("text", "doc_id").alias("o"))
+             .repartition(shards, "o").sortWithinPartitions("o", "lang", "x").select("lang", "x"))
+    sums = (dealt.mapInArrow(learn, "sums array<long>").select(F.posexplode("sums").alias("i", "v"))
+            .groupBy("i").agg(F.sum("v").alias("v")).collect())  # one row per weight
+    if not sums:  # no text fell into this round
+        return net
+    flat = np.array([v for _, v in sorted(tuple(r) for r in sums)], np.float64)
+    out, at = copy.deepcopy(net), 0
+    out.windows_learnt += int(flat[-1])
+    for q in out.params():
+        q[...] = (flat[at:at + q.size] / FIXED / flat[-1]).reshape(q.shape)
+        at += q.size
+    shared.destroy()
+    return out
+
+
+def _shard(batches, number: dict):
+    """The windows of a task's rows (lang, x) in parts of about SHARD: (windows, class numbers)."""
+    x, y, n = [], [], 0
+    for batch in batches:
+        for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            w = windows(data)
+            for at in range(0, len(w), SHARD):
+                x.append(w[at:at + SHARD])
+                y.append(np.full(len(x[-1]), number[lang]))
+                n += len(x[-1])
+                if n >= SHARD * 2:
+                    yield np.concatenate(x), np.concatenate(y)
+                    x, y, n = [], [], 0
+    if n:
+        yield np.concatenate(x), np.concatenate(y)
+
+
+def _least_score(known: DataFrame, net: ByteNet) -> float:
+    """``least_score`` from the scores of all rows of ``known``, counted by bytes."""
+    step = F.floor(F.col("score") * SCORE_STEPS).cast("int").alias("step")
+    steps = sorted(tuple(r) for r in predict(known.select("text"), net).groupBy(step).agg(
+        F.sum(F.octet_length("text"))).collect())  # at most one row per step
+    below, reached = sum(n for _, n in steps) // 1000, 0.0
+    for at, n in steps:
+        reached, below = at / SCORE_STEPS, below - n
+        if below < 0:
+            break
+    chance = 1 / len(net.classes)
+    return chance + LEAST_SHARE * max(reached - chance, 0.0)
+
+
 def predict(docs: DataFrame, net: ByteNet | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` plus the predicted language and its probability, from ``text`` alone."""
     text_at = docs.columns.index("text")
@@ -215,6 +293,6 @@ def keep_recognised(docs: DataFrame, net: ByteNet | None, least_score: float = 0
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    net = train(docs.select("doc_id", "text", "lang"))
+    net = train(docs.select("doc_id", "text", "lang"), least=False)
     return (predict(docs.select("doc_id", "text"), net)
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))

@@ -3,7 +3,8 @@
 Stages, each written as Parquet and read again by the next:
 
 1. ``language_id``    documents without a recognisable language go: null, no letters, or a score below
-                      the ``least_score`` that practically all labelled documents reach
+                      the ``least_score`` that practically all labelled documents reach; the model
+                      and that score come from all labelled texts, whole
 2. ``exact_dedup``    of texts equal but for the case of A-Z, the largest doc_id stays
 3. ``near_dedup``     of documents linked by 5-word shingles at similarity 0.8, one stays
 4. ``decontaminate``  documents that hold a benchmark window of 10 words go

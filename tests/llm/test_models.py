@@ -346,3 +346,29 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     a, b = language_id.train(docs), language_id.train(other)
     assert docs.where(held).count() > 0 and "xx" not in b.classes and a.classes == b.classes
     assert a.least_score == b.least_score and (a.out == b.out).all() and all((a.w[k] == b.w[k]).all() for k in language_id.WIDTHS)
+
+
+def test_language_learns_from_every_window(spark, monkeypatch):
+    """Over 1,000 texts a language, whose only tell-tale words lie in one window of few of them."""
+    r = random.Random(3)
+    plain = lambda: "".join(r.choice("aeinorst ") for _ in range(300))
+    rows = [(i, plain() + ("" if i % 8 else "zqk " * 40) + plain(), "xx" if i % 2 else "yy") for i in range(1, 3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "SHARD", 1024)
+    monkeypatch.setattr(language_id, "FIRST_VISITS", 1)
+    known = docs.where(~language_id.held_out()).agg(F.sum(F.ceil(F.octet_length("text") / language_id.WINDOW))).first()[0]
+    a = language_id.train(docs, least=False)
+    assert known > 6 * 1024 and a.windows_learnt == known
+    b = language_id.train(docs.repartition(7), least=False)  # however the rows are stored
+    assert all((p == q).all() for p, q in zip(a.params(), b.params()))
+
+
+def test_least_score_counts_every_text(spark):
+    net = language_id.train(spark.read.parquet(f"{SF_CHECK}/documents.parquet"), least=False)
+    rows = [(i, "le chat noir dort " * 20, "fr") for i in range(3000)] + [(5000 + i, "3 %% x 7 " * 40, "fr") for i in range(12)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {r["doc_id"]: r["score"] for r in language_id.predict(known, net).collect()}
+    low = min(scores[0], scores[5000])
+    chance = 1 / len(net.classes)
+    want = chance + language_id.LEAST_SHARE * max(int(low * language_id.SCORE_STEPS) / language_id.SCORE_STEPS - chance, 0)
+    assert language_id._least_score(known, net) == pytest.approx(want, abs=1e-9)
