@@ -3,19 +3,20 @@
 Texts are cut into words: a word begins at each run of blanks, and each line break is a word
 of its own; the first word of a text gets a leading blank. No piece crosses such a cut (where
 a table has pieces that would, it is not made), so the best paths of the words make up the best
-path of the text. The distinct words of the corpus are a table, and their segmentations a join:
+path of the text. The distinct words of the corpus are dealt to key partitions by hash, by an
+ordinary shuffle, and a partition works out their segmentations as a join and a fold over tables:
 
-1. all substrings of up to the longest piece's length are exploded from each distinct word
-   and equi-joined to the piece table (tens of thousands of rows, fixed by the model);
+1. the starts of all substrings are equi-joined to the piece table, one character longer with
+   each join, as long as a piece begins so (the table is kept by prefix and character);
 2. the matches are the lattice's edges; a character that is no piece gets an edge of its
    UTF-8 byte pieces, at a score below all others;
-3. edges are grouped by word and the best path is folded with ``aggregate``, end position
-   by end position. On equal scores the longest last piece wins.
+3. edges are ordered by end, and the best way to each end is an aggregate over the edges that
+   come there, of all words at once, end position by end position. On equal scores the longest
+   last piece wins.
 
-Words are dealt to key partitions by hash, so the group-by follows the exchange of the
-words and moves no edges. Words of more than ``LONGEST`` bytes (text without blanks, URLs) are
-not cut: their lattice would not stay small, so the partition that answers for such a word finds
-the same path position by position, in time and memory linear in its length. The paths go back to the blocks of texts that asked for them, and
+The edges of ``SLICE`` characters of words are held at a time and never leave their task, so nothing is
+sorted through disk. Words of any length (text without blanks, URLs) take this way, in time and memory linear
+in their length. The paths go back to the blocks of texts that asked for them, and
 each text is the concatenation of its words' ids. Blanks are written as in the piece
 table (U+2581); that character itself, where it is in a text, is encoded as bytes, so
 that decoding gives back every text exactly.
@@ -32,8 +33,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-from array import array
-from math import inf, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import Blocks, bodies, pack, release, split_by_part, written
+from caseflow.llm.blocks import Blocks, answer, pack, split_by_part
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-LONGEST = 64  # bytes of a word whose lattice is a join
+SLICE = 1 << 18  # bytes of words whose edges are held at a time
 
 
 class Pieces:
@@ -66,114 +66,124 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self.rows.append((p, i, -log(1 - s) - log(h) if ranked else s))
                 self.text[i] = p.replace(BLANK, " ").encode()
-        if n >= SPELT:
-            raise ValueError(f"the piece table has {n} pieces; edges hold fewer than {SPELT}")
         self.worst = min((s for *_, s in self.rows), default=0.0) - 10.0
-        self.scores = [0.0] * n + [self.worst]
-        for _, i, score in self.rows:
-            self.scores[i] = score
         self.longest = max((len(p) for p, *_ in self.rows), default=1)
         # whether words may begin at blanks and at line breaks: no piece goes on across them
         self.blank_cuts = not any(BLANK in p.lstrip(BLANK) for p, *_ in self.rows)
         self.line_cuts = not any("\n" in p and len(p) > 1 for p, *_ in self.rows)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
 
+class Lattice:
+    """The piece table by prefix and next character, and the best paths of words over it."""
+
+    def __init__(self, pieces: Pieces):
+        node = {"": 0}
+        for piece, *_ in pieces.rows:
+            for n in range(1, len(piece) + 1):
+                node.setdefault(piece[:n], len(node))
+        key = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in node if p], np.int64)
+        order = np.argsort(key)
+        self.key, self.child = key[order], order + 1  # a prefix has the number of its place
+        self.piece, self.score = np.full(len(node), -1, np.int32), np.zeros(len(node))
+        for piece, i, score in pieces.rows:
+            self.piece[node[piece]], self.score[node[piece]] = i, score
+        self.worst, self.byte_ids = pieces.worst, np.array(pieces.byte_ids, np.int32)
+
+    def paths(self, words: pa.Array):
+        """(first, size, ids) of an array of words in bytes: word ``i`` has ``ids[first[i]:first[i] + size[i]]``."""
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(lengths, kind="stable")  # words of about one length go together
+        size, pool = np.zeros(len(order), np.int64), [np.zeros(0, np.int32)]
+        for some in np.split(order, np.flatnonzero(np.diff(np.cumsum(lengths[order]) // SLICE)) + 1):
+            if len(some):
+                size[some], ids = self._paths(words.take(pa.array(some)))
+                pool.append(ids)
+        first = np.zeros(len(order), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return first, size, np.concatenate(pool)
+
+    def _edges(self, m, stop):
+        """The edges of the characters ``m``, whose words end at ``stop``: (start, length, piece, score); piece -1
+        is a character spelt in bytes. The longest come first."""
+        at, node, out, length = np.arange(len(m)), np.zeros(len(m), np.int64), [], 0
+        while len(at):
+            key = node << 21 | m[at + length]
+            i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            hit = self.key[i] == key if len(self.key) else np.zeros(len(at), bool)
+            length += 1
+            if length == 1:
+                spelt = np.ones(len(at), bool)
+                spelt[hit] = self.piece[self.child[i[hit]]] < 0
+                alone = at[spelt]
+                out.append((alone, np.ones(len(alone), np.int64), np.full(len(alone), -1, np.int32), np.full(len(alone), self.worst)))
+            at, node = at[hit], self.child[i[hit]]
+            end = self.piece[node] >= 0
+            out.append((at[end], np.full(end.sum(), length), self.piece[node[end]], self.score[node[end]]))
+            more = at + length < stop[at]
+            at, node = at[more], node[more]
+        return [np.concatenate(c) for c in zip(*reversed(out))]
+
+    def _paths(self, words: pa.Array):
+        """(size, ids) of the words, in their order."""
+        data = b"".join(words.to_pylist())
+        buf = np.frombuffer(data, np.uint8)
+        char_at = np.flatnonzero(buf & 0xC0 != 0x80)  # bytes where characters begin
+        chars = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        m = np.where(chars == 0x20, ord(BLANK), np.where(chars == ord(BLANK), 0xFFFF, chars))
+        stop = np.searchsorted(char_at, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False)))
+        n = np.diff(np.append(0, stop))
+        word = np.repeat(np.arange(len(n)), n)  # by character
+        start, length, piece, score = self._edges(m, np.repeat(stop, n))
+        # places between characters: a word of n has n + 1, so that place = character + word
+        source, target = start + word[start], start + length + word[start]
+        step = start + length - (stop - n)[word[start]]
+        order = np.argsort(step * (len(m) + len(n)) + target, kind="stable")
+        source, target, piece, score, step = (c[order] for c in (source, target, piece, score, step))
+        group = np.append(0, np.cumsum(target[1:] != target[:-1]))[:len(target)]
+        bounds = np.searchsorted(step, np.arange(1, n.max(initial=0) + 2))
+        best, came, by = np.zeros(len(m) + len(n)), np.zeros(len(m) + len(n), np.int64), np.zeros(len(m) + len(n), np.int32)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            reach, g = best[source[lo:hi]] + score[lo:hi], group[lo:hi] - group[lo]
+            top = np.maximum.reduceat(reach, np.flatnonzero(np.append(True, g[1:] != g[:-1])))
+            won = np.flatnonzero(reach == top[g])
+            won = lo + won[np.append(True, g[won[1:]] != g[won[:-1]])]  # the longest of equal ones
+            best[target[won]], came[target[won]], by[target[won]] = top, source[won], piece[won]
+        on, first = np.zeros(len(best), bool), stop - n + np.arange(len(n))
+        at = (stop + np.arange(len(n)))[n > 0]
+        first = first[n > 0]
+        while len(at):
+            on[at] = True
+            at = came[at]
+            at, first = at[at > first], first[at > first]
+        ends = np.flatnonzero(on)
+        owner = np.searchsorted(stop + np.arange(len(n)), ends)
+        ids, spelt = by[ends], by[ends] < 0
+        size = np.ones(len(ends), np.int64)
+        char = ends[spelt] - owner[spelt] - 1
+        size[spelt] = np.append(char_at, len(buf))[char + 1] - char_at[char]
+        ids = np.repeat(ids, size)
+        k = np.arange(size[spelt].sum()) - np.repeat(np.cumsum(size[spelt]) - size[spelt], size[spelt])
+        ids[np.repeat(spelt, size)] = self.byte_ids[buf[np.repeat(char_at[char], size[spelt]) + k]]
+        return np.bincount(owner, size, len(n)).astype(np.int64), ids
 
-SPELT = 0xFFFF  # in an edge, the mark of a character that is spelt in bytes
+
+def _gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` one after another."""
+    off = np.cumsum(size) - size
+    return ids[np.arange(size.sum()) + np.repeat(first - off, size)]
 
 
 def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """part, word, ids for the distinct (part, word) of ``words``: the relational lattice.
-
-    An edge is one number: its end, its start and its piece, in this order of bits, so that
-    sorted edges come by end, and for one end the longest first."""
-    spark = words.sparkSession
-    marked = F.translate("word", " " + BLANK, BLANK + "\uffff")
-    w = words.repartition("word").select("part", "word", marked.alias("m"), F.length("word").alias("n"))
-    at = w.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
-    sub = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("a")))).alias("len"))
-    sub = sub.select("part", "word", "a", "len", F.expr("substring(m, a + 1, len)").alias("piece"))
-    edges = sub.join(F.broadcast(pieces.frame(spark)), "piece", "left").where("id IS NOT NULL OR len = 1")
-    edge = ((F.col("a") + F.col("len")).cast("long") * (1 << 32) + F.col("a").cast("long") * (1 << 16)
-            + F.coalesce("id", F.lit(SPELT)).cast("long"))
-    lattice = (edges.select("part", "word", edge.alias("edge")).groupBy("part", "word")
-               .agg(F.sort_array(F.collect_list("edge")).alias("edges")))
-
-    scores = F.lit(pieces.scores)  # by piece; the last one is for characters spelt in bytes
-    last = len(pieces.scores) - 1
-
-    def read(e):
-        piece = e.bitwiseAND(F.lit(0xFFFF)).cast("int")
-        return F.struct(F.shiftright(e, 32).cast("int").alias("b"),
-                        F.shiftright(e, 16).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("a"),
-                        F.get(scores, F.least(piece, F.lit(last))).alias("s"), piece.alias("id"))
-
-    def step(best, e):  # best[i]: the best way to reach i, its score and last edge
-        score = F.get(best, e["a"])["s"] + e["s"]
-        node = F.array(F.struct(score.alias("s"), e["a"].alias("a"), e["id"].alias("id")))
-        return (F.when(F.size(best) == e["b"], F.concat(best, node))
-                .when(score > F.get(best, e["b"])["s"], F.concat(F.slice(best, F.lit(1), e["b"]), node)).otherwise(best))
-
-    start_state = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("id")))
-    found = lattice.select("part", "word", F.transform("edges", read).alias("edges"))
-    found = found.select("part", "word", F.aggregate("edges", start_state, step).alias("best"))
-    n = F.size("best") - 1
-
-    def walk(path, at):  # from the last position back along the best edges
-        node = F.get(F.col("best"), at)
-        return F.when(path["at"] == at, F.struct(node["a"].alias("at"), F.concat(F.array(node), path["p"]).alias("p"))).otherwise(path)
-
-    none = F.array().cast("array<struct<s: double, a: int, id: int>>")
-    path = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.struct(n.alias("at"), none.alias("p")), walk, lambda path: path["p"])
-    byte_ids = F.lit(pieces.byte_ids)
-
-    def spell(e):
-        raw = F.encode(F.substring(F.col("word"), e["a"] + 1, F.lit(1)), "utf-8")
-        return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.get(
-            byte_ids, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
-
-    found = found.select("part", "word", path.alias("path"))
-    plain = F.col("path.id")
-    ids = F.when(F.array_contains(plain, SPELT), F.flatten(F.transform("path", lambda e: F.when(
-        e["id"] == SPELT, spell(e)).otherwise(F.array(e["id"]))))).otherwise(plain)
-    return found.select("part", "word", ids.alias("ids"))
-
-
-class Trie:
-    """The piece table for one word at a time: the path of ``best_paths`` in linear time."""
+    """part, word, ids for the distinct (part, word) of ``words``: the lattice of every word."""
+    shared = words.sparkSession.sparkContext.broadcast(Lattice(pieces))  # fixed by the model
 
-    def __init__(self, pieces: Pieces):
-        self.known = {p: (s, i) for p, i, s in pieces.rows}
-        self.prefixes = {p[:n] for p in self.known for n in range(1, len(p))}
-        self.worst, self.byte_ids = pieces.worst, pieces.byte_ids
-
-    def path(self, word: str) -> list[int]:
-        m, n = word.translate({0x20: BLANK, ord(BLANK): "\uffff"}), len(word)
-        best, came, by = array("d", [-inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [0]) * (n + 1)
-        best[0] = 0.0
-        known, prefixes = self.known, self.prefixes
-        for a in range(n):  # starts in order, and only a better score replaces: the longest last piece wins ties
-            here, b = best[a], a + 1
-            sub = m[a]
-            score, piece = known.get(sub, (self.worst, SPELT))
-            while True:
-                if here + score > best[b]:
-                    best[b], came[b], by[b] = here + score, a, piece
-                while b < n and sub in prefixes:
-                    b += 1
-                    sub = m[a:b]
-                    if sub in known:
-                        score, piece = known[sub]
-                        break
-                else:
-                    break
-        out, at = [], n
-        while at:
-            out.append([by[at]] if by[at] != SPELT else [self.byte_ids[c] for c in word[came[at]].encode()])
-            at = came[at]
-        return [i for ids in reversed(out) for i in ids]
+    def run(batches):
+        for b in batches:
+            first, size, ids = shared.value.paths(b.column(1).cast(pa.binary()))
+            off = np.append(0, np.cumsum(size)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(_gather(ids, first, size)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["part", "word", "ids"])
+    return words.select("part", "word").mapInArrow(run, "part int, word string, ids array<int>")
 
 
 def cut_words(t, blank_cuts: bool = True, line_cuts: bool = True):
@@ -221,13 +231,6 @@ def _strings(buf, start, end) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(buf[at])])
 
 
-def _flat(column: pa.ChunkedArray):
-    """A list column as (lengths, values); null has length 0."""
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), lists.flatten().to_numpy()
-
-
 SCHEMA = "doc_id long, n_words long, n_pieces long, ids array<int>, decoded_sha256 string, exact boolean"
 
 
@@ -242,50 +245,24 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     atexit.register(_drop, store)
 
     cuts = pieces.blank_cuts, pieces.line_cuts
-    shared = spark.sparkContext.broadcast(pieces)  # fixed by the model
+    shared = spark.sparkContext.broadcast(Lattice(pieces))  # fixed by the model
 
     def ask(t, block):
         buf, start, end, _ = cut_words(t, *cuts)
         first, _, h = _distinct(buf, start, end)
         for p, i in split_by_part(H.part_of(h, n_parts), n_parts):
-            yield p, pack(word=_strings(buf, start[first[i]], end[first[i]]))
-
-    def distinct_words(key, table):
-        words = pc.unique(pa.chunked_array([c for b in bodies(table) for c in b.column("word").chunks]))
-        words = words.filter(pc.less_equal(pc.binary_length(words), LONGEST))
-        return pa.table({"part": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": words.cast(pa.string())})
-
-    requests = store.ask(ask)
-    words = requests.groupBy("part").applyInArrow(distinct_words, "part int, word string")
-    paths = written(best_paths(words, pieces), "paths")
-    release(spark)
-
-    def reply(key, asked, known):
-        names = known.column("word").cast(pa.binary()).combine_chunks()
-        ids = known.column("ids").combine_chunks()
-        blocks, sent = asked.column("block").to_pylist(), []
-        trie, paths = None, {}  # of the long words
-        for b in bodies(asked):
-            words = b.column("word").combine_chunks()
-            long = np.flatnonzero(pc.greater(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False))
-            got = ids.take(pc.index_in(words, value_set=names))
-            size, values = _flat(got if isinstance(got, pa.ChunkedArray) else pa.chunked_array([got]))
-            if len(long):
-                trie = trie or Trie(shared.value)
-                size = size.copy()
-                off, runs, at = np.append(0, np.cumsum(size)), [], 0
-                for i in long.tolist():
-                    word = words[i].as_py()
-                    if word not in paths:
-                        paths[word] = np.array(trie.path(word.decode()), np.int32)
-                    runs += [values[off[at]:off[i]], paths[word]]
-                    size[i], at = len(paths[word]), i
-                values = np.concatenate([*runs, values[off[at]:]])
-            sent.append(pack(size=pa.array([size.astype(np.int32)], pa.list_(pa.int32())),
-                             ids=pa.array([values], pa.list_(pa.int32())), part=np.array([key[0].as_py()])))
-        return pa.table({"block": pa.array(blocks, pa.int32()), "body": pa.array(sent, pa.binary())})
-
-    replies = requests.groupBy("part").cogroup(paths.groupBy("part")).applyInArrow(reply, "block int, body binary")
+            yield p, pack(word=_strings(buf, start[first[i]], end[first[i]]), part=np.full(len(i), p, np.int32))
+
+    def reply(got):
+        words = pc.unique(pa.chunked_array([c for _, t in got for c in t.column("word").chunks]))
+        first, size, ids = shared.value.paths(words)
+        for block, t in got:
+            at = pc.index_in(t.column("word").combine_chunks(), value_set=words).to_numpy()
+            yield block, pack(size=pa.array([size[at].astype(np.int32)], pa.list_(pa.int32())),
+                              ids=pa.array([_gather(ids, first[at], size[at])], pa.list_(pa.int32())),
+                              part=t.column("part").to_numpy()[:1])
+
+    replies = answer(store.ask(ask), reply)
     table = pieces.text
 
     def settle(t, replies):

@@ -227,6 +227,27 @@ def test_encode_whole_texts(spark, pieces):
     assert blanks["▁" * 16] in got[1]["ids"]
 
 
+def test_lattice_in_slices(pieces, monkeypatch):
+    r = random.Random(21)
+    words = ["a", "▁", "é", "𝄞梦", " the", "学习自然语言处理的方法" * 9, "x" * 500, "\uffff\x00", "internationalisation" * 4]
+    words += ["".join(r.choice("ethanoirsé▁.1𝄞") for _ in range(r.randint(1, 90))) for _ in range(80)]
+    table, lattice = {p: (i, s) for p, i, s in pieces.rows}, sentencepiece.Lattice(pieces)
+    for size in (16, 1 << 18):
+        monkeypatch.setattr(sentencepiece, "SLICE", size)
+        first, n, ids = lattice.paths(sentencepiece.pa.array([w.encode() for w in words]))
+        for i, w in enumerate(words):
+            assert ids[first[i]:first[i] + n[i]].tolist() == brute.viterbi(w, table, pieces.worst, pieces.byte_ids), w
+    start = time.process_time()
+    assert lattice.paths(sentencepiece.pa.array([b"ab1" * 50_000]))[1][0] > 10_000
+    assert time.process_time() - start < 60
+
+
+def test_edges_are_not_sorted_by_spark(edge_frame, pieces):
+    plan = sentencepiece.encode(edge_frame, pieces)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Generate|ObjectHashAggregate|BroadcastExchange", plan)  # edges are no rows
+    assert plan.count("FlatMapGroupsInArrow") == 2 and plan.count("Exchange") <= 3
+
+
 def test_encode_empty(empty_frame, pieces):
     assert sentencepiece.encode(empty_frame, pieces).count() == 0
 
