@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm import hashing as H
-from caseflow.llm.blocks import Blocks, answer, pack, split_by_part
+from caseflow.llm.blocks import TIGHT, Blocks, answer, pack, split_by_part
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -173,6 +173,12 @@ def _gather(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return ids[np.arange(size.sum()) + np.repeat(first - off, size)]
 
 
+def _list(numbers: np.ndarray) -> pa.Array:
+    """One row with all the numbers, in as few bytes as the largest takes."""
+    small = pa.array(numbers.astype(np.min_scalar_type(numbers.max(initial=0))))
+    return pa.ListArray.from_arrays(pa.array([0, len(small)], pa.int32()), small)
+
+
 def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     """part, word, ids for the distinct (part, word) of ``words``: the lattice of every word."""
     shared = words.sparkSession.sparkContext.broadcast(Lattice(pieces))  # fixed by the model
@@ -251,15 +257,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         buf, start, end, _ = cut_words(t, *cuts)
         first, _, h = _distinct(buf, start, end)
         for p, i in split_by_part(H.part_of(h, n_parts), n_parts):
-            yield p, pack(word=_strings(buf, start[first[i]], end[first[i]]), part=np.full(len(i), p, np.int32))
+            yield p, pack(TIGHT, word=_strings(buf, start[first[i]], end[first[i]]), part=np.full(len(i), p, np.int32))
 
     def reply(got):
         words = pc.unique(pa.chunked_array([c for _, t in got for c in t.column("word").chunks]))
         first, size, ids = shared.value.paths(words)
         for block, t in got:
             at = pc.index_in(t.column("word").combine_chunks(), value_set=words).to_numpy()
-            yield block, pack(size=pa.array([size[at].astype(np.int32)], pa.list_(pa.int32())),
-                              ids=pa.array([_gather(ids, first[at], size[at])], pa.list_(pa.int32())),
+            yield block, pack(TIGHT, size=_list(size[at]), ids=_list(_gather(ids, first[at], size[at])),
                               part=t.column("part").to_numpy()[:1])
 
     replies = answer(store.ask(ask), reply)
