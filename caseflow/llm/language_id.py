@@ -29,13 +29,15 @@ from __future__ import annotations
 
 import copy
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.pandas.functions import ArrowUDFType
 
+from caseflow.llm.blocks import give_back
 from caseflow.llm.text import fresh
 
 WINDOW = 256
@@ -49,6 +51,7 @@ SMOOTH = 0.2  # share of a target that is spread over all languages
 SLOWED = 50  # steps after which the learning rate has halved
 FIRST_VISITS = 96_000  # windows that the first round visits at least, in at most 12 epochs
 FIXED = 1 << 20  # weights are summed in whole numbers of this fraction
+SLICE = 256  # texts of a batch that are Python objects at one time
 SCORE_STEPS = 10_000  # scores are counted in steps of a ten-thousandth
 
 
@@ -185,6 +188,7 @@ def _round(some: DataFrame, net: ByteNet, weights: np.ndarray, shards: int, epoc
             flat = np.concatenate([q.ravel() for q in mine.params()]).astype(np.float64)
             sums = np.append(np.rint(flat * FIXED).astype(np.int64) * seen, seen)
             yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], names=["sums"])
+        give_back()
 
     # one task a shard, whose rows come in an order of their own, wherever they were stored
     dealt = (some.select("lang", F.col("text").cast("binary").alias("x"), F.xxhash64("text", "doc_id").alias("o"))
@@ -235,33 +239,46 @@ def _least_score(known: DataFrame, net: ByteNet) -> float:
 
 
 def predict(docs: DataFrame, net: ByteNet | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` plus the predicted language and its probability, from ``text`` alone."""
-    text_at = docs.columns.index("text")
+    """``docs`` plus the predicted language and its probability, from ``text`` alone. Only the texts
+    are sent to Python, and only the two new columns come back."""
     tables = net.pairs() if net else None
     shared = docs.sparkSession.sparkContext.broadcast((net, tables))  # a few MB, fixed by the network's shape
 
-    def run(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net, tables = shared.value
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            lang, prob = [UND] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if net and t is not None and LETTER.search(t)]
-            total = np.zeros((len(texts), len(net.classes) if net else 1))
-            for rows, owner in _stacked([(i, texts[i].encode()) for i in known]):
-                p = net.probabilities(rows, tables)
-                np.add.at(total, owner, p * np.maximum((rows != 0).sum(1, keepdims=True), 1))
-            for i in known:
-                p = total[i] / total[i].sum()
-                best = int(p.argmax())
-                lang[i], prob[i] = net.classes[best], float(p[best])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(prob, pa.float64())],
-                                             names=[*(f"c{i}" for i in range(batch.num_columns)), label, score])
+        for texts in columns:
+            yield judge(texts, net, tables)
+            give_back()
 
     # inside, columns go by position: a clash of names with the two new ones is harmless
-    fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    schema = StructType([*fields, StructField(label, StringType()), StructField(score, DoubleType())])
-    plain = docs.toDF(*[f"c{i}" for i in range(len(fields))])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, label, score)
+    at = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.col(at[docs.columns.index("text")]).cast("string")
+    judged = F.arrow_udf(run, "lang string, score double", ArrowUDFType.SCALAR_ITER)(text)
+    return (docs.toDF(*at).select("*", judged.alias("judged")).select(*at, "judged.lang", "judged.score")
+            .toDF(*docs.columns, label, score))
+
+
+def judge(texts: pa.Array, net: ByteNet | None, tables: list | None) -> pa.StructArray:
+    """(lang, score) of each text. The texts become Python objects a few at a time, whatever a batch holds."""
+    lang, prob = [UND] * len(texts), [0.0] * len(texts)
+    known = []
+
+    def letters():
+        for at in range(0, len(texts), SLICE):
+            for i, t in enumerate(texts.slice(at, SLICE).to_pylist(), at):
+                if net and t is not None and LETTER.search(t):
+                    known.append(i)
+                    yield i, t.encode()
+
+    total = np.zeros((len(texts), len(net.classes) if net else 1))
+    for rows, owner in _stacked(letters()):
+        p = net.probabilities(rows, tables)
+        np.add.at(total, owner, p * np.maximum((rows != 0).sum(1, keepdims=True), 1))
+    for i in known:
+        p = total[i] / total[i].sum()
+        best = int(p.argmax())
+        lang[i], prob[i] = net.classes[best], float(p[best])
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(prob, pa.float64())], ["lang", "score"])
 
 
 def _stacked(texts, limit: int = 4096):

@@ -393,3 +393,27 @@ def test_least_score_counts_every_text(spark):
     chance = 1 / len(net.classes)
     want = chance + language_id.LEAST_SHARE * max(int(low * language_id.SCORE_STEPS) / language_id.SCORE_STEPS - chance, 0)
     assert language_id._least_score(known, net) == pytest.approx(want, abs=1e-9)
+
+
+def test_language_sends_only_texts_to_python(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    net = language_id.ByteNet(["a", "b"])
+    plan = language_id.keep_recognised(docs, net, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1  # judged once, and no text comes back
+
+
+def test_language_judges_a_large_batch_a_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+    net = language_id.ByteNet(["a", "b"])
+    texts = pa.array([None, "12"] + [f"{i} le chat noir dort " * 100 for i in range(4000)])
+    tables = net.pairs()
+    want = [r.as_py() for at in range(0, len(texts), 500) for r in language_id.judge(texts.slice(at, 500), net, tables)]
+    tracemalloc.start()
+    got = language_id.judge(texts, net, tables).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:2] == [{"lang": "und", "score": 0.0}] * 2 and [r["lang"] for r in got] == [r["lang"] for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=1e-6)
+    assert peak < texts.nbytes  # 9 MB; the texts and their bytes as Python objects take over twice that
