@@ -55,7 +55,7 @@ def responses_src(spark, d):
             F.concat(s("{location: "), (k % 140 + 11).cast("string"), s("}"))),
     }
     arr = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("response")) for f, v in fields.items()])
-    return o.select(k.alias("encounter_id"), F.explode(arr).alias("r")).select("encounter_id", "r.*")
+    return o.select(k.alias("encounter_id"), F.inline(arr))
 
 
 def _sq(v: str) -> str:

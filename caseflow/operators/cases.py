@@ -43,30 +43,35 @@ def flag_cases(encounters: DataFrame, cutoff: Column) -> DataFrame:
     return encounters.withColumn("is_case", F.coalesce(F.col("score") >= cutoff, F.lit(False)) | positive_complaint())
 
 
+def raw_response(field: str) -> Column:
+    """The response to one field, within an aggregate of (key, field, response) by key."""
+    return F.max(F.when(F.col("field") == field, F.col("response")))
+
+
 def responses_wide(responses: DataFrame) -> DataFrame:
     """(key, field, response) → one row per key and one raw column per field: a single
     hash aggregate with conditional picks (no pivot discovery pass)."""
-    aggs = [F.max(F.when(F.col("field") == f, F.col("response"))).alias(f"r_{f}") for f in rs.FIELDS]
-    return responses.groupBy(KEY).agg(*aggs)
+    return responses.groupBy(KEY).agg(*[raw_response(f).alias(f"r_{f}") for f in rs.FIELDS])
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    w = responses_wide(responses)
-    sub, sub_id = rs.parse_substance(F.col("r_substance"))
-    sd = rs.parse_safety(F.col("r_safety"))
-    hour, minute = rs.parse_time(F.col("r_time"))
-    return w.select(
-        KEY,
-        rs.parse_summary(F.col("r_summary")).alias("summary_text"),
+    """One row per key with the coded fields, worked out inside the aggregate: with a projection of its
+    own above, Spark would leave a semi join with few keys there, and parse the answers of all visits."""
+    r = {f: raw_response(f) for f in rs.FIELDS}
+    sub, sub_id = rs.parse_substance(r["substance"])
+    sd = rs.parse_safety(r["safety"])
+    hour, minute = rs.parse_time(r["time"])
+    return responses.groupBy(KEY).agg(
+        rs.parse_summary(r["summary"]).alias("summary_text"),
         sub.alias("sub"), sub_id.alias("sub_id"),
         *[sd[k].alias(f"sd{k + 1}") for k in range(5)],
-        rs.after_colon(F.col("r_io")).alias("i_o"),
-        rs.after_colon(F.col("r_sports")).alias("sports_code"),
+        rs.after_colon(r["io"]).alias("i_o"),
+        rs.after_colon(r["sports"]).alias("sports_code"),
         hour.alias("injury_hour"), minute.alias("injury_min"),
-        rs.parse_int_field(F.col("r_date")).alias("injury_date"),
-        rs.parse_zero_null(F.col("r_ampm")).alias("am_pm"),
-        rs.parse_zero_null(F.col("r_area")).alias("area"),
-        rs.parse_zero_null(F.col("r_location")).alias("location"),
+        rs.parse_int_field(r["date"]).alias("injury_date"),
+        rs.parse_zero_null(r["ampm"]).alias("am_pm"),
+        rs.parse_zero_null(r["area"]).alias("area"),
+        rs.parse_zero_null(r["location"]).alias("location"),
     )
 
 

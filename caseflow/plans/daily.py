@@ -102,6 +102,7 @@ def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: st
     mine = keep(kept.join(out["subjects"].select("subject_id").join(sk.small_keys(visits, "subject_id"), "subject_id", "left_semi"),
                           "subject_id", "left_semi"), "batch_encounters")
     owner = mine.select(KEY, PART)
+    few = sk.small_keys(mine, KEY)  # the sources are cut down to these before anything is worked out from them
 
     def child(df: DataFrame) -> DataFrame:
         return df.join(owner, KEY)
@@ -125,15 +126,15 @@ def daily_batch(src: dict[str, DataFrame], root: str, batch_date: str, grain: st
         rewritten("chunked_notes", chunks.join(rows.select("note_id", PART), "note_id"), "chunk_id", "chunk_text", em.SMALL_DIM, "note_id")
 
     def problems():
-        rows = keep(en.build_problems(src["problem_lists"].join(owner, KEY, "left_semi")).withColumn("id", F.concat_ws("|", KEY, "problem")).join(owner, KEY), "batch_problems")
+        rows = keep(en.build_problems(src["problem_lists"].join(few, KEY, "left_semi")).withColumn("id", F.concat_ws("|", KEY, "problem")).join(owner, KEY), "batch_problems")
         out["problems"] = sk.append_new(spark, rows, at("problems"), "id", PART, parts)
 
     def referrals():
-        rows = keep(en.build_referrals(src["referrals"].join(owner, KEY, "left_semi")).withColumn("id", F.concat_ws("|", KEY, "referral")).join(owner, KEY), "batch_referrals")
+        rows = keep(en.build_referrals(src["referrals"].join(few, KEY, "left_semi")).withColumn("id", F.concat_ws("|", KEY, "referral")).join(owner, KEY), "batch_referrals")
         out["referrals"] = sk.append_new(spark, rows, at("referrals"), "id", PART, parts)
 
     def answered():
-        answers = src["answers"].join(owner.select(KEY), KEY, "left_semi")
+        answers = src["answers"].join(few, KEY, "left_semi")
         if intent_model is not None:
             found = scoring.predict_classes(intent_model, mine, KEY, "full_narrative").select(KEY, "intent")
             answers = answers.drop("intent").join(found, KEY, "left")

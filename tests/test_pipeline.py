@@ -162,3 +162,14 @@ def test_batch_reads_intent_and_grows_postings(spark, tmp_path):
     assert set(back) == set(STORED)
     for n in back:
         assert sorted(back[n].dtypes) == sorted(t[n].dtypes) and back[n].count() == t[n].count(), n
+
+
+def test_answers_are_cut_down_before_they_are_parsed(spark):
+    """The keys of a batch meet the table that the answers come from, not the parsed answers of all visits."""
+    from caseflow.catalog.streams import _batch_sources
+    from caseflow.sources import sinks as sk
+    keys = sk.small_keys(spark.createDataFrame([(1,), (2,)], "encounter_id long"), "encounter_id")
+    few = _batch_sources(spark, SF_SMALL)["answers"].join(keys, "encounter_id", "left_semi")
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Aggregate") < plan.index("Generate") < plan.index("LeftSemi")
+    assert sorted(r[0] for r in few.select("encounter_id").collect()) == [1, 2]
