@@ -88,15 +88,19 @@ def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, name: str, scratch: list[str], buckets: int = 0) -> tuple[str, DataFrame]:
+def bucketed(df: DataFrame, by: str, name: str, scratch: list[str], buckets: int = 0, to: str | None = None) -> tuple[str, DataFrame]:
     """The rows of ``df`` as a table bucketed and sorted by ``by``, whose files lie in the shared folder:
-    its name, for ``DROP TABLE``, and its rows. Joins and groups on ``by`` read it without a shuffle."""
+    its name, for ``DROP TABLE``, and its rows. Joins and groups on ``by`` read it without a shuffle.
+    Given the table ``to``, of the same buckets, they are added to it."""
     spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(buckets, by).write.option("compression", "uncompressed").bucketBy(buckets, by).sortBy(by)
+    if to:
+        out.mode("append").saveAsTable(to)
+        return to, spark.table(to)
     path, table = scratch_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     scratch.append(path)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartition(buckets, by).write.option("compression", "uncompressed").option("path", path)
-     .bucketBy(buckets, by).sortBy(by).saveAsTable(table))
+    out.option("path", path).saveAsTable(table)
     return table, spark.table(table)
 
 

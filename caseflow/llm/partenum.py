@@ -18,14 +18,19 @@ yet no link between components is missed:
 * the node that shares most signatures leads; every other node of the signature is compared
   with it, which gives their distance (the number of shingles in one set only);
 * a pair of nodes that link lies, by the triangle inequality, either both near the leader or
-  both far from it. Far nodes get a second leader, and those far from both all pairs;
+  both far from it. Far nodes get a second leader. Those far from both mostly share a passage
+  and nothing else; they meet at the prefixes of their sets, in one order of all their shingles
+  (rare ones first): sets that link hold a first common shingle so early in both that the
+  rest can still reach the overlap. Passages that many hold come last and are not reached;
 * near the leader O, x and y with distances a and b link only if their differences to O
   have at least (a + b - t) / 2 shingles in common, t being the distance at which sets of
   their sizes still link. Unless both link with O this is positive, so the pair meets at a
-  shingle of the prefixes of both differences, in one order of all shingles (those not in O
-  first, as they are rare). Only such pairs, still in different components, are compared.
+  shingle of the prefixes of both differences, in one order of all shingles (those that few
+  differences to O hold first). Only such pairs, still in different components, are compared.
 
-So a family of near copies costs comparisons in proportion to its members, not its pairs.
+So a family of near copies costs comparisons in proportion to its members, not its pairs, and
+so do documents with a common passage. Signatures, sets and pairs are worked on in turns (``PASSES``,
+``ROUND``), and the shuffle files of a turn go before the next.
 
 Defined cases: documents without words, or null, have the empty set, link with nothing and
 are their own component; fewer words than a shingle make one shingle; rows are told apart by
@@ -49,7 +54,8 @@ from caseflow.llm.components import components
 from caseflow.llm.text import fresh
 
 SLICE = 1 << 21  # bytes of text worked on at once
-ROUND = 2  # pairs compared in one round, for each set there is
+PASSES = 4  # turns in which signatures meet and sets are made
+ROUND = 1  # pairs compared in one round, for each set there is
 PIECE = 1024  # comparisons with one leader that meet in one task
 
 
@@ -146,7 +152,11 @@ def _lists(row, values, n):
 
 
 def profiles(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """key and hash (of the row), n_shingles, c1 and c2 (128-bit name of the set), sigs."""
+    """key and hash (of the row), n_shingles, c1 and c2 (128-bit name of the set), sigs0, sigs1 ...: the
+    signatures of each pass."""
+    passes = PASSES
+    names = [f"sigs{i}" for i in range(passes)]
+
     def run(batches):
         for batch in batches:
             for a, b, buf, off in _texts(batch):
@@ -156,11 +166,14 @@ def profiles(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 np.add.at(c[0], row, H.mix(gram))
                 np.add.at(c[1], row, H.mix(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
                 srow, sig = signatures(row, gram, size, num, den)
-                order = np.argsort(srow, kind="stable")
+                order = np.lexsort((srow, sig % np.uint64(passes)))
+                srow, sig = srow[order], sig[order]
+                ends = np.searchsorted(sig % np.uint64(passes), np.arange(passes + 1, dtype=np.uint64))
+                sigs = [_lists(srow[i:j], sig[i:j], b - a) for i, j in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), *(pa.array(x.view(np.int64)) for x in c),
-                     _lists(srow[order], sig[order], b - a)], names=["key", "hash", "n_shingles", "c1", "c2", "sigs"])
-    return rows.mapInArrow(run, "key long, hash long, n_shingles long, c1 long, c2 long, sigs array<long>")
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size), *(pa.array(x.view(np.int64)) for x in c), *sigs],
+                    names=["key", "hash", "n_shingles", "c1", "c2", *names])
+    return rows.mapInArrow(run, "key long, hash long, n_shingles long, c1 long, c2 long, " + ", ".join(f"{x} array<long>" for x in names))
 
 
 def sets_of(rows: DataFrame, n: int) -> DataFrame:
@@ -183,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: lis
 def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: list[str], keep=lambda c: c) -> DataFrame:
     """``keep`` of the distinct pairs (x, leader) compared, in written tables: the size of x, their
     distance, whether they link, whether x is near and whether it is far (it can be both), and for
-    a near x the prefix of the difference: shingles of x first, then those of the leader.
+    a near x the difference and the length of its prefix that a link between x and others must meet.
 
     A pair carries the set of x to that of the leader, so shuffles would grow with the pairs. They are
     dealt over rounds of ``ROUND`` pairs for each set there is, and each round's shuffle files go
@@ -210,25 +223,26 @@ def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: lis
         else:
             least = (dist + 1 - reach) / 2
         prefix = dist - max(1, ceil(least - 1e-9)) + 1
-        return len(p), dist, linked, near, 10 * dist > 8 * len(q) - 10 * reach, (
-            np.concatenate([np.sort(extra), np.sort(missing)])[:max(prefix, 0)] if near else None)
+        return (len(p), dist, linked, near, 10 * dist > 8 * len(q) - 10 * reach, prefix,
+                np.concatenate([extra, missing]) if near and prefix > 0 else None)
 
     def run(batches):
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             rows = [one(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(batch.num_rows)]
-            cols = list(zip(*rows)) or [[]] * 6
+            cols = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 *(pa.array([bool(v) for v in c], pa.bool_()) for c in cols[2:5]), pa.array(cols[5], pa.list_(pa.int64()))],
-                names=["x", "leader", "size", "dist", "linked", "near", "far", "prefix"])
+                 *(pa.array([bool(v) for v in c], pa.bool_()) for c in cols[2:5]),
+                 pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.list_(pa.int64()))],
+                names=["x", "leader", "size", "dist", "linked", "near", "far", "prefix", "diff"])
     paths: list[str] = []
     for i in range(rounds):
         leaders = copies.where(turn == i).join(sets.select(F.col("key").alias("leader"), F.col("grams").alias("gl")), "leader")
         both = (dealt.where(turn == i).join(sets.select(F.col("key").alias("x"), F.col("grams").alias("gx")), "x")
                 .join(leaders, ["leader", "piece"]).select("x", "leader", "gx", "gl"))
         out = written(keep(both.mapInArrow(run, "x long, leader long, size long, dist long, linked boolean, near boolean, "
-                                           "far boolean, prefix array<long>")), "compared", paths)
+                                           "far boolean, prefix long, diff array<long>")), "compared", paths)
         if rounds > 1:
             release(spark)
     scratch += paths
@@ -290,28 +304,64 @@ def _meet(near: DataFrame, found: Components, sets: DataFrame, num: int, den: in
     n = found.of(found.of(near, "x", "comp"), "leader", "leader_comp")
     several = (n.groupBy("leader").agg(F.min(F.least("comp", "leader_comp")).alias("lo"),
                                        F.max(F.greatest("comp", "leader_comp")).alias("hi")).where("lo < hi").select("leader"))
-    rows = n.join(several, "leader", "left_semi").select(
-        "leader", "x", "size", "dist", "linked", F.posexplode("prefix").alias("place", "e"))
-    rows = written(rows.withColumn("place", F.col("place") + 1), "prefixes", found.scratch)
+    rows = (n.join(several, "leader", "left_semi").where("prefix > 0")
+            .select("leader", "x", "size", "dist", "linked", "prefix", "comp", "diff"))
+    rows = written(rows, "near-rows", found.scratch).withColumn("e", F.explode("diff")).drop("diff")
+    rows = _prefixes(rows, ["leader"], "dist", found.scratch)
     slack = f"floor((size + size2) * {den - num} / {den + num})"
     need = f"greatest(1, ceil((dist + dist2 - {slack}) / 2))"
-    can = F.expr(f"place <= dist - {need} + 1 AND place2 <= dist2 - {need} + 1 AND NOT (linked AND linked2) AND comp <> comp2")
+    can = F.expr(f"place <= dist - {need} + 1 AND place2 <= dist2 - {need} + 1 AND NOT (linked AND linked2)")
+    _pairs(rows, ["leader", "e"], "dist", can, found, sets, num, den)
+
+
+def _prefixes(rows: DataFrame, by: list[str], total: str, scratch: list[str]) -> DataFrame:
+    """The shingles ``e`` of x among the first ``prefix`` of its ``total`` ones, with their place. In each
+    group ``by`` they are in one order: those that meet no other component (left out), then rare ones first."""
+    held = (rows.groupBy(*by, "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+            .where("lo < hi").select(*by, "e", "n"))
+    held = written(held, "met-shingles", scratch)
+    release(rows.sparkSession)
+    x = [c for c in rows.columns if c not in ("e", "comp")]
+    met = rows.join(held, [*by, "e"]).groupBy(*x).agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("met"))
+    met = met.select(*x, (F.col(total) - F.size("met")).alias("before"), F.posexplode("met").alias("at", "m"))
+    met = met.withColumn("place", F.col("before") + F.col("at") + 1).where("place <= prefix")
+    met = written(met.select(*[c for c in x if c != "prefix"], "place", "m.e"), "prefixes", scratch)
+    release(rows.sparkSession)
+    return met
+
+
+def _pairs(rows: DataFrame, by: list[str], nearest: str, can, found: Components, sets: DataFrame, num: int, den: int) -> None:
+    """Compare rows (x and others) that agree in ``by`` where ``can`` holds for a row and another (its
+    columns end in 2) of other components: first all with the ``nearest``, then those still apart."""
     for all_pairs in (False, True):
         r = found.of(rows, "x", "comp")
-        apart = (r.groupBy("leader", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                              F.min(F.struct("dist", "x")).alias("first"))
-                 .where("lo < hi").select("leader", "e", F.col("first.x").alias("first")))
-        r = written(r.join(written(apart, "apart", found.scratch), ["leader", "e"]), "meeting", found.scratch)
-        other = r.select("leader", "e", *[F.col(c).alias(c + "2") for c in ("x", "size", "dist", "linked", "place", "comp")])
-        if not all_pairs:  # first with the one nearest to the leader
-            other = other.join(r.select("leader", "e", F.col("first").alias("x2")).distinct(), ["leader", "e", "x2"], "left_semi")
+        apart = (r.groupBy(*by).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(nearest, "x")).alias("first"))
+                 .where("lo < hi").select(*by, F.col("first.x").alias("first")))
+        r = written(r.join(written(apart, "apart", found.scratch), by), "meeting", found.scratch)
+        other = r.select(*by, *[F.col(c).alias(c + "2") for c in r.columns if c not in [*by, "first"]])
+        if not all_pairs:
+            other = other.join(r.select(*by, F.col("first").alias("x2")).distinct(), [*by, "x2"], "left_semi")
         else:
             can = can & (F.col("x") < F.col("x2"))
-        pairs = written(r.join(other, ["leader", "e"]).where(can).select(*_ordered("x", "x2")).distinct(), "pairs", found.scratch)
+        pairs = written(r.join(other, by).where(can).where("comp <> comp2").select(*_ordered("x", "x2")).distinct(), "pairs", found.scratch)
         if not pairs.isEmpty():
             found.add(verified(pairs, sets, num, den, found.scratch))
 
 
+def _rare(far: DataFrame, found: Components, sets: DataFrame, num: int, den: int) -> None:
+    """Find the links between nodes (sig, node) far from the leaders, through the prefixes of their sets."""
+    far = found.of(far, "node", "comp")
+    several = far.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    nodes = written(far.join(several, "sig").select(F.col("node").alias("key"), "comp").distinct(), "far-nodes", found.scratch)
+    size = F.size("grams").cast("long")
+    rows = sets.join(nodes, "key").select(F.col("key").alias("x"), "comp", size.alias("size"), F.explode("grams").alias("e"))
+    rows = rows.withColumn("prefix", F.expr(f"size - (size * {num} + {den - 1}) div {den} + 1"))
+    rows = _prefixes(rows, [], "size", found.scratch)
+    # the shingles from the first common one on must reach the overlap of sets of these sizes
+    can = F.expr(f"{num + den} * (1 + least(size - place, size2 - place2)) >= {num} * (size + size2)")
+    _pairs(rows, ["e"], "place", can, found, sets, num, den)
+
+
 def _row_key(docs: DataFrame):
     """What tells rows apart: doc_id (NULL_KEY for null) and a hash of the text."""
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY)), F.xxhash64(docs["text"].cast("binary"))
@@ -334,39 +384,39 @@ def _linked(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     scratch: list[str] = []
     first, second, third = [], [], []
     signed = written(profiles(rows, n, num, den), "shingle-profiles", first)
-    p = written(signed.drop("sigs"), "shingle-sizes", scratch)
+    p = written(signed.select("key", "hash", "n_shingles", "c1", "c2"), "shingle-sizes", scratch)
     full = p.where("n_shingles > 0")
     # a class of equal sets is one node, numbered as it is written; its first row stands for it
     classes = full.groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("key", "hash")).alias("row"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes", scratch)
-    nodes = written(signed.where("n_shingles > 0").select("key", "hash", "c1", "c2", "sigs").join(
-        classes.select("c1", "c2", "row.key", "row.hash", "node"), ["c1", "c2", "key", "hash"])
-        .select("node", "sigs").where(F.size("sigs") > 0), "shingle-nodes", second)
+    for i in range(PASSES):
+        entries = signed.select(F.explode(f"sigs{i}").alias("sig"), "c1")
+        shared = entries.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi").select("sig")
+        shared = written(shared, "shared-signatures", third)
+        release(spark)
+        met = written(entries.join(shared, "sig").distinct(), "signature-sets", second)
+        release(spark)
     discard(spark, first)
-    entries = nodes.select(F.explode("sigs").alias("sig"), "node")
-    shared = written(entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-signatures", second)
-    release(spark)
-    members = written(entries.join(shared, "sig").distinct(), "signature-members", third)
+    met = spark.read.schema(met.schema).parquet(*second)
+    members = written(met.join(classes.select("c1", "node"), "c1").select("sig", "node"), "signature-members", third)
     discard(spark, second)
-    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    fame = members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig").groupBy("node").agg(F.sum("n").alias("fame"))
     members = written(members.join(fame, "node").select("sig", "node", "fame"), "members-fame", scratch)
     discard(spark, third)
-    involved = members.select("node").distinct().join(classes.select("node", "row.key", "row.hash"), "node")
-    texts = rows.join(involved, ["key", "hash"]).select(F.col("node").alias("key"), "text")
-    found = sets_of(texts, n).dropDuplicates(["key"])  # rows that repeat doc_id and text
-    table, sets = bucketed(found, "key", "sets", scratch)
-    release(spark)
+    involved = written(members.select("node").distinct().join(classes.select("node", "row.key", "row.hash"), "node"), "involved", scratch)
+    table = None
+    for i in range(PASSES):
+        turn = F.pmod(F.col("hash"), F.lit(PASSES)) == i
+        texts = rows.where(turn).join(involved.where(turn), ["key", "hash"]).select(F.col("node").alias("key"), "text")
+        # rows that repeat doc_id and text are one set
+        table, sets = bucketed(sets_of(texts, n).dropDuplicates(["key"]), "key", "sets", scratch, to=table)
+        release(spark)
 
     found = Components()
     done, lead = _led(members, found, sets, num, den)
     far = _far(members, done, lead, found)
     done2, lead2 = _led(far, found, sets, num, den)
-    far = found.of(_far(far, done2, lead2, found), "node", "comp")
-    far = written(far, "far-components", found.scratch)
-    other = far.select("sig", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    pairs = written(far.join(other, "sig").where("comp < other_comp").select(*_ordered("node", "other")).distinct(), "pairs", found.scratch)
-    if not pairs.isEmpty():
-        found.add(verified(pairs, sets, num, den, found.scratch))
+    _rare(_far(far, done2, lead2, found), found, sets, num, den)
     near = done.where("near").unionByName(done2.where("near")).dropDuplicates(["x", "leader"])
     _meet(near, found, sets, num, den)
 

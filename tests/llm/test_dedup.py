@@ -163,3 +163,25 @@ def test_partenum_family_of_uneven_copies(spark):
         want = brute.jaccard(docs, k, num)
         assert 50 < len({c for *_, c in want}) < 150
         same(partenum.link(spark.createDataFrame(docs, "doc_id long, text string"), k, num), want)
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_partenum_passes(edge_frame, edge_docs, monkeypatch, passes):
+    monkeypatch.setattr(partenum, "PASSES", passes)
+    same(partenum.link(edge_frame, 5, 80), brute.jaccard(edge_docs, 5, 80))
+
+
+def test_partenum_common_passage_makes_no_pairs(spark, monkeypatch):
+    # documents that share a passage and nothing else, and so signatures; a few are near copies besides
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join(passage + [f"w{r.randrange(10 ** 7)}" for _ in range(r.randint(70, 90))])) for i in range(200)]
+    docs += [(500 + i, docs[i][1] + f" end{i}") for i in range(5)]
+    counts, compared = [], partenum.compared
+
+    def counted(pairs, *rest, **more):
+        counts.append(pairs.count())
+        return compared(pairs, *rest, **more)
+    monkeypatch.setattr(partenum, "compared", counted)
+    same(partenum.link(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80), brute.jaccard(docs, 5, 80))
+    assert sum(counts) <= 15 * len(docs)
